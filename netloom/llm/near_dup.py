@@ -7,8 +7,9 @@ ones, so common values need no list at all. Candidates are filtered by the simil
 estimates, and confirmed on full sets.
 
 Lists are not expanded into all pairs. First each list pairs its members with its smallest one; verified links are
-joined into components. Then members outside a list's largest component are paired with all of other components. Pairs
-within a component cannot change it, so the components are those of all links.
+joined into components. Where many pairs are left between components, members outside a list's largest component are paired with a
+few of its members, again and again, which draws large groups together. Then they are paired with all members of other
+components. Pairs within a component cannot change it, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -20,15 +21,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.common import Work
 
 #: Words of a shingle, percent of similarity, values of a sketch, and the chance that a filter loses a link.
-SHINGLE, PERCENT, K, LOSS = 5, 75, 64, 1e-6
+SHINGLE, PERCENT, K, LOSS = 5, 75, 160, 1e-6
 MEMORY = 500_000
-_MASK = np.uint64((1 << 63) - 1)
+#: Members of a list that others meet in a round, and the rounds; rounds go on while they help and more than PAIRS pairs a posting are left.
+PIVOTS, ROUNDS, PAIRS = 4, 6, 8
+#: Retained values have so many bits: few enough to be stored tightly, enough that two sets share none by chance.
+BITS = 48
 
 
 class Shingles:
@@ -38,7 +42,7 @@ class Shingles:
         self.width, self.known = width, {}
 
     def of(self, text: str | None) -> np.ndarray:
-        """Sorted, below 2^63. A text with fewer words than a shingle is one shingle; one without words has none."""
+        """Sorted, of BITS bits. A text with fewer words than a shingle is one shingle; one without words has none."""
         words, known = (text or "").encode().lower().split(), self.known
         if not words:
             return np.zeros(0, np.int64)
@@ -53,23 +57,32 @@ class Shingles:
         for i in range(width):
             out = (out ^ ids[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(32)
-        return np.unique((out * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(1)) & _MASK).astype(np.int64)
+        return np.unique(out * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def fewest_shared(k: int, percent: int, loss: float) -> int:
-    """The most t such that sketches of sets over the threshold share fewer than t values with a chance of ``loss`` at most.
-
-    At the worst the smaller set lies in the larger, whose retained values each are in both with the threshold's chance.
-    """
-    p, sum_, t = percent / 100, 0.0, 0
-    while t <= k:
-        sum_ += comb(k, t) * p**t * (1 - p) ** (k - t)
-        if sum_ > loss:
+def fewest_shared(k: int, share: float, loss: float) -> int:
+    """The most t such that fewer than t of k values, each wanted with this chance, come with a chance of ``loss`` at most."""
+    total = 0.0
+    for t in range(k + 1):
+        total += comb(k, t) * share**t * (1 - share) ** (k - t)
+        if total > loss:
             return t
-        t += 1
     return k
 
 
+def must_share(n_x: Column, n_y: Column, k: int, percent: int, loss: float) -> Column:
+    """Retained values that two similar sets of these sizes have in common: certain if both are whole, else but for ``loss``.
+
+    Similar sets have ``percent / (100 + percent)`` of both sizes in common. Each retained value of the larger set is
+    one of those with a chance of their share in it, which grows with the ratio of the sizes.
+    """
+    whole = F.ceil(percent * (n_x + n_y) / (100 + percent))
+    least = [fewest_shared(k, percent / (100 + percent) * (1 + r / 100), loss) for r in range(percent, 101)]
+    ratio = F.floor(100 * F.least(n_x, n_y) / F.greatest(n_x, n_y)).cast("int")
+    drawn = F.get(F.array(*[F.lit(t) for t in least]), F.greatest(ratio - percent, F.lit(0)))
+    return F.when((n_x <= k) & (n_y <= k), whole).otherwise(F.least(whole, drawn))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, width: int) -> DataFrame:
     """doc_id, n, print (of the set), sketch for each row of docs."""
 
@@ -86,44 +99,69 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, width: int) ->
 
 
 def rare_postings(work: Work, sets: DataFrame, k: int, percent: int, loss: float) -> DataFrame:
-    """value, id, n: the rarest retained values of each set, as many as any partner over the threshold must meet; none unique."""
-    t = fewest_shared(k, percent, loss)
-    longest_partner = F.floor(F.col("n") * 100 / percent)  # a set whose partners all fit their sketches shares what the whole sets do
-    shared = F.when(longest_partner <= k, F.ceil(F.col("n") * percent / 100)).otherwise(F.least(F.lit(t), F.ceil(F.col("n") * percent / 100)))
+    """value, id, n, left: the rarest retained values of each set, as many as any similar set must meet; none unique.
+
+    left: how many retained values of the set are as common as this one or more so, itself included.
+    """
+    t = fewest_shared(k, percent / 100, loss)
+    whole = F.ceil(F.col("n") * percent / 100)  # of any similar set, this many values at least are in this one
+    shared = F.when(F.floor(F.col("n") * 100 / percent) <= k, whole).otherwise(F.least(F.lit(t), whole))
     values = sets.select("id", "n", F.explode("sketch").alias("value"))
     common = work.table(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequencies")
     met = values.join(common, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
     # Values that no other set retains are the rarest; they take their places in the prefix and need no list.
-    unique = F.least(F.col("n"), F.lit(k)) - F.size("v")
-    room = F.least(F.col("n"), F.lit(k)) - shared + 1 - unique
+    room = F.size("v") - shared + 1
     lists = met.withColumn("room", room.cast("int")).filter("room > 0")
-    return work.table(lists.select(F.explode(F.slice("v", F.lit(1), F.col("room"))).alias("v"), "id", "n").select("v.value", "id", "n"), "postings")
+    lists = lists.select("id", "n", F.size("v").alias("_m"), F.posexplode(F.slice("v", F.lit(1), F.col("room"))).alias("_at", "v"))
+    return work.table(lists.select("v.value", "id", "n", (F.col("_m") - F.col("_at")).alias("left")), "postings")
+
+
+def _may_link(k: int, percent: int, loss: float) -> Column:
+    """For members x and y of a list: if this is the rarest value they share, enough may follow; and their sizes allow it."""
+    n_x, n_y = F.col("n_x"), F.col("n_y")
+    near = (n_x * 100 >= n_y * percent) & (n_y * 100 >= n_x * percent)
+    return near & (F.least("left_x", "left_y") >= must_share(n_x, n_y, k, percent, loss))
+
+
+def _side(s: str, *more: str) -> list[Column]:
+    return [F.col("value"), *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "left", *more))]
+
+
+def _pairs(both: DataFrame) -> DataFrame:
+    """a, n_a, b, n_b of x and y, the smaller id first."""
+    swap = F.col("id_y") < F.col("id_x")
+    pick = lambda p, q: F.when(swap, F.col(p)).otherwise(F.col(q))
+    return both.select(pick("id_y", "id_x").alias("a"), pick("n_y", "n_x").alias("n_a"), pick("id_x", "id_y").alias("b"), pick("n_x", "n_y").alias("n_b")).distinct()
+
+
+def _pairs_with_first(postings: DataFrame, may_link: Column) -> DataFrame:
+    first = postings.groupBy("value").agg(F.min(F.struct("id", "n", "left")).alias("f")).select("value", *(F.col(f"f.{c}").alias(f"{c}_x") for c in ("id", "n", "left")))
+    return _pairs(postings.select(*_side("y")).join(first, "value").filter((F.col("id_x") != F.col("id_y")) & may_link))
 
 
-def _near_enough(percent: int) -> Column:
-    return (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+def _mixed_lists(work: Work, postings: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """value, id, n, left, c, top of the lists whose members lie in several components (c; top: the largest), and the pairs left there."""
+    held = work.table(postings.join(labels, "id", "left").select("value", "id", "n", "left", F.coalesce("component", "id").alias("c")), "held")
+    sizes = held.groupBy("value", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("value")
+    mixed = sizes.agg(F.max(F.struct("m", "c")).alias("t"), F.sum("m").alias("total"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    mixed = work.table(mixed.select("value", F.col("t.c").alias("top"), ((F.col("total") - F.col("t.m")) * F.col("total")).alias("pairs")), "mixed")
+    left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    return work.table(held.join(mixed.drop("pairs"), "value"), "mixed-lists"), left
 
 
-def _pairs_with_first(postings: DataFrame, percent: int) -> DataFrame:
-    first = postings.groupBy("value").agg(F.min(F.struct("id", "n")).alias("f"))
-    both = postings.join(first, "value").select(F.col("f.id").alias("a"), F.col("f.n").alias("n_a"), F.col("id").alias("b"), F.col("n").alias("n_b"))
-    return both.filter((F.col("a") < F.col("b")) & _near_enough(percent)).distinct()
+def _pairs_with_pivots(here: DataFrame, may_link: Column, salt: int) -> DataFrame:
+    """Pairs of each list's members with up to PIVOTS of them, chosen by a hash, that lie in other components."""
+    draw = F.xxhash64(F.lit(salt), "id")
+    drawn = here.groupBy("value", F.pmod(draw, F.lit(PIVOTS)).alias("g")).agg(F.min(F.struct(draw.alias("h"), "id", "n", "left", "c")).alias("p"))
+    pivots = drawn.select("value", *(F.col(f"p.{c}").alias(f"{c}_x") for c in ("id", "n", "left", "c")))
+    return _pairs(here.select(*_side("y", "c")).join(pivots, "value").filter((F.col("c_x") != F.col("c_y")) & may_link))
 
 
-def _pairs_across(work: Work, postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list's members whose components differ; at least one is outside the list's largest component."""
-    held = postings.join(labels, "id", "left").select("value", "id", "n", F.coalesce("component", "id").alias("c"))
-    held = work.table(held, "held")
-    sizes = held.groupBy("value", "c").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("value").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("value", "top")
-    mixed = work.table(mixed, "mixed")
-    here = work.table(held.join(mixed, "value"), "mixed-lists")
-    outside = here.filter("c <> top").select("value", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x"))
-    both = here.join(outside, "value").filter((F.col("c") != F.col("c_x")) & ((F.col("c") == F.col("top")) | (F.col("x") < F.col("id"))))
-    swap = F.col("x") < F.col("id")
-    pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
-    pairs = both.select(pick("x", "id").alias("a"), pick("n_x", "n").alias("n_a"), pick("id", "x").alias("b"), pick("n", "n_x").alias("n_b"))
-    return pairs.filter(_near_enough(percent)).distinct()
+def _pairs_across(here: DataFrame, may_link: Column) -> DataFrame:
+    """All pairs of a list's members whose components differ; x is outside the list's largest component."""
+    outside = here.filter("c <> top").select(*_side("x", "c"))
+    both = here.select(*_side("y", "c"), "top").join(outside, "value")
+    return _pairs(both.filter((F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("top")) | (F.col("id_x") < F.col("id_y"))) & may_link))
 
 
 def estimate(pairs: DataFrame, sets: DataFrame, k: int, percent: int, loss: float) -> DataFrame:
@@ -138,7 +176,7 @@ def estimate(pairs: DataFrame, sets: DataFrame, k: int, percent: int, loss: floa
     in_both, shared = F.size(F.array_intersect(smallest, common)), F.size(common)
     exact = (F.col("n_a") <= k) & (F.col("n_b") <= k)
     sure = 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)
-    passes = F.when(exact, sure).otherwise(in_both >= F.lit(fewest_shared(k, percent, loss)))
+    passes = F.when(exact, sure).otherwise(in_both >= F.lit(fewest_shared(k, percent / 100, loss)))
     return both.withColumn("exact", exact).filter(passes).select("a", "b", "exact")
 
 
@@ -212,14 +250,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = work.table(first.dropDuplicates(["id", "n", "print"]).select("id", "n", "sketch"), "sets")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     postings = rare_postings(work, sets, k, percent, loss)
-    near = work.table(estimate(_pairs_with_first(postings, percent), sets, k, percent, loss), "near")
-    links = work.table(near.filter("exact").select("a", "b").unionByName(verify(near.filter("not exact"), texts, percent, width)), "links")
-    labels = components(work, links)
-    across = work.table(estimate(_pairs_across(work, postings, labels, percent), sets, k, percent, loss), "across")
-    if across.take(1):
-        more = across.filter("exact").select("a", "b").unionByName(verify(across.filter("not exact"), texts, percent, width))
-        links = work.table(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "links")
-        labels = components(work, links)
+    may_link, size = _may_link(k, percent, loss), postings.count()
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        close = work.table(estimate(pairs, sets, k, percent, loss), "close")
+        return work.table(close.filter("exact").select("a", "b").unionByName(verify(close.filter("not exact"), texts, percent, width)), "links")
+
+    def joined(more: DataFrame) -> DataFrame:
+        return components(work, labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    labels = components(work, confirmed(_pairs_with_first(postings, may_link)))
+    here, left = _mixed_lists(work, postings, labels)
+    for salt in range(ROUNDS):
+        if left <= PAIRS * size:
+            break
+        labels, before = joined(confirmed(_pairs_with_pivots(here, may_link, salt))), left
+        here, left = _mixed_lists(work, postings, labels)
+        if left > 0.8 * before:  # what is left apart is hardly linked
+            break
+    if left:
+        labels = joined(confirmed(_pairs_across(here, may_link)))
     named = classes.join(labels, "id", "left").select("n", "print", F.coalesce("component", "id").alias("component_id"))
     named = work.table(named, "components")
     told = all_rows.select("doc_id", "n", "print").join(named, ["n", "print"], "left")
