@@ -1,4 +1,7 @@
 """The named queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from netloom.plans import claims, timing, views
+
+_PARTS = (claims, timing, views)
+QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+SQL = {k: s for p in _PARTS for k, s in p.SQL.items()}
