@@ -37,6 +37,7 @@ def heavy_hitters(rows: DataFrame, key: str, id_col: str, tracked: int = TRACKED
     sketched = (
         rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("_m"))
         .agg(F.expr(f"approx_top_k_accumulate({key}, {tracked})").alias("_s"))
+        .groupBy(F.col("_m") * 0)  # by a key: a partition without summaries has nothing to combine
         .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s, {tracked}), {tracked * 3 // 4})").alias("_t"))
     )
     named = sketched.select(F.explode("_t").alias("_t")).select(F.col("_t.item").alias("_k"), F.col("_t.count").alias("_c"))
