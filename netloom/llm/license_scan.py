@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 #: Words of a shingle, the share of a template's shingles that a window must hold, the chance of a miss, and hashes at most.
 SHINGLE, CONTAINED, LOSS, HASHES = 5, 0.75, 1e-6, 128
 MEMORY = 500_000
+#: Shingles of a text that are hashed at a time, a multiple of every window.
+PART = 1 << 15
 
 #: Short notices of public licenses, as they are commonly written.
 LICENSES = {
@@ -87,49 +89,55 @@ class Scanner:
             by.setdefault(1 << (length - 1).bit_length(), []).append(name)
         for span, names in sorted(by.items()):
             least = min(contained * len(sets[n][0]) / (2 * span + (1 - contained) * len(sets[n][0])) for n in names)
-            rows, bands = band_settings(least, loss, 4 * HASHES)
+            rows, bands = band_settings(least, loss)
             self.classes[span] = (rows, bands, [(n, sets[n][0]) for n in names])
         most = max((r * b for r, b, _ in self.classes.values()), default=1)
         rng = np.random.default_rng(1)
-        self.factors = rng.integers(1, 1 << 63, most, dtype=np.uint64) | np.uint64(1)
+        self.factors = rng.integers(1, 1 << 32, most, dtype=np.uint32) | np.uint32(1)
+        self.offsets = rng.integers(0, 1 << 32, most, dtype=np.uint32)
         self.signs = {n: self._hash(s).min(axis=0) for _, _, ts in self.classes.values() for n, s in ts}
 
     def _hash(self, shingles: np.ndarray) -> np.ndarray:
         """One row of hashes for each shingle."""
-        return (shingles[:, None] * self.factors) >> np.uint64(32)
-
-    def _windows(self, shingles: np.ndarray, span: int, hashes: int) -> np.ndarray:
-        """Signatures of windows of 2 * span shingles, one each span."""
-        blocks = []
-        step = max(span, 4096 // span * span)
-        for at in range(0, len(shingles), step):
-            part = (shingles[at : at + step, None] * self.factors[:hashes]) >> np.uint64(32)
-            blocks.append(np.minimum.reduceat(part, np.arange(0, len(part), span), axis=0) if span > 1 else part)
-        block = np.concatenate(blocks)
-        return np.minimum(block, np.concatenate([block[1:], block[-1:]]))
+        return (shingles >> np.uint64(32)).astype(np.uint32)[:, None] * self.factors + self.offsets
+
+    def _candidates(self, shingles: np.ndarray) -> Iterator[tuple[str, np.ndarray, int, int]]:
+        """(template, its shingles, window's first shingle, its length): windows of 2 * span shingles, one each span.
+
+        Minima of blocks are those of two blocks of half the length, so all classes share one pass of hashing. A text
+        is taken in parts that overlap by the longest window.
+        """
+        longest = max(self.classes, default=1)
+        for at in range(0, len(shingles), PART):
+            block, size = self._hash(shingles[at : at + PART + longest]), 1
+            while True:
+                if size in self.classes:
+                    rows, bands, templates = self.classes[size]
+                    window = np.minimum(block, np.concatenate([block[1:], block[-1:]]))[: -(-PART // size), : rows * bands]
+                    for name, own in templates:
+                        same = window == self.signs[name][: rows * bands]
+                        if rows > 1:
+                            same = same.reshape(len(same), bands, rows).all(axis=2)
+                        for i in np.flatnonzero(same.any(axis=1)).tolist():
+                            yield name, own, at + i * size, 2 * size
+                if size >= longest:
+                    break
+                even, odd = block[::2], block[1::2]
+                if len(odd) < len(even):
+                    odd = np.concatenate([odd, even[-1:]])
+                block, size = np.minimum(even, odd), 2 * size
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(template, greatest containment, windows that contain it, first shingle of the best) for each one found."""
-        shingles, found = self.words.shingles(text), []
+        """(template, greatest containment, windows that contain it, first shingle of the first best) for each one found."""
+        shingles, found = self.words.shingles(text), {}
         if not len(shingles):
-            return found
-        for span, (rows, bands, templates) in self.classes.items():
-            windows = self._windows(shingles, span, rows * bands)
-            for name, own in templates:
-                same = windows == self.signs[name][: rows * bands]
-                if rows > 1:
-                    same = same.reshape(len(same), bands, rows).all(axis=2)
-                best, n, where = 0.0, 0, 0
-                for i in np.flatnonzero(same.any(axis=1)).tolist():
-                    part = shingles[i * span : (i + 2) * span]
-                    share = len(np.intersect1d(own, part)) / len(own)
-                    if share >= self.contained:
-                        n += 1
-                        if share > best:
-                            best, where = share, i * span
-                if n:
-                    found.append((name, best, n, where))
-        return found
+            return []
+        for name, own, at, size in self._candidates(shingles):
+            share = len(np.intersect1d(own, shingles[at : at + size])) / len(own)
+            if share >= self.contained:
+                best, n, where = found.get(name, (0.0, 0, 0))
+                found[name] = (share, n + 1, at) if share > best else (best, n + 1, where)
+        return [(name, *found[name]) for name in sorted(found)]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
