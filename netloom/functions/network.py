@@ -69,3 +69,10 @@ def ordered_times(start: Column, first_byte: Column, end: Column) -> tuple[Colum
     """first_byte and end, moved so that start <= first_byte <= end; a missing time stays missing."""
     first = F.when(first_byte.isNotNull(), F.greatest(first_byte, start))
     return first, F.when(end.isNotNull(), F.greatest(end, start, first))
+
+
+def request_bytes(method: Column, url: Column, version: Column, headers: Column) -> Column:
+    """Estimated size of a request as text: its line, its headers (name, value) and an empty line."""
+    line = F.length(method) + F.length(url) + F.length(F.when(version != "", version).otherwise("HTTP/1.1")) + 4
+    fields = F.aggregate(headers, F.lit(0), lambda n, h: n + F.length(h["name"]) + F.length(h["value"]) + 4)
+    return F.when((method != "") & (url != ""), line).otherwise(0) + F.coalesce(fields, F.lit(0)) + 2

@@ -76,3 +76,22 @@ def axis_interval(max_ms: Column, ticks: int) -> Column:
 def download_spans(ts: Column, size: Column, kbps: int, not_before: Column) -> tuple[Column, Column]:
     """Start and end of a chunk's arrival: it ends at its time and took its bytes at the bandwidth, but not before the download began."""
     return F.greatest(not_before, ts - F.floor(size * 8 / kbps).cast("long")), ts
+
+
+def page_events(render: Column, dom_start: Column, dom_end: Column, on_dom: Column, load_start: Column, load_end: Column, on_load: Column) -> dict[str, Column]:
+    """Times (ms) to mark on a page: render, load, and begin and end of nav_dom and nav_load; null where not measured.
+
+    A time that is not above 0 was not measured. nav_dom falls back to one point: on_dom, else its end. nav_load falls
+    back to its end.
+    """
+    told = lambda c: F.when(c > 0, c)
+    both = (dom_start > 0) & (dom_end > 0)
+    point = F.coalesce(told(on_dom), told(dom_end))
+    return {
+        "render": told(render),
+        "nav_dom_start": F.when(both, dom_start).otherwise(point),
+        "nav_dom_end": F.when(both, dom_end).otherwise(point),
+        "nav_load_start": F.when(load_end > 0, F.coalesce(told(load_start), load_end)),
+        "nav_load_end": told(load_end),
+        "load": told(on_load),
+    }

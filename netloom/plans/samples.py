@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netloom.functions import network as N
+from netloom.functions.bodies import plain_body
+from netloom.operators import layout
 from netloom.operators import series as S
 from netloom.plans.adapters import REQUESTS, epoch_us, requests, table
 
@@ -147,7 +149,33 @@ def history_search(spark, d):
     return S.search(p, "WIDGET", ["p_name", "p_brand", "p_type"], [F.lower("p_name").desc(), F.col("p_partkey")], 2, 25).select("p_partkey", "p_name")
 
 
-QUERIES = {f.__name__: f for f in (private_hosts, status_classes, page_document, time_order, header_merge, response_ordinals, host_of_address, sequence_clock, utilization_steps, smooth_slices, real_runs, history_search)}
+def request_bytes(spark, d):
+    pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
+    p = table(spark, d, "pages").select("page_id", N.request_bytes(F.lit("GET"), F.col("url"), F.lit(None).cast("string"), F.array(pair("Host", F.col("url")), pair("X", F.col("page_id").cast("string")))).cast("long").alias("bytes_out"))
+    return p
+
+
+def page_events(spark, d):
+    k = F.col("o_orderkey")
+    times = layout.page_events(*[k * a % m - 10 for a, m in ((3, 50), (5, 40), (7, 60), (11, 30), (13, 40), (17, 50), (19, 45))])
+    return table(spark, d, "orders").select("o_orderkey", *[c.alias(n) for n, c in times.items()])
+
+
+_EVENTS = """
+WITH t AS (SELECT o_orderkey, k * 3 % 50 - 10 AS r, k * 5 % 40 - 10 AS ds, k * 7 % 60 - 10 AS de, k * 11 % 30 - 10 AS od, k * 13 % 40 - 10 AS ls, k * 17 % 50 - 10 AS le, k * 19 % 45 - 10 AS ol
+    FROM (SELECT o_orderkey, o_orderkey AS k FROM orders))
+SELECT o_orderkey, CASE WHEN r > 0 THEN r END AS render,
+    CASE WHEN ds > 0 AND de > 0 THEN ds WHEN od > 0 THEN od WHEN de > 0 THEN de END AS nav_dom_start, CASE WHEN ds > 0 AND de > 0 THEN de WHEN od > 0 THEN od WHEN de > 0 THEN de END AS nav_dom_end,
+    CASE WHEN le > 0 AND ls > 0 THEN ls WHEN le > 0 THEN le END AS nav_load_start, CASE WHEN le > 0 THEN le END AS nav_load_end, CASE WHEN ol > 0 THEN ol END AS load FROM t
+"""
+
+
+def plain_bodies(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("body"), F.when(F.col("page_id") % 3 == 0, "identity").when(F.col("page_id") % 3 == 1, "br").alias("coding"))
+    return p.select("page_id", F.octet_length(plain_body(F.col("body"), F.col("coding"))).cast("long").alias("bytes"))
+
+
+QUERIES = {f.__name__: f for f in (private_hosts, status_classes, page_document, time_order, header_merge, response_ordinals, host_of_address, sequence_clock, utilization_steps, smooth_slices, real_runs, history_search, request_bytes, page_events, plain_bodies)}
 
 SQL = {
     "private_hosts": _PRIVATE,
@@ -161,5 +189,8 @@ SQL = {
     "utilization_steps": _STEPS,
     "smooth_slices": _SMOOTH,
     "real_runs": _REAL,
+    "request_bytes": "SELECT page_id, CAST(2 * length(url) + length(page_id::VARCHAR) + 30 AS BIGINT) AS bytes_out FROM pages",
+    "page_events": _EVENTS,
+    "plain_bodies": "SELECT page_id, CASE WHEN page_id % 3 <> 1 THEN octet_length(encode(coalesce(html, '')))::BIGINT END AS bytes FROM pages",
     "history_search": "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%widget%' OR lower(p_brand) LIKE '%widget%' OR lower(p_type) LIKE '%widget%' ORDER BY lower(p_name) DESC, p_partkey LIMIT 25 OFFSET 25",
 }
