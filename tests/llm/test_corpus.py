@@ -268,6 +268,42 @@ def test_lm_scores_tell_target_from_background(spark, empty):
     assert lm_scoring.score(empty, *lm_scoring.fit(empty, empty)).count() == 0
 
 
+def test_lm_scores_count_each_word_and_bigram_for_itself(spark, monkeypatch):
+    """Against exact counts, with more words and bigrams than 2^17 ids and 2^21 cells tell apart, over several blocks."""
+    monkeypatch.setattr(lm_scoring, "BLOCK", 1 << 19, raising=False)
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"u{rng.randrange(400_000)}" if rng.random() < 0.9 else f"W{rng.randrange(30)}" for _ in range(4000))) for i in range(100)]
+    rows += [(100, None), (101, " "), (None, "w1 w2"), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    other = spark.createDataFrame([(1, "w1 w2 never seen w1"), (None, rows[3][1])], "doc_id long, text string")
+    told = [(i, (t or "").lower().split()) for i, t in rows]
+    models = []
+    for kept in (lambda i: i is not None and i < 40, lambda i: True):
+        uni, bi = collections.Counter(), collections.Counter()
+        for i, w in told:
+            if kept(i) and w:
+                uni.update(["", *w])
+                bi.update(zip(["", *w], w))
+        models.append((uni, bi, sum(uni.values())))
+    (_, _, near), (all_words, _, far) = models
+
+    def loss(words_, model, scale):
+        uni, bi, total = model
+        own = lambda w: (uni[w] * scale + 1) / (total * scale + len(all_words))
+        return [-np.log((bi[a, b] * scale + 4 * own(b)) / (uni[a] * scale + 4)) for a, b in zip(["", *words_], words_)]
+
+    assert len(all_words) > 1 << 17
+    fitted = lm_scoring.fit(df, df.filter("doc_id < 40"))
+    for docs_, texts in ((df, told), (other, [(1, "w1 w2 never seen w1".split()), (None, told[3][1])])):
+        got = sorted(((r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["target_loss"], r["background_loss"], r["difference"]) for r in lm_scoring.score(docs_, *fitted).collect()), key=str)
+        want = []
+        for i, w in texts:
+            a, b = loss(w, models[0], 1.0), loss(w, models[1], near / far)
+            want.append((i is None, i, len(w), *((np.mean(a), np.mean(b), np.mean(a) - np.mean(b)) if w else (None,) * 3)))
+        for g, x in zip(got, sorted(want, key=str), strict=True):
+            assert g[:3] == x[:3] and (g[3:] == x[3:] or g[3:] == pytest.approx(x[3:], rel=1e-9, abs=1e-9))
+
+
 def test_warc(spark):
     page, other = "<html>" + "é" * 600, "<p>" + "y" * 2000
     rows = [(1, "http://a/", page), (2, "http://b/", page), (3, None, None), (4, "http://d/", "short"), (5, "http://e/", "short"), (6, "x\r\ny", other), (7, "http://g/", page), (None, "http://h/", page)]
