@@ -6,23 +6,123 @@ are VARIANT, which keeps names that differ only in case apart.
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Page timings that are lifted to the page under another name.
 RENAMED = {"_firstPaint": "_render", "_largestContentfulPaint": "_LargestContentfulPaint", "_domInteractiveTime": "_domInteractive", "_userTimings": "_user_timing"}
 
+#: Characters of a document or of a slice of one: far enough below the 128 MiB that a VARIANT holds, which may be several times its text.
+PIECE = 16 << 20
+_VIEWS = {"firstView": {"requests": True}, "repeatView": {"requests": True}}
+#: Where the arrays stand that the readers take apart, besides an array that is the whole document.
+ARRAYS = {"log": {"pages": True, "entries": True}, "data": {"runs": {"*": _VIEWS}, "median": _VIEWS}, "traceEvents": True}
+
+
+def _unique(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError("a key occurs twice")  # as VARIANT has it
+    return out
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
+def pieces(text: str, size: int) -> list[tuple[int, str]]:
+    """(first, JSON) of a document: its ARRAYS in slices of about ``size`` characters, each within the members that lead to it.
+
+    first is the place of a slice's first element. Raises ValueError or IndexError where text is not JSON.
+    """
+    decode = json.JSONDecoder(object_pairs_hook=_unique, parse_constant=_refuse).raw_decode
+    blank, found, runs = re.compile(r"[ \t\n\r]*").match, [], False
+
+    def skip(at: int) -> int:
+        return blank(text, at).end()
+
+    def after(at: int, close: str) -> tuple[int, bool]:
+        """Where the next element begins, or what follows the last one."""
+        at = skip(at)
+        if text[at] not in (",", close):
+            raise ValueError(f"no comma at {at}")
+        return (at + 1, True) if text[at] == close else (skip(at + 1), False)
+
+    def elements(at: int, path: tuple[str, ...]) -> int:
+        at, first, n = skip(at + 1), 0, 0
+        if text[at] == "]":
+            return at + 1
+        start, last, over = at, at, False
+        while not over:
+            end = decode(text, at)[1]
+            if end - start > size and n > first:
+                found.append((path, first, start, last))
+                first, start = n, at
+            n, last = n + 1, end
+            at, over = after(end, "]")
+        found.append((path, first, start, last))
+        return at
+
+    def members(at: int, tree: dict, path: tuple[str, ...]) -> int:
+        nonlocal runs
+        at, keys, over = skip(at + 1), set(), False
+        if text[at] == "}":
+            return at + 1
+        while not over:
+            key, end = decode(text, at)
+            at = skip(end)
+            if not isinstance(key, str) or key in keys or text[at] != ":":
+                raise ValueError(f"no member at {at}")
+            keys.add(key)
+            at, over = after(value(skip(at + 1), tree.get(key, tree.get("*")), (*path, key)), "}")
+        runs = runs or path == ("data", "runs")
+        return at
+
+    def value(at: int, tree: dict | bool | None, path: tuple[str, ...]) -> int:
+        if text[at] == "[" and (tree is True or not path):
+            return elements(at, path)
+        return members(at, tree, path) if text[at] == "{" and isinstance(tree, dict) else decode(text, at)[1]
+
+    value(skip(0), ARRAYS, ())
+    told = [x for x in found if not (runs and x[0][:2] == ("data", "median"))]  # the median counts where there are no runs
+    return [(first, "".join(f"{{{json.dumps(k)}:" for k in path) + f"[{text[a:b]}]" + "}" * len(path)) for path, first, a, b in told]
+
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """capture, doc: one JSON document for each file (gzip is inflated by its name); what is not JSON is left out."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("capture"), F.try_parse_json("value").alias("doc"))
-    return text.filter("doc is not null")
+    """capture, first, doc: one JSON document for each file (gzip is inflated by its name); what is not JSON is left out.
+
+    A VARIANT holds at most 128 MiB, so a document of more than ``PIECE`` characters is several rows: slices of the arrays
+    that the readers take apart (``ARRAYS``), and first is the place of a slice's first element. A single element that
+    is too large raises an error, as does a file of 2 GB or more. A file is read by one task.
+    """
+    size = PIECE
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py()
+                try:
+                    told = [(0, text)] if len(text) <= size else pieces(text, size)
+                except (ValueError, IndexError):
+                    continue
+                for first, piece in told:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([first], pa.int32()), pa.array([len(text) > size]), pa.array([piece])], names=["capture", "first", "sliced", "text"])
+
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("capture"), "value").mapInArrow(split, "capture string, first int, sliced boolean, text string")
+    doc = F.try_parse_json("text")
+    large = F.raise_error(F.concat(F.col("capture"), F.lit(": an element is too large for a VARIANT"))).cast("string")
+    return rows.select("capture", "first", F.when(F.col("sliced") & doc.isNull(), F.parse_json(large)).otherwise(doc).alias("doc")).filter("doc is not null")
 
 
 def _explode(df: DataFrame, source: str) -> DataFrame:
-    """df with ``pos`` and ``item``, the elements of a VARIANT array."""
+    """df with ``pos`` and ``item``, the elements of a VARIANT array; pos counts from the document's first element."""
     df.createOrReplaceTempView("_netloom_source")
-    return df.sparkSession.sql(f"SELECT s.*, e.pos, e.value AS item FROM _netloom_source s, LATERAL variant_explode_outer({source}) AS e").filter("pos is not null")
+    return df.sparkSession.sql(f"SELECT s.*, e.pos + s.first AS pos, e.value AS item FROM _netloom_source s, LATERAL variant_explode_outer({source}) AS e").filter("pos is not null")
 
 
 def _get(path: str, kind: str, source: str = "item"):
@@ -91,9 +191,9 @@ def har_requests(docs: DataFrame) -> DataFrame:
 
 def wpt_requests(docs: DataFrame) -> DataFrame:
     """Requests of all runs and views of a result file, or of its median where it has no runs."""
-    runs = docs.select("capture", F.explode_outer(_get("$.data.runs", "map<string,variant>", "doc")).alias("run", "views"), _get("$.data.median", "variant", "doc").alias("median"))
-    told = runs.select("capture", F.coalesce("run", F.lit("median")).alias("run"), F.coalesce("views", "median").alias("views"))
-    views = told.select("capture", "run", F.explode(F.create_map(F.lit(0), _get("$.firstView", "variant", "views"), F.lit(1), _get("$.repeatView", "variant", "views"))).alias("cached", "view")).filter("view is not null")
+    runs = docs.select("capture", "first", F.explode_outer(_get("$.data.runs", "map<string,variant>", "doc")).alias("run", "views"), _get("$.data.median", "variant", "doc").alias("median"))
+    told = runs.select("capture", "first", F.coalesce("run", F.lit("median")).alias("run"), F.coalesce("views", "median").alias("views"))
+    views = told.select("capture", "first", "run", F.explode(F.create_map(F.lit(0), _get("$.firstView", "variant", "views"), F.lit(1), _get("$.repeatView", "variant", "views"))).alias("cached", "view")).filter("view is not null")
     r = _explode(views, "try_variant_get(s.view, '$.requests', 'variant')")
     ms = {n: F.coalesce(_get(f"$.{n}", "double"), F.lit(-1.0)) for n in ("load_start", "dns_ms", "connect_ms", "ssl_ms", "ttfb_ms", "download_ms", "all_ms")}
     return r.select("capture", "run", "cached", F.col("pos").alias("req"), _get("$.full_url", "string").alias("url"), F.coalesce(_get("$.method", "string"), F.lit("GET")).alias("method"), F.regexp_extract(F.coalesce(_get("$.responseCode", "string"), F.lit("")), r"^\s*(\d+)", 1).try_cast("int").alias("status"), *[c.alias(n) for n, c in ms.items()])

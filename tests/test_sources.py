@@ -63,6 +63,36 @@ def test_trace_spans(spark, tmp_path):
         assert sorted((r["name"], r["start"], r["end"]) for r in rows) == [("inner", 20, 30), ("outer", 10, 40), ("whole", 5, 12)]
 
 
+def test_documents_over_the_size_of_a_variant(spark, tmp_path):
+    """A trace of 140 MB: a VARIANT of it would be null."""
+    event, n = json.dumps({"ph": "X", "name": "n", "cat": "c", "pid": 1, "tid": 2, "ts": 7, "dur": 1, "args": {"x": "y" * 100_000}}), 1400
+    path = write(tmp_path, "large.json", '{"metadata": {"a": [1]}, "traceEvents": [' + ", ".join([event] * n) + "]}")
+    events = J.trace_events(J.documents(spark, path)).select("ord", "ts")
+    assert sorted(tuple(r) for r in events.collect()) == [(i, 7) for i in range(n)]
+
+
+def test_slices_give_what_the_whole_gives(spark, tmp_path, monkeypatch):
+    view = lambda n: {"requests": [{"full_url": f"https://a/{i}", "responseCode": 200} for i in range(n)]}
+    har = {"log": {"version": "1.2", "pages": [PAGE, PAGE | {"id": "p2"}], "entries": [ENTRY | {"comment": '\\"]},{' * i} for i in range(9)]}}
+    trace = [{"ph": "X", "name": f"n{i}", "ts": i, "pid": 1, "tid": 2} for i in range(9)]
+    median = {"firstView": view(4)}
+    cases = [
+        (har, lambda d: J.har_pages(d).drop("ext"), 2), (har, J.har_requests, 9), (trace, lambda d: J.trace_events(d).drop("args"), 9), ({"x": [1], "traceEvents": trace}, lambda d: J.trace_events(d).drop("args"), 9),
+        ({"data": {"median": median, "runs": {"1": {"firstView": view(5), "repeatView": view(3)}, "2": {"firstView": view(2)}}}}, J.wpt_requests, 10), ({"data": {"runs": {}, "median": median}}, J.wpt_requests, 4),
+    ]
+    for i, (value, read, n) in enumerate(cases):
+        path = write(tmp_path, f"{i}.json", json.dumps(value, indent=i % 2 or None))
+        got = []
+        for size in (1 << 20, 60):
+            monkeypatch.setattr(J, "PIECE", size)
+            docs = J.documents(spark, path)
+            got.append(sorted(map(repr, read(docs).collect())))
+        assert got[0] == got[1] and len(got[0]) == n and docs.count() > 1
+    monkeypatch.setattr(J, "PIECE", 4)
+    for bad in ("[1, 2, 3", "[1, 2 3]", "[1, 2, 3, ]", '{"log": {"entries": [1, 2]}', '{"log": 1, "log": 2}', "[1, 2, NaN]"):
+        assert J.documents(spark, write(tmp_path, "bad.json", bad)).count() == 0
+
+
 def test_netlog(spark, tmp_path):
     types = {"HTTP_TRANSACTION_SEND_REQUEST": 1, "HTTP_TRANSACTION_READ_RESPONSE_HEADERS": 2, "URL_REQUEST_JOB_BYTES_READ": 3, "URL_REQUEST_REDIRECTED": 4, "URL_REQUEST_START_JOB": 5}
     constants = {"logEventTypes": types, "logSourceType": {"URL_REQUEST": 7}, "logEventPhase": {"PHASE_BEGIN": 1, "PHASE_NONE": 0}, "timeTickOffset": 1000}
