@@ -4,7 +4,7 @@ The rows' metadata (size, characters, language) spans the dimensions. A node is
 of its widest dimension, weights being bytes; ties on the dimension are ordered by a hash of the text and then of the
 id, so that equal texts stay side by side and a large group of them can still be cut. Medians are found by narrowing
 histograms that all tasks fill together; the driver sees a few numbers for each node. Splitting goes on until a leaf
-has reached the target bytes.
+has reached the target bytes; beyond MAX_LEAVES leaves are cut at equal sums of bytes in the order of the dimensions.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from netloom.llm.common import Work, text_or_empty
 
 #: Bins of a histogram of a node, and the share of a node's bytes that a cut may be off.
 BINS, SLACK = 1024, 0.0005
-#: Nodes that the driver keeps at most; the target bytes are raised where they would ask for more.
+#: Nodes that the driver keeps at most; where more leaves are asked for, these are cut further without it.
 MAX_LEAVES = 4096
 #: Rows that are numbered in one task, about.
 BLOCK_ROWS = 20_000
@@ -121,6 +121,13 @@ def kd_leaves(rows: DataFrame, dims: list[str], leaves: int) -> DataFrame:
     return rows
 
 
+def cut_leaves(rows: DataFrame, dims: list[str], parts: int) -> DataFrame:
+    """rows with each ``node`` cut into ``parts`` of near equal bytes, in the order of the dims and the tie keys; rows that are equal in all stay together."""
+    upto = F.sum("size").over(Window.partitionBy("node").orderBy(*dims, *TIES).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    told = rows.withColumn("_upto", upto).withColumn("_whole", F.sum("size").over(Window.partitionBy("node")))
+    return told.withColumn("node", F.expr(f"node * {parts}L + (_upto * {parts}L - 1) div _whole")).drop("_upto", "_whole")
+
+
 def number_rows(rows: DataFrame, shard: str, order: list[str], total: int) -> DataFrame:
     """rows with ``slot``: gapless from 0 in each shard, numbered in blocks, so that no task holds a whole shard."""
     blocks = max(8, -(-total // BLOCK_ROWS))
@@ -155,10 +162,13 @@ def shard_documents(docs: DataFrame, shards: int | None = 8, target_bytes: int |
     )
     rows = Work(spark).table(rows, "metadata")
     count, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = 1
     if target_bytes:
         shards = 1
-        while shards < MAX_LEAVES and size / shards > target_bytes:
-            shards *= 2
+        while size / (shards * parts) > target_bytes:
+            shards, parts = (shards * 2, parts) if shards < MAX_LEAVES else (shards, parts * 2)
     leaves = kd_leaves(rows, list(dims), shards or 1)
+    if parts > 1:
+        leaves = cut_leaves(leaves, list(dims), parts)
     done = number_rows(leaves.withColumnRenamed("node", "shard"), "shard", ["doc_id", "text_crc32", "row_hash"], count)
     return done.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))

@@ -239,6 +239,21 @@ def test_sharding(docs, rows, empty):
     assert 4 <= len({r["shard"] for r in sharding.shard_documents(docs, None, target_bytes=sum(sizes.values()) // 4).collect()}) <= 8
 
 
+def test_sharding_reaches_the_target_beyond_the_leaves_of_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_LEAVES", 4)
+    rng = random.Random(8)
+    rows = [(i, words(rng, rng.randrange(1, 60)), "en", 1) for i in range(800)]
+    total = sum(len(t) + 1 for _, t, _, _ in rows)
+    df = spark.createDataFrame([*rows, rows[5], rows[5]], "doc_id long, text string, lang string, n_chars long")
+    got, sizes, slots = sharding.shard_documents(df, None, target_bytes=total // 15).collect(), collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 802 and sorted(sizes) == list(range(16)) and max(sizes.values()) < total / 15 * 1.1
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r["shard"] for r in got if r["doc_id"] == 5}) == 1
+
+
 def test_license_scan(spark, docs, empty):
     notice, rng = license_scan.LICENSES["MIT-grant"], random.Random(3)
     texts = [words(rng, 70) + " " + notice + " " + words(rng, 900), words(rng, 300), None, "", "Released under the MIT License.", notice.replace("merge", "x"), " ".join(notice.split()[:12])]
