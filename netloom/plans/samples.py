@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -175,7 +179,22 @@ def plain_bodies(spark, d):
     return p.select("page_id", F.octet_length(plain_body(F.col("body"), F.col("coding"))).cast("long").alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (private_hosts, status_classes, page_document, time_order, header_merge, response_ordinals, host_of_address, sequence_clock, utilization_steps, smooth_slices, real_runs, history_search, request_bytes, page_events, plain_bodies)}
+def _coded(body: pd.Series, coding: pd.Series) -> pd.Series:
+    import zstandard
+
+    code = {"gzip": gzip.compress, "deflate": zlib.compress, "zstd": zstandard.compress}
+    return pd.Series([code[c](b) for b, c in zip(body, coding, strict=True)], dtype=object)
+
+
+def coded_bodies(spark, d):
+    """The bodies of all pages, coded with gzip, deflate or zstd and undone again."""
+    coding = F.when(F.col("page_id") % 3 == 0, "gzip").when(F.col("page_id") % 3 == 1, "deflate").otherwise("zstd")
+    p = table(spark, d, "pages").select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("body"), coding.alias("coding"))
+    plain = p.withColumn("body", F.pandas_udf(_coded, "binary")("body", "coding")).withColumn("plain", plain_body(F.col("body"), F.col("coding")))
+    return plain.select("page_id", F.octet_length("plain").cast("long").alias("bytes"), F.sha2("plain", 256).alias("body_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (private_hosts, status_classes, page_document, time_order, header_merge, response_ordinals, host_of_address, sequence_clock, utilization_steps, smooth_slices, real_runs, history_search, request_bytes, page_events, plain_bodies, coded_bodies)}
 
 SQL = {
     "private_hosts": _PRIVATE,
@@ -192,5 +211,6 @@ SQL = {
     "request_bytes": "SELECT page_id, CAST(2 * length(url) + length(page_id::VARCHAR) + 30 AS BIGINT) AS bytes_out FROM pages",
     "page_events": _EVENTS,
     "plain_bodies": "SELECT page_id, CASE WHEN page_id % 3 <> 1 THEN octet_length(encode(coalesce(html, '')))::BIGINT END AS bytes FROM pages",
+    "coded_bodies": "SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS bytes, sha256(encode(coalesce(html, ''))) AS body_sha256 FROM pages",
     "history_search": "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%widget%' OR lower(p_brand) LIKE '%widget%' OR lower(p_type) LIKE '%widget%' ORDER BY lower(p_name) DESC, p_partkey LIMIT 25 OFFSET 25",
 }

@@ -37,6 +37,11 @@ def test_query_agrees_with_sql(spark, con, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in oracle.fetchall()), key=repr)
 
 
+def test_a_query_inflates_the_bodies_of_all_pages(spark):
+    got = plans.QUERIES["coded_bodies"](spark, DATA)
+    assert got.filter("bytes is null or body_sha256 is null").count() == 0 and got.count() == spark.read.parquet(f"{DATA}/pages.parquet").count()
+
+
 def test_har_export_keeps_every_request(spark):
     import json
 
