@@ -117,7 +117,14 @@ def url_set_compare(spark, d):
     return ownership.set_compare(a, b, "url")
 
 
-QUERIES = {f.__name__: f for f in (conn_owner, request_timings, page_earliest, http_only, network_activity, enrich_last_wins, timeline_synthesis, first_per_url, dns_claim, dns_pairing, unlinked, initiator_chain, url_set_compare)}
+def url_set_compare_all(spark, d):
+    """The urls of all pages without their fragment against those without query and fragment."""
+    url = F.split_part("url", F.lit("#"), F.lit(1))
+    p = table(spark, d, "pages")
+    return ownership.set_compare(p.select(url.alias("url")), p.select(F.split_part(url, F.lit("?"), F.lit(1)).alias("url")), "url")
+
+
+QUERIES = {f.__name__: f for f in (conn_owner, request_timings, page_earliest, http_only, network_activity, enrich_last_wins, timeline_synthesis, first_per_url, dns_claim, dns_pairing, unlinked, initiator_chain, url_set_compare, url_set_compare_all)}
 
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1))"
 
@@ -138,4 +145,8 @@ SQL = {
         WITH a AS (SELECT DISTINCT split_part(url, '#', 1) AS url FROM pages WHERE page_id % 3 <> 0), b AS (SELECT DISTINCT split_part(url, '#', 1) AS url FROM pages WHERE page_id % 2 = 0),
         n AS (SELECT (SELECT count(*) FROM a WHERE url NOT IN (FROM b)) AS left_only, (SELECT count(*) FROM b WHERE url NOT IN (FROM a)) AS right_only, (SELECT count(*) FROM a WHERE url IN (FROM b)) AS in_both)
         SELECT *, CAST(floor(in_both * 1000 / greatest(left_only + in_both, 1) + 0.5) AS BIGINT) AS overlap_pct FROM n""",
+    "url_set_compare_all": """
+        WITH a AS (SELECT DISTINCT split_part(url, '#', 1) AS url FROM pages), b AS (SELECT DISTINCT split_part(split_part(url, '#', 1), '?', 1) AS url FROM pages),
+        n AS (SELECT count(*) FILTER (b.url IS NULL) AS left_only, count(*) FILTER (a.url IS NULL) AS right_only, count(*) FILTER (a.url = b.url) AS in_both FROM a FULL JOIN b ON a.url = b.url)
+        SELECT *, CAST(floor(in_both * 1000 / greatest(left_only + in_both, 1) + 0.5) AS BIGINT) AS overlap_pct FROM n""",
 }

@@ -42,6 +42,12 @@ def test_a_query_inflates_the_bodies_of_all_pages(spark):
     assert got.filter("bytes is null or body_sha256 is null").count() == 0 and got.count() == spark.read.parquet(f"{DATA}/pages.parquet").count()
 
 
+def test_a_query_compares_the_urls_of_all_pages(spark):
+    got, urls = plans.QUERIES["url_set_compare_all"](spark, DATA).first(), {r["url"].split("#")[0] for r in spark.read.parquet(f"{DATA}/pages.parquet").select("url").collect() if r["url"]}
+    bare = {u.split("?")[0] for u in urls}
+    assert (got["left_only"], got["right_only"], got["in_both"]) == (len(urls - bare), len(bare - urls), len(urls & bare))
+
+
 def test_har_export_keeps_every_request(spark):
     import json
 
