@@ -26,19 +26,32 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Work:
     """Tables written once in the shared folder, so that a lost executor never costs more than one step."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self._n = spark, shared_folder(spark), 0
+        self.spark, self.folder, self._n, self._paths = spark, shared_folder(spark), 0, {}
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and return a scan of it; the scan's size is known to the planner."""
         self._n += 1
         path = f"{self.folder}/{self._n:02d}-{name}"
         df.write.parquet(path)
+        self._paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *names: str, but: str | None = None) -> None:
+        """Delete the tables of these names, or all but those of one name; nothing may read them any more."""
+        for name in names or [n for n in self._paths if n != but]:
+            for path in self._paths.pop(name, ()):
+                delete(self.spark, path)
+
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcasting if it is proven to have at most ``rows`` rows; else df as it is."""
