@@ -35,9 +35,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_verdicts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Statistics of docs with the verdict of rules learned from the labelled ones among them."""
-    counts = Work(spark).table(quality_rules.statistics(docs), "counts")
-    sample = quality_rules.labelled_sample(counts, _table(spark, sf_dir, "labels"))
-    return quality_rules.judge(counts, quality_rules.learn(sample, list(quality_rules.features())))
+    sample = quality_rules.labelled_sample(docs, _table(spark, sf_dir, "labels"))
+    return quality_rules.judge(quality_rules.statistics(docs), quality_rules.learn(sample, list(quality_rules.features())))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
