@@ -29,7 +29,7 @@ from netloom.llm.common import Work, small
 
 #: Words of a shingle, percent of similarity, values of a sketch, and the chance that a filter loses a link.
 SHINGLE, PERCENT, K, LOSS = 5, 75, 160, 1e-6
-MEMORY = 500_000
+MEMORY = 100_000
 #: Members of a list that others meet in a round; rounds of random pivots at most, and the pairs a posting from which one is worth while.
 PIVOTS, ROUNDS, WORTH = 4, 3, 8
 #: Lists of so many members are paired at once; longer ones get lists of whole sets.
@@ -109,16 +109,23 @@ def must_share(n_x: Column, n_y: Column, k: int, percent: int, loss: float) -> C
     return F.when((n_x <= k) & (n_y <= k), whole).otherwise(F.least(whole, drawn))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, few at a time: what is made of them may be larger than they are."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, width: int) -> DataFrame:
     """doc_id, mark (of the text), n, print (of the set), sketch for each row of docs."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
-        for batch in batches:
-            sets = [shingles.of(t) for t in batch.column(2).to_pylist()]
+        for part in _parts(batches):
+            sets = [shingles.of(t) for t in part.column(2).to_pylist()]
             prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             lists = pa.array([np.unique(s[:k] >> np.uint64(64 - BITS)).astype(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), lists], names=["doc_id", "mark", "n", "print", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), lists], names=["doc_id", "mark", "n", "print", "sketch"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     return rows.mapInArrow(sketch, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark long, n long, print binary, sketch array<long>")
@@ -232,8 +239,8 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Data
     """a, b of the pairs whose full sets are similar enough. texts: id, text."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = batch.columns
+        for part in _parts(batches):
+            a, b, x, y = part.columns
             keep = pa.array([similar(p.as_py(), q.as_py(), width, percent) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
@@ -362,9 +369,9 @@ def _whole_sets(texts: DataFrame, width: int) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
-        for batch in batches:
-            sets = [shingles.of(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "hashes"])
+        for part in _parts(batches):
+            sets = [shingles.of(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "hashes"])
 
     return texts.select("id", "text").mapInArrow(hashed, "id long, n long, hashes array<long>")
 

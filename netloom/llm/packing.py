@@ -29,7 +29,7 @@ LENGTH, END_ID = 4096, 2
 #: Documents of a group, on average.
 GROUP_DOCS = 8192
 #: Words whose ids a Python worker remembers.
-MEMORY = 600_000
+MEMORY = 100_000
 _MARK = "\x01"
 
 
