@@ -104,6 +104,49 @@ def test_near_duplicates_with_small_sketches(spark):
     assert got == {i: c for i, (c, _) in brute_components(rows).items()}
 
 
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    a, b = words(random.Random(1), 80), words(random.Random(2), 80)
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b), (9, b)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (9, 5, False), (9, 5, False)]
+    assert sorted(map(tuple, near_dup.drop_near_duplicates(df).collect())) == [(1, a), (5, b)]
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_close_texts_that_are_not_close_enough(spark, monkeypatch, rounds):
+    """Large groups around a text that is not there, in long lists of whole sets; some of them are linked, most are not."""
+    monkeypatch.setattr(near_dup, "SHORT", 2)
+    monkeypatch.setattr(near_dup, "ROUNDS", rounds)
+    monkeypatch.setattr(near_dup, "WORTH", 0)
+    rng, rows = random.Random(11), []
+    for size in (60, 150, 400):
+        base = words(rng, size, 10**6).split()
+        for _ in range(50):
+            w = list(base)
+            for _ in range(rng.randrange(size // 60, size // 18)):
+                w[rng.randrange(size)] = f"n{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(w[: rng.randrange(size * 4 // 5, size + 1)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = {i: c for i, (c, _) in brute_components(rows).items()}
+    assert 10 < len(set(want.values())) < 140
+    for k in (48, near_dup.K):
+        assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, k=k).collect()} == want
+
+
+def test_similarity_is_that_of_the_shingles():
+    rng = random.Random(12)
+    for n in (0, 1, 4, 5, 6, 40, 300):
+        a = [f"w{rng.randrange(9)}" for _ in range(n)]
+        for edits in (0, 1, 2, n // 9):
+            b = list(a)
+            for _ in range(edits):
+                b[rng.randrange(len(b)) if b else 0 :] = ["x"]
+                b += a[len(b) :]
+            x, y = shingle_set(" ".join(a)), shingle_set(" ".join(b))
+            if x and y:
+                assert near_dup.similar(" ".join(a), " ".join(b), 5, 75) == (100 * len(x & y) >= 75 * len(x | y))
+
+
 def test_exact_copies(docs, rows, empty):
     norm = lambda t: " ".join(x for x in __import__("re").split(r"[\x20\x09-\x0D]+", t or ""))
     groups = collections.defaultdict(list)
@@ -120,6 +163,18 @@ def test_exact_copies(docs, rows, empty):
     assert exact_dedup.exact_copies(empty).count() == 0
     left = exact_dedup.drop_copies(docs)
     assert left.columns == docs.columns and left.count() == len(groups)
+    assert {hashlib.sha256(norm(r["text"]).encode()).hexdigest() for r in left.collect()} == set(groups)
+    assert exact_dedup.drop_copies(empty).count() == 0
+
+
+def test_exact_copies_of_rows_that_repeat(spark):
+    """Groups large enough to be settled where they are read: of one id, of null ids, of both."""
+    rows = [(7, "same")] * 300 + [(None, "none")] * 200 + [(None, "both")] * 150 + [(4, "both")] * 150 + [(3, "both"), (8, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = exact_dedup.exact_copies(df).collect()
+    assert collections.Counter((r["keep_id"], r["group_size"]) for r in got) == {(7, 300): 300, (None, 200): 200, (3, 301): 301, (8, 1): 1}
+    assert sorted(str(r["doc_id"]) for r in got if r["kept"]) == ["3", "7", "8", "None"]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in exact_dedup.drop_copies(df).collect()) == [("3", "both"), ("7", "same"), ("8", "one"), ("None", "none")]
 
 
 def test_heavy_hitters_are_exact(spark):
@@ -223,7 +278,28 @@ def test_quality_statistics_and_rules(spark, docs, rows, empty):
     hits = told.agg(F.count(F.when((F.col("quality") == 0) & ~F.col("kept"), 1)), F.count(F.when(F.col("quality") == 0, 1)), F.count(F.when((F.col("quality") == 1) & ~F.col("kept"), 1))).first()
     assert hits[0] >= 0.8 * hits[1] and hits[2] == 0
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert quality_rules.learn(quality_rules.labelled_sample(quality_rules.statistics(docs), none), list(quality_rules.features())) == []
+    assert quality_rules.learn(quality_rules.labelled_sample(docs, none), list(quality_rules.features())) == []
+
+
+def test_base_counts_against_brute_force(docs, rows):
+    got = collections.defaultdict(set)
+    for r in quality_rules.statistics(docs).collect():
+        got[r["doc_id"]].add((r["word_chars"], r["n_symbols"], r["n_dup_lines"]))
+    space = " \t\n\x0b\x0c\r"
+    for i, text, *_ in rows:
+        lines = [x for x in (text or "").split("\n") if x.strip(space)]
+        assert (sum(c not in space for c in text or ""), sum(c in "#*$%&|<>" for c in text or ""), sum(x in lines[:k] for k, x in enumerate(lines))) in got[i]
+    mixed = "a b\n\t \na b\n# $|<>\na\u00a0b\n a b\na b\x85c\u2028d\n"
+    lines = [x for x in mixed.split("\n") if x.strip(space)]
+    want = (sum(c not in space for c in mixed), 5, sum(x in lines[:k] for k, x in enumerate(lines)))
+    assert quality_rules.text_counts(mixed)[1:4] == want
+
+
+def test_sample_of_labels_is_bounded(spark, docs, rows):
+    labels = spark.createDataFrame([(i % 200, i % 2, 0) for i in range(5000)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    sample = quality_rules.labelled_sample(docs, labels, rows=100)
+    assert 0 < len(sample) <= 100 and sample["doc_id"].is_unique
+    assert len(quality_rules.labelled_sample(docs, labels)) == len({r[0] for r in rows if r[0] is not None and r[0] < 200})
 
 
 def test_sharding(docs, rows, empty):
