@@ -1,8 +1,8 @@
 """License notices found by MinHash bands over overlapping windows and confirmed by exact shingle containment.
 
 Templates fall into classes by length. A text's shingles are covered by windows of twice a class's length that overlap
-by half, so each notice lies within a window. Windows whose MinHash signature shares a band with a template are
-candidates; rows and bands of a class follow from the least similarity that a containing window can have, so that the
+by half, so each notice lies within a window. The bands of all templates' MinHash signatures are an index, in which the
+bands of windows are looked up, so that the work for a window does not grow with the number of templates; rows and bands of a class follow from the least similarity that a containing window can have, so that the
 chance of missing one is below ``LOSS``. Containment is then computed on the shingles themselves.
 """
 
@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 #: Words of a shingle, the share of a template's shingles that a window must hold, the chance of a miss, and hashes at most.
 SHINGLE, CONTAINED, LOSS, HASHES = 5, 0.75, 1e-6, 128
-MEMORY = 500_000
+MEMORY = 100_000
 #: Shingles of a text that are hashed at a time, a multiple of every window.
 PART = 1 << 15
 
-#: Short notices of public licenses, as they are commonly written.
+#: Notices and whole texts of public licenses, as they are commonly written.
 LICENSES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -35,6 +35,11 @@ LICENSES = {
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "BSD-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
@@ -76,6 +81,37 @@ def band_settings(similarity: float, loss: float = LOSS, hashes: int = HASHES) -
     return best
 
 
+class BandIndex:
+    """From the bands of signatures to the templates that have them."""
+
+    def __init__(self, rows: int, bands: int, signs: list[np.ndarray]):
+        self.rows, self.bands = rows, bands
+        keys = np.concatenate([self.keys(s[None, : rows * bands])[0] for s in signs])
+        self.template = np.repeat(np.arange(len(signs)), bands)
+        order = np.argsort(keys, kind="stable")
+        self.sorted, self.template = keys[order], self.template[order]
+        self.bits = np.uint64(max(16, (64 * len(keys) - 1).bit_length()))
+        self.held = np.zeros(1 << int(self.bits), bool)  # tells most bands that no template has at one look
+        self.held[self.sorted >> (np.uint64(64) - self.bits)] = True
+
+    def keys(self, signs: np.ndarray) -> np.ndarray:
+        """A 64-bit key for each band of each signature; a band's place is part of it."""
+        parts = signs.reshape(len(signs), self.bands, self.rows).astype(np.uint64)
+        out = np.broadcast_to(np.arange(1, self.bands + 1, dtype=np.uint64), parts.shape[:2])
+        for r in range(self.rows):
+            out = (out ^ parts[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
+            out = out ^ (out >> np.uint64(29))
+        return out * np.uint64(0xD6E8FEB86659FD93)
+
+    def find(self, signs: np.ndarray) -> set[tuple[int, int]]:
+        """(row of signs, template) for each that share a band."""
+        keys = self.keys(signs)
+        window, band = np.nonzero(self.held[keys >> (np.uint64(64) - self.bits)])
+        wanted = keys[window, band]
+        first, last = np.searchsorted(self.sorted, wanted, "left"), np.searchsorted(self.sorted, wanted, "right")
+        return {(int(window[k]), int(t)) for k in np.flatnonzero(first < last) for t in self.template[first[k] : last[k]]}
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], contained: float = CONTAINED, loss: float = LOSS):
         self.words, self.contained, sets = Words(), contained, {}
@@ -95,7 +131,7 @@ class Scanner:
         rng = np.random.default_rng(1)
         self.factors = rng.integers(1, 1 << 32, most, dtype=np.uint32) | np.uint32(1)
         self.offsets = rng.integers(0, 1 << 32, most, dtype=np.uint32)
-        self.signs = {n: self._hash(s).min(axis=0) for _, _, ts in self.classes.values() for n, s in ts}
+        self.index = {span: BandIndex(rows, bands, [self._hash(s).min(axis=0) for _, s in ts]) for span, (rows, bands, ts) in self.classes.items()}
 
     def _hash(self, shingles: np.ndarray) -> np.ndarray:
         """One row of hashes for each shingle."""
@@ -114,12 +150,8 @@ class Scanner:
                 if size in self.classes:
                     rows, bands, templates = self.classes[size]
                     window = np.minimum(block, np.concatenate([block[1:], block[-1:]]))[: -(-PART // size), : rows * bands]
-                    for name, own in templates:
-                        same = window == self.signs[name][: rows * bands]
-                        if rows > 1:
-                            same = same.reshape(len(same), bands, rows).all(axis=2)
-                        for i in np.flatnonzero(same.any(axis=1)).tolist():
-                            yield name, own, at + i * size, 2 * size
+                    for i, t in sorted(self.index[size].find(window)):
+                        yield *templates[t], at + i * size, 2 * size
                 if size >= longest:
                     break
                 even, odd = block[::2], block[1::2]
@@ -143,8 +175,9 @@ class Scanner:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, containment, n_windows, first_shingle: one row for each row of docs and template found in it.
 
-    Null and empty texts hold none; a text shorter than a shingle is one shingle. Repeated rows are scanned each for
-    itself, null ids stay null, and other columns are not read. Templates are few: they travel with the task.
+    Null and empty texts hold none; a text shorter than a shingle is one shingle, and one of any length is scanned whole, in
+    parts. Repeated rows are scanned each for itself, null ids stay null, other columns are not read, and an empty table
+    gives an empty result. Templates travel with the task, as an index of their bands.
     """
     templates = LICENSES if templates is None else templates
 
