@@ -2,9 +2,9 @@
 
 The rows' metadata (size, characters, language) spans the dimensions. A node is split at the weighted median
 of its widest dimension, weights being bytes; ties on the dimension are ordered by a hash of the text and then of the
-id, so that equal texts stay side by side and a large group of them can still be cut. Medians are found by narrowing
-histograms that all tasks fill together; the driver sees a few numbers for each node. Splitting goes on until a leaf
-has reached the target bytes; beyond MAX_LEAVES leaves are cut at equal sums of bytes in the order of the dimensions.
+id, so that equal texts stay side by side and a large group of them can still be cut. The medians of all nodes of a level
+are found by narrowing histograms that all tasks fill together, one job for each narrowing; cuts are a small table that rows
+are joined with, and the driver sees a few numbers for each node. Splitting goes on until a leaf has reached the target bytes; beyond MAX_LEAVES leaves are cut at equal sums of bytes in the order of the dimensions.
 """
 
 from __future__ import annotations
@@ -15,21 +15,15 @@ from pyspark.sql import functions as F
 from netloom.llm.common import Work, text_or_empty
 
 #: Bins of a histogram of a node, and the share of a node's bytes that a cut may be off.
-BINS, SLACK = 1024, 0.0005
+BINS, SLACK = 4096, 0.0005
 #: Nodes that the driver keeps at most; where more leaves are asked for, these are cut further without it.
 MAX_LEAVES = 4096
 #: Rows that are numbered in one task, about.
 BLOCK_ROWS = 20_000
-#: Keys that order the rows of a node after the dimension itself.
+#: Keys that order the rows of a node after the dimension itself; they lie in 0 .. 2^52 - 1.
 TIES = ("text_hash", "row_hash")
-
-
-def _pick(values: dict[int, str], node: str = "node") -> Column:
-    """For each node another column, as one conditional expression."""
-    out = F.lit(None).cast("long")
-    for n, c in sorted(values.items()):
-        out = F.when(F.col(node) == n, F.col(c)).otherwise(out)
-    return out
+#: Levels after which the rows are written with their nodes.
+WRITE_EVERY = 4
 
 
 def _spans(rows: DataFrame, dims: list[str]) -> dict[int, dict]:
@@ -37,87 +31,62 @@ def _spans(rows: DataFrame, dims: list[str]) -> dict[int, dict]:
     return {r["node"]: r.asDict() for r in found.collect()}  # at most MAX_LEAVES rows
 
 
-def weighted_medians(rows: DataFrame, column: dict[int, str], goal: dict[int, float], slack: dict[int, float]) -> dict[int, tuple]:
-    """For each node (at, below, tie): rows with column <= at hold ``below`` bytes; tie: a single value spans the goal.
+def weighted_medians(rows: DataFrame, dims: list[str], spans: dict[int, dict], column: dict[int, int]) -> list[tuple]:
+    """(node, column, c0, c1, c2) for each node: rows whose (column, *TIES) is at most (c0, c1, c2) hold half of its bytes.
 
-    ``column`` and ``goal`` give each node's column and the bytes wanted below the cut. Each pass bins what is left of
-    each node's range and keeps the bin that the goal falls in, until that bin is light enough or one value.
+    A node looks for its cut within a range of one key, first its column, then, within a single value of it, the ties.
+    Each pass bins what is left of every node's range and keeps the bin in which the goal lies, until that bin is light
+    enough or one value. A cut is off by SLACK of the bytes, or by the rows that are equal in all keys.
     """
-    open_nodes, base, out = dict.fromkeys(goal), dict.fromkeys(goal, 0), {}
-    lo, hi = dict.fromkeys(goal), dict.fromkeys(goal)
-    while open_nodes:
-        mine = rows.filter(F.col("node").isin(list(open_nodes))).withColumn("v", _pick({n: column[n] for n in open_nodes}))
-        keep = F.lit(True)
-        for n in open_nodes:
-            if lo[n] is not None:
-                keep = keep & ((F.col("node") != n) | F.col("v").between(lo[n], hi[n]))
-        mine = mine.filter(keep)
-        spans = {r["node"]: r for r in mine.groupBy("node").agg(F.min("v").alias("a"), F.max("v").alias("b")).collect()}
-        bin_of, target = F.lit(0), F.lit(0.0)
-        for n, r in spans.items():
-            width = (float(r["b"]) - float(r["a"])) or 1.0
-            bin_of = F.when(F.col("node") == n, F.floor((F.col("v").cast("double") - F.lit(float(r["a"]))) / F.lit(width) * BINS)).otherwise(bin_of)
-            target = F.when(F.col("node") == n, F.lit(float(goal[n] - base[n]))).otherwise(target)
-        bins = mine.groupBy("node", bin_of.alias("bin")).agg(F.sum("size").alias("w"), F.min("v").alias("a"), F.max("v").alias("b"))
-        up = Window.partitionBy("node").orderBy("bin")
-        bins = bins.withColumn("upto", F.sum("w").over(up)).withColumn("before", F.col("upto") - F.col("w")).withColumn("prior", F.lag("b").over(up))
-        crossing = bins.filter((F.col("upto") >= target) & (F.col("before") < target) | (F.col("before") == 0) & (target <= 0))
-        found = {r["node"]: r for r in crossing.collect()}
-        for n in list(open_nodes):
-            r = found.get(n)
-            if r is None:  # nothing to the left of the goal, or no weight at all
-                out[n] = (None, base[n], False)
-                del open_nodes[n]
-                continue
-            left, right = goal[n] - base[n] - r["before"], base[n] + r["upto"] - goal[n]
-            if r["a"] == r["b"]:
-                if min(left, right) <= slack[n]:
-                    out[n] = (r["a"], base[n] + r["upto"], False) if right <= left else (r["a"] - 1, base[n] + r["before"], False)
-                else:
-                    out[n] = (r["a"], base[n] + r["before"], True)
-                del open_nodes[n]
+    most, last = (1 << 52) - 1, len(TIES)
+    left = {
+        n: {"node": n, "col": column[n], "stage": 0, "lo": s[f"{dims[column[n]]}_lo"], "hi": s[f"{dims[column[n]]}_hi"], "goal": s["bytes"] / 2, "t0": 0, "t1": 0, "slack": s["bytes"] * SLACK}
+        for n, s in spans.items()
+    }
+    schema = "node int, col int, stage int, lo long, hi long, goal double, t0 long, t1 long, slack double"
+    done = []
+    while left:
+        asked = F.broadcast(rows.sparkSession.createDataFrame([tuple(x.values()) for x in left.values()], schema))  # a row for each node
+        own = F.get(F.array(*dims), F.col("col"))
+        v = F.when(F.col("stage") == 0, own).when(F.col("stage") == 1, F.col(TIES[0])).otherwise(F.col(TIES[1]))
+        tied = ((F.col("stage") == 0) | (own == F.col("t0"))) & ((F.col("stage") < 2) | (F.col(TIES[0]) == F.col("t1")))
+        mine = rows.join(asked, "node").withColumn("v", v).filter(tied & F.col("v").between(F.col("lo"), F.col("hi")))
+        place = F.floor((F.col("v") - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo") + 1) * BINS)
+        bins = mine.groupBy("node", "goal", place.alias("bin")).agg(F.sum("size").alias("w"), F.min("v").alias("a"), F.max("v").alias("b"))
+        upto = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
+        for r in bins.withColumn("upto", upto).filter("upto >= goal and upto - w < goal").collect():  # a row for each node
+            x = left[r["node"]]
+            before, over = x["goal"] - (r["upto"] - r["w"]), r["upto"] - x["goal"]
+            if r["a"] == r["b"] and min(before, over) > x["slack"] and x["stage"] < last:
+                x |= {("t0", "t1")[x["stage"]]: r["a"], "stage": x["stage"] + 1, "lo": 0, "hi": most, "goal": before}
+            elif r["a"] == r["b"] or r["w"] <= x["slack"]:
+                cut = [x["t0"], x["t1"], most]
+                cut[x["stage"]] = r["b"] if over <= before else r["a"] - 1
+                cut[x["stage"] + 1 :] = [most] * (last - x["stage"])
+                done.append((x["node"], x["col"], *cut))
+                del left[r["node"]]
             else:
-                base[n], lo[n], hi[n] = base[n] + r["before"], r["a"], r["b"]
-                if r["w"] <= slack[n]:
-                    out[n] = (r["b"], base[n] + r["w"], False)
-                    del open_nodes[n]
-    return out
+                x |= {"lo": r["a"], "hi": r["b"], "goal": before}
+    return done
 
 
-def kd_leaves(rows: DataFrame, dims: list[str], leaves: int) -> DataFrame:
+def kd_leaves(rows: DataFrame, dims: list[str], leaves: int, work: Work | None = None) -> DataFrame:
     """rows with ``node``, their leaf from 0 on. rows: size, the dims (long) and the tie keys; ``leaves`` a power of two."""
-    depth = max(0, leaves - 1).bit_length()
-    rows = rows.withColumn("node", F.lit(0))
-    whole: dict[str, float] = {}
-    for _ in range(depth):
+    rows, whole = rows.withColumn("node", F.lit(0)), {}
+    for level in range(max(0, leaves - 1).bit_length()):
         spans = _spans(rows, dims)
         if not whole and spans:
             top = next(iter(spans.values()))
-            whole = {d: float((top[f"{d}_hi"] or 0) - (top[f"{d}_lo"] or 0)) for d in dims}
-        wide = lambda s, d: ((s[f"{d}_hi"] or 0) - (s[f"{d}_lo"] or 0)) / whole[d] if whole[d] else 0.0
-        column = {n: max(dims, key=lambda d: (wide(s, d), -dims.index(d))) for n, s in spans.items()}
-        goal = {n: s["bytes"] / 2 for n, s in spans.items()}
-        slack = {n: s["bytes"] * SLACK for n, s in spans.items()}
-        right, tied = F.lit(False), {n: F.lit(True) for n in spans}
-        for level in range(1 + len(TIES)):
-            by = column if level == 0 else dict.fromkeys(goal, TIES[level - 1])
-            here = rows
-            if level:
-                at_tie = F.lit(False)
-                for n in goal:
-                    at_tie = at_tie | ((F.col("node") == n) & tied[n])
-                here = rows.filter(at_tie)
-            cuts, more = weighted_medians(here, by, goal, slack), {}
-            for n, (at, below, tie) in cuts.items():
-                c, here_n = F.col(by[n]), (F.col("node") == n) & tied[n]
-                right = right | (here_n & ((c > at) if at is not None else F.lit(True)))
-                if tie:
-                    tied[n] = tied[n] & (c == at)
-                    more[n] = goal[n] - below
-            goal = more
-            if not goal:
-                break
-        rows = rows.withColumn("node", F.col("node") * 2 + right.cast("int"))
+            whole = {d: float(top[f"{d}_hi"] - top[f"{d}_lo"]) for d in dims}
+        wide = lambda s, d: (s[f"{d}_hi"] - s[f"{d}_lo"]) / whole[d] if whole[d] else 0.0
+        column = {n: max(range(len(dims)), key=lambda i: (wide(s, dims[i]), -i)) for n, s in spans.items()}
+        cuts = rows.sparkSession.createDataFrame(weighted_medians(rows, dims, spans, column), "node int, col int, c0 long, c1 long, c2 long")
+        own, (first, second) = F.get(F.array(*dims), F.col("col")), TIES
+        after = (F.col(first) > F.col("c1")) | ((F.col(first) == F.col("c1")) & (F.col(second) > F.col("c2")))
+        right = (own > F.col("c0")) | ((own == F.col("c0")) & after)
+        rows = rows.join(F.broadcast(cuts), "node", "left").withColumn("node", F.col("node") * 2 + right.cast("int")).drop("col", "c0", "c1", "c2")
+        if work and level % WRITE_EVERY == WRITE_EVERY - 1:
+            rows = work.table(rows, "nodes")
     return rows
 
 
@@ -160,14 +129,15 @@ def shard_documents(docs: DataFrame, shards: int | None = 8, target_bytes: int |
         F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col(id_col), text), 12).alias("row_hash"),
         *[c.alias(k) for k, c in dims.items()],
     )
-    rows = Work(spark).table(rows, "metadata")
+    work = Work(spark)
+    rows = work.table(rows, "metadata")
     count, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     parts = 1
     if target_bytes:
         shards = 1
         while size / (shards * parts) > target_bytes:
             shards, parts = (shards * 2, parts) if shards < MAX_LEAVES else (shards, parts * 2)
-    leaves = kd_leaves(rows, list(dims), shards or 1)
+    leaves = kd_leaves(rows, list(dims), shards or 1, work)
     if parts > 1:
         leaves = cut_leaves(leaves, list(dims), parts)
     done = number_rows(leaves.withColumnRenamed("node", "shard"), "shard", ["doc_id", "text_crc32", "row_hash"], count)
