@@ -1,27 +1,29 @@
 """Deterministic, sharded WARC writing and reading.
 
-Records are sorted by page id in ranges of about equal bytes, whose bounds are computed exactly from a histogram, so
-that the same table always gives the same files. A task writes its range to files that roll at a compressed size,
-under names of its own; the files of the attempts that counted are listed in a manifest, and only those are renamed to
-their final names. Headers and digests are made anew from the payload, one gzip member for each record.
+Records are sorted by page id and digest in ranges of about equal bytes. Bounds of ranges are weighted quantiles of the keys
+that a hash picks, so they follow the pages alone and the same table always gives the same files. A task writes its range to
+files that roll at a compressed size, under names of its own; the files of the attempts that counted are renamed to
+their final names, listed in a manifest beside them, and what other attempts left is removed. Headers and digests are made anew from the payload, one gzip member for each record.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import Work, text_or_empty
+from netloom.llm.common import Work, delete, text_or_empty
 
 #: Compressed bytes at which a file ends, and the payload bytes from which copies are revisits.
 ROLL, LEAST = 256 << 20, 1000
@@ -31,7 +33,8 @@ RANGES, SPAN = 64, (8 << 20, 512 << 20)
 DATE = "2026-01-01T00:00:00Z"
 #: The profile of a record that repeats another's payload; a fixed value of the WARC standard.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-BUCKETS = 4096
+#: Pages that a hash picks to find the bounds of ranges, about, and the greatest number of ranges.
+PICKED, MOST_RANGES = 200_000, 20_000
 
 MANIFEST = "final string, tmp string, bytes long, records long, sha256 string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -86,29 +89,53 @@ def mark_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return told.withColumn("refers_to", F.when(F.col("_first") != F.col("page_id"), F.col("_first"))).drop("_first", "_digest")
 
 
-def _ranges(pages: DataFrame, span: int | None) -> tuple[DataFrame, int, int, int]:
-    """bucket, range: buckets of page ids dealt into ranges of about equal bytes; the smallest id, a bucket's width, the number of ranges."""
-    lo, hi, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("payload_bytes") + 512)).first()
-    lo, hi = (lo or 0), (hi or 0)
-    target = span or min(max((total or 0) // RANGES, SPAN[0]), SPAN[1])
-    width = max(1, -(-(hi - lo + 1) // BUCKETS))
-    sums = pages.groupBy(F.floor((F.col("page_id") - lo) / width).alias("bucket")).agg(F.sum(F.col("payload_bytes") + 512).alias("w"))
-    upto = F.sum("w").over(Window.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    dealt = sums.select("bucket", F.floor((upto - F.col("w")) / target).cast("int").alias("range"))
-    return dealt, lo, width, (dealt.agg(F.max("range")).first()[0] or 0) + 1
+def _bounds(pages: DataFrame, span: int | None) -> list[tuple[int | None, str]]:
+    """The first key (page_id, payload_digest) of each range but the first; ranges have about equal bytes.
+
+    Null ids come first. Rows of equal keys share a range; ids that repeat, and null ids, are told apart by their digests.
+    """
+    n, total = pages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("payload_bytes") + 512), F.lit(0))).first()
+    target = max(span or min(max(total // RANGES, SPAN[0]), SPAN[1]), total // MOST_RANGES)
+    every = max(1, n // PICKED)
+    picked = pages.filter(F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(every)) == 0)
+    key = ("page_id", "payload_digest")
+    sums = picked.groupBy(*key).agg((F.sum(F.col("payload_bytes") + 512) * every).alias("w"))
+    upto = F.sum("w").over(Window.orderBy(F.col("page_id").asc_nulls_first(), "payload_digest").rowsBetween(Window.unboundedPreceding, 0))  # PICKED rows, about
+    dealt = sums.select(F.struct(F.col("page_id").isNotNull().alias("some"), *key).alias("key"), F.floor((upto - F.col("w")) / target).alias("range"))
+    firsts = dealt.groupBy("range").agg(F.min("key").alias("key")).orderBy("key").collect()  # MOST_RANGES rows and one at most
+    return [(r["key"]["page_id"], r["key"]["payload_digest"]) for r in firsts[1:]]
+
+
+def _range_of(bounds: list[tuple[int | None, str]]):
+    """A function of page_id and payload_digest: the number of bounds that are not above them."""
+    known = sum(i is None for i, _ in bounds)
+    ids, digests = np.array([i for i, _ in bounds[known:]], np.int64), [d for _, d in bounds]
+
+    @F.pandas_udf("int")
+    def number(page_id: pd.Series, digest: pd.Series) -> pd.Series:
+        none = page_id.isna().to_numpy()
+        at = page_id.fillna(0).astype("int64").to_numpy()
+        low, high = known + np.searchsorted(ids, at, "left"), known + np.searchsorted(ids, at, "right")
+        low[none], high[none] = 0, known
+        for k in np.flatnonzero(low < high):  # an id that bounds a range, or several
+            low[k] += bisect.bisect_right(digests[low[k] : high[k]], digest.iloc[k])
+        return pd.Series(low, dtype="int32")
+
+    return number
 
 
 def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, span: int | None = None, least: int = LEAST) -> DataFrame:
     """Write pages (page_id, url, html) as WARC files below folder; return their manifest: final, bytes, records, sha256.
 
     ``folder`` is on storage that all executors share. A null html has an empty payload, a null url no target; a null
-    page_id is always a response and comes first. Rows that repeat a page_id are records each. Other columns are not read.
+    page_id is always a response and comes first. Rows that repeat a page_id are records each. An empty table gives no files
+    and an empty manifest. A payload of any length is one record. Other columns are not read.
     """
     work, payload = Work(pages.sparkSession), F.encode(text_or_empty("html"), "UTF-8")
     known = work.table(pages.select("page_id", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest")), "digests")
     marks = work.table(mark_revisits(known, least).filter("refers_to is not null").select("page_id", "payload_digest", "refers_to").distinct(), "revisits")
-    dealt, lo, width, ranges = _ranges(known, span)
-    dealt = F.broadcast(dealt.select(F.col("bucket").alias("_b"), "range"))  # at most BUCKETS rows and one
+    bounds = _bounds(known, span)
+    ranges = len(bounds) + 1
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         fs, top = _fs(folder)
@@ -165,12 +192,14 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, span: int | None
     none = F.lit(None)
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("payload_digest"), none.cast("long").alias("refers_to"), F.lit(False).alias("is_mark"))
     notes = marks.select("page_id", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "payload_digest", "refers_to", F.lit(True).alias("is_mark"))
-    rows = rows.unionByName(notes).withColumn("_b", F.floor((F.col("page_id") - lo) / width))
-    rows = rows.join(dealt, rows["_b"].eqNullSafe(dealt["_b"])).select("page_id", "url", "payload", "payload_digest", "refers_to", "is_mark", "range")
+    rows = rows.unionByName(notes).withColumn("range", _range_of(bounds)("page_id", "payload_digest"))
     order = ["range", "page_id", "payload_digest", F.col("is_mark").desc(), "url"]
-    sorted_rows = rows.repartition(min(ranges, 100_000), "range").sortWithinPartitions(*order)
+    sorted_rows = rows.repartition(ranges, "range").sortWithinPartitions(*order)
     written = work.table(sorted_rows.mapInArrow(to_pandas, MANIFEST), "written")
-    return work.table(written.repartition("final").mapInPandas(commit, "final string, bytes long, records long, sha256 string"), "manifest")
+    manifest = work.table(written.repartition("final").mapInPandas(commit, "final string, bytes long, records long, sha256 string"), "manifest")
+    manifest.coalesce(1).write.json(f"{folder}/manifest")  # a line for each file
+    delete(pages.sparkSession, f"{folder}/_tmp")  # what attempts that did not count have left
+    return manifest
 
 
 def parse_record(data: bytes) -> dict:
