@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import zlib
 
@@ -330,6 +331,57 @@ def test_sharding_reaches_the_target_beyond_the_leaves_of_the_driver(spark, monk
     assert len({r["shard"] for r in got if r["doc_id"] == 5}) == 1
 
 
+def test_sharding_splits_at_weighted_medians(spark):
+    """Two leaves: one is below the other in the widest dimension, then in the ties; bytes are halved as far as rows allow."""
+    rng = random.Random(2)
+    rows = [(i, words(rng, rng.randrange(1, 80)), rng.randrange(1000)) for i in range(1500)] + [(9000 + i, "the same text", 10**6) for i in range(2500)] + [(5, None, None)] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(7)
+    for leaves in (2, 8):
+        done = sharding.shard_documents(df, leaves, metadata=("n_chars",)).collect()
+        sizes = collections.Counter()
+        for r in done:
+            sizes[r["shard"]] += r["size"]
+        total = sum(sizes.values())
+        assert total == sum(len((t or "").encode()) + 1 for _, t, _ in rows) and len(done) == len(rows)
+        assert sorted(sizes) == list(range(leaves)) and all(abs(x - total / leaves) < 0.01 * total / leaves + 400 for x in sizes.values())
+    many = sharding.shard_documents(df, 32, metadata=("n_chars",)).collect()  # past the level at which rows are written
+    assert len(many) == len(rows) and len({r["shard"] for r in many}) == 32
+    table = spark.createDataFrame([(i, 1 + i % 7, i // 3, (i * 7) % 50, i % 5, i) for i in range(1000)], "id long, size long, a long, b long, text_hash long, row_hash long")
+    halves = collections.defaultdict(list)
+    for r in sharding.kd_leaves(table, ["b", "a"], 2).collect():
+        halves[r["node"]].append((r["b"], r["text_hash"], r["row_hash"], r["size"]))  # both span all they can; the first is taken
+    assert max(x[:3] for x in halves[0]) < min(x[:3] for x in halves[1])
+    assert abs(sum(x[3] for x in halves[0]) - sum(x[3] for x in halves[1])) <= 7 + 2
+
+
+def test_license_index_of_many_templates(spark):
+    """Found by an index of 500 templates; brute force compares sets of words and shares no code with the operator."""
+    rng = random.Random(9)
+    templates = {f"t{i}": words(rng, rng.randrange(6, 200), 3000) for i in range(500)}
+    texts = []
+    for i in range(60):
+        w = words(rng, rng.randrange(0, 300), 3000).split()
+        for name in rng.sample(sorted(templates), 2):
+            own = templates[name].split()
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = "changed"
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = own
+        texts.append(" ".join(w))
+    grams = lambda w: [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))]
+    sets = {n: set(grams(t.split())) for n, t in templates.items()}
+    want = set()
+    for i, t in enumerate(texts):
+        s = grams(t.split())
+        for name, own in sets.items():
+            if len(own & set(s)) >= 0.75 * len(own) and any(len(own & set(s[k : k + len(own)])) >= 0.75 * len(own) for k in range(len(s))):
+                want.add((i, name))
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect()
+    assert want <= {(r["doc_id"], r["license"]) for r in got} and len(want) > 60
+    for r in got:  # windows are twice a template's length, so more may lie within one
+        assert len(sets[r["license"]] & set(grams(texts[r["doc_id"]].split()))) >= 0.75 * len(sets[r["license"]])
+
+
 def test_license_scan(spark, docs, empty):
     notice, rng = license_scan.LICENSES["MIT-grant"], random.Random(3)
     texts = [words(rng, 70) + " " + notice + " " + words(rng, 900), words(rng, 300), None, "", "Released under the MIT License.", notice.replace("merge", "x"), " ".join(notice.split()[:12])]
@@ -409,10 +461,24 @@ def test_warc(spark):
         assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(data), hashlib.sha1(data).hexdigest())
     assert {i: r["refers_to"] for i, r in got.items()} == {1: 7, 2: 7, 3: None, 4: None, 5: None, 6: None, 7: None, None: None}
     assert bytes(got[6]["payload"]) == other.encode() and got[1]["payload"] is None and got[2]["record_type"] == "revisit"
+    kept = sorted(os.listdir(folders[0].removeprefix("file://")))
+    assert kept == sorted([*(r[0] for r in listed[0]), "manifest"])  # nothing of the attempts is left
+    assert sorted(map(tuple, spark.read.json(f"{folders[0]}/manifest").select(manifests[0].columns).collect())) == listed[0]
     none = f"{shared_folder(spark)}/warc"
     assert warc.read_warc(warc.write_warc(df.limit(0), none), none).count() == 0
 
 
+def test_warc_spreads_outlying_and_repeated_ids(spark):
+    rows = [(i, None, f"page {i}" * 40, i) for i in range(800)] + [(10**15, "u", "far", 1)] + [(None, "v", f"none {i}" * 60, 2) for i in range(300)] + [(5, "w", f"again {i}" * 60, 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, range long").repartition(5)
+    folder = f"{shared_folder(spark)}/warc"
+    manifest = warc.write_warc(df, folder, span=30_000)
+    sizes = [r["records"] for r in manifest.collect()]
+    assert sum(sizes) == len(rows) and len(sizes) > 20 and max(sizes) < 120
+    got = warc.read_warc(manifest, folder).collect()
+    assert sorted((str(r["page_id"]), bytes(r["payload"])) for r in got) == sorted((str(i), h.encode()) for i, _, h, _ in rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
