@@ -9,7 +9,9 @@ are joined with, and the driver sees a few numbers for each node. Splitting goes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.common import Work, text_or_empty
@@ -26,6 +28,14 @@ TIES = ("text_hash", "row_hash")
 WRITE_EVERY = 4
 
 
+def _listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A broadcast table of a row for each node, as one literal."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    kind = "array<struct<" + ", ".join(c.replace(" ", ":", 1) for c in schema.split(", ")) + ">>"
+    return F.broadcast(spark.range(1).select(F.explode(F.from_json(F.lit(text), kind)).alias("r")).select("r.*"))
+
+
 def _spans(rows: DataFrame, dims: list[str]) -> dict[int, dict]:
     found = rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{d}_{n}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))])
     return {r["node"]: r.asDict() for r in found.collect()}  # at most MAX_LEAVES rows
@@ -46,7 +56,7 @@ def weighted_medians(rows: DataFrame, dims: list[str], spans: dict[int, dict], c
     schema = "node int, col int, stage int, lo long, hi long, goal double, t0 long, t1 long, slack double"
     done = []
     while left:
-        asked = F.broadcast(rows.sparkSession.createDataFrame([tuple(x.values()) for x in left.values()], schema))  # a row for each node
+        asked = _listed(rows.sparkSession, [tuple(x.values()) for x in left.values()], schema)
         own = F.get(F.array(*dims), F.col("col"))
         v = F.when(F.col("stage") == 0, own).when(F.col("stage") == 1, F.col(TIES[0])).otherwise(F.col(TIES[1]))
         tied = ((F.col("stage") == 0) | (own == F.col("t0"))) & ((F.col("stage") < 2) | (F.col(TIES[0]) == F.col("t1")))
@@ -80,11 +90,11 @@ def kd_leaves(rows: DataFrame, dims: list[str], leaves: int, work: Work | None =
             whole = {d: float(top[f"{d}_hi"] - top[f"{d}_lo"]) for d in dims}
         wide = lambda s, d: (s[f"{d}_hi"] - s[f"{d}_lo"]) / whole[d] if whole[d] else 0.0
         column = {n: max(range(len(dims)), key=lambda i: (wide(s, dims[i]), -i)) for n, s in spans.items()}
-        cuts = rows.sparkSession.createDataFrame(weighted_medians(rows, dims, spans, column), "node int, col int, c0 long, c1 long, c2 long")
+        cuts = _listed(rows.sparkSession, weighted_medians(rows, dims, spans, column), "node int, col int, c0 long, c1 long, c2 long")
         own, (first, second) = F.get(F.array(*dims), F.col("col")), TIES
         after = (F.col(first) > F.col("c1")) | ((F.col(first) == F.col("c1")) & (F.col(second) > F.col("c2")))
         right = (own > F.col("c0")) | ((own == F.col("c0")) & after)
-        rows = rows.join(F.broadcast(cuts), "node", "left").withColumn("node", F.col("node") * 2 + right.cast("int")).drop("col", "c0", "c1", "c2")
+        rows = rows.join(cuts, "node", "left").withColumn("node", F.col("node") * 2 + right.cast("int")).drop("col", "c0", "c1", "c2")
         if work and level % WRITE_EVERY == WRITE_EVERY - 1:
             rows = work.table(rows, "nodes")
     return rows
