@@ -33,8 +33,8 @@ RANGES, SPAN = 64, (8 << 20, 512 << 20)
 DATE = "2026-01-01T00:00:00Z"
 #: The profile of a record that repeats another's payload; a fixed value of the WARC standard.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Pages that a hash picks to find the bounds of ranges, about, and the greatest number of ranges.
-PICKED, MOST_RANGES = 200_000, 20_000
+#: Pages that a hash picks for each range to find its bounds, and in all at least, about; and the greatest number of ranges.
+PICKED, LEAST_PICKED, MOST_RANGES = 10, 10_000, 20_000
 
 MANIFEST = "final string, tmp string, bytes long, records long, sha256 string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -96,11 +96,11 @@ def _bounds(pages: DataFrame, span: int | None) -> list[tuple[int | None, str]]:
     """
     n, total = pages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("payload_bytes") + 512), F.lit(0))).first()
     target = max(span or min(max(total // RANGES, SPAN[0]), SPAN[1]), total // MOST_RANGES)
-    every = max(1, n // PICKED)
+    every = max(1, n // max(LEAST_PICKED, PICKED * total // target))
     picked = pages.filter(F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(every)) == 0)
     key = ("page_id", "payload_digest")
     sums = picked.groupBy(*key).agg((F.sum(F.col("payload_bytes") + 512) * every).alias("w"))
-    upto = F.sum("w").over(Window.orderBy(F.col("page_id").asc_nulls_first(), "payload_digest").rowsBetween(Window.unboundedPreceding, 0))  # PICKED rows, about
+    upto = F.sum("w").over(Window.orderBy(F.col("page_id").asc_nulls_first(), "payload_digest").rowsBetween(Window.unboundedPreceding, 0))  # PICKED * MOST_RANGES rows at most, about
     dealt = sums.select(F.struct(F.col("page_id").isNotNull().alias("some"), *key).alias("key"), F.floor((upto - F.col("w")) / target).alias("range"))
     firsts = dealt.groupBy("range").agg(F.min("key").alias("key")).orderBy("key").collect()  # MOST_RANGES rows and one at most
     return [(r["key"]["page_id"], r["key"]["payload_digest"]) for r in firsts[1:]]
