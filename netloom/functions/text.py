@@ -64,29 +64,53 @@ def mime_category(mime: Column, url: Column) -> Column:
     return out.otherwise("other")
 
 
+#: How texts of a kind begin, in lower case; declarations that tell a style sheet; ISOBMFF brands.
+HTML_BEGINS = ("<!doctype", "<html", "<head", "<body")
+HTML_WITHIN = ("<html", "<head", "<!doctype")
+CSS_BEGINS = ("@charset", "@import", "@media", "@font-face", "@keyframes", "@layer", "@supports", "@namespace")
+CSS_PROPERTIES = ("display", "margin", "padding", "color", "background", "font-", "border", "width", "height", "position", "overflow", "text-align", "flex", "grid")
+JS_BEGINS = ("(function", "function ", "function(", "var ", "let ", "const ", '"use strict"', "'use strict'", "import ", "export ", "window.", "document.", "self.", "globalthis.")
+JS_MINIFIED = r"^(!function|void function|\(\s*\(\s*\)|\(\s*function\s*\()"
+JS_WORDS = r"\b(function[ (]|var |let |const |import |export |return[ ;]|=>)\b"
+AVIF_BRANDS, HEIC_BRANDS = ("avif", "avis"), ("heic", "heix", "hevc", "hevx", "mif1")
+
+
+def _begins(text: Column, heads: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, heads)), lambda h: F.startswith(text, h))
+
+
 def sniff_text(body: Column) -> Column:
-    """The kind of a text body by its beginning: markup first, then style sheets, then scripts."""
-    head = F.lower(F.ltrim(F.substring(body, 1, 1024)))
+    """The kind of a text body by its first 1024 characters: markup, then style sheets, then scripts; empty where it shows none."""
+    sample = F.substring(body, 1, 1024)
+    told = F.regexp_replace(sample, "^[\\s\\uFEFF\\xEF\\xBB\\xBF]+", "")
+    low = F.lower(told)
+    comment = F.startswith(low, F.lit("<!--")) & F.exists(F.array(*map(F.lit, HTML_WITHIN)), lambda h: F.contains(low, h))
+    rule = told.rlike(r"(?i)^[a-z*#.:\[_][^{]*\{[^}]*[;:]") & told.rlike(r"(?i)\b(" + "|".join(CSS_PROPERTIES) + r")\s*:")
+    noted = _begins(low, ("//", "/*")) & sample.rlike(JS_WORDS)
     return (
-        F.when(head.rlike(r"^<(!doctype html|html|head|body|!--)"), "text/html")
-        .when(head.rlike(r"^<\?xml|^<svg"), "text/xml")
-        .when(head.rlike(r"^[\{\[]"), "application/json")
-        .when(head.rlike(r"^(@charset|@import|@media|[.#]?[a-z][a-z0-9_-]*\s*\{)"), "text/css")
-        .when(head.rlike(r"^(function|var |let |const |\(function|!function|[\"']use strict)"), "application/javascript")
-        .otherwise("text/plain")
+        F.when(_begins(low, HTML_BEGINS) | comment, "text/html")
+        .when(_begins(low, CSS_BEGINS) | rule, "text/css")
+        .when(_begins(low, JS_BEGINS) | told.rlike(JS_MINIFIED) | noted, "application/javascript")
+        .otherwise("")
     )
 
 
 def sniff_magic(body: Column) -> Column:
     """The kind of a binary body by its first bytes, or null."""
     h = F.hex(F.substring(body, 1, 12))
+    boxed = lambda brands: F.substring(h, 9, 16).isin(*[f"ftyp{b}".encode().hex().upper() for b in brands])
     return (
         F.when(h.startswith("FFD8FF"), "image/jpeg").when(h.startswith("89504E47"), "image/png").when(h.startswith("47494638"), "image/gif")
-        .when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57454250"), "image/webp").when(F.substring(h, 9, 16).isin("6674797061766966", "6674797061766973"), "image/avif")
-        .when(h.startswith("774F4632"), "font/woff2").when(h.startswith("774F4646"), "font/woff").when(h.startswith("00010000"), "font/ttf").when(h.startswith("4F54544F"), "font/otf")
+        .when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57454250"), "image/webp").when(boxed(AVIF_BRANDS), "image/avif").when(boxed(HEIC_BRANDS), "image/heic")
+        .when(h.startswith("774F4646"), "font/woff").when(h.startswith("774F4632"), "font/woff2").when(h.startswith("00010000"), "font/ttf").when(h.startswith("4F54544F"), "font/otf")
     )
 
 
+def sniff_body(body: Column) -> Column:
+    """The kind of a body of bytes: by its first bytes, else as text; empty where neither tells."""
+    return F.coalesce(sniff_magic(body), sniff_text(F.decode(F.substring(body, 1, 1024), "ISO-8859-1")), F.lit(""))
+
+
 def sniff_format(head: Column) -> Column:
     """The capture format that the text of a file's beginning shows; the first rule that fits wins."""
     t = F.regexp_replace(head, r"\s", "")
@@ -105,15 +129,33 @@ def sniff_format(head: Column) -> Column:
     )
 
 
+#: Names within page-test archives, of which one in the first 64 KB tells them.
+ARCHIVE_NAMES = ("testinfo.json", "testinfo.ini", "video_1/ms_", "video_1_cached/ms_", "_devtools_requests.json", "_netlog_requests.json", "_page_data.json", "_visual_progress.json", "_timed_events.json", "_script_timing.json", "_trace.json.gz", "_timeline_cpu.json", "_long_tasks.json", "_interactive.json", "lighthouse.json.gz", "_bodies.zip")
+
+
+def _byte(content: Column, at: Column) -> Column:
+    """The byte at a place from 0 on, or null."""
+    return F.conv(F.hex(F.substr(content, at + 1, F.lit(1))), 16, 10).try_cast("int")
+
+
+def is_packet_stream(content: Column) -> Column:
+    """Whether a length-delimited field 1 comes first and the same tag follows where it ends (a length has 4 bytes at most)."""
+    size, end = F.lit(0), F.lit(None).cast("int")
+    for i in range(1, 5):
+        b = _byte(content, F.lit(i))
+        size = F.when(end.isNull(), size + F.shiftleft(b.bitwiseAND(127), 7 * (i - 1))).otherwise(size)
+        end = F.coalesce(end, F.when((b < 128) | F.lit(i == 4), i + 1))
+    return F.coalesce((_byte(content, F.lit(0)) == 10) & (_byte(content, end + size) == 10), F.lit(False))
+
+
 def sniff_capture(content: Column) -> Column:
     """The format of a capture by its first bytes (not gzipped), else by its text."""
     h = F.hex(F.substring(content, 1, 4))
     text = F.decode(F.substring(content, 1, 65536), "ISO-8859-1")
-    agent = text.rlike(r"devtools_requests\.json|progress\.csv|testinfo\.json|timeline_cpu\.json|script_timing\.json|bodies\.zip")
     return (
-        F.when((h == "504B0304") & agent, "wptagent")
+        F.when((h == "504B0304") & F.exists(F.array(*map(F.lit, ARCHIVE_NAMES)), lambda n: F.contains(text, n)), "wptagent")
         .when(h.isin("A1B2C3D4", "D4C3B2A1", "A1B23C4D", "4D3CB2A1", "0A0D0D0A"), "tcpdump")
-        .when(h.startswith("0A"), "perfetto")
+        .when(is_packet_stream(content), "perfetto")
         .otherwise(sniff_format(text))
     )
 
@@ -157,3 +199,86 @@ def rating(value: Column, good: float, poor: float) -> Column:
 
 def humanize_bytes(n: Column) -> Column:
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1048576, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / 1048576))
+
+
+def bare_mime(content_type: Column) -> Column:
+    """The type of a content type, without its parameters."""
+    return F.trim(F.split_part(content_type, F.lit(";"), F.lit(1)))
+
+
+def lookup_host(key: Column) -> Column:
+    """The host of a lookup's key, without scheme and port; a mark that comes first cuts nothing."""
+    return F.regexp_replace(F.regexp_replace(key, "^.+?://", ""), "^([^:]+):.*$", "$1")
+
+
+def base64url(text: Column) -> Column:
+    """The bytes of a base64url text; padding may be missing."""
+    return F.unbase64(F.translate(text, "-_", "+/"))
+
+
+def merge_base64(parts: Column) -> Column:
+    """One base64 text of the bytes of several, each of which was encoded for itself."""
+    return F.base64(F.aggregate(parts, F.lit("").cast("binary"), lambda a, x: F.concat(a, F.unbase64(x))))
+
+
+def view_title(run: Column, cached: Column, url: Column) -> Column:
+    """The title of a view of a page test."""
+    which = F.when(cached.cast("int") != 0, "Repeat View").otherwise("First View")
+    return F.concat(F.lit("Run "), run.cast("string"), F.lit(", "), which, F.lit(" for "), F.coalesce(url, F.lit("")))
+
+
+def view_id(run: Column, cached: Column) -> Column:
+    return F.concat(F.lit("page_"), run.cast("string"), F.lit("_"), cached.cast("int").cast("string"), F.lit("_1"))
+
+
+def export_url(url: Column) -> Column:
+    """Where the results of a page test are exported, from the url of its result page; other urls as they are."""
+    test = F.coalesce(F.nullif(F.regexp_extract(url, r"/result/(\d{6}_[^/]+)", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"/results\.php\?.*test=(\d{6}_[^&]+)", 1), F.lit("")))
+    origin = F.regexp_extract(url, "^(https?://[^/]+)", 1)
+    return F.when(test.isNotNull() & (origin != ""), F.concat(origin, F.lit("/export.php?bodies=1&test="), test)).otherwise(url)
+
+
+def keylog_path(path: Column) -> Column:
+    """Where the key log of a packet capture is looked for."""
+    out = F.regexp_replace(path, r"^(.*?)\.cap\.gz", "$1.key_log.txt.gz")
+    return F.regexp_replace(F.regexp_replace(out, r"^(.*?)\.pcapng", "$1.key_log.txt"), r"^(.*?)\.pcap", "$1.key_log.txt")
+
+
+#: The least HTTP/2 weight, and the greatest urgency (RFC 9218), of each priority.
+WEIGHTS = ((256, "Highest"), (220, "High"), (183, "Medium"), (147, "Low"))
+URGENCIES = ((1, "Highest"), (2, "High"), (3, "Medium"), (5, "Low"))
+
+
+def weight_priority(weight: Column) -> Column:
+    out = F.when(weight.isNull(), F.lit(None).cast("string"))
+    for least, name in WEIGHTS:
+        out = out.when(weight >= least, name)
+    return out.otherwise("Lowest")
+
+
+def urgency_priority(header: Column) -> Column:
+    """The priority that u=N of a priority header names; null without it."""
+    urgency = F.regexp_extract(header, r"u=(\d)", 1).try_cast("int")
+    out = F.when(urgency.isNull(), F.lit(None).cast("string"))
+    for most, name in URGENCIES:
+        out = out.when(urgency <= most, name)
+    return out.otherwise("Lowest")
+
+
+def request_url(url: Column, line: Column, group: Column, secure: Column, headers: Column) -> Column:
+    """url, or one made of what was sent: the path of the request line, and scheme, host and path among ``headers`` (lines), the last of each.
+
+    The scheme is https where the socket group says ssl, or, without a group, where the socket is ``secure``.
+    """
+    fields = F.filter(F.transform(headers, split_header), lambda h: h.isNotNull())
+    told = lambda *names: F.element_at(F.filter(fields, lambda h: F.lower(F.ltrim(h["name"])).isin(*names)), -1)["value"]
+    last = lambda *names: F.when(F.exists(fields, lambda h: F.lower(F.ltrim(h["name"])).isin(*names)), told(*names))
+    by_group = F.when(group.isNotNull(), F.when(F.contains(group, F.lit("ssl/")), "https").otherwise("http"))
+    scheme = F.coalesce(last("scheme"), by_group, F.when(secure.isNotNull(), F.when(secure, "https").otherwise("http")))
+    path = F.coalesce(last("path"), F.nullif(F.regexp_extract(line, r"^\S+\s(\S+)", 1), F.lit("")))
+    return F.coalesce(F.nullif(url, F.lit("")), F.concat(scheme, F.lit("://"), last("host", "authority"), path))
+
+
+def nudged(start: Column, number: Column) -> Column:
+    """A start moved by a part of the request's number, so that equal starts keep the order of the numbers."""
+    return start + (number % 10000) / 1_000_000.0

@@ -52,6 +52,13 @@ def throughput(df: DataFrame, by: list[str], ts_us: str, size: str, trail_us: in
     return framed.groupBy(*by).agg(F.max(F.floor(F.col("b") * 8000 / F.col("us") + 0.5)).cast("long").alias("peak_kbps"))
 
 
+def unwrapped(df: DataFrame, by: str, order: list[str], seq: str, bits: int = 32) -> DataFrame:
+    """df with ``seq``, a counter of so many bits, as a number that goes on beyond a wrap: each is the nearest to the one before."""
+    w, half, whole = Window.partitionBy(by).orderBy(*order), 1 << (bits - 1), 1 << bits
+    step = F.pmod(F.col(seq) - F.lag(seq).over(w) + half, F.lit(whole)) - half
+    return df.withColumn("_step", F.coalesce(step, F.col(seq))).withColumn(seq, F.sum("_step").over(w)).drop("_step")
+
+
 def reassembly(df: DataFrame, flow: str, order: list[str], seq: str, size: str) -> DataFrame:
     """Statistics of a flow's segments: packets, duplicates, out of order, new and repeated bytes.
 

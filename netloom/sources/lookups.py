@@ -69,7 +69,10 @@ def messages(packets: DataFrame) -> DataFrame:
 
 
 def lookups(messages_: DataFrame) -> DataFrame:
-    """capture, client, name, start, end (us), code, addresses, aliases: answers with the last question of their client, id and name before them."""
-    w = Window.partitionBy("capture", "client", "id", "name").orderBy("time_us", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    asked = messages_.withColumn("start", F.last(F.when(~F.col("response"), F.col("time_us")), ignorenulls=True).over(w))
+    """capture, client, name, start, end (us), code, addresses, aliases: answers with the question of their client, id and name.
+
+    An answer uses up its question, and a question asked again counts from its last time.
+    """
+    w = Window.partitionBy("capture", "client", "id", "name").orderBy("time_us", "ord")
+    asked = messages_.withColumn("start", F.lag(F.when(~F.col("response"), F.col("time_us"))).over(w))
     return asked.filter("response and start is not null").select("capture", "client", "name", "start", F.col("time_us").alias("end"), "code", "addresses", "aliases")

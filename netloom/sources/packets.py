@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import ipaddress
 import struct
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.operators.sequences import generations, reassembly
+from netloom.operators.sequences import generations, reassembly, unwrapped
 
 PACKETS = "capture string, ord long, time_us long, src_ip string, src_port int, dst_ip string, dst_port int, proto string, seq long, ack long, flags int, payload binary"
 FIN, SYN, RST = 1, 2, 4
+#: Packets that are handed on at a time.
+BATCH = 20_000
 _MAGIC = {b"\xa1\xb2\xc3\xd4": (">", 1), b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\x3c\x4d": (">", 1000), b"\x4d\x3c\xb2\xa1": ("<", 1000)}
 
 
@@ -42,6 +45,11 @@ def records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
             at += size
 
 
+def inflated(data: bytes) -> bytes:
+    """A capture without gzip; of one that is cut short, what could be read."""
+    return zlib.decompressobj(47).decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def decode(link: int, frame: bytes) -> tuple | None:
     """Addresses, ports, transport fields and payload of an IP packet over Ethernet (one VLAN tag) or Linux cooked frames."""
     at = {1: 12, 113: 14}.get(link)
@@ -72,13 +80,23 @@ def decode(link: int, frame: bytes) -> tuple | None:
 
 
 def packets(spark: SparkSession, path: str) -> DataFrame:
-    """The TCP and UDP packets of capture files, in the order of each file."""
+    """The TCP and UDP packets of capture files, gzipped or not, in the order of each file.
+
+    A file is read by one task, which hands packets on in batches; files of 2 GB or more are beyond what a row can hold.
+    """
+    names = [c.split()[0] for c in PACKETS.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for capture, data in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [(capture, i, t, *d) for i, (t, link, frame) in enumerate(records(bytes(data))) if (d := decode(link, frame))]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PACKETS.split(", ")])
+                rows = []
+                for i, (t, link, frame) in enumerate(records(inflated(bytes(data)))):
+                    if d := decode(link, frame):
+                        rows.append((capture, i, t, *d))
+                    if len(rows) == BATCH:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                yield pd.DataFrame(rows, columns=names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, PACKETS)
 
@@ -98,4 +116,5 @@ def flow_stats(flows_: DataFrame) -> DataFrame:
     """Reassembly statistics of each direction of each TCP connection."""
     data = flows_.filter("proto = 'tcp' and length(payload) > 0").withColumn("size", F.length("payload").cast("long"))
     key = F.concat_ws(" ", "flow", F.col("generation").cast("string"), F.col("forward").cast("string"))
-    return reassembly(data.withColumn("key", key), "key", ["time_us", "ord"], "seq", "size")
+    whole = unwrapped(data.withColumn("key", key), "key", ["time_us", "ord"], "seq")
+    return reassembly(whole, "key", ["time_us", "ord"], "seq", "size")

@@ -53,6 +53,6 @@ def test_clock_without_absolute_time_starts_at_the_packet(spark):
 
 
 def test_private_hosts_at_the_edges(spark):
-    told = {"172.15.255.255": False, "172.16.0.0": True, "172.32.0.0": False, "100.63.1.1": False, "100.64.0.1": True, "223.255.255.255": False, "224.0.0.1": True, "300.1.1.1": True, "[fe7f::1]": False, "[FEBF::1]": True, "[]": True, "[64:ff9b::1]": True, "example.localhost": True, "localhost.example": False}
+    told = {"172.15.255.255": False, "172.16.0.0": True, "172.32.0.0": False, "100.63.1.1": False, "100.64.0.1": True, "223.255.255.255": False, "224.0.0.1": True, "300.1.1.1": True, "[fe7f::1]": False, "[FEBF::1]": True, "[]": True, "[64:ff9b::1]": True, "[::]": True, "[::1]": True, "[::2]": False, "[FD12:3456::1]": True, "[fe00::1]": False, "[100::]": True, "[0100:0:0:0:1::1]": True, "[100:0:0:1::1]": False, "[::ffff:10.1.2.3]": True, "[::ffff:8.8.8.8]": False, "[2001:db8:0:0:1:2:3:4]": False, "[1:2]": True, "[1::2::3]": True, "[2001:4860::8888]": False, "example.localhost": True, "localhost.example": False}
     df = spark.createDataFrame([(h,) for h in told] + [(None,)], "h string")
     assert {r["h"]: r["p"] for r in df.select("h", N.is_private_host(F.col("h")).alias("p")).collect()} == told | {None: True}
