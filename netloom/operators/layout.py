@@ -61,16 +61,10 @@ def sequential_phases(start: Column, blocked: Column, dns: Column, connect: Colu
 
 
 def axis_interval(max_ms: Column, ticks: int) -> Column:
-    """1, 2 or 5 times a power of ten, such that the number of ticks is nearest to the wanted one; the larger of equals."""
-    magnitude = F.pow(F.lit(10.0), F.floor(F.log10(max_ms / ticks)))
-    best = F.lit(None).cast("double")
-    least = F.lit(float(ticks))
-    for factor in (1.0, 2.0, 5.0, 10.0):
-        step = magnitude * factor
-        miss = F.abs(F.lit(float(ticks)) - max_ms / step)
-        best = F.when(miss <= least, step).otherwise(best)
-        least = F.least(miss, least)
-    return best
+    """1, 2, 5 or 10 times the power of ten below a tick's share, whichever gives the number of ticks nearest to the wanted one; the larger of equals."""
+    power = F.pow(F.lit(10.0), F.floor(F.log10(max_ms / ticks)))
+    ranked = F.transform(F.array(*map(F.lit, (1.0, 2.0, 5.0, 10.0))), lambda f: F.struct(F.abs(ticks - max_ms / (f * power)).alias("miss"), (-f * power).alias("step")))
+    return -F.array_min(ranked)["step"]
 
 
 def download_spans(ts: Column, size: Column, kbps: int, not_before: Column) -> tuple[Column, Column]:
@@ -78,8 +72,21 @@ def download_spans(ts: Column, size: Column, kbps: int, not_before: Column) -> t
     return F.greatest(not_before, ts - F.floor(size * 8 / kbps).cast("long")), ts
 
 
-def page_events(render: Column, dom_start: Column, dom_end: Column, on_dom: Column, load_start: Column, load_end: Column, on_load: Column) -> dict[str, Column]:
-    """Times (ms) to mark on a page: render, load, and begin and end of nav_dom and nav_load; null where not measured.
+def queue_end(blocked_end: Column, dns_start: Column, connect_start: Column, ttfb_start: Column) -> Column:
+    """When a request left the queue: no later than its first phase began; phases that are missing do not count."""
+    return F.least(blocked_end, dns_start, connect_start, ttfb_start)
+
+
+def time_clip(df: DataFrame, begin: str, end: str, origin_ms: Column, first_s: float | None = None, last_s: float | None = None) -> DataFrame:
+    """Rows that lie in a clip of seconds from an origin, at least in part, with base_ms and span_ms; without a last second all that follow."""
+    base = origin_ms + (first_s or 0.0) * 1000
+    span = F.lit(max(0.0, (last_s - (first_s or 0.0)) * 1000) if last_s and last_s > 0 else None).cast("double")
+    told = df.withColumn("base_ms", base.cast("double")).withColumn("span_ms", span)
+    return told.filter((F.col(end) >= F.col("base_ms")) & (F.col("span_ms").isNull() | (F.col(begin) <= F.col("base_ms") + F.col("span_ms"))))
+
+
+def page_events(render: Column, dom_start: Column, dom_end: Column, on_dom: Column, load_start: Column, load_end: Column, on_load: Column, fcp: Column | None = None, lcp: Column | None = None, dom_interactive: Column | None = None) -> dict[str, Column]:
+    """Times (ms) to mark on a page: render, load, begin and end of nav_dom and nav_load, and fcp, lcp and nav_dom_interactive where given; null where not measured.
 
     A time that is not above 0 was not measured. nav_dom falls back to one point: on_dom, else its end. nav_load falls
     back to its end.
@@ -94,4 +101,5 @@ def page_events(render: Column, dom_start: Column, dom_end: Column, on_dom: Colu
         "nav_load_start": F.when(load_end > 0, F.coalesce(told(load_start), load_end)),
         "nav_load_end": told(load_end),
         "load": told(on_load),
+        **{n: told(c) for n, c in (("fcp", fcp), ("lcp", lcp), ("nav_dom_interactive", dom_interactive)) if c is not None},
     }

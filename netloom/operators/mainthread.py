@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pair_begin_end(df: DataFrame, by: str, order: list[str], is_begin: Column, ts: str, name: str) -> DataFrame:
+def pair_begin_end(df: DataFrame, by: str, order: list[str], is_begin: Column, ts: str, name: str, same_name: bool = False) -> DataFrame:
     """by, depth, start, end, name: spans of nested begin and end events, without replaying a stack.
 
     With S the running sum of +1 and -1 and M the running minimum of 0 and S, an end that lowers M closes nothing. Each
     other event has a depth, at which begins and ends alternate; an end closes the begin before it at its depth.
+    ``same_name``: an end of another name takes the begin away, but makes no span.
     """
     w = Window.partitionBy(by).orderBy(*order)
     stepped = df.withColumn("_b", is_begin).withColumn("_s", F.sum(F.when(is_begin, 1).otherwise(-1)).over(w))
@@ -19,7 +20,8 @@ def pair_begin_end(df: DataFrame, by: str, order: list[str], is_begin: Column, t
     deep = low.withColumn("depth", (F.col("_s") - F.col("_m") + F.when(F.col("_b"), 0).otherwise(1)).cast("long"))
     at = Window.partitionBy(by, "depth").orderBy(*order)
     paired = deep.withColumn("_p", F.lag(F.struct(F.col("_b").alias("b"), F.col(ts).alias("t"), F.col(name).alias("n"))).over(at))
-    return paired.filter(~F.col("_b") & F.col("_p.b")).select(by, "depth", F.col("_p.t").alias("start"), F.col(ts).alias("end"), F.col("_p.n").alias("name"))
+    meets = (F.col("_p.n") == F.col(name)) if same_name else F.lit(True)
+    return paired.filter(~F.col("_b") & F.col("_p.b") & meets).select(by, "depth", F.col("_p.t").alias("start"), F.col(ts).alias("end"), F.col("_p.n").alias("name"))
 
 
 def slice_width(span_us: Column) -> Column:
@@ -51,3 +53,54 @@ def busiest(df: DataFrame, keys: list[str], thread: str, usecs: str) -> DataFram
 def with_idle(df: DataFrame, by: str, usecs: str, window_us: int) -> DataFrame:
     """by, busy, idle: time in a window of fixed length; idle time is never negative."""
     return df.groupBy(by).agg(F.sum(usecs).cast("long").alias("busy")).withColumn("idle", F.greatest(F.lit(0), F.lit(window_us) - F.col("busy")))
+
+
+#: Events of the categories of main-thread work; all others are "other".
+CATEGORIES = {
+    "ParseHTML": ("ParseHTML", "ResourceReceivedData", "ResourceSendRequest", "ResourceReceivedResponse", "ResourceReceiveResponse", "ResourceFinish", "CommitLoad"),
+    "Layout": ("Layout", "RecalculateStyles", "ParseAuthorStyleSheet", "ScheduleStyleRecalculation", "InvalidateLayout", "UpdateLayoutTree"),
+    "Paint": ("Paint", "PaintImage", "PaintSetup", "CompositeLayers", "DecodeImage", "Decode Image", "ImageDecodeTask", "Rasterize", "GPUTask", "SetLayerTreeId", "layerId", "UpdateLayer", "UpdateLayerTree", "Draw LazyPixelRef", "Decode LazyPixelRef", "PrePaint", "Layerize"),
+    "EvaluateScript": ("EvaluateScript", "EventDispatch", "FunctionCall", "GCEvent", "TimerInstall", "TimerFire", "TimerRemove", "XHRLoad", "XHRReadyStateChange", "v8.compile", "MinorGC", "MajorGC", "FireAnimationFrame", "ThreadState::completeSweep", "Heap::collectGarbage", "ThreadState::performIdleLazySweep"),
+}
+
+
+def category(event: Column, names: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The category of an event's name."""
+    out = None
+    for c, events in (names or CATEGORIES).items():
+        out = F.when(event.isin(*events), c) if out is None else out.when(event.isin(*events), c)
+    return out.otherwise("other")
+
+
+def folded_slices(df: DataFrame, keys: list[str], group: str, slice_: str, usecs: str) -> DataFrame:
+    """keys, group, values: for each category an array of the time in each slice, as long as the longest of its thread; what is not positive does not count.
+
+    A category whose events all have no time is an array of zeros.
+    """
+    sums = df.groupBy(*keys, group, slice_).agg(F.sum(F.greatest(F.col(usecs), F.lit(0))).alias("_v"))
+    known = sums.groupBy(*keys, group).agg(F.map_from_entries(F.collect_list(F.struct(slice_, "_v"))).alias("_m"), F.max(slice_).alias("_last"))
+    size = F.max("_last").over(Window.partitionBy(*keys))
+    told = known.withColumn("_size", size)
+    return told.select(*keys, group, F.transform(F.sequence(F.lit(0), F.col("_size").cast("int")), lambda i: F.coalesce(F.try_element_at("_m", i.cast(dict(df.dtypes)[slice_])), F.lit(0))).alias("values"))
+
+
+def with_parents(spans: DataFrame, by: str, depth: str, start: str, name: str) -> DataFrame:
+    """spans with ``parent``: the name of the span of the depth above that began last before each; null at the top."""
+    own = spans.withColumn("_k", F.col(depth)).withColumn("_up", F.lit(1))
+    above = spans.select(by, (F.col(depth) + 1).alias("_k"), F.col(start), F.col(name).alias("_name"), F.lit(0).alias("_up"))
+    w = Window.partitionBy(by, "_k").orderBy(start, "_up")
+    both = own.unionByName(above, allowMissingColumns=True)
+    return both.withColumn("parent", F.last("_name", ignorenulls=True).over(w)).filter("_up = 1").drop("_k", "_up", "_name")
+
+
+def exclusive_slices(spans: DataFrame, by: str, start: str, end: str, name: str, width_us: int) -> DataFrame:
+    """by, name, slice, usecs: time in each slice that is an event's own: what its children take is theirs, up to the whole slice.
+
+    spans: nested, with ``parent``. A child of its parent's name adds nothing.
+    """
+    own = spans.filter(~F.col(name).eqNullSafe(F.col("parent")))
+    cut = slice_histogram(own, [by, name, "parent"], start, end, width_us)
+    gains = cut.select(by, name, "slice", "usecs")
+    losses = cut.filter("parent is not null").select(by, F.col("parent").alias(name), "slice", (-F.col("usecs")).alias("usecs"))
+    sums = gains.unionByName(losses).groupBy(by, name, "slice").agg(F.sum("usecs").alias("usecs"))
+    return sums.withColumn("usecs", F.least(F.greatest(F.col("usecs"), F.lit(0)), F.lit(width_us)).cast("long"))

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder that the session names; a local session without one gets a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def first_claim(df: DataFrame, resource: list[str], order: list[str], out: str = "is_owner") -> DataFrame:
     """Mark the first row of each resource; a null resource is owned by nobody."""
     first = F.row_number().over(Window.partitionBy(*resource).orderBy(*order)) == 1
@@ -63,13 +76,14 @@ def union_unmatched(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
 def ancestry(edges: DataFrame, child: str, parent: str, hops: int = 16) -> DataFrame:
     """child, root, depth: the chain of parents of each child, doubling the reach of a hop in every round.
 
-    A chain longer than ``hops``, or a cycle, ends where the rounds end.
+    A chain longer than ``hops``, or a cycle, ends where the rounds end. Each round is written, so that a plan holds
+    one join only.
     """
     up = edges.select(F.col(child).alias("c"), F.col(parent).alias("p"), F.lit(1).alias("d"))
     reach = 1
     while reach < hops:
         above = up.select(F.col("c").alias("c2"), F.col("p").alias("p2"), F.col("d").alias("d2"))
-        up = up.join(above, up["p"] == above["c2"], "left").select("c", F.coalesce("p2", "p").alias("p"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"))
+        up = written(up.join(above, up["p"] == above["c2"], "left").select("c", F.coalesce("p2", "p").alias("p"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")))
         reach *= 2
     return up.select(F.col("c").alias("child"), F.col("p").alias("root"), F.col("d").cast("int").alias("depth"))
 

@@ -112,9 +112,9 @@ SELECT child, arg_max(root, depth) AS root, CAST(max(depth) AS INTEGER) AS depth
 
 
 def url_set_compare(spark, d):
-    a = table(spark, d, "pages").filter("page_id % 3 <> 0").select(F.split_part("url", F.lit("#"), F.lit(1)).alias("url"))
-    b = table(spark, d, "pages").filter("page_id % 2 = 0").select(F.split_part("url", F.lit("#"), F.lit(1)).alias("url"))
-    return ownership.set_compare(a, b, "url")
+    """The urls of all pages without their fragment against those in lower case without a last slash."""
+    p, url = table(spark, d, "pages"), F.split_part("url", F.lit("#"), F.lit(1))
+    return ownership.set_compare(p.select(url.alias("url")), p.select(F.rtrim(F.lower(url), F.lit("/")).alias("url")), "url")
 
 
 def url_set_compare_all(spark, d):
@@ -142,8 +142,8 @@ SQL = {
     "unlinked": "SELECT c_custkey AS conn, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "initiator_chain": _CHAIN,
     "url_set_compare": """
-        WITH a AS (SELECT DISTINCT split_part(url, '#', 1) AS url FROM pages WHERE page_id % 3 <> 0), b AS (SELECT DISTINCT split_part(url, '#', 1) AS url FROM pages WHERE page_id % 2 = 0),
-        n AS (SELECT (SELECT count(*) FROM a WHERE url NOT IN (FROM b)) AS left_only, (SELECT count(*) FROM b WHERE url NOT IN (FROM a)) AS right_only, (SELECT count(*) FROM a WHERE url IN (FROM b)) AS in_both)
+        WITH a AS (SELECT DISTINCT split_part(url, '#', 1) AS url FROM pages), b AS (SELECT DISTINCT rtrim(lower(split_part(url, '#', 1)), '/') AS url FROM pages),
+        n AS (SELECT count(*) FILTER (b.url IS NULL) AS left_only, count(*) FILTER (a.url IS NULL) AS right_only, count(*) FILTER (a.url = b.url) AS in_both FROM a FULL JOIN b ON a.url = b.url)
         SELECT *, CAST(floor(in_both * 1000 / greatest(left_only + in_both, 1) + 0.5) AS BIGINT) AS overlap_pct FROM n""",
     "url_set_compare_all": """
         WITH a AS (SELECT DISTINCT split_part(url, '#', 1) AS url FROM pages), b AS (SELECT DISTINCT split_part(split_part(url, '#', 1), '?', 1) AS url FROM pages),
