@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.text import leading_int
+from netloom.sources import json_captures
 
 _MEMBERS = "capture string, member string, inner string, content binary"
 #: Names of members that belong to a view, and the columns of progress.csv.
@@ -120,3 +121,21 @@ def bodies(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """entries (capture, run, cached, body_file and more) with ``body``, the member of the view's bodies that they name."""
     held = rows.filter((F.col("kind") == "bodies.zip") & F.col("inner").isNotNull()).groupBy("capture", "run", "cached", F.col("inner").alias("body_file")).agg(F.first("content").alias("body"))
     return entries.join(held, ["capture", "run", "cached", "body_file"], "left")
+
+
+def _flat_views(rows: DataFrame) -> DataFrame:
+    """capture, first, run, cached, view of devtools_requests.json; a view's own fields are those of its page, with its requests beside them."""
+    doc = _texts(rows, "devtools_requests.json").withColumn("doc", F.try_parse_json("text")).filter("doc is not null")
+    page, found = F.try_variant_get("doc", "$.pageData", "map<string,variant>"), F.try_variant_get("doc", "$.requests", "variant")
+    both = F.map_concat(F.map_filter(F.coalesce(page, F.create_map().cast("map<string,variant>")), lambda k, _: k != "requests"), F.create_map(F.lit("requests"), found))
+    return doc.select("capture", F.lit(0).alias("first"), "run", "cached", F.to_variant_object(both).alias("view"))
+
+
+def pages(rows: DataFrame) -> DataFrame:
+    """The views of archives as pages."""
+    return json_captures.view_pages(_flat_views(rows))
+
+
+def requests(rows: DataFrame) -> DataFrame:
+    """The requests of the views of archives."""
+    return json_captures.view_requests(_flat_views(rows))

@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.functions.text import split_header, view_id, view_title
+from netloom.operators.pages import as_extensions, without
+
 #: Page timings that are lifted to the page under another name.
 RENAMED = {"_firstPaint": "_render", "_largestContentfulPaint": "_LargestContentfulPaint", "_domInteractiveTime": "_domInteractive", "_userTimings": "_user_timing"}
 
@@ -189,14 +192,73 @@ def har_requests(docs: DataFrame) -> DataFrame:
     )
 
 
-def wpt_requests(docs: DataFrame) -> DataFrame:
-    """Requests of all runs and views of a result file, or of its median where it has no runs."""
+def _views(docs: DataFrame) -> DataFrame:
+    """capture, first, run, cached, view of all runs of result files, or of their median where they have no runs."""
     runs = docs.select("capture", "first", F.explode_outer(_get("$.data.runs", "map<string,variant>", "doc")).alias("run", "views"), _get("$.data.median", "variant", "doc").alias("median"))
     told = runs.select("capture", "first", F.coalesce("run", F.lit("median")).alias("run"), F.coalesce("views", "median").alias("views"))
-    views = told.select("capture", "first", "run", F.explode(F.create_map(F.lit(0), _get("$.firstView", "variant", "views"), F.lit(1), _get("$.repeatView", "variant", "views"))).alias("cached", "view")).filter("view is not null")
+    return told.select("capture", "first", "run", F.explode(F.create_map(F.lit(0), _get("$.firstView", "variant", "views"), F.lit(1), _get("$.repeatView", "variant", "views"))).alias("cached", "view")).filter("view is not null")
+
+
+def view_pages(views: DataFrame) -> DataFrame:
+    """capture, run, cached, page_id, title, started_ms, on_load, start_render, ext of views (capture, run, cached, view); ext has its other fields, without bulk."""
+    get = lambda n, k: _get(f"$.{n}", k, "view")
+    fields = F.map_filter(without(F.col("view").try_cast("map<string,variant>")), lambda k, v: (k != "requests") & v.isNotNull())
+    return views.select(
+        "capture",
+        "run",
+        "cached",
+        view_id(F.col("run"), F.col("cached")).alias("page_id"),
+        view_title(F.col("run"), F.col("cached"), get("URL", "string")).alias("title"),
+        (get("date", "double") * 1000).cast("long").alias("started_ms"),
+        F.coalesce(get("docTime", "double"), F.lit(-1.0)).alias("on_load"),
+        F.coalesce(get("render", "double"), F.lit(-1.0)).alias("start_render"),
+        as_extensions(fields).alias("ext"),
+    )
+
+
+def view_requests(views: DataFrame) -> DataFrame:
+    """Requests of views (capture, first, run, cached, view) with their phases: -1 where not measured.
+
+    A request was blocked from its creation to the first phase that follows it; connect includes the handshake; time is what the result says
+    in all, else the sum of its phases; it began when it was created, else when it was loaded.
+    """
     r = _explode(views, "try_variant_get(s.view, '$.requests', 'variant')")
-    ms = {n: F.coalesce(_get(f"$.{n}", "double"), F.lit(-1.0)) for n in ("load_start", "dns_ms", "connect_ms", "ssl_ms", "ttfb_ms", "download_ms", "all_ms")}
-    return r.select("capture", "run", "cached", F.col("pos").alias("req"), _get("$.full_url", "string").alias("url"), F.coalesce(_get("$.method", "string"), F.lit("GET")).alias("method"), F.regexp_extract(F.coalesce(_get("$.responseCode", "string"), F.lit("")), r"^\s*(\d+)", 1).try_cast("int").alias("status"), *[c.alias(n) for n, c in ms.items()])
+    num = lambda n: _get(f"$.{n}", "double")
+    ms = {n: F.coalesce(num(n), F.lit(-1.0)) for n in ("load_start", "dns_ms", "connect_ms", "ssl_ms", "ttfb_ms", "download_ms", "all_ms")}
+    created = num("created")
+    waits = [F.when(num(n) >= created, num(n) - created) for n in ("dns_start", "connect_start", "ssl_start", "ttfb_start")]
+    blocked = F.coalesce(F.when(created >= 0, F.coalesce(*waits)), F.lit(-1.0))
+    connect = F.coalesce(num("connect_ms") + F.greatest(F.lit(0.0), ms["ssl_ms"]), F.lit(-1.0))
+    pos = lambda c: F.greatest(F.lit(0.0), c)
+    whole = pos(blocked) + pos(ms["dns_ms"]) + pos(connect) + pos(ms["ttfb_ms"]) + pos(ms["download_ms"])
+    began = F.coalesce(F.when(created >= 0, created), num("load_start"), F.lit(0.0))
+    return r.select(
+        "capture",
+        "run",
+        "cached",
+        F.col("pos").alias("req"),
+        view_id(F.col("run"), F.col("cached")).alias("page"),
+        _get("$.full_url", "string").alias("url"),
+        F.coalesce(_get("$.method", "string"), F.lit("GET")).alias("method"),
+        F.regexp_extract(F.coalesce(_get("$.responseCode", "string"), F.lit("")), r"^\s*(\d+)", 1).try_cast("int").alias("status"),
+        *[c.alias(n) for n, c in ms.items()],
+        blocked.alias("blocked"),
+        connect.alias("connect"),
+        F.coalesce(num("all_ms"), whole).alias("time"),
+        (_get("$.date", "double", "view") * 1000 + began).alias("started_ms"),
+        *[F.filter(F.transform(_get(f"$.headers.{s}", "array<string>"), split_header), lambda h: h.isNotNull()).alias(f"{s}_headers") for s in ("request", "response")],
+        _get("$.body_file", "string").alias("body_file"),
+    )
+
+
+def wpt_pages(docs: DataFrame) -> DataFrame:
+    """The views of result files as pages."""
+    return view_pages(_views(docs).filter("first = 0"))
+
+
+def wpt_requests(docs: DataFrame) -> DataFrame:
+    """Requests of all runs and views of a result file, or of its median where it has no runs."""
+    return view_requests(_views(docs))
 
 
 def protocol_events(docs: DataFrame) -> DataFrame:

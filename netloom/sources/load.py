@@ -37,7 +37,7 @@ def formats(spark: SparkSession, path: str) -> DataFrame:
 
 def _netlog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     events = lines.named_events(*lines.netlog_lines(spark, path))
-    return {"events": events, "requests": lines.netlog_requests(events)}
+    return {"events": events, "requests": lines.netlog_stitched(events), "sockets": lines.netlog_sockets(events), "lookups": lines.netlog_lookups(events)}
 
 
 def _protocol(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -50,6 +50,11 @@ def _har(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"pages": json_captures.har_pages(docs), "requests": json_captures.har_requests(docs)}
 
 
+def _results(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    docs = json_captures.documents(spark, path)
+    return {"pages": json_captures.wpt_pages(docs), "requests": json_captures.wpt_requests(docs)}
+
+
 def _trace(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     events = json_captures.trace_events(json_captures.documents(spark, path))
     return {"events": events, "spans": json_captures.trace_spans(events)}
@@ -63,12 +68,12 @@ def _packets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def _archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     rows = archives.members(spark, path)
-    return {"members": rows, "connectivity": archives.connectivity(rows), "progress": archives.progress(rows), "cpu_slices": archives.cpu_slices(rows)}
+    return {"members": rows, "pages": archives.pages(rows), "requests": archives.requests(rows), "connectivity": archives.connectivity(rows), "progress": archives.progress(rows), "cpu_slices": archives.cpu_slices(rows)}
 
 
 READERS = {
     "har": _har,
-    "wpt": lambda spark, path: {"requests": json_captures.wpt_requests(json_captures.documents(spark, path))},
+    "wpt": _results,
     "cdp": _protocol,
     "chrome-trace": _trace,
     "netlog": _netlog,

@@ -1,11 +1,15 @@
+import gzip
 import json
 import struct
+import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from netloom.functions import text as X
 from netloom.sources import json_captures as J
-from netloom.sources import lines, packets
+from netloom.sources import archives, lines, lookups, packets
+from netloom.sources.load import load
 
 PAGE = {
     "id": "p1", "title": "t", "startedDateTime": "2024-01-01T00:00:00.000Z", "_loadEventEnd": 1,
@@ -122,9 +126,101 @@ def test_packets(spark, tmp_path):
     assert [r["generation"] for r in p.orderBy("ord").collect()] == [0, 0, 0, 0, 0, 1]
     s = packets.flow_stats(p).collect()
     assert [(r["packets"], r["duplicates"], r["holes"], r["new_bytes"], r["repeated_bytes"]) for r in s] == [(3, 1, 1, 6, 4)]
+    (tmp_path / "b.cap.gz").write_bytes(gzip.compress(data))
+    assert packets.packets(spark, str(tmp_path / "b.cap.gz")).drop("capture").collect() == packets.packets(spark, str(tmp_path / "a.cap")).drop("capture").collect()
+
+
+def test_sequence_numbers_that_wrap(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packets, "BATCH", 2)
+    top = 1 << 32
+    frames = [frame(5000, 80, seq % top, 24, b"abcd") for seq in (top - 6, top - 2, top + 2, top - 2, top + 6)]
+    data = struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"".join(struct.pack("<IIII", i, 5, len(f), len(f)) + f for i, f in enumerate(frames))
+    (tmp_path / "w.cap").write_bytes(data)
+    s = packets.flow_stats(packets.flows(packets.packets(spark, str(tmp_path / "w.cap")))).collect()
+    assert [(r["packets"], r["duplicates"], r["holes"], r["new_bytes"], r["repeated_bytes"]) for r in s] == [(5, 1, 0, 16, 4)]
+
+
+def test_an_answer_uses_up_its_question(spark):
+    rows = [("c", i, i * 10, "a 1", 7, answer, 0, "h", ["1.1.1.1"], []) for i, answer in enumerate([False, False, True, True, False, True])]
+    got = lookups.lookups(spark.createDataFrame(rows, lookups.MESSAGES)).orderBy("end").collect()
+    assert [(r["start"], r["end"]) for r in got] == [(10, 20), (40, 50)]
+
+
+def test_views_of_results_and_archives(spark, tmp_path):
+    page = {"date": 100, "URL": "https://a/", "docTime": 50, "bodies": "large", "SpeedIndex": 7}
+    asked = [
+        {"full_url": "https://a/", "responseCode": 200, "created": 5, "dns_start": 3, "connect_start": 9, "dns_ms": 2, "connect_ms": 4, "ssl_ms": 3, "ttfb_ms": 10, "download_ms": 1, "headers": {"request": ["Host: a", ":bad"]}, "body_file": "001-body.txt"},
+        {"full_url": "https://a/b", "load_start": 20, "all_ms": 77},
+    ]
+    docs = J.documents(spark, write(tmp_path, "w.json", {"data": {"runs": {"3": {"repeatView": {**page, "requests": asked}}}}}))
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("3_Cached_devtools_requests.json.gz", gzip.compress(json.dumps({"pageData": page, "requests": asked}).encode()))
+    rows = archives.members(spark, str(tmp_path / "a.zip"))
+    for pages_, requests_ in ((J.wpt_pages(docs), J.wpt_requests(docs)), (archives.pages(rows), archives.requests(rows))):
+        p = pages_.withColumn("ext", F.to_json("ext")).first()
+        assert (p["page_id"], p["title"], p["started_ms"], p["on_load"], p["start_render"]) == ("page_3_1_1", "Run 3, Repeat View for https://a/", 100_000, 50.0, -1.0)
+        assert json.loads(p["ext"]) == {"_date": 100, "_URL": "https://a/", "_docTime": 50, "_SpeedIndex": 7}
+        one, two = requests_.orderBy("req").collect()
+        assert (one["page"], one["blocked"], one["connect"], one["time"], one["started_ms"], one["status"]) == ("page_3_1_1", 4.0, 7.0, 24.0, 100_005.0, 200)
+        assert [tuple(h) for h in one["request_headers"]] == [("Host", "a")] and one["body_file"] == "001-body.txt"
+        assert (two["blocked"], two["connect"], two["time"], two["started_ms"], two["request_headers"]) == (-1.0, -1.0, 77.0, 100_020.0, None)
+
+
+def test_netlog_is_stitched(spark, tmp_path):
+    """A request over a job and a socket, one over a session that its stream's path tells, and a host that nobody reached."""
+    names = ["HTTP_TRANSACTION_SEND_REQUEST", "URL_REQUEST_START_JOB", "SOCKET_POOL_BOUND_TO_SOCKET", "HTTP_STREAM_JOB_BOUND_TO_REQUEST", "TCP_CONNECT_ATTEMPT", "SSL_CONNECT", "HTTP2_SESSION_INITIALIZED", "HTTP2_SESSION_SEND_HEADERS", "HTTP2_SESSION_RECV_HEADERS", "HTTP2_SESSION_RECV_DATA", "HOST_RESOLVER_DNS_TASK", "HOST_RESOLVER_DNS_TASK_EXTRACTION_RESULTS", "TCP_CLIENT_SOCKET_POOL_REQUESTED_SOCKET", "DISK_CACHE_ENTRY_IMPL", "HTTP_TRANSACTION_HTTP2_SEND_REQUEST_HEADERS"]
+    sources = ["URL_REQUEST", "SOCKET", "HTTP_STREAM_JOB", "HTTP2_SESSION", "HOST_RESOLVER_IMPL_JOB", "DISK_CACHE_ENTRY"]
+    constants = {"logEventTypes": {n: i for i, n in enumerate(names)}, "logSourceType": {n: i for i, n in enumerate(sources)}, "logEventPhase": {"PHASE_BEGIN": 1, "PHASE_END": 2, "PHASE_NONE": 0}}
+    told = []
+
+    def event(t, source, number, kind, phase=0, **params):
+        told.append(json.dumps({"time": str(t), "type": names.index(kind), "phase": phase, "source": {"id": number, "type": sources.index(source)}, "params": params}) + ",")
+
+    at = lambda number: {"source_dependency": {"id": number}}
+    event(100, "HOST_RESOLVER_IMPL_JOB", 30, "HOST_RESOLVER_DNS_TASK", 1, host="https://a.example:443")
+    event(101, "URL_REQUEST", 1, "URL_REQUEST_START_JOB", url="https://a.example/x", method="GET")
+    event(104, "HOST_RESOLVER_IMPL_JOB", 30, "HOST_RESOLVER_DNS_TASK_EXTRACTION_RESULTS", results=[{"domain_name": "a.example", "query_type": "A", "endpoints": [{"address": "2.2.2.2"}, {"address": "1.1.1.1"}, {"address": "2.2.2.2"}]}, {"alias_target": "b.example"}])
+    event(105, "HOST_RESOLVER_IMPL_JOB", 30, "HOST_RESOLVER_DNS_TASK", 2)
+    event(106, "SOCKET", 20, "TCP_CONNECT_ATTEMPT", 1, address="2.2.2.2:443")
+    event(110, "SOCKET", 20, "TCP_CONNECT_ATTEMPT", 2)
+    event(111, "SOCKET", 20, "SSL_CONNECT", 1)
+    event(115, "SOCKET", 20, "SSL_CONNECT", 2, version="TLS 1.3", next_proto="h2")
+    event(116, "HTTP_STREAM_JOB", 10, "SOCKET_POOL_BOUND_TO_SOCKET", **at(20))
+    event(117, "HTTP_STREAM_JOB", 10, "HTTP_STREAM_JOB_BOUND_TO_REQUEST", **at(1))
+    event(118, "URL_REQUEST", 1, "HTTP_TRANSACTION_SEND_REQUEST")
+    event(119, "HTTP2_SESSION", 40, "HTTP2_SESSION_INITIALIZED", **at(20), host="a.example:443")
+    event(120, "URL_REQUEST", 2, "URL_REQUEST_START_JOB", url="https://a.example/y", method="GET")
+    event(121, "URL_REQUEST", 2, "HTTP_TRANSACTION_HTTP2_SEND_REQUEST_HEADERS", headers=[":method: GET", ":path: /y"], stream_id=3)
+    event(121, "HTTP2_SESSION", 40, "HTTP2_SESSION_SEND_HEADERS", headers=[":path: /y"], stream_id=3, weight=220)
+    event(125, "HTTP2_SESSION", 40, "HTTP2_SESSION_RECV_HEADERS", stream_id=3)
+    event(128, "HTTP2_SESSION", 40, "HTTP2_SESSION_RECV_DATA", stream_id=3, size=900)
+    event(130, "HTTP_STREAM_JOB", 11, "TCP_CLIENT_SOCKET_POOL_REQUESTED_SOCKET", group_id="ssl/lost.example:443")
+    event(131, "DISK_CACHE_ENTRY", 50, "DISK_CACHE_ENTRY_IMPL", key="1/0/_dk_https://lost.example/z")
+    path = write(tmp_path, "n.json", "\n".join(['{"constants":' + json.dumps(constants) + "},", '"events": [', *told]))
+    got = {r["url"]: r for r in load(spark, path, "netlog")["requests"].collect()}
+    one, two, lost = got["https://a.example/x"], got["https://a.example/y"], got["https://lost.example/z"]
+    assert (one["socket"], one["address"], one["connect_start"], one["connect_end"], one["ssl_start"], one["ssl_end"], one["tls_next_proto"]) == (20, "2.2.2.2:443", 6.0, 10.0, 11.0, 15.0, "h2")
+    assert (one["dns_start"], one["dns_end"], one["addresses"], one["aliases"]) == (0.0, 5.0, ["2.2.2.2", "1.1.1.1"], ["b.example"])
+    assert one["start"] == pytest.approx(18.000001)
+    assert (two["session"], two["socket"], two["address"], two["connect_start"], two["dns_start"]) == (40, 20, "2.2.2.2:443", None, None)
+    assert (two["bytes_in"], two["first_byte"], two["weight"], two["priority"], two["addresses"]) == (900, 25.0, 220, "High", ["2.2.2.2", "1.1.1.1"])
+    assert (lost["status"], lost["start"], lost["end"], lost["connect_start"], lost["host"]) == (12029, 30.0, 30.0, 30.0, "lost.example")
 
 
 def test_sniff(spark):
-    cases = {"tcpdump": b"\xa1\xb2\x3c\x4d...", "wptagent": b"PK\x03\x04..1_progress.csv", "perfetto": b"\x0a\x01", "har": b'{ "log": {"version":"1.2"', "unknown": b"text"}
+    cases = {"tcpdump": b"\xa1\xb2\x3c\x4d...", "wptagent": b"PK\x03\x04..1_timeline_cpu.json", "perfetto": b"\x0a\x03abc\x0a\x01", "har": b'{ "log": {"version":"1.2"', "unknown": b"text"}
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "k string, v binary")
     assert {r["k"]: r["f"] for r in df.select("k", X.sniff_capture(F.col("v")).alias("f")).collect()} == {k: k for k in cases}
+    more = {b"\n{ \"log\": {\"version\":\"1.2\"": "har", b"\x0a\x82\x01" + b"x" * 130 + b"\x0a": "perfetto", b"\x0a\x82\x01" + b"x" * 131 + b"\x0a": "unknown", b"\x0a": "unknown", b"PK\x03\x04 other.json": "unknown"}
+    df = spark.createDataFrame([(bytearray(k),) for k in more], "v binary")
+    assert {bytes(r["v"]): r["f"] for r in df.select("v", X.sniff_capture(F.col("v")).alias("f")).collect()} == more
+
+
+def test_sniff_body(spark):
+    cases = {
+        b"\xff\xd8\xff\xe0": "image/jpeg", b"RIFF1234WEBPx": "image/webp", b"1234ftypheic": "image/heic", b"1234ftypavis": "image/avif", b"wOF2....": "font/woff2", b"\0\1\0\0": "font/ttf",
+        b" \xef\xbb\xbf<!DOCTYPE x": "text/html", b"<!-- a -->\n<HTML>": "text/html", b"<!-- a -->": "", b"<?xml": "", b"{}": "", b"@Layer x": "text/css", b"body {\n color : red }": "text/css", b"body { a: b }": "",
+        b"!function(){}": "application/javascript", b"( ( ) => 1": "application/javascript", b"// x\nlet a": "application/javascript", b"/* x */ no": "", b"export default": "application/javascript", b"": "",
+    }
+    df = spark.createDataFrame([(bytearray(k),) for k in cases], "v binary")
+    assert {bytes(r["v"]): r["f"] for r in df.select("v", X.sniff_body(F.col("v")).alias("f")).collect()} == cases
