@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netloom.functions import text as X
 from netloom.operators import layout, mainthread, netlog, outputs, pages, protocol, sequences, traces
 from netloom.plans.adapters import CHUNKS, REQUESTS, SPANS, chunks, requests, spans, table
 from netloom.plans.claims import _timed
+from netloom.sources import http1, lookups
+from netloom.streaming import captures as streaming
 
 
 def _str(c):
@@ -418,7 +421,64 @@ def extension_fields(spark, d):
     return e.select("event_id", joined(pages.without(F.col("m"))).alias("slim"), joined(pages.extensions(core, F.col("m"))).alias("carried"), joined(pages.as_extensions(pages.without(F.col("m"), ("_k", "_own", *pages.BLOAT)))).alias("named"))
 
 
-QUERIES = {f.__name__: f for f in (session_inference, stream_attributes, socket_claims, lookup_claims, addresses_seen, unreached_hosts, capture_origin, network_hits, trace_base, timeline_requests, toplevel_tasks, clock_repair, page_fetch, har_offsets, har_entries_back, simple_json_full, page_resources, page_totals, processor_times, page_scores, folded_slices, exclusive_times, protocol_claims, script_initiators, scalar_rules, time_clip, wrapped_sequences, extension_fields)}
+def _stamped(spark, d):
+    return spans(spark, d).select("u", "kind", F.timestamp_micros("st").alias("ts"), (F.col("i") % 1500).alias("bytes"))
+
+
+def stream_windows(spark, d):
+    w = streaming.windowed_totals(_stamped(spark, d), ["kind"], "ts", "bytes", "1 hour", "30 minutes")
+    return w.select("kind", F.unix_micros("begin").alias("begin"), "bytes", "chunks")
+
+
+def stream_sessions(spark, d):
+    w = streaming.connection_sessions(_stamped(spark, d), ["u"], "ts", "bytes", "6 hours")
+    return w.select("u", F.unix_micros("begin").alias("begin"), F.unix_micros("end").alias("end"), "bytes", "chunks")
+
+
+def _asked(spark, d):
+    """Lookup packets made of events: a view asks, a click answers with one address; names are those of users."""
+    number = lambda c, n: F.lpad(F.hex(c), n, "0")
+    label = F.concat(F.lit("h"), F.col("u").cast("string"))
+    name = F.concat(number(F.length(label), 2), F.hex(label), F.lit("076578616D706C6500"))
+    answer = F.col("kind") == "click"
+    head = F.concat(number(F.col("u") % 65536, 4), F.when(answer, "8180").otherwise("0100"), F.lit("0001"), F.when(answer, "0001").otherwise("0000"), F.lit("00000000"))
+    record = F.when(answer, F.concat(F.lit("C00C00010001000000000004"), F.lit("0A00"), number(F.col("i") % 65536, 4))).otherwise("")
+    s = spans(spark, d).filter("kind in ('view', 'click')").withColumn("payload", F.unhex(F.concat(head, name, F.lit("00010001"), record)))
+    ends = (F.lit("10.9.9.9"), F.lit(5000)), (F.lit("8.8.8.8"), F.lit(53))
+    return s.select(F.lit("c").alias("capture"), F.col("i").alias("ord"), F.col("st").alias("time_us"), F.lit("udp").alias("proto"), *[F.when(answer, ends[1 - k][j]).otherwise(ends[k][j]).alias(f"{n}_{p}") for k, n in enumerate(("src", "dst")) for j, p in enumerate(("ip", "port"))], "payload")
+
+
+def decode_dns(spark, d):
+    return lookups.messages(_asked(spark, d)).select("ord", "client", "id", "response", "name", F.array_join("addresses", ",").alias("addresses"))
+
+
+def lookup_pairs(spark, d):
+    return lookups.lookups(lookups.messages(_asked(spark, d))).select("name", "start", "end", F.array_join("addresses", ",").alias("addresses"))
+
+
+def http1_pairs(spark, d):
+    """Segments of plain connections made of requests: a request, its answer, and a repeated piece of it."""
+    n = F.row_number().over(Window.partitionBy("conn").orderBy("start", "req"))
+    r = requests(spark, d).withColumn("flow", F.concat(F.lit("f"), F.col("conn").cast("string"))).withColumn("at", n * F.lit(100).cast("long"))
+    asked = F.concat(F.lit("GET /r/"), _str("req"), F.lit(" HTTP/1.1\r\nHost: h"), _str("conn"), F.lit("\r\nX: y\r\n\r\n"))
+    told = F.concat(F.lit("HTTP/1.1 "), _str("status"), F.lit(" X\r\nContent-Type: text/css; a=b\r\nContent-Length: "), _str("req"), F.lit("\r\n\r\nbody"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.encode(t, "UTF-8").alias("payload")) for k, t in enumerate((asked, told, F.lit("more of the body"), F.lit("more of the body")))]))
+    rows = r.select("flow", "conn", "req", "at", kinds.alias("s")).select("flow", "conn", "req", "at", "s.*").withColumn("forward", F.col("k") == 0)
+    at = F.coalesce(F.sum(F.when(F.col("k") < 3, F.length("payload")).otherwise(0)).over(Window.partitionBy("flow", "forward").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("seq", at - F.when(F.col("k") == 3, F.length("payload")).otherwise(0))
+    side = lambda c, s: F.when(F.col("forward") == (c == "src"), F.lit("10.0.0.1" if s == "ip" else 5000)).otherwise(F.lit("10.0.0.2" if s == "ip" else 80))
+    flows = rows.select(F.lit("c").alias("capture"), "flow", F.lit(0).alias("generation"), "forward", (F.col("req") * 10 + F.col("k")).alias("ord"), (F.col("at") + F.col("k") * 7).alias("time_us"), F.lit("tcp").alias("proto"), *[side(c, s).alias(f"{c}_{s}") for c in ("src", "dst") for s in ("ip", "port")], "seq", "payload")
+    return http1.http1_requests(flows).select("flow", "n", "method", "url", "host", "status", "mime", "server_ip", "start", "first_byte", "end", "bytes_out", "bytes_in", "length")
+
+
+_HTTP1 = f"""
+WITH {REQUESTS}, n AS (SELECT *, row_number() OVER (PARTITION BY conn ORDER BY start, req) AS n FROM r)
+SELECT 'f' || conn AS flow, n, 'GET' AS method, 'http://h' || conn || '/r/' || req AS url, 'h' || conn AS host, status, 'text/css' AS mime, '10.0.0.2' AS server_ip, n * 100 AS start, n * 100 + 7 AS first_byte, n * 100 + 14 AS "end",
+    CAST(length('GET /r/' || req || ' HTTP/1.1..Host: h' || conn || '..X: y....') AS BIGINT) AS bytes_out, CAST(length('HTTP/1.1 ' || status || ' X..Content-Type: text/css; a=b..Content-Length: ' || req || '....bodymore of the body') AS BIGINT) AS bytes_in, req AS length FROM n
+"""
+
+
+QUERIES = {f.__name__: f for f in (session_inference, stream_attributes, socket_claims, lookup_claims, addresses_seen, unreached_hosts, capture_origin, network_hits, trace_base, timeline_requests, toplevel_tasks, clock_repair, page_fetch, har_offsets, har_entries_back, simple_json_full, page_resources, page_totals, processor_times, page_scores, folded_slices, exclusive_times, protocol_claims, script_initiators, scalar_rules, time_clip, wrapped_sequences, extension_fields, stream_windows, stream_sessions, decode_dns, lookup_pairs, http1_pairs)}
 
 SQL = {
     "session_inference": f"WITH {_STREAMED}, s AS (SELECT host, stream_id, path, min(conn) AS session FROM x WHERE status <> 404 GROUP BY ALL) SELECT req, CASE WHEN req % 5 = 0 THEN conn ELSE session END AS session FROM x LEFT JOIN s USING (host, stream_id, path)",
@@ -457,5 +517,15 @@ SQL = {
     "scalar_rules": _SCALARS,
     "time_clip": f"WITH {SPANS}, o AS (SELECT u, min(st) AS o FROM v GROUP BY u) SELECT u, i, CAST(860400000 AS DOUBLE) AS span_ms FROM v JOIN o USING (u) WHERE en >= o + 3600000000 AND st <= o + 864000000000",
     "wrapped_sequences": _WRAPPED,
+    "stream_windows": f"WITH {SPANS} SELECT kind, st // 1800000000 * 1800000000 - k * 1800000000 AS begin, CAST(sum(i % 1500) AS BIGINT) AS bytes, count(*) AS chunks FROM v, range(2) AS t(k) GROUP BY ALL",
+    "stream_sessions": f"""
+        WITH {SPANS}, g AS (SELECT *, CASE WHEN st - lag(st) OVER w <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM v WINDOW w AS (PARTITION BY u ORDER BY st, i)),
+        n AS (SELECT *, sum(fresh) OVER (PARTITION BY u ORDER BY st, i) AS s FROM g)
+        SELECT u, min(st) AS begin, max(st) + 21600000000 AS "end", CAST(sum(i % 1500) AS BIGINT) AS bytes, count(*) AS chunks FROM n GROUP BY u, s""",
+    "decode_dns": f"WITH {SPANS} SELECT i AS ord, '10.9.9.9 5000' AS client, CAST(u % 65536 AS INTEGER) AS id, kind = 'click' AS response, 'h' || u || '.example' AS name, CASE WHEN kind = 'click' THEN '10.0.' || i % 65536 // 256 || '.' || i % 256 ELSE '' END AS addresses FROM v WHERE kind IN ('view', 'click')",
+    "lookup_pairs": f"""
+        WITH {SPANS}, w AS (SELECT u, i, st, kind, lag(CASE WHEN kind = 'view' THEN st END) OVER (PARTITION BY u ORDER BY st, i) AS asked FROM v WHERE kind IN ('view', 'click'))
+        SELECT 'h' || u || '.example' AS name, asked AS start, st AS "end", '10.0.' || i % 65536 // 256 || '.' || i % 256 AS addresses FROM w WHERE kind = 'click' AND asked IS NOT NULL""",
+    "http1_pairs": _HTTP1,
     "extension_fields": "SELECT event_id, '_k=' || event_id || ',_own=' || event_type || ',plain=z' AS slim, '_k=' || event_id || ',_own=core' AS carried, '_plain=z' AS named FROM events",
 }

@@ -131,7 +131,7 @@ SELECT u, CAST(max(n) OVER (PARTITION BY u) - n AS INTEGER) AS pos, out AS v FRO
 def utilization(spark, d):
     s = spans(spark, d).withColumn("v", F.col("i") % 997)
     top = s.groupBy("kind").agg(F.greatest(F.lit(1), F.max("v")).alias("top"))
-    return s.join(F.broadcast(top), "kind").select("i", "kind", F.floor(F.col("v") * 100000 / F.col("top") + 0.5).cast("long").alias("pct_milli"))
+    return s.join(top, "kind").select("i", "kind", F.floor(F.col("v") * 100000 / F.col("top") + 0.5).cast("long").alias("pct_milli"))
 
 
 def reassembly_stats(spark, d):

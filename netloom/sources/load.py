@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions.text import sniff_capture
-from netloom.sources import archives, json_captures, lines, lookups, packets
+from netloom.sources import archives, http1, json_captures, lines, lookups, packets
 
 #: Bytes of a file's beginning that tell its format.
 HEAD = 65_536
@@ -63,7 +63,9 @@ def _trace(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def _packets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     read = packets.packets(spark, path)
     flows = packets.flows(read)
-    return {"packets": flows, "flow_stats": packets.flow_stats(flows), "lookups": lookups.lookups(lookups.messages(read))}
+    said = lookups.messages(read).unionByName(lookups.stream_messages(http1.new_segments(flows)))
+    found = lookups.lookups(said)
+    return {"packets": flows, "flow_stats": packets.flow_stats(flows), "lookups": found, "requests": http1.with_lookups(http1.http1_requests(flows), found)}
 
 
 def _archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:

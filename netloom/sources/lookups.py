@@ -68,6 +68,39 @@ def messages(packets: DataFrame) -> DataFrame:
     return own.select("capture", "ord", "time_us", client.alias("client"), "payload").mapInPandas(read, MESSAGES)
 
 
+def frames(data: bytes, ends: list[tuple[int, int]]) -> Iterator[tuple[int, bytes]]:
+    """(time, message) of a stream of messages, each after two bytes of its length; ends: (bytes so far, time) of the stream's segments."""
+    at, k = 0, 0
+    while at + 2 <= len(data):
+        end = at + 2 + int.from_bytes(data[at : at + 2], "big")
+        if end > len(data):
+            return
+        while ends[k][0] < end:
+            k += 1
+        yield ends[k][1], data[at + 2 : end]
+        at = end
+
+
+def stream_messages(segments: DataFrame) -> DataFrame:
+    """The lookup messages of TCP connections, as messages() has them. segments: new segments of both directions, in order.
+
+    The lookups of one direction of a connection are put together in one task.
+    """
+
+    def read(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["time_us", "ord"])
+        ends = list(zip(pdf["payload"].map(len).cumsum().tolist(), pdf["time_us"].tolist(), strict=True))
+        first = pdf.iloc[0]
+        told = frames(b"".join(map(bytes, pdf["payload"])), ends)
+        rows = [(first["capture"], int(first["ord"]), t, first["client"], *m) for t, data in told if (m := message(data))]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in MESSAGES.split(", ")])
+
+    side = lambda s: F.concat_ws(" ", f"{s}_ip", F.col(f"{s}_port").cast("string"))
+    client = F.when(F.col("dst_port") == PORT, side("src")).otherwise(side("dst"))
+    own = segments.filter((F.col("src_port") == PORT) | (F.col("dst_port") == PORT))
+    return own.select("capture", "ord", "time_us", client.alias("client"), "side", "payload").groupBy("side").applyInPandas(read, MESSAGES)
+
+
 def lookups(messages_: DataFrame) -> DataFrame:
     """capture, client, name, start, end (us), code, addresses, aliases: answers with the question of their client, id and name.
 

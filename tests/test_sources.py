@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import text as X
 from netloom.sources import json_captures as J
-from netloom.sources import archives, lines, lookups, packets
+from netloom.sources import archives, http1, lines, lookups, packets
 from netloom.sources.load import load
 
 PAGE = {
@@ -140,6 +140,30 @@ def test_sequence_numbers_that_wrap(spark, tmp_path, monkeypatch):
     assert [(r["packets"], r["duplicates"], r["holes"], r["new_bytes"], r["repeated_bytes"]) for r in s] == [(5, 1, 0, 16, 4)]
 
 
+def test_requests_and_lookups_over_tcp(spark, tmp_path):
+    """A request in two segments, one of them sent again, its answer, and a lookup over a stream that tells its server."""
+    parts = [b"GET /x HTTP/1.1\r\nHost: h.exa", b"mple\r\n\r\n"]
+    sent = [(1, parts[0]), (1, parts[0]), (1 + len(parts[0]), parts[1])]
+    back = [(9, b"HTTP/1.1 404 No\r\nContent-Type: text/css; q\r\n\r\n"), (9 + 46, b"body")]
+    name = b"\x01h\x07example\0"
+    ask = b"\0\7\1\0\0\1\0\0\0\0\0\0" + name + b"\0\1\0\1"
+    tell = b"\0\7\x81\x80\0\1\0\1\0\0\0\0" + name + b"\0\1\0\1" + b"\xc0\x0c\0\1\0\1\0\0\0\0\0\4\x0a\0\0\2"
+    size = lambda m: len(m).to_bytes(2, "big") + m
+    told = size(tell)
+    frames_ = [frame(5001, 53, 1, 24, size(ask)), frame(53, 5001, 1, 24, told[:9]), frame(53, 5001, 10, 24, told[9:])]
+    frames_ += [frame(5000, 80, s, 24, b) for s, b in sent] + [frame(80, 5000, s, 24, b) for s, b in back]
+    data = struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"".join(struct.pack("<IIII", i, 0, len(f), len(f)) + f for i, f in enumerate(frames_))
+    (tmp_path / "t.cap").write_bytes(data)
+    tables = load(spark, str(tmp_path / "t.cap"))
+    found = tables["lookups"].first()
+    assert (found["name"], found["start"], found["end"], found["addresses"]) == ("h.example", 0, 2_000_000, ["10.0.0.2"])
+    r = tables["requests"].collect()
+    assert len(r) == 1 and (r[0]["url"], r[0]["status"], r[0]["mime"], r[0]["host"]) == ("http://h.example/x", 404, "text/css", "h.example")
+    assert (r[0]["start"], r[0]["first_byte"], r[0]["end"], r[0]["bytes_out"], r[0]["dns_start"], r[0]["dns_end"]) == (3_000_000, 6_000_000, 7_000_000, len(b"".join(parts)), 0, 2_000_000)
+    kinds = tables["packets"].select("ord", http1.protocol(F.col("proto"), F.col("src_port"), F.col("dst_port"), F.col("payload")).alias("k")).orderBy("ord").collect()
+    assert [k["k"] for k in kinds] == ["dns"] * 3 + ["http1", "http1", None, "http1", None]
+
+
 def test_an_answer_uses_up_its_question(spark):
     rows = [("c", i, i * 10, "a 1", 7, answer, 0, "h", ["1.1.1.1"], []) for i, answer in enumerate([False, False, True, True, False, True])]
     got = lookups.lookups(spark.createDataFrame(rows, lookups.MESSAGES)).orderBy("end").collect()
