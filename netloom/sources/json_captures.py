@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.functions.text import split_header, view_id, view_title
+from netloom.functions.text import priority_name, split_header, view_id, view_title
 from netloom.operators.pages import as_extensions, without
+from netloom.operators.traces import anchors_page, base_time, one_clock, timeline_only
 
 #: Page timings that are lifted to the page under another name.
 RENAMED = {"_firstPaint": "_render", "_largestContentfulPaint": "_LargestContentfulPaint", "_domInteractiveTime": "_domInteractive", "_userTimings": "_user_timing"}
@@ -303,6 +304,69 @@ def trace_events(docs: DataFrame) -> DataFrame:
     return e.select("capture", F.col("pos").alias("ord"), *[_get(f"$.{n}", k).alias(n) for n, k in (("ph", "string"), ("name", "string"), ("cat", "string"), ("pid", "bigint"), ("tid", "bigint"), ("ts", "bigint"), ("dur", "bigint"), ("args", "variant"))])
 
 
+#: Phases of a resource's timing, offsets in ms from its requestTime, and what they are called here.
+TIMING = {"dnsStart": "dns_start", "dnsEnd": "dns_end", "connectStart": "connect_start", "connectEnd": "connect_end", "sslStart": "ssl_start", "sslEnd": "ssl_end"}
+
+
+def trace_timeline(events: DataFrame) -> DataFrame:
+    """What the timeline of a trace tells of each resource: capture, request_id, url, times (ms) and more, one clock for each capture.
+
+    A resource without an id goes by its url; has_id is false for it.
+    """
+    a = lambda path, kind: F.try_variant_get("args", path, kind)
+    own_id = a("$.data.requestId", "string")
+    e = events.withColumn("request_id", F.coalesce(own_id, a("$.url", "string"))).filter("request_id is not null").withColumn("ms", F.col("ts") / 1000.0)
+    is_ = lambda n: F.col("name") == n
+    sent, got, data, done = (is_(f"Resource{n}") for n in ("SendRequest", "ReceiveResponse", "ReceivedData", "Finish"))
+    last = lambda c, when: F.max_by(c, F.when(when & c.isNotNull(), F.col("ord")))
+    any_ = F.lit(True)
+    parts = F.coalesce(F.sum(F.when(data, a("$.data.encodedDataLength", "bigint"))), F.lit(0))
+    timing = lambda n: last(a(f"$.data.timing.{n}", "double"), got)
+    rows = e.groupBy("capture", "request_id").agg(
+        F.min("ord").alias("ord"),
+        F.coalesce(last(a("$.url", "string"), any_), last(a("$.data.url", "string"), sent)).alias("url"),
+        F.max(own_id.isNotNull()).alias("has_id"),
+        F.max(sent).alias("was_sent"),
+        last(F.col("ms"), sent).alias("requested"),
+        last(a("$.data.requestMethod", "string"), sent).alias("method"),
+        priority_name(last(a("$.data.priority", "string"), sent)).alias("priority"),
+        last(a("$.data.renderBlocking", "string"), sent).alias("render_blocking"),
+        last(a("$.data.resourceType", "string"), sent).alias("kind"),
+        last(a("$.data.frame", "string"), sent).alias("frame"),
+        F.coalesce(F.max(got & a("$.data.fromCache", "boolean")), F.lit(False)).alias("from_cache"),
+        F.coalesce(F.max(got & a("$.data.fromServiceWorker", "boolean")), F.lit(False)).alias("from_worker"),
+        last(a("$.data.statusCode", "int"), got).alias("status"),
+        last(a("$.data.mimeType", "string"), got).alias("mime"),
+        last(a("$.data.protocol", "string"), got).alias("protocol"),
+        F.when(parts > 0, parts).otherwise(F.coalesce(last(a("$.data.encodedDataLength", "bigint"), done), F.lit(0))).alias("bytes_in"),
+        last(F.coalesce(F.nullif(a("$.data.finishTime", "double"), F.lit(0.0)) * 1000, F.col("ms")), done).alias("finished"),
+        (F.nullif(timing("requestTime"), F.lit(0.0)) * 1000).alias("timed_from"),
+        timing("receiveHeadersEnd").alias("headers_end"),
+        *[timing(n).alias(c) for n, c in TIMING.items()],
+    )
+    return one_clock(rows, "capture", "ord", "requested", "timed_from").withColumn("timed", F.col("timed_from").isNotNull())
+
+
+def trace_requests(events: DataFrame) -> DataFrame:
+    """Requests of a trace by its timeline, from the page's beginning on (ms): those that were sent over the network and answered.
+
+    The page begins with the first navigation or the first request that is not the harness's, whichever is earlier.
+    """
+    rows = trace_timeline(events)
+    started = F.when(anchors_page(F.col("url")), F.least("requested", "timed_from"))
+    moves = events.filter(F.col("name") == "navigationStart").select("capture", (F.col("ts") / 1000.0).alias("at"))
+    base = base_time(rows.select("capture", started.alias("at")).unionByName(moves), "capture", ["at"])
+    nothing = rows.select("url").limit(0)
+    kept = timeline_only(rows, nothing).join(base, "capture")
+    from_zero = lambda c: F.col(c) - F.col("base")
+    phase = {c: F.when(F.col(c) >= 0, from_zero("timed_from") + F.col(c)) for c in TIMING.values()}
+    end = F.coalesce(from_zero("finished"), from_zero("requested"))
+    first = F.when(F.col("headers_end") > 0, from_zero("timed_from") + F.col("headers_end"))
+    told = kept.withColumns({**phase, "start": F.coalesce(from_zero("timed_from"), from_zero("requested")), "first_byte": F.coalesce(first, end), "end": end})
+    columns = ("capture", "request_id", "ord", "url", "method", "status", "mime", "protocol", "priority", "render_blocking", "kind", "frame", "bytes_in", "start", "first_byte", "end", *TIMING.values(), "base")
+    return told.select(*columns).withColumns({"method": F.coalesce("method", F.lit("GET")), "priority": F.coalesce("priority", F.lit("Lowest"))})
+
+
 def trace_spans(events: DataFrame) -> DataFrame:
     """thread, name, start, end: complete events and pairs of begin and end events."""
     from netloom.operators.mainthread import pair_begin_end

@@ -57,7 +57,7 @@ def _results(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def _trace(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     events = json_captures.trace_events(json_captures.documents(spark, path))
-    return {"events": events, "spans": json_captures.trace_spans(events)}
+    return {"events": events, "spans": json_captures.trace_spans(events), "requests": json_captures.trace_requests(events)}
 
 
 def _packets(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -67,6 +67,30 @@ def test_trace_spans(spark, tmp_path):
         assert sorted((r["name"], r["start"], r["end"]) for r in rows) == [("inner", 20, 30), ("outer", 10, 40), ("whole", 5, 12)]
 
 
+def test_trace_requests(spark, tmp_path):
+    """Two clocks; noise, a cached resource and one that was never sent are no requests, and noise does not move the page's beginning."""
+    hour = 3_600_000_000
+    e = lambda name, ts, **data: {"ph": "I", "name": name, "ts": ts, "pid": 1, "tid": 2, "cat": "devtools.timeline", "args": {"data": data}}
+    events = [
+        e("ResourceSendRequest", 5_000, requestId="n", url="chrome://tracing/json"),
+        e("ResourceSendRequest", 10_000, requestId="1", url="https://a/", requestMethod="POST", priority="VeryHigh"),
+        e("ResourceReceiveResponse", 30_000, requestId="1", statusCode=200, mimeType="text/html", timing={"requestTime": (hour + 12_000) / 1e6, "dnsStart": 0, "dnsEnd": 2, "connectStart": -1, "receiveHeadersEnd": 15}),
+        e("ResourceReceivedData", 31_000, requestId="1", encodedDataLength=70), e("ResourceReceivedData", 32_000, requestId="1", encodedDataLength=30),
+        e("ResourceFinish", 40_000, requestId="1", encodedDataLength=999),
+        e("ResourceSendRequest", 50_000, requestId="2", url="https://a/2"), e("ResourceReceiveResponse", 60_000, requestId="2", statusCode=404), e("ResourceFinish", 70_000, requestId="2", encodedDataLength=9),
+        e("ResourceSendRequest", 50_000, requestId="3", url="https://a/3"), e("ResourceReceiveResponse", 60_000, requestId="3", statusCode=200, fromCache=True),
+        e("ResourceReceiveResponse", 60_000, requestId="4", statusCode=200),
+        {"ph": "I", "name": "blink.resource", "ts": 7, "pid": 1, "tid": 2, "cat": "c", "args": {"url": "https://a/prefetch"}},
+    ]
+    got = load(spark, write(tmp_path, "t.json", {"traceEvents": events}), "chrome-trace")["requests"].orderBy("ord").collect()
+    assert [(r["url"], r["method"], r["status"], r["priority"], r["bytes_in"]) for r in got] == [("https://a/", "POST", 200, "Highest", 100), ("https://a/2", "GET", 404, "Lowest", 9)]
+    one, two = got
+    # the first resource that has both times puts the inner clock onto the outer one
+    assert (one["base"], one["start"], one["first_byte"], one["end"]) == pytest.approx((10.0, 0.0, 15.0, 30.0))
+    assert (one["dns_start"], one["dns_end"], one["connect_start"]) == (pytest.approx(0.0), pytest.approx(2.0), None)
+    assert (two["start"], two["first_byte"], two["end"]) == pytest.approx((40.0, 60.0, 60.0))
+
+
 def test_documents_over_the_size_of_a_variant(spark, tmp_path):
     """A trace of 140 MB: a VARIANT of it would be null."""
     event, n = json.dumps({"ph": "X", "name": "n", "cat": "c", "pid": 1, "tid": 2, "ts": 7, "dur": 1, "args": {"x": "y" * 100_000}}), 1400
