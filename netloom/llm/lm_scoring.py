@@ -196,7 +196,12 @@ def losses(grams: Grams, counts: np.ndarray, words: int, total: float, scale: fl
 
 
 def fit(docs: DataFrame, target_ids: DataFrame) -> tuple[Model, Model]:
-    """Target and background model from all docs (doc_id, text); ``target_ids`` names the target's documents."""
+    """Target and background model from all docs (doc_id, text); ``target_ids`` names the target's documents.
+
+    The background counts every row; rows that repeat count each time. Ids that are null, or that docs lacks, name
+    nothing; ids that repeat name their rows once. Null and empty texts add nothing, texts of any length are counted
+    whole, and tables without rows give models without counts. Other columns are not read.
+    """
     ids = small(target_ids.select("doc_id").filter("doc_id is not null").distinct().withColumn("is_target", F.lit(True)), LABELS)
     marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
     blocks = blocks_of(marked)
@@ -206,8 +211,8 @@ def fit(docs: DataFrame, target_ids: DataFrame) -> tuple[Model, Model]:
 def score(docs: DataFrame, target: Model, background: Model) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference (each per token; below 0: closer to the target).
 
-    Texts without words have 0 tokens and null losses. Repeated rows are scored each for itself, null ids stay null,
-    and other columns are not read. Other docs than the fitted ones only ask for counts and add none.
+    Texts without words have 0 tokens and null losses; a text of any length is scored whole, and an empty table gives an
+    empty result. Repeated rows are scored each for itself, null ids stay null, and other columns are not read. Other docs than the fitted ones only ask for counts and add none.
     """
     if target.blocks is not background.blocks or (target.name, background.name) != ("target", "background"):
         raise ValueError("score needs the target and background model of one fit")

@@ -1,6 +1,6 @@
 """Packing token sequences by first-fit decreasing, with a tournament tree of bin capacities.
 
-Documents fall into groups by a hash of their id: groups are random, of bounded size, and packed independently. A
+Documents fall into groups by a hash of their row, which repeated rows do not share: groups are random, of bounded size, and packed independently. A
 document longer than a sequence is cut into full pieces, which are sequences by themselves, and a rest. The rests of a
 group are placed longest first, each into the first bin with room, which the tree finds in logarithmic time.
 """
@@ -186,7 +186,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     work = Work(docs.sparkSession)
-    measured = work.table(rows.mapInArrow(measure, f"doc_id {kind}, tokens long, crcs array<long>"), "lengths")
+    measured = work.table(rows.mapInArrow(measure, f"doc_id {kind}, tokens long, crcs array<long>").withColumn("row", F.monotonically_increasing_id()), "lengths")
     groups = max(1, -(-measured.count() // group_docs))
-    grouped = measured.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tokens", "crcs"), F.lit(groups)))
+    grouped = measured.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(groups))).drop("row")
     return grouped.groupBy("group").applyInPandas(pack, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

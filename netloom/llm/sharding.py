@@ -140,7 +140,7 @@ def shard_documents(docs: DataFrame, shards: int | None = 8, target_bytes: int |
         *[c.alias(k) for k, c in dims.items()],
     )
     work = Work(spark)
-    rows = work.table(rows, "metadata")
+    rows = work.table(rows.withColumn("row", F.monotonically_increasing_id()), "metadata")  # tells rows apart that repeat
     count, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     parts = 1
     if target_bytes:
@@ -150,5 +150,5 @@ def shard_documents(docs: DataFrame, shards: int | None = 8, target_bytes: int |
     leaves = kd_leaves(rows, list(dims), shards or 1, work)
     if parts > 1:
         leaves = cut_leaves(leaves, list(dims), parts)
-    done = number_rows(leaves.withColumnRenamed("node", "shard"), "shard", ["doc_id", "text_crc32", "row_hash"], count)
+    done = number_rows(leaves.withColumnRenamed("node", "shard"), "shard", ["doc_id", "text_crc32", "row_hash", "row"], count)
     return done.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
