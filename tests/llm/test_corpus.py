@@ -399,6 +399,39 @@ def test_license_scan(spark, docs, empty):
     assert (1 - 0.4**rows_) ** bands <= license_scan.LOSS
 
 
+def test_operators_on_edge_rows(spark, docs, rows):
+    """Null ids and texts, repeated rows and extra columns with clashing names: a row for a row."""
+    ids = sorted(str(r[0]) for r in rows)
+    models = lm_scoring.fit(docs, docs.filter("doc_id < 5"))
+    assert sorted(str(r["doc_id"]) for r in lm_scoring.score(docs, *models).collect()) == ids
+    notice = license_scan.LICENSES["MIT"]
+    df = docs.withColumn("text", F.when(F.col("doc_id") == 3, F.lit(notice)).when(F.col("doc_id").isNull(), F.lit(notice)).otherwise(F.col("text"))).withColumn("license", F.lit("x"))
+    assert sorted((str(r["doc_id"]), r["license"]) for r in license_scan.scan_licenses(df).collect()) == [("3", "MIT"), ("3", "MIT"), ("None", "MIT")]
+    same = spark.createDataFrame([(1, "a b c")] * 500, "doc_id long, text string").repartition(3)
+    packed = packing.pack_documents(same, WORD, group_docs=50)
+    assert packed.count() == 500 and packed.select("sequence_id").distinct().count() > 3
+    assert sorted(r["slot"] for r in sharding.shard_documents(same, 1).collect()) == list(range(500))
+
+
+def test_pipeline_on_edge_rows(spark, docs, rows, tmp_path):
+    """Nulls, repeated rows, extra columns and empty tables go through all stages."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 0, 0)], "doc_id long, quality int, toxic int")
+    none = docs.limit(0)
+    for name, table, marks in (("a", docs, labels), ("b", none, labels), ("c", docs, labels.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        marks.write.parquet(f"{folder}/labels.parquet")
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before, kept = kept, stage(spark, kept, folder)
+            assert kept.columns == docs.columns
+        packed = corpus_pipeline.run(spark, folder)
+        assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in kept.collect()}
+        assert (kept.count() == 0) == (name == "b") and before.count() >= kept.count()
+
+
 def test_lm_scores_tell_target_from_background(spark, empty):
     rng = random.Random(4)
     rows = [(i, words(rng, 60, 40) if i % 2 else " ".join(f"z{rng.randrange(40)}" for _ in range(60))) for i in range(200)] + [(200, None), (201, ""), (None, "w1 w2")]
@@ -501,4 +534,14 @@ def test_pipeline(spark):
             seen.add(key)
             left[i] = docs[i]
     want = {i for i, (c, _) in brute_components(list(left.items())).items() if i == c}
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, DATA).collect()} == want
+    packed = corpus_pipeline.run(spark, DATA).collect()
+    assert {r["doc_id"] for r in packed} == want
+    tok, covered, used = Tokenizer.from_file(WORD), collections.Counter(), collections.Counter()
+    tok.encode_special_tokens = True
+    ids = {i: np.array([*tok.encode(docs[i] or "", add_special_tokens=False).ids, 2], "<u4") for i in want}
+    for r in packed:
+        own = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert zlib.crc32(own.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids[r["doc_id"]])
+        covered[r["doc_id"]] += r["length"]
+        used[r["sequence_id"]] += r["length"]
+    assert covered == {i: len(x) for i, x in ids.items()} and max(used.values()) <= 4096
