@@ -86,28 +86,29 @@ class BandIndex:
 
     def __init__(self, rows: int, bands: int, signs: list[np.ndarray]):
         self.rows, self.bands = rows, bands
-        keys = np.concatenate([self.keys(s[None, : rows * bands])[0] for s in signs])
-        self.template = np.repeat(np.arange(len(signs)), bands)
+        own = np.stack([s[: rows * bands].reshape(bands, rows) for s in signs]).reshape(-1, rows)
+        keys = self.keys(own, np.tile(np.arange(bands), len(signs)))
         order = np.argsort(keys, kind="stable")
-        self.sorted, self.template = keys[order], self.template[order]
-        self.bits = np.uint64(max(16, (64 * len(keys) - 1).bit_length()))
-        self.held = np.zeros(1 << int(self.bits), bool)  # tells most bands that no template has at one look
-        self.held[self.sorted >> (np.uint64(64) - self.bits)] = True
-
-    def keys(self, signs: np.ndarray) -> np.ndarray:
-        """A 64-bit key for each band of each signature; a band's place is part of it."""
-        parts = signs.reshape(len(signs), self.bands, self.rows).astype(np.uint64)
-        out = np.broadcast_to(np.arange(1, self.bands + 1, dtype=np.uint64), parts.shape[:2])
-        for r in range(self.rows):
-            out = (out ^ parts[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
-            out = out ^ (out >> np.uint64(29))
+        self.sorted, self.template = keys[order], np.repeat(np.arange(len(signs)), bands)[order]
+        self.free = np.uint32(32 - min(32, max(16, (64 * len(keys) - 1).bit_length())))
+        self.held = np.zeros(1 << (32 - int(self.free)), bool)  # by a band's first hash: most bands are no template's at one look
+        self.held[own[:, 0] >> self.free] = True
+
+    @staticmethod
+    def keys(hashes: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """A 64-bit key for each row of hashes; a band's place is part of it."""
+        out = (band + 1).astype(np.uint64)
+        for r in range(hashes.shape[1]):
+            out = (out ^ hashes[:, r].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
         return out * np.uint64(0xD6E8FEB86659FD93)
 
     def find(self, signs: np.ndarray) -> set[tuple[int, int]]:
         """(row of signs, template) for each that share a band."""
-        keys = self.keys(signs)
-        window, band = np.nonzero(self.held[keys >> (np.uint64(64) - self.bits)])
-        wanted = keys[window, band]
+        window, band = np.nonzero(self.held[signs[:, :: self.rows] >> self.free])
+        if not len(window):
+            return set()
+        wanted = self.keys(signs.reshape(len(signs), self.bands, self.rows)[window, band], band)
         first, last = np.searchsorted(self.sorted, wanted, "left"), np.searchsorted(self.sorted, wanted, "right")
         return {(int(window[k]), int(t)) for k in np.flatnonzero(first < last) for t in self.template[first[k] : last[k]]}
 
