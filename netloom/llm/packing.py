@@ -28,8 +28,8 @@ from netloom.llm.common import Work
 LENGTH, END_ID = 4096, 2
 #: Documents of a group, on average.
 GROUP_DOCS = 8192
-#: Words whose ids a Python worker remembers.
-MEMORY = 100_000
+#: Words whose ids a Python worker remembers, twice: those met lately, and those met before them.
+MEMORY = 150_000
 _MARK = "\x01"
 
 
@@ -55,7 +55,7 @@ class WordIds:
                 core = token[: -len(end)] if token.endswith(end) and token != end else token
                 ranks[bytes(raw[ch] for ch in core) + (_MARK.encode() if core != token else b"")] = i
         self.bulk = tiktoken.Encoding("words", pat_str=f"[^{_MARK}\\n]*{_MARK}|\\n", mergeable_ranks=ranks, special_tokens={})
-        self.line, self.known = ranks[b"\n"], {}
+        self.line, self.known, self.old = ranks[b"\n"], {}, {}
 
     @staticmethod
     def _byte_letters() -> list[tuple[int, int]]:
@@ -82,8 +82,11 @@ class WordIds:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [(t or "").encode().split() for t in texts]
         if len(self.known) > MEMORY:
-            self.known.clear()
-        self._learn(list(set().union(*split).difference(self.known)))
+            self.old, self.known = self.known, {}
+        missing = set().union(*split).difference(self.known)
+        again = missing.intersection(self.old)  # frequent words are never learned anew
+        self.known.update((w, self.old[w]) for w in again)
+        self._learn(list(missing - again))
         return [b"".join([self.known[w] for w in words]) for words in split]
 
 
