@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words; fixed by the contracts of the operators.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Bytes of the rows that cross to Python at once, and the session's setting of them.
+BATCH_BYTES, _BATCH_BYTES = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,6 +60,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Let whole texts cross to Python a few MB at a time, where the session still has Spark's own 64 MB.
+
+    A batch is held several times: in buffers of the JVM, and in each worker next to the one before it.
+    """
+    if spark.conf.get(_BATCH_BYTES) == "67108864b":
+        spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

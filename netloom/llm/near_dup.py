@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import Work, small
+from netloom.llm.common import Work, short_batches, small
 
 #: Words of a shingle, percent of similarity, values of a sketch, and the chance that a filter loses a link.
 SHINGLE, PERCENT, K, LOSS = 5, 75, 160, 1e-6
@@ -127,6 +127,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, width: int) ->
             lists = pa.array([np.unique(s[:k] >> np.uint64(64 - BITS)).astype(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), lists], names=["doc_id", "mark", "n", "print", "sketch"])
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     return rows.mapInArrow(sketch, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark long, n long, print binary, sketch array<long>")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from netloom.llm.common import Work
+from netloom.llm.common import Work, short_batches
 
 #: Tokens of a sequence, and the id that ends each document.
 LENGTH, END_ID = 4096, 2
@@ -135,6 +135,7 @@ def token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 ids = pa.array([x + end for x in word_ids(path).encode(part.column(1).to_pylist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
 
@@ -186,6 +187,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             }
         )
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     work = Work(docs.sparkSession)

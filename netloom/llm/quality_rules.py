@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netloom.llm.common import short_batches
+
 #: Labelled rows that the learner sees at most; a uniform sample by a hash of the id.
 SAMPLE_ROWS = 50_000
 #: A rule has at most so many conditions, covers so many bad training and so many held-out rows at least, and has this precision on the latter.
@@ -72,6 +74,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts have zeros; repeated rows and null ids count each for itself; a text of any length is read
     whole. An empty table gives an empty result. Columns that are not asked for are not read.
     """
+    short_batches(docs.sparkSession)
     row = [F.struct(*[docs[c] for c in docs.columns]).alias(whole)] if whole else [F.col(text_col).alias("_text")]
     rows = docs.select(*row, F.col(id_col).alias("doc_id"), *carry)
     kept = rows.schema.fields[0 if whole else 1 :]
