@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, exact_dedup, license_scan, lm_scoring, near_dup, packing, quality_rules, sharding, token_counts, warc
+from netloom.llm import bpe, exact_dedup, license_scan, lm_scoring, near_dup, packing, periodic_runs, phrases, quality_rules, sharding, token_counts, warc
 from netloom.llm.common import Work, shared_folder
 
 MULTI, WORD = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
@@ -71,13 +71,47 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, text of docs; where crc32 of the id is divisible by 10, words repeat from a place on with a period, both fixed by the crc.
+
+    Such a text's words are joined by one space; every other text, and that of a null id, is as it was.
+    """
+    h, words = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    rows = docs.select("doc_id", "text", h.alias("_h"), F.when(h % 10 == 0, words).alias("_w")).withColumn("_n", F.size("_w").cast("long"))
+    rows = rows.withColumn("_g", F.floor(F.col("_h") / 10)).withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    rows = rows.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    at = F.expr("transform(_w, (w, i) -> if(i < _a, w, _w[cast(_a + (i - _a) % _p as int)]))")
+    return rows.select("doc_id", F.when(F.col("_n") > 0, F.array_join(at, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = periodic_runs.periodic_runs(with_repeats(_table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    told = told.select("doc_id", "runs", "collapsed", longest.alias("_l"))
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_l.start")).alias("start"),
+        F.col("_l.length").alias("length"),
+        (-F.col("_l.period")).alias("period"),
+        F.expr("1000 * _l.length div -_l.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_exact_dedup, op4_packing, op5_quality_rules, op6_lm_scoring, op7_sharding, op8_bpe, op9_warc, op10_near_dup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_exact_dedup, op4_packing, op5_quality_rules, op6_lm_scoring, op7_sharding, op8_bpe, op9_warc, op10_near_dup, op11_phrases, op13_periodic_runs, pipeline)}
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -103,6 +137,36 @@ SQL = {
                CASE WHEN last_id <> page_id THEN last_id END AS refers_to
         FROM f
     """,
-    "op10_near_dup": None,
+    "op11_phrases": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, doc_id,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), words AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+        ), totals AS (
+            SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+        ), grams AS (
+            SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+            FROM (SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS size))
+        ), counts AS (
+            SELECT lang, size, phrase, count(*)::BIGINT AS f FROM grams GROUP BY lang, size, phrase HAVING count(*) >= 100
+        ), cuts AS (
+            SELECT lang, size, phrase, f, k, array_to_string(w[1 : k], ' ') AS left_part, array_to_string(w[k + 1 :], ' ') AS right_part
+            FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(generate_series(1, size - 1)) AS k FROM counts WHERE size > 1)
+        ), scored AS (
+            SELECT c.lang, c.size, c.phrase, c.f AS a, x.f AS l, y.f AS r, n, k, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+            FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = left_part JOIN counts y ON y.lang = c.lang AND y.phrase = right_part
+            JOIN totals t ON t.lang = c.lang
+            QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+        ), kept AS (
+            SELECT * FROM scored s
+            WHERE NOT EXISTS (
+                SELECT 1 FROM counts x
+                WHERE x.lang = s.lang AND x.size > s.size AND 100 * x.f >= 100 * s.a AND contains(' ' || x.phrase || ' ', ' ' || s.phrase || ' ')
+            )
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM kept QUALIFY rank <= 2000
+    """,
 }
-SQL = {k: v for k, v in SQL.items() if v}
