@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, exact_dedup, license_scan, lm_scoring, near_dup, packing, periodic_runs, phrases, quality_rules, sharding, token_counts, warc
+from netloom.llm import ann, bpe, exact_dedup, license_scan, lm_scoring, near_dup, packing, periodic_runs, phrases, quality_rules, sharding, token_counts, warc
 from netloom.llm.common import Work, shared_folder
 
 MULTI, WORD = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
@@ -75,6 +75,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def with_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text of docs; where crc32 of the id is divisible by 10, words repeat from a place on with a period, both fixed by the crc.
 
@@ -111,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_exact_dedup, op4_packing, op5_quality_rules, op6_lm_scoring, op7_sharding, op8_bpe, op9_warc, op10_near_dup, op11_phrases, op13_periodic_runs, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_exact_dedup, op4_packing, op5_quality_rules, op6_lm_scoring, op7_sharding, op8_bpe, op9_warc, op10_near_dup, op11_phrases, op12_nearest, op13_periodic_runs, pipeline)}
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
