@@ -1,4 +1,4 @@
-"""What the corpus operators share: the shared work folder, written tables and size-checked broadcasts."""
+"""What the corpus operators share: the shared work folder, written tables and filtered joins."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 #: Bytes of the rows that cross to Python at once, and the session's setting of them.
 BATCH_BYTES, _BATCH_BYTES = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Places of a filter of keys, and those of one of its bitmaps (what bitmap_construct_agg holds).
+FILTER_BITS, BUCKET_BITS = 1 << 27, 1 << 15
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,9 +57,19 @@ class Work:
                 delete(self.spark, path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcasting if it is proven to have at most ``rows`` rows; else df as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def parted(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows that may have a key of ``wanted``, and those that have none: a join need only shuffle the former.
+
+    Keys are hashes (long). The filter is a bitmap of FILTER_BITS places, in buckets that are broadcast: 16 MB at most,
+    whatever the number of keys. The more keys there are, the more rows pass it in vain; none is ever missed.
+    """
+    place = lambda k: F.pmod(k, F.lit(FILTER_BITS))
+    keys = wanted.select(place(wanted_key).alias("_k")).select(F.expr(f"cast(_k div {BUCKET_BITS} as int)").alias("_bucket"), (F.col("_k") % BUCKET_BITS).alias("_bit"))
+    bitmaps = F.broadcast(keys.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bitmap")))
+    told = rows.withColumn("_k", place(key)).join(bitmaps, F.expr(f"cast(_k div {BUCKET_BITS} as int)") == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.expr(f"substring(_bitmap, cast(_k % {BUCKET_BITS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, (F.col("_k") % 8).cast("int")) == 1, F.lit(False))
+    return told.filter(may).select(*rows.columns), told.filter(~may).select(*rows.columns)
 
 
 def short_batches(spark: SparkSession) -> None:

@@ -11,14 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import SPACES, Work, small, text_or_empty, unused
+from netloom.llm.common import SPACES, Work, parted, text_or_empty, unused
 
 #: Entries of the frequent-items summary, and so the greatest number of broadcast winners.
 TRACKED = 1024
 #: Summaries are merged in so many groups before the last merge.
 MERGERS = 64
-#: Rows of ids that are broadcast at most.
-BROADCAST_ROWS = 500_000
 
 
 def normal_text(column: str) -> Column:
@@ -96,18 +94,20 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = TRACKED) -> DataFrame:
     """The rows of docs that exact_copies() keeps, with the columns of docs, whatever their names.
 
-    Only digests and ids are shuffled. What goes is told by id and raw text; where rows repeat both, one of them stays.
+    What is shuffled are digests, ids and the rows that go. What goes is told by id and raw text; where rows repeat both,
+    one of them stays. Null and empty texts are one group; an empty table gives an empty result.
     """
     work, key, mark = Work(docs.sparkSession), unused(docs, "_id"), unused(docs, "_mark")
     told = _marked(work, docs, id_col, text_col, tracked)
     other = told.groupBy("doc_id", "mark").agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
     other = work.table(other.filter(~F.col("_stays") | (F.col("_rows") > 1)).withColumnsRenamed({"doc_id": key, "mark": mark}), "not-as-they-are")
     work.drop("digests", "winners")
-    same = docs[id_col].eqNullSafe(other[key]) & (F.xxhash64(docs[text_col]) == other[mark])
-    left = docs.join(small(other, BROADCAST_ROWS), same, "left_anti")
+    touched, left = parted(docs, F.xxhash64(text_col), other, F.col(mark))
+    same = touched[id_col].eqNullSafe(other[key]) & (F.xxhash64(touched[text_col]) == other[mark])
+    left = left.unionByName(touched.join(other, same, "left_anti"))
     repeated = other.filter("_stays")
     if not repeated.take(1):
         return left
-    twins = docs.join(small(repeated, BROADCAST_ROWS), same, "left_semi")
-    once = twins.groupBy(F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_m")).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("_r"))
+    twins = touched.join(repeated, same, "left_semi")
+    once = twins.groupBy(F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_m")).agg(F.first(F.struct(*[touched[c] for c in docs.columns])).alias("_r"))
     return left.unionByName(once.select("_r.*"))

@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import Work, small
+from netloom.llm.common import Work, parted
 
 #: Bytes of text of a block (a longer document is a block of its own), bytes of text for each bucket, least buckets.
 BLOCK, BUCKET, LEAST_BUCKETS = 4 << 20, 4 << 20, 64
-#: Weight of the unigram model behind a context, and the labelled ids that may be broadcast.
-BETA, LABELS = 4.0, 1_000_000
+#: Weight of the unigram model behind a context.
+BETA = 4.0
 #: Hash of what stands before the first word.
 START = 0x9E3779B97F4A7C15
 
@@ -202,8 +202,10 @@ def fit(docs: DataFrame, target_ids: DataFrame) -> tuple[Model, Model]:
     nothing; ids that repeat name their rows once. Null and empty texts add nothing, texts of any length are counted
     whole, and tables without rows give models without counts. Other columns are not read.
     """
-    ids = small(target_ids.select("doc_id").filter("doc_id is not null").distinct().withColumn("is_target", F.lit(True)), LABELS)
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    ids = Work(docs.sparkSession).table(target_ids.select("doc_id").filter("doc_id is not null").distinct(), "target-ids")
+    may, rest = parted(docs.select("doc_id", "text"), F.xxhash64("doc_id"), ids, F.xxhash64("doc_id"))
+    named = may.join(ids.withColumn("is_target", F.lit(True)), "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    marked = named.unionByName(rest.withColumn("is_target", F.lit(False)))
     blocks = blocks_of(marked)
     return Model(docs, blocks, "target"), Model(docs, blocks, "background")
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import Work, short_batches, small
+from netloom.llm.common import Work, parted, short_batches, unused
 
 #: Words of a shingle, percent of similarity, values of a sketch, and the chance that a filter loses a link.
 SHINGLE, PERCENT, K, LOSS = 5, 75, 160, 1e-6
@@ -38,8 +38,6 @@ SHORT = 16
 RATIO = 1.1
 #: Retained values have so many bits: few enough to be stored tightly, enough that two sets share none by chance.
 BITS = 48
-#: Rows of ids that are broadcast at most.
-BROADCAST_ROWS = 500_000
 
 
 class Shingles:
@@ -295,7 +293,8 @@ class _Lists:
     def texts(self, ids: DataFrame) -> DataFrame:
         """id, text of nodes (id, several times or once)."""
         wanted = self.work.table(self.nodes.join(ids.select("id").distinct(), "id").select("id", "first.*"), "wanted")
-        rows = self.docs.join(small(wanted, BROADCAST_ROWS), ["doc_id", "mark"]).select("id", "text")
+        rows, _ = parted(self.docs, F.col("mark"), wanted, F.col("mark"))
+        rows = rows.join(wanted, ["doc_id", "mark"]).select("id", "text")
         return rows.groupBy("id").agg(F.first("text").alias("text"))  # rows may repeat
 
     def link(self, pairs: DataFrame) -> None:
@@ -391,6 +390,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates() keeps, with the columns of docs: rows go by id and text, so no text is lost with another's."""
-    gone = _told(docs, id_col, text_col, PERCENT, K, SHINGLE, LOSS).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
-    mark = F.xxhash64(docs[text_col])
-    return docs.join(small(gone, BROADCAST_ROWS), (docs[id_col] == gone["_gone"]) & (mark == gone["_mark"]), "left_anti")
+    key, mark = unused(docs, "_gone"), unused(docs, "_mark")
+    gone = _told(docs, id_col, text_col, PERCENT, K, SHINGLE, LOSS).filter("not kept").select(F.col("doc_id").alias(key), F.col("mark").alias(mark)).distinct()
+    may_go, stays = parted(docs, F.xxhash64(text_col), gone, F.col(mark))
+    return stays.unionByName(may_go.join(gone, (may_go[id_col] == gone[key]) & (F.xxhash64(may_go[text_col]) == gone[mark]), "left_anti"))

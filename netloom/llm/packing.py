@@ -14,8 +14,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -124,14 +124,27 @@ def first_fit_decreasing(sizes: list[int], room: int) -> list[int]:
     return [tree.place(s) for s in sizes]
 
 
+def slices(batch: pa.RecordBatch, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch (doc_id, text), texts of about so many bytes at a time: a text is held several times while it is encoded."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids: the ids of each document with its end, as little-endian unsigned 32-bit integers."""
+    """doc_id, ids: the ids of each document with its end, as little-endian unsigned 32-bit integers.
+
+    Null and empty texts are the end id alone; texts of any length are encoded whole. Rows that repeat, and null ids, stay as
+    they are; other columns are not read; an empty table gives an empty result.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch):
                 ids = pa.array([x + end for x in word_ids(path).encode(part.column(1).to_pylist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
 
@@ -144,21 +157,21 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """Pieces of all documents with their places: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are the end id alone. Ties in length are broken by id, start and checksum. Rows that repeat an
-    id are packed each for itself; a null id stays null. An empty table gives an empty result. Ids are never shuffled:
+    id are packed each for itself; a null id stays null and comes after all others of its length. A text of any length is
+    encoded whole and cut into as many pieces as it fills; other columns are not read. An empty table gives an empty result. Ids are never shuffled:
     what is shuffled is a few numbers for each document.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch):
                 ids = [x + end for x in word_ids(path).encode(part.column(1).to_pylist())]
                 full = [[zlib.crc32(x[i : i + 4 * length]) for i in range(0, len(x), 4 * length)] for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(full, pa.list_(pa.int64()))], names=["doc_id", "tokens", "crcs"])
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, tokens, crcs = pdf["doc_id"].tolist(), pdf["tokens"].tolist(), pdf["crcs"].tolist()
+    def pack(key: tuple, group: pa.Table) -> pa.Table:
+        ids, tokens, crcs = (group.column(c).to_pylist() for c in ("doc_id", "tokens", "crcs"))
         rows, rests, n = [], [], 0
         for d, (total, sums) in enumerate(zip(tokens, crcs, strict=True)):
             for i, crc in enumerate(sums):
@@ -167,25 +180,17 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     rows.append((d, i * length, size, crc, n, 0))
                     n += 1
                 else:
-                    rests.append((-size, (pd.isna(ids[d]), ids[d]), i * length, crc, d))
+                    rests.append((-size, (ids[d] is None, ids[d] or 0), i * length, crc, d))
         rests.sort()
         bins = first_fit_decreasing([-r[0] for r in rests], length)
         used: dict[int, int] = {}
         for (size, _, start, crc, d), b in zip(rests, bins, strict=True):
             rows.append((d, start, -size, crc, n + b, used.get(b, 0)))
             used[b] = used.get(b, 0) - size
-        out = pd.DataFrame(rows, columns=["d", "start", "length", "ids_crc32", "sequence_id", "offset"])
-        return pd.DataFrame(
-            {
-                "doc_id": pdf["doc_id"].iloc[out["d"]].reset_index(drop=True),
-                "start": out["start"],
-                "length": out["length"],
-                "ids_crc32": out["ids_crc32"],
-                "doc_tokens": pdf["tokens"].iloc[out["d"]].reset_index(drop=True),
-                "sequence_id": (int(key[0]) << 32) + out["sequence_id"],
-                "offset": out["offset"],
-            }
-        )
+        of, start, size, crc, at, offset = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
+        sequence = pc.add(at, pa.scalar(key[0].as_py() << 32, pa.int64()))
+        own = group.select(["doc_id", "tokens"]).take(of)
+        return pa.Table.from_arrays([own.column(0), start, size, crc, own.column(1), sequence, offset], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -194,4 +199,4 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     measured = work.table(rows.mapInArrow(measure, f"doc_id {kind}, tokens long, crcs array<long>").withColumn("row", F.monotonically_increasing_id()), "lengths")
     groups = max(1, -(-measured.count() // group_docs))
     grouped = measured.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(groups))).drop("row")
-    return grouped.groupBy("group").applyInPandas(pack, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return grouped.groupBy("group").applyInArrow(pack, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -16,7 +16,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -107,21 +106,19 @@ def _bounds(pages: DataFrame, span: int | None) -> list[tuple[int | None, str]]:
 
 
 def _range_of(bounds: list[tuple[int | None, str]]):
-    """A function of page_id and payload_digest: the number of bounds that are not above them."""
+    """A function of page_id and payload_digest: the number of bounds that are not above them. Ids are compared as whole numbers."""
     known = sum(i is None for i, _ in bounds)
-    ids, digests = np.array([i for i, _ in bounds[known:]], np.int64), [d for _, d in bounds]
+    ids, digests = [i for i, _ in bounds[known:]], [d for _, d in bounds]
 
-    @F.pandas_udf("int")
-    def number(page_id: pd.Series, digest: pd.Series) -> pd.Series:
-        none = page_id.isna().to_numpy()
-        at = page_id.fillna(0).astype("int64").to_numpy()
-        low, high = known + np.searchsorted(ids, at, "left"), known + np.searchsorted(ids, at, "right")
-        low[none], high[none] = 0, known
-        for k in np.flatnonzero(low < high):  # an id that bounds a range, or several
-            low[k] += bisect.bisect_right(digests[low[k] : high[k]], digest.iloc[k])
-        return pd.Series(low, dtype="int32")
+    def number(page_id: int | None, digest: str) -> int:
+        low, high = (0, known) if page_id is None else (known + bisect.bisect_left(ids, page_id), known + bisect.bisect_right(ids, page_id))
+        return low + (bisect.bisect_right(digests[low:high], digest) if low < high else 0)  # an id that bounds a range, or several
 
-    return number
+    @F.arrow_udf("int")
+    def numbers(page_id: pa.Array, digest: pa.Array) -> pa.Array:
+        return pa.array(map(number, page_id.to_pylist(), digest.to_pylist()), pa.int32())
+
+    return numbers
 
 
 def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, span: int | None = None, least: int = LEAST) -> DataFrame:
@@ -194,7 +191,7 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, span: int | None
     notes = marks.select("page_id", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "payload_digest", "refers_to", F.lit(True).alias("is_mark"))
     rows = rows.unionByName(notes).withColumn("range", _range_of(bounds)("page_id", "payload_digest"))
     order = ["range", "page_id", "payload_digest", F.col("is_mark").desc(), "url"]
-    sorted_rows = rows.repartition(ranges, "range").sortWithinPartitions(*order)
+    sorted_rows = rows.repartitionById(ranges, F.col("range")).sortWithinPartitions(*order)
     written = work.table(sorted_rows.mapInArrow(to_pandas, MANIFEST), "written")
     manifest = work.table(written.repartition("final").mapInPandas(commit, "final string, bytes long, records long, sha256 string"), "manifest")
     manifest.coalesce(1).write.json(f"{folder}/manifest")  # a line for each file

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from netloom.llm import bpe, exact_dedup, license_scan, lm_scoring, near_dup, packing, quality_rules, queries, sharding, token_counts, warc
-from netloom.llm.common import shared_folder
+from netloom.llm.common import Work, parted, shared_folder
 
 DATA, MULTI, WORD = "/root/testdata/sf0.001", public_tokenizers.path(queries.MULTI), public_tokenizers.path(queries.WORD)
 SCHEMA = "doc_id long, text string, lang string, n_chars long, keep_id long, kept string, n int, value string, node int"
@@ -545,3 +545,86 @@ def test_pipeline(spark):
         covered[r["doc_id"]] += r["length"]
         used[r["sequence_id"]] += r["length"]
     assert covered == {i: len(x) for i, x in ids.items()} and max(used.values()) <= 4096
+
+
+# --- ids beyond what a float holds, next to null ones; joins that shuffle only what they must
+
+BIG = 2**53
+
+
+def test_warc_keeps_large_ids_next_to_null_ones(spark, tmp_path):
+    page = "p" * 2000
+    rows = [(BIG + 1 + i, "u", page) for i in range(40)] + [(None, "u", page)]
+    folder = f"file://{tmp_path}/warc"
+    read = warc.read_warc(warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder, span=8000), folder).collect()
+    assert collections.Counter(r["record_type"] for r in read) == {"revisit": 39, "response": 2}
+    assert {r["refers_to"] for r in read if r["record_type"] == "revisit"} == {BIG + 40}
+    assert {r["page_id"] for r in read} == {r[0] for r in rows}
+
+
+@settings(max_examples=5, deadline=None)
+@given(ids=st.lists(st.integers(-(2**63), 2**63 - 1) | st.none(), max_size=30))
+def test_any_ids_are_packed_and_archived(spark, tmp_path_factory, ids):
+    docs = spark.createDataFrame([(i, f"word {n}") for n, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    packed = packing.pack_documents(docs, WORD).collect()
+    key = lambda i: (i is None, i or 0)
+    assert sorted((r["doc_id"] for r in packed), key=key) == sorted(ids, key=key)
+    folder = f"file://{tmp_path_factory.mktemp('w')}/warc"
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.lit("x" * 1500).alias("html"))
+    read = warc.read_warc(warc.write_warc(pages, folder, span=4000), folder).collect()
+    assert sorted((r["page_id"] for r in read), key=key) == sorted(ids, key=key)
+    known = [i for i in ids if i is not None]
+    assert all((r["refers_to"] == max(known)) == (r["page_id"] is not None and r["page_id"] < max(known)) for r in read)
+
+
+def test_packed_ids_next_to_null_ones(spark):
+    docs = spark.createDataFrame([(BIG + 1, "a b"), (BIG + 3, "c d"), (None, "e f")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in packing.pack_documents(docs, WORD).collect()} == {BIG + 1, BIG + 3, None}
+
+
+def shuffled_bytes(spark, df):
+    """Bytes that the exchanges of df's plan write, by its metrics."""
+    df.write.format("noop").mode("overwrite").save()
+    total, plan = 0, df._jdf.queryExecution().executedPlan()
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+            continue
+        if name in ("ShuffleQueryStage", "BroadcastQueryStage", "TableCacheQueryStage"):
+            nodes.append(node.plan())
+            continue
+        if name == "Exchange":
+            total += node.metrics().apply("shuffleBytesWritten").value()
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_joins_shuffle_what_goes_alone(spark):
+    rng = random.Random(11)
+    unique = [(i, words(rng, 150, 10**6)) for i in range(3000)]
+    copies = [(10_000 + i, unique[i][1]) for i in range(60)] + [(BIG + 1, unique[0][1]), (None, unique[5][1])]
+    docs = Work(spark).table(spark.createDataFrame(unique + copies, "doc_id long, text string").repartition(4), "docs")
+    size = sum(len(t) for _, t in unique)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for drop in (exact_dedup.drop_copies, near_dup.drop_near_duplicates):
+            left = drop(docs)
+            assert shuffled_bytes(spark, left) < 0.1 * size
+            gone = {10_000 + i for i in range(60)} | {BIG + 1}
+            assert {r["doc_id"] for r in left.select("doc_id").collect()} - {None} == {i for i, _ in unique + copies if i is not None} - gone
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_filter_of_keys_misses_none(spark):
+    rows = spark.range(5000).withColumn("extra", F.lit("x"))
+    wanted = spark.range(0, 5000, 7).select(F.xxhash64("id").alias("k"))
+    may, rest = parted(rows, F.xxhash64("id"), wanted, F.col("k"))
+    assert may.columns == rest.columns == rows.columns and may.count() + rest.count() == 5000
+    assert {r["id"] for r in may.collect()} >= set(range(0, 5000, 7)) and may.count() < 730
+    nothing, all_ = parted(rows, F.xxhash64("id"), wanted.limit(0), F.col("k"))
+    assert (nothing.count(), all_.count()) == (0, 5000)
