@@ -1,10 +1,13 @@
 """Phrases of words that occur together more often than their parts suggest, by Suffix-sigma.
 
-Texts are cut into pieces, and pieces at words too rare to stand in any phrase. Each place of a piece gives one suffix,
-truncated to the most words of a phrase. Suffixes are counted where they are read, shuffled by language and first word,
-sorted in reverse lexicographic order, and one stack counts all their prefixes in a single pass. A first word that holds
-many of all words is dealt by its next two words too, and what that leaves of its counts in several places is added up
-afterwards. Scores come last, from a join of each phrase's parts.
+Texts are cut into pieces, and pieces where two words stand together too rarely for any phrase. Each place of a piece gives
+one suffix, truncated to the most words of a phrase. Suffixes are counted where they are read, shuffled by language and first
+word, sorted in reverse lexicographic order, and one stack counts all their prefixes in a single pass. A first word that
+holds many of all words is dealt by its next two words too, and what that leaves of its counts in several places is added
+up afterwards. Scores come last, from a join of each phrase's parts.
+
+Which words and pairs are frequent is counted before, by hashes. Hashes only decide where pieces are cut: two that
+meet spare a cut, and no count depends on them.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ UNKNOWN = "und"
 ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Suffixes that a task counts together, and different words that it counts together: what both need in memory is bounded.
 TOGETHER, VOCABULARY = 2_000_000, 1 << 20
-#: Bits of the filter of frequent words: for each of them, and at most. Beyond, rarer words pass it too; counts stay right.
-BITS_EACH, MOST_BITS, CHUNK_BITS = 32, 1 << 27, 1 << 19
+#: Bits of the filter of frequent words and pairs: for each of them, and at most. Beyond, rarer ones pass it too; counts stay right.
+BITS_EACH, MOST_BITS, CHUNK_BITS = 32, 1 << 27, 1 << 15
 #: A first word with more than 1 / SHARE of all words is dealt by its next two words, to one of SPREAD places.
 SHARE, SPREAD = 256, 64
 _CUT = b"."
@@ -47,8 +50,20 @@ def unescape(word: bytes) -> bytes:
     return word.replace(b"\x01\x01", b"\x00").replace(b"\x01\x02", b"\x01") if b"\x01" in word else word
 
 
-def _filter_place(lang: bytes, word: bytes, bits: int) -> int:
-    return xxhash.xxh3_64_intdigest(lang + b"\x00" + word) % bits
+def word_hashes(lang: bytes, words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(lang + b"\x00" + w) for w in words], np.uint64)
+
+
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    """Numbers below 2^41; their last bit is 1."""
+    return ((hashes >> np.uint64(23)) | np.uint64(1)).astype(np.int64)
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Numbers below 2^41; their last bit is 0."""
+    x = (first ^ (first >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + second
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return ((x >> np.uint64(23)) & ~np.uint64(1)).astype(np.int64)
 
 
 class Words:
@@ -82,152 +97,157 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
 
 
-def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, word (its bytes), f: occurrences of each word in each language."""
+class Held:
+    """The word numbers of the texts that a task has read, by language, until they are too many."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+    def __init__(self):
+        self.of: dict[str, tuple[Words, list[np.ndarray]]] = {}
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, (words, counts) in known.items():
-                names = list(words.numbers)[1:]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names)), pa.array(names, pa.binary()), pa.array(counts[1 : len(names) + 1])], names=["lang", "word", "f"])
-            known.clear()
+    def add(self, lang: str, texts: list[str]) -> None:
+        words, ids = self.of.setdefault(lang, (Words(), []))
+        ids.append(words.of(texts))
 
-        for batch in batches:
-            for lang, texts in _by_language(batch):
-                entry = known.setdefault(lang, [Words(), np.zeros(1, np.int64)])
-                ids = entry[0].of(texts)
-                sums = np.bincount(ids, minlength=len(entry[0].numbers)).astype(np.int64)
-                sums[: len(entry[1])] += entry[1]
-                entry[1] = sums
-                if sum(len(w.numbers) for w, _ in known.values()) > VOCABULARY:
-                    yield from flush()
-        yield from flush()
-
-    found = _texts(docs, text_col, lang_col).mapInArrow(counted, "lang string, word binary, f long")
-    return found.groupBy("lang", "word").agg(F.sum("f").alias("f"))
-
-
-def frequent_filter(words: DataFrame, least: int) -> bytes:
-    """A bit for each hash of a word that occurs ``least`` times in its language: MOST_BITS at most, whatever the number of words."""
-    wanted = words.filter(F.col("f") >= least).select("lang", "word")
-    n = wanted.count()
-    bits = min(MOST_BITS, max(CHUNK_BITS, 1 << (BITS_EACH * n).bit_length()))
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                chunk, at = divmod(_filter_place(lang.encode(), word, bits), CHUNK_BITS)
-                if chunk not in maps:
-                    maps[chunk] = np.zeros(CHUNK_BITS // 8, np.uint8)
-                maps[chunk][at >> 3] |= 1 << (at & 7)
-        for chunk, m in maps.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["chunk", "map"])
-
-    def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(CHUNK_BITS // 8, np.uint8)
-        for batch in batches:
-            for m in batch.column("map"):
-                out |= np.frombuffer(m.as_py(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["chunk", "map"])
-
-    parts = wanted.mapInArrow(marks, "chunk int, map binary").groupBy("chunk").applyInArrow(merged, "chunk int, map binary")
-    whole = np.zeros(bits // 8, np.uint8)
-    for chunk, m in parts.collect():  # MOST_BITS / CHUNK_BITS rows at most, 16 MB
-        whole[chunk * CHUNK_BITS // 8 : (chunk + 1) * CHUNK_BITS // 8] = np.frombuffer(m, np.uint8)
-    return whole.tobytes()
+    def full(self) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+        """Language, words and numbers of what must be counted now, so that what is left is within TOGETHER and VOCABULARY."""
+        places = {k: sum(map(len, ids)) for k, (_, ids) in self.of.items()}
+        while self.of and (sum(places.values()) > TOGETHER or sum(len(w.numbers) for w, _ in self.of.values()) > VOCABULARY):
+            yield self.take(most := max(places, key=places.__getitem__))
+            del places[most]
 
+    def take(self, lang: str) -> tuple[str, list[bytes], np.ndarray]:
+        words, ids = self.of.pop(lang)
+        return lang, list(words.numbers), np.concatenate(ids)
 
-def suffixes(docs: DataFrame, frequent: bytes, hot: set[tuple[bytes, bytes]], max_words: int, text_col: str, lang_col: str) -> DataFrame:
-    """dealt, suffix, f: what each task has counted of the truncated suffixes that begin with a frequent word.
 
-    suffix: language and words, escaped, joined by zero bytes. dealt: a hash of language and first word, and for hot ones of the next two words too.
-    """
+def _per_flush(count_, names: list[str]):
+    """A function of batches (text, lang) that yields what count_(lang, words, numbers) makes of them, some millions of words at a time."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(frequent, np.uint8)
-        held: dict[str, list] = {}
-
-        def flush(lang: str) -> Iterator[pa.RecordBatch]:
-            words, ids, _ = held.pop(lang)
-            tag = lang.encode()
-            names = [escape(w) for w in words.numbers]
-            names[0] = b""
-            order = sorted(range(len(names)), key=names.__getitem__)  # the end of a piece comes first
-            kept, place = [b""], np.zeros(len(names), np.int64)
-            for i in order[1:]:
-                at = _filter_place(tag, unescape(names[i]), 8 * len(bits))
-                if bits[at >> 3] >> (at & 7) & 1:
-                    place[i] = len(kept)
-                    kept.append(names[i])
-            at = np.concatenate([place[x] for x in ids])
-            at = np.append(at, np.zeros(max_words, np.int64))
-            n = len(at) - max_words
-            columns = [at[:n]]
-            for k in range(1, max_words):
-                columns.append(np.where(columns[-1] > 0, at[k : k + n], 0))
-            some = columns[0] > 0
-            columns = [c[some] for c in columns]
-            if not len(columns[0]):
-                return
-            packed, used = [columns[0]], len(kept)
-            for c in columns[1:]:
-                if used * len(kept) < 1 << 62:
-                    packed[-1] = packed[-1] * len(kept) + c
-                    used *= len(kept)
-                else:
-                    packed.append(c)
-                    used = len(kept)
-            by = np.lexsort(packed[::-1]) if len(packed) > 1 else np.argsort(packed[0])
-            new = np.zeros(len(by), bool)
-            new[0] = True
-            for p in packed:
-                p = p[by]
-                new[1:] |= p[1:] != p[:-1]
-            first = np.flatnonzero(new)
-            sums = np.diff(np.append(first, len(by)))
-            rows = by[first]
-            hashes = np.array([xxhash.xxh3_64_intdigest(tag + b"\x00" + w) >> 1 for w in kept], np.int64)
-            is_hot = np.array([(tag, w) in hot for w in kept])
-            texts = pa.array(kept, pa.binary())
-            head = pa.scalar(escape(tag), pa.binary())
-            for begin in range(0, len(rows), 1 << 15):
-                part = [c[rows[begin : begin + (1 << 15)]] for c in columns]
-                dealt = hashes[part[0]]
-                if max_words > 1:
-                    spread = (hashes[part[1]] * 31 + (hashes[part[2]] if max_words > 2 else 0)) % SPREAD
-                    dealt = np.where(is_hot[part[0]], dealt + 1 + spread, dealt)
-                joined = pc.binary_join_element_wise(head, *(texts.take(pa.array(p, mask=p == 0)) for p in part), b"\x00", null_handling="skip")
-                yield pa.RecordBatch.from_arrays([pa.array(dealt), joined, pa.array(sums[begin : begin + (1 << 15)])], names=["dealt", "suffix", "f"])
-
+        held = Held()
         for batch in batches:
             for lang, texts in _by_language(batch):
-                entry = held.setdefault(lang, [Words(), [], 0])
-                ids = entry[0].of(texts)
-                entry[1].append(ids)
-                entry[2] += len(ids)
-                while held and (sum(e[2] for e in held.values()) > TOGETHER or sum(len(e[0].numbers) for e in held.values()) > VOCABULARY):
-                    yield from flush(max(held, key=lambda k: held[k][2]))
-        for lang in list(held):
-            yield from flush(lang)
+                held.add(lang, texts)
+                for full in held.full():
+                    yield from (pa.RecordBatch.from_arrays(x, names=names) for x in count_(*full))
+        for lang in list(held.of):
+            yield from (pa.RecordBatch.from_arrays(x, names=names) for x in count_(*held.take(lang)))
+
+    return counted
+
+
+def key_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """key, f: occurrences of each word and of each pair of words that follow one another in a piece, by hashes that tell languages apart."""
+
+    def counted(lang: str, words: list[bytes], at: np.ndarray) -> Iterator[list[pa.Array]]:
+        hashes = word_hashes(lang.encode(), words)
+        single = np.bincount(at, minlength=len(words))[1:]
+        inside = (at[:-1] > 0) & (at[1:] > 0)
+        pairs, sums = np.unique(at[:-1][inside].astype(np.int64) << 32 | at[1:][inside], return_counts=True)
+        keys = np.concatenate([word_keys(hashes[1:]), pair_keys(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF])])
+        sums = np.concatenate([single, sums])
+        for i in range(0, len(keys), 1 << 16):
+            yield [pa.array(keys[i : i + (1 << 16)]), pa.array(sums[i : i + (1 << 16)])]
+
+    found = _texts(docs, text_col, lang_col).mapInArrow(_per_flush(counted, ["key", "f"]), "key long, f long")
+    return found.groupBy("key").agg(F.sum("f").alias("f"))
+
+
+def key_filter(keys: DataFrame) -> bytes:
+    """A bit for each key, modulo a number of bits that follows theirs up to MOST_BITS: 16 MB at most, whatever the number of keys."""
+    bits = min(MOST_BITS, max(CHUNK_BITS, 1 << (BITS_EACH * keys.count()).bit_length()))
+    place = F.col("key") % F.lit(bits)
+    placed = keys.select(F.floor(place / CHUNK_BITS).cast("int").alias("chunk"), (place % CHUNK_BITS).alias("bit"))
+    maps = placed.repartition("chunk").groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("map"))
+    whole = np.zeros(bits // 8, np.uint8)
+    for chunk, m in maps.collect():  # MOST_BITS / CHUNK_BITS rows at most, 16 MB
+        whole[chunk * CHUNK_BITS // 8 : (chunk + 1) * CHUNK_BITS // 8] = np.frombuffer(m, np.uint8)
+    return whole.tobytes()
 
-    return _texts(docs, text_col, lang_col).mapInArrow(counted, "dealt long, suffix binary, f long")
 
+def suffixes(docs: DataFrame, frequent: bytes, hot: set[int], max_words: int, text_col: str, lang_col: str) -> DataFrame:
+    """dealt, suffix, f: what each task has counted of the truncated suffixes, each cut where a word or pair is not frequent.
 
-def count_prefixes(sorted_suffixes: DataFrame, least: int, hot: set[tuple[bytes, bytes]]) -> DataFrame:
-    """lang, phrase, words, f of the prefixes of suffixes in reverse order, by one stack; below ``least`` only where the rest may be elsewhere."""
+    suffix: language and words, escaped, joined by zero bytes; of a place whose word is not frequent, the language alone.
+    dealt: a hash of language and first word, and where that is ``hot`` of the next two words too.
+    """
+
+    def counted(lang: str, words: list[bytes], at: np.ndarray) -> Iterator[list[pa.Array]]:
+        bits, tag = np.frombuffer(frequent, np.uint8), lang.encode()
+
+        def told(keys: np.ndarray) -> np.ndarray:
+            keys = keys % (8 * len(bits))
+            return (bits[keys >> 3] >> (keys & 7).astype(np.uint8) & 1).astype(bool)
+
+        hashes = word_hashes(tag, words)
+        known = told(word_keys(hashes))
+        known[0] = False
+        names = [escape(w) if k else b"" for w, k in zip(words, known.tolist(), strict=True)]
+        order = sorted(np.flatnonzero(known).tolist(), key=names.__getitem__)
+        place = np.zeros(len(words), np.int64)  # in the order of words; 0 for those that are cut out
+        place[order] = np.arange(1, len(order) + 1)
+        rest = int(np.count_nonzero(at)) - int(np.count_nonzero(known[at]))
+        kept, hashes = [b"", *(names[i] for i in order)], np.concatenate([hashes[:1], hashes[order]])
+        head = escape(tag)
+        if rest:
+            yield [pa.array([0]), pa.array([head], pa.binary()), pa.array([rest])]
+        at = place[at]
+        goes_on = np.zeros(len(at), bool)
+        inside = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
+        goes_on[inside] = told(pair_keys(hashes[at[inside]], hashes[at[inside + 1]]))
+        begin = np.flatnonzero(at)
+        columns, going = [at[begin]], np.ones(len(begin), bool)
+        for k in range(1, max_words):
+            last = np.minimum(begin + k - 1, len(at) - 1)
+            going = going & goes_on[last]
+            columns.append(np.where(going, at[np.minimum(last + 1, len(at) - 1)], 0))
+        packed, used = [columns[0]], len(kept)
+        for c in columns[1:]:
+            if used * len(kept) < 1 << 62:
+                packed[-1] = packed[-1] * len(kept) + c
+                used *= len(kept)
+            else:
+                packed.append(c)
+                used = len(kept)
+        by = np.lexsort(packed[::-1]) if len(packed) > 1 else np.argsort(packed[0])
+        new = np.zeros(len(by), bool)
+        new[:1] = True
+        for p in packed:
+            p = p[by]
+            new[1:] |= p[1:] != p[:-1]
+        first = np.flatnonzero(new)
+        sums, rows = np.diff(np.append(first, len(by))), by[first]
+        deal = (hashes >> np.uint64(2)).astype(np.int64)
+        is_hot = np.isin(word_keys(hashes), np.array(sorted(hot), np.int64))
+        texts, first_part = pa.array(kept, pa.binary()), pa.scalar(head, pa.binary())
+        for i in range(0, len(rows), 1 << 15):
+            part = [c[rows[i : i + (1 << 15)]] for c in columns]
+            following = sum((deal[c] * 31**k for k, c in enumerate(part[1:3])), np.zeros(len(part[0]), np.int64))
+            dealt = np.where(is_hot[part[0]], deal[part[0]] + 1 + following % SPREAD, deal[part[0]])
+            joined = pc.binary_join_element_wise(first_part, *(texts.take(pa.array(p, mask=p == 0)) for p in part), b"\x00", null_handling="skip")
+            yield [pa.array(dealt), joined, pa.array(sums[i : i + (1 << 15)])]
+
+    return _texts(docs, text_col, lang_col).mapInArrow(_per_flush(counted, ["dealt", "suffix", "f"]), "dealt long, suffix binary, f long")
+
+
+def count_prefixes(sorted_suffixes: DataFrame, least: int, hot: set[int]) -> DataFrame:
+    """lang, phrase, words, f of the prefixes of suffixes in reverse order, by one stack; below ``least`` only where the rest may be elsewhere.
+
+    A language itself is a prefix without words: its f are the words of this part of the suffixes.
+    """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path: list[bytes] = []  # language and words of the suffix before
         sums: list[int] = []
         out: list[tuple[str, str, int, int]] = []
 
+        def in_parts() -> bool:
+            """Whether other tasks may have the same prefix: languages, and a hot word with one more at most."""
+            return len(path) == 1 or len(path) <= 3 and int(word_keys(word_hashes(unescape(path[0]), [unescape(path[1])]))[0]) in hot
+
         def close(down_to: int) -> None:
             while len(path) > down_to:
                 f = sums.pop()
-                if len(path) > 1 and (f >= least or len(path) <= 3 and (path[0], path[1]) in hot):
+                if f >= least or in_parts():
                     out.append((unescape(path[0]).decode(), b" ".join(map(unescape, path[1:])).decode(), len(path) - 1, f))
                 path.pop()
                 if sums:
@@ -257,16 +277,16 @@ def count_prefixes(sorted_suffixes: DataFrame, least: int, hot: set[tuple[bytes,
     return sorted_suffixes.select("suffix", "f").mapInArrow(prefixes, "lang string, phrase string, words int, f long")
 
 
-def phrase_counts(work: Work, docs: DataFrame, words: DataFrame, max_words: int, least: int, text_col: str, lang_col: str) -> DataFrame:
-    """lang, phrase, words, f of all phrases of 1 to ``max_words`` words that occur ``least`` times. words: as word_counts() gives them."""
-    total = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
-    heavy = words.filter(F.col("f") > total / SHARE).select("lang", "word").collect()  # SHARE rows at most
-    hot = {(lang.encode(), bytes(word)) for lang, word in heavy}
-    keys = {(tag, escape(word)) for tag, word in hot}
-    found = suffixes(docs, frequent_filter(words, least), keys, max_words, text_col, lang_col)
-    in_order = found.repartition("dealt").sortWithinPartitions(F.desc("suffix"))
-    counts = count_prefixes(in_order, least, {(escape(tag), word) for tag, word in keys})
-    return work.table(counts.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("f").alias("f")).filter(F.col("f") >= least), "counts")
+def phrase_counts(work: Work, docs: DataFrame, max_words: int, least: int, text_col: str, lang_col: str) -> DataFrame:
+    """lang, phrase, words, f of all phrases of 1 to ``max_words`` words that occur ``least`` times; with 0 words, all words of a language."""
+    keys = work.table(key_counts(docs, text_col, lang_col).filter(F.col("f") >= least), "keys")
+    single = keys.filter("key % 2 = 1")
+    total = single.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    hot = {r["key"] for r in single.filter(F.col("f") > total / SHARE).collect()}  # SHARE rows at most
+    found = suffixes(docs, key_filter(keys), hot, max_words, text_col, lang_col)
+    counts = count_prefixes(found.repartition("dealt").sortWithinPartitions(F.desc("suffix")), least, hot)
+    counts = counts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+    return work.table(counts.filter((F.col("f") >= least) | (F.col("words") == 0)), "counts")
 
 
 def _joined(words: str, start: Column | int, length: Column) -> Column:
@@ -308,12 +328,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     whole. An empty table, or one without frequent phrases, gives an empty result.
     """
     work = Work(docs.sparkSession)
-    words = work.table(word_counts(docs, text_col, lang_col), "words")
-    counts = phrase_counts(work, docs, words, max_words, least, text_col, lang_col)
-    totals = work.table(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    work.drop("words")
-    scored = work.table(longest_only(score_phrases(counts, totals), counts), "scored")
-    work.drop("counts", "totals")
+    counts = phrase_counts(work, docs, max_words, least, text_col, lang_col)
+    work.drop("keys")
+    totals = counts.filter("words = 0").select("lang", F.col("f").alias("n"))
+    scored = work.table(longest_only(score_phrases(counts.filter("words > 0"), totals), counts), "scored")
+    work.drop("counts")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     some = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SPREAD))).orderBy(*order)
     first = scored.withColumn("_r", F.row_number().over(some)).filter(F.col("_r") <= top).drop("_r")
