@@ -3,7 +3,7 @@
 A text of up to ``chunk`` characters is encoded as it is. A longer one is cut into chunks that overlap; each chunk is
 pre-tokenised by itself, in parallel. A scan of the pattern from a given place depends on what follows only, so from
 the first place where the boundaries of two neighbouring chunks coincide they agree for good: there the chunks are
-stitched. The pieces between stitches are encoded in parallel, and their ids follow one another. Neighbours that
+stitched, unless white space comes before it. The pieces between stitches are encoded in parallel, and their ids follow one another. Neighbours that
 never agree within their overlap are joined and scanned again from the last certain boundary.
 """
 
@@ -73,7 +73,8 @@ def stitches(edges: list[dict], chunk: int, text: str) -> list[int]:
                     break
                 seen.append(m.end())
             tail = seen = [e for e in seen if e >= i * chunk]
-        meet = sorted(set(tail) & set(after["head"]))
+        # a piece that ends in white space would be scanned otherwise by itself: what follows decides how such a run is cut
+        meet = sorted(m for m in set(tail) & set(after["head"]) if not text[m - 1].isspace())
         if meet:
             starts.append(meet[0])
             scan, seen = None, []

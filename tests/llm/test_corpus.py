@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -199,7 +199,8 @@ def test_token_counts(docs, rows, empty):
     assert token_counts.suffix_sums(token_counts.length_histogram(empty, MULTI)).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=300, deadline=None)
+@example("aaaaaaa  's's  \xa0a")
 @given(st.lists(st.sampled_from(["a", "Z", "é", " ", "  ", "\n", "\t", "'s", "'", "12", "!?", "日", " ", "🙂", "aaaaaaaaaaaaaaaaaaaaaaaa"]), max_size=120).map("".join))
 def test_stitched_pieces_encode_alike(text):
     whole, chunk, overlap = bpe.encode(text, MULTI).tolist(), 16, 8
