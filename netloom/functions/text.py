@@ -64,14 +64,11 @@ def mime_category(mime: Column, url: Column) -> Column:
     return out.otherwise("other")
 
 
-#: How texts of a kind begin, in lower case; declarations that tell a style sheet; ISOBMFF brands.
-HTML_BEGINS = ("<!doctype", "<html", "<head", "<body")
-HTML_WITHIN = ("<html", "<head", "<!doctype")
-CSS_BEGINS = ("@charset", "@import", "@media", "@font-face", "@keyframes", "@layer", "@supports", "@namespace")
-CSS_PROPERTIES = ("display", "margin", "padding", "color", "background", "font-", "border", "width", "height", "position", "overflow", "text-align", "flex", "grid")
-JS_BEGINS = ("(function", "function ", "function(", "var ", "let ", "const ", '"use strict"', "'use strict'", "import ", "export ", "window.", "document.", "self.", "globalthis.")
-JS_MINIFIED = r"^(!function|void function|\(\s*\(\s*\)|\(\s*function\s*\()"
-JS_WORDS = r"\b(function[ (]|var |let |const |import |export |return[ ;]|=>)\b"
+#: Names of tags at a page's beginning; of rules and properties of style sheets; words of scripts; ISOBMFF brands.
+PAGE_TAGS = ("html", "head", "body")
+AT_RULES = ("charset", "import", "media", "font-face", "keyframes", "layer", "supports", "namespace")
+PROPERTIES = ("display", "margin", "padding", "color", "background", "border", "width", "height", "position", "overflow", "align", "flex", "grid")
+STATEMENTS, GLOBALS, FUNCTION = ("var", "let", "const", "import", "export"), ("window", "document", "self", "globalthis"), "function"
 AVIF_BRANDS, HEIC_BRANDS = ("avif", "avis"), ("heic", "heix", "hevc", "hevx", "mif1")
 
 
@@ -79,20 +76,43 @@ def _begins(text: Column, heads: tuple[str, ...]) -> Column:
     return F.exists(F.array(*map(F.lit, heads)), lambda h: F.startswith(text, h))
 
 
-def sniff_text(body: Column) -> Column:
-    """The kind of a text body by its first 1024 characters: markup, then style sheets, then scripts; empty where it shows none."""
-    sample = F.substring(body, 1, 1024)
-    told = F.regexp_replace(sample, "^[\\s\\uFEFF\\xEF\\xBB\\xBF]+", "")
-    low = F.lower(told)
-    comment = F.startswith(low, F.lit("<!--")) & F.exists(F.array(*map(F.lit, HTML_WITHIN)), lambda h: F.contains(low, h))
-    rule = told.rlike(r"(?i)^[a-z*#.:\[_][^{]*\{[^}]*[;:]") & told.rlike(r"(?i)\b(" + "|".join(CSS_PROPERTIES) + r")\s*:")
-    noted = _begins(low, ("//", "/*")) & sample.rlike(JS_WORDS)
+def _style_rule(text: Column) -> Column:
+    """Whether a selector, a block with a declaration and a known property stand in a lower-case text."""
+    selector, rest = F.substring_index(text, "{", 1), F.substr(text, F.instr(text, "{") + 1)
+    block = F.substring_index(rest, "}", 1)
+    names = F.regexp_extract_all(text, F.lit(r"([a-z-]+)\s*:"), F.lit(1))
+    known = F.exists(names, lambda n: F.substring_index(n, "-", -1).isin(*PROPERTIES))
+    opens = F.contains(text, F.lit("{")) & F.substring(selector, 1, 1).rlike("[a-z_]|[^\\w\\s<(\"'/@&;!]")
+    return opens & (F.contains(block, F.lit(":")) | F.contains(block, F.lit(";"))) & known
+
+
+def _script(text: Column, sample: Column) -> Column:
+    """Whether a lower-case text begins with a statement, an access to a global, or a function that is called at once; after a comment any script word tells."""
+    word = F.regexp_extract(text, "^[a-z]+", 0)
+    after, dense = F.substr(text, F.length(word) + 1, F.lit(1)), F.regexp_replace(F.substring(text, 1, 64), r"\s", "")
+    called = _begins(dense, (f"({FUNCTION}", f"!{FUNCTION}", f"void{FUNCTION}", "(()"))
+    strict = F.substring(text, 2, 10) == "use strict"
+    words = F.regexp_extract_all(sample, F.lit("([a-z]+)[ (;]"), F.lit(1))
+    shown = F.arrays_overlap(words, F.array(*map(F.lit, (*STATEMENTS, FUNCTION, "return")))) | F.contains(sample, F.lit("=>"))
     return (
-        F.when(_begins(low, HTML_BEGINS) | comment, "text/html")
-        .when(_begins(low, CSS_BEGINS) | rule, "text/css")
-        .when(_begins(low, JS_BEGINS) | told.rlike(JS_MINIFIED) | noted, "application/javascript")
-        .otherwise("")
-    )
+        (word.isin(*STATEMENTS) & (after == " ")) | ((word == FUNCTION) & after.isin(" ", "(")) | (word.isin(*GLOBALS) & (after == "."))
+        | strict | called | (_begins(text, ("//", "/*")) & shown)
+    )
+
+
+def sniff_text(body: Column) -> Column:
+    """The kind of a text body by its first 1024 characters: markup, then style sheets, then scripts; empty where it shows none.
+
+    The text is told by its first word and what stands before and after it.
+    """
+    sample = F.lower(F.substring(body, 1, 1024))
+    text = F.regexp_replace(sample, "^[\\s\\uFEFF\\xEF\\xBB\\xBF]+", "")
+    mark, word = F.regexp_extract(text, r"^\W*", 0), F.regexp_extract(text, r"^\W*([a-z-]*)", 1)
+    tags = F.regexp_extract_all(text, F.lit("<(!?[a-z]+)"), F.lit(1))
+    commented = F.startswith(text, F.lit("<!--")) & F.exists(tags, lambda t: _begins(t, ("html", "head", "!doctype")))
+    page = ((mark == "<") & _begins(word, PAGE_TAGS)) | ((mark == "<!") & F.startswith(word, F.lit("doctype"))) | commented
+    style = ((mark == "@") & _begins(word, AT_RULES)) | _style_rule(text)
+    return F.when(page, "text/html").when(style, "text/css").when(_script(text, sample), "application/javascript").otherwise("")
 
 
 def sniff_magic(body: Column) -> Column:
