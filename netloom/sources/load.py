@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions.text import sniff_capture
-from netloom.sources import archives, http1, json_captures, lines, lookups, packets
+from netloom.sources import archives, http1, json_captures, lines, lookups, packets, ranges
 
 #: Bytes of a file's beginning that tell its format.
 HEAD = 65_536
 
 
 def formats(spark: SparkSession, path: str) -> DataFrame:
-    """capture, gzipped, format: one row per file, by its first 64 KB after gzip."""
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for data in batch.column(1):
-                raw = data.as_py()
-                try:
-                    out.append(zlib.decompressobj(47).decompress(raw, HEAD) if raw[:2] == b"\x1f\x8b" else raw[:HEAD])
-                except zlib.error:
-                    out.append(b"")
-            gzipped = pa.array([data.as_py()[:2] == b"\x1f\x8b" for data in batch.column(1)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), gzipped, pa.array(out, pa.binary())], names=["capture", "gzipped", "head"])
-
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(heads, "capture string, gzipped boolean, head binary")
-    return rows.select("capture", "gzipped", sniff_capture(F.col("head")).alias("format"))
+    """capture, gzipped, format: one row per file, by its first 64 KB after gzip; of a large file no more is read."""
+    return ranges.heads(spark, path, HEAD).select("capture", "gzipped", sniff_capture(F.col("head")).alias("format"))
 
 
 def _netlog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
