@@ -33,8 +33,8 @@ UNKNOWN = "und"
 ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Suffixes that a task counts together, and different words that it counts together: what both need in memory is bounded.
 TOGETHER, VOCABULARY = 2_000_000, 1 << 20
-#: Bits of the filter of frequent words and pairs: for each of them, and at most. Beyond, rarer ones pass it too; counts stay right.
-BITS_EACH, MOST_BITS, CHUNK_BITS = 32, 1 << 27, 1 << 15
+#: Bits of the filter of frequent words and pairs: for each of them at least, and at most, which is enough for 16 million. Some rarer ones pass it too; counts stay right.
+BITS_EACH, MOST_BITS, CHUNK_BITS = 8, 1 << 27, 1 << 15
 #: A first word with more than 1 / SHARE of all words is dealt by its next two words, to one of SPREAD places.
 SHARE, SPREAD = 256, 64
 _CUT = b"."
@@ -154,7 +154,7 @@ def key_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 def key_filter(keys: DataFrame) -> bytes:
     """A bit for each key, modulo a number of bits that follows theirs up to MOST_BITS: 16 MB at most, whatever the number of keys."""
-    bits = min(MOST_BITS, max(CHUNK_BITS, 1 << (BITS_EACH * keys.count()).bit_length()))
+    bits = min(MOST_BITS, max(CHUNK_BITS, 1 << (BITS_EACH * keys.count() - 1).bit_length()))
     place = F.col("key") % F.lit(bits)
     placed = keys.select(F.floor(place / CHUNK_BITS).cast("int").alias("chunk"), (place % CHUNK_BITS).alias("bit"))
     maps = placed.repartition("chunk").groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("map"))
