@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions.text import priority_name, split_header, view_id, view_title
+from netloom.operators.ownership import written
 from netloom.operators.pages import as_extensions, without
 from netloom.operators.traces import anchors_page, base_time, one_clock, timeline_only
+from netloom.sources import json_ranges, ranges
 
 #: Page timings that are lifted to the page under another name.
 RENAMED = {"_firstPaint": "_render", "_largestContentfulPaint": "_LargestContentfulPaint", "_domInteractiveTime": "_domInteractive", "_userTimings": "_user_timing"}
@@ -98,29 +100,39 @@ def pieces(text: str, size: int) -> list[tuple[int, str]]:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """capture, first, doc: one JSON document for each file (gzip is inflated by its name); what is not JSON is left out.
+    """capture, first, doc: one JSON document for each file, gzipped or not; what is not JSON is left out.
 
     A VARIANT holds at most 128 MiB, so a document of more than ``PIECE`` characters is several rows: slices of the arrays
     that the readers take apart (``ARRAYS``), and first is the place of a slice's first element. A single element that
-    is too large raises an error, as does a file of 2 GB or more. A file is read by one task.
+    is too large raises an error. A file of up to ``ranges.SMALL`` bytes is read by one task; a larger one is cut into byte
+    ranges, unless it is gzipped or has none of the arrays at ``json_ranges.PATHS``: then one task reads it, below 2 GB.
     """
     size = PIECE
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py()
+                text = b"".join(ranges.inflated(iter([batch.column(1)[i].as_py()]))).decode("utf-8", "replace").removeprefix("\ufeff")
                 try:
                     told = [(0, text)] if len(text) <= size else pieces(text, size)
                 except (ValueError, IndexError):
                     continue
                 for first, piece in told:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([first], pa.int32()), pa.array([len(text) > size]), pa.array([piece])], names=["capture", "first", "sliced", "text"])
-
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("capture"), "value").mapInArrow(split, "capture string, first int, sliced boolean, text string")
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([first], pa.int64()), pa.array([piece])], names=["capture", "first", "text"])
+
+    whole = lambda content: content.select("path", "content").mapInArrow(split, "capture string, first long, text string")
+    rows = whole(spark.read.format("binaryFile").load(path).filter(F.col("length") <= ranges.SMALL))
+    large = ranges.files(spark, path).filter(F.col("length") > ranges.SMALL)
+    if large.take(1):
+        kinds = written(ranges.zipped(large))
+        parts, known = json_ranges.slices(kinds.filter("not gzipped"), ranges.RANGE, size)
+        rest = [r["path"] for r in kinds.join(known.withColumnRenamed("capture", "path"), "path", "left_anti").collect()]
+        rows = rows.unionByName(parts)
+        if rest:
+            rows = rows.unionByName(whole(spark.read.format("binaryFile").load(rest)))
     doc = F.try_parse_json("text")
     large = F.raise_error(F.concat(F.col("capture"), F.lit(": an element is too large for a VARIANT"))).cast("string")
-    return rows.select("capture", "first", F.when(F.col("sliced") & doc.isNull(), F.parse_json(large)).otherwise(doc).alias("doc")).filter("doc is not null")
+    return rows.select("capture", F.col("first").cast("int").alias("first"), F.when((F.length("text") > 2 * size) & doc.isNull(), F.parse_json(large)).otherwise(doc).alias("doc")).filter("doc is not null")
 
 
 def _explode(df: DataFrame, source: str) -> DataFrame:

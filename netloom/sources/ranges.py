@@ -56,8 +56,9 @@ def inflated(blocks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def blocks_of(f: pa.NativeFile, start: int, end: int) -> Iterator[bytes]:
-    f.seek(start)
-    while start < end and (data := f.read(min(BLOCK, end - start))):
+    end = min(end, f.size())
+    while start < end:
+        data = f.read_at(min(BLOCK, end - start), start)
         yield data
         start += len(data)
 

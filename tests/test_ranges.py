@@ -8,8 +8,8 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.sources import packets, ranges
-from netloom.sources.load import formats
+from netloom.sources import json_captures, json_ranges, packets, ranges
+from netloom.sources.load import formats, load
 
 from tests.test_sources import frame
 
@@ -78,3 +78,71 @@ def test_members_of_gzip():
     assert b"".join(ranges.inflated(iter([data]))) == b"abcd"
     assert b"".join(ranges.inflated(data[i : i + 3] for i in range(0, len(data), 3))) == b"abcd"
     assert b"".join(ranges.inflated(iter([data[:-4]]))) == b"abcd" and b"".join(ranges.inflated(iter([b"plain", b"er"]))) == b"plainer"
+
+
+# --- JSON
+
+
+def texts(rng, n):
+    """Strings that look like structure, with escapes of all kinds."""
+    parts = ['"', "\\", "\\\\", "{", "}", "[", "]", ",", ":", '"log":[', "é", "🙂", " ", "\n", "x"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(n)]
+
+
+def capture_texts(seed):
+    rng = random.Random(seed)
+    value = lambda d=0: rng.choice([1, None, True, rng.choice(texts(rng, 3)), *([] if d > 2 else [[value(d + 1) for _ in range(rng.randrange(3))], {t + str(i): value(d + 1) for i, t in enumerate(texts(rng, 2))}])])
+    elements = lambda n: [{"a": value(), "entries": [value(), {"log": {"pages": [1]}}], "traceEvents": [3]} for _ in range(n)]
+    shape = rng.choice([None, 2])
+    return {
+        "har": json.dumps({"pages": [9], "log": {"creator": {"pages": {"x": [1]}}, "pages": elements(3), "entries": elements(30), "x": value()}, "entries": [4]}, indent=shape, ensure_ascii=False),
+        "trace": json.dumps({"metadata": value(), "traceEvents": elements(40), "log": [1, 2]}, indent=shape),
+        "bare": json.dumps([value() for _ in range(60)], indent=shape),
+        "none": json.dumps({"empty": value()}),
+        "hollow": json.dumps({"traceEvents": [], "y": value()}),
+    }
+
+
+def rebuilt(rows):
+    """Elements by their members and places."""
+    out = {}
+    for r in rows:
+        doc, members = json.loads(r["text"]), []
+        while isinstance(doc, dict):
+            (k, doc), = doc.items()
+            members.append(k)
+        for i, x in enumerate(doc):
+            assert out.setdefault((*members, r["first"] + i), x) is x  # each element once
+    return out
+
+
+@pytest.mark.parametrize("seed,size,piece", [(1, 7, 50), (2, 64, 1), (3, 100, 10_000), (4, 1000, 300)])
+def test_json_by_ranges(spark, tmp_path, monkeypatch, seed, size, piece):
+    monkeypatch.setattr(ranges, "BLOCK", 13)
+    told = capture_texts(seed)
+    for name, text in told.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    rows, known = json_ranges.slices(ranges.files(spark, str(tmp_path)), size, piece)
+    found = {}
+    for r in rows.collect():
+        found.setdefault(r["capture"].rsplit("/", 1)[1], []).append(r)
+    right = {k: json.loads(t) for k, t in told.items()}
+    entries = {("log", n, i): x for n in ("pages", "entries") for i, x in enumerate(right["har"]["log"][n])}
+    assert rebuilt(found["har"]) == entries
+    assert rebuilt(found["trace"]) == {("traceEvents", i): x for i, x in enumerate(right["trace"]["traceEvents"])}
+    assert rebuilt(found["bare"]) == {(i,): x for i, x in enumerate(right["bare"])}
+    assert "none" not in found and rebuilt(found.get("hollow", [])) == {}
+    assert {r["capture"].rsplit("/", 1)[1] for r in known.collect()} >= {"har", "trace", "bare", "hollow"}
+
+
+def test_tables_of_large_files_equal_those_of_small_ones(spark, tmp_path, monkeypatch):
+    entry = lambda i: {"startedDateTime": f"2024-01-01T00:00:{i % 60:02d}Z", "request": {"method": "GET", "url": f'https://a/{i}?"[{{'}, "response": {"status": 200}, "timings": {"wait": i, "connect": i % 3}}
+    (tmp_path / "a.har").write_text(json.dumps({"log": {"version": "1.2", "pages": [{"id": "p", "title": "t"}], "entries": [entry(i) for i in range(300)]}}))
+    (tmp_path / "b.har").write_bytes(gzip.compress((tmp_path / "a.har").read_bytes()))  # told by content, not by name
+    names = ("pages", "requests")
+    rows = lambda: {n: sorted(map(str, load(spark, str(tmp_path))[n].collect())) for n in names}
+    whole = rows()
+    monkeypatch.setattr(ranges, "SMALL", 1000)
+    monkeypatch.setattr(ranges, "RANGE", 3000)
+    monkeypatch.setattr(json_captures, "PIECE", 4000)
+    assert rows() == whole and len(whole["requests"]) == 600
