@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pair_begin_end(df: DataFrame, by: str, order: list[str], is_begin: Column, ts: str, name: str, same_name: bool = False) -> DataFrame:
+def pair_begin_end(df: DataFrame, by: str, order: list[str], is_begin: Column, ts: str, name: str, same_name: bool = False, whole_end: Column | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """by, depth, start, end, name: spans of nested begin and end events, without replaying a stack.
 
     With S the running sum of +1 and -1 and M the running minimum of 0 and S, an end that lowers M closes nothing. Each
     other event has a depth, at which begins and ends alternate; an end closes the begin before it at its depth.
-    ``same_name``: an end of another name takes the begin away, but makes no span.
+    ``same_name``: an end of another name takes the begin away, but makes no span. Events for which ``whole_end`` is not null
+    are spans by themselves, one deeper than the begins that are open. ``carried``: columns of the begins, or of the whole
+    events, that spans keep.
     """
     w = Window.partitionBy(by).orderBy(*order)
-    stepped = df.withColumn("_b", is_begin).withColumn("_s", F.sum(F.when(is_begin, 1).otherwise(-1)).over(w))
+    whole = F.lit(None).cast(df.schema[ts].dataType) if whole_end is None else whole_end
+    step = F.when(F.col("_e").isNotNull(), 0).when(F.col("_b"), 1).otherwise(-1)
+    stepped = df.withColumn("_b", is_begin).withColumn("_e", whole).withColumn("_s", F.sum(step).over(w))
     low = stepped.withColumn("_m", F.least(F.lit(0), F.min("_s").over(w)))
-    low = low.withColumn("_pm", F.coalesce(F.lag("_m").over(w), F.lit(0))).filter(F.col("_b") | (F.col("_m") == F.col("_pm")))
+    low = low.withColumn("_pm", F.coalesce(F.lag("_m").over(w), F.lit(0))).filter(F.col("_b") | F.col("_e").isNotNull() | (F.col("_m") == F.col("_pm")))
+    alone = low.filter("_e is not null").select(by, (F.col("_s") - F.col("_m") + 1).cast("long").alias("depth"), F.col(ts).alias("start"), F.col("_e").alias("end"), F.col(name).alias("name"), *carried)
+    low = low.filter("_e is null")
     deep = low.withColumn("depth", (F.col("_s") - F.col("_m") + F.when(F.col("_b"), 0).otherwise(1)).cast("long"))
     at = Window.partitionBy(by, "depth").orderBy(*order)
-    paired = deep.withColumn("_p", F.lag(F.struct(F.col("_b").alias("b"), F.col(ts).alias("t"), F.col(name).alias("n"))).over(at))
+    paired = deep.withColumn("_p", F.lag(F.struct(F.col("_b").alias("b"), F.col(ts).alias("t"), F.col(name).alias("n"), *carried)).over(at))
     meets = (F.col("_p.n") == F.col(name)) if same_name else F.lit(True)
-    return paired.filter(~F.col("_b") & F.col("_p.b") & meets).select(by, "depth", F.col("_p.t").alias("start"), F.col(ts).alias("end"), F.col("_p.n").alias("name"))
+    pairs = paired.filter(~F.col("_b") & F.col("_p.b") & meets).select(by, "depth", F.col("_p.t").alias("start"), F.col(ts).alias("end"), F.col("_p.n").alias("name"), *(F.col(f"_p.{c}").alias(c) for c in carried))
+    return pairs if whole_end is None else pairs.unionByName(alone)
 
 
 def slice_width(span_us: Column) -> Column:
@@ -93,14 +103,58 @@ def with_parents(spans: DataFrame, by: str, depth: str, start: str, name: str) -
     return both.withColumn("parent", F.last("_name", ignorenulls=True).over(w)).filter("_up = 1").drop("_k", "_up", "_name")
 
 
-def exclusive_slices(spans: DataFrame, by: str, start: str, end: str, name: str, width_us: int) -> DataFrame:
-    """by, name, slice, usecs: time in each slice that is an event's own: what its children take is theirs, up to the whole slice.
+def exclusive_slices(spans: DataFrame, by: str, start: str, end: str, name: str, width_us: int, depth: str = "depth") -> DataFrame:
+    """by, name, slice, usecs: time in each slice that is an event's own, folded over the slice's spans in the order of their start and depth.
 
-    spans: nested, with ``parent``. A child of its parent's name adds nothing.
+    spans: with ``depth`` and ``parent`` (a name, or null). A span adds its time to its name, at most the whole slice. Its parent loses
+    as much if it has that much there. Where the names together exceed the slice, the others share what the span leaves,
+    in the order in which their names came first for ``by``. A span of its parent's name adds nothing. Spans of a slice pass
+    through the fold one by one; only the names of one slice are held.
     """
-    own = spans.filter(~F.col(name).eqNullSafe(F.col("parent")))
-    cut = slice_histogram(own, [by, name, "parent"], start, end, width_us)
-    gains = cut.select(by, name, "slice", "usecs")
-    losses = cut.filter("parent is not null").select(by, F.col("parent").alias(name), "slice", (-F.col("usecs")).alias("usecs"))
-    sums = gains.unionByName(losses).groupBy(by, name, "slice").agg(F.sum("usecs").alias("usecs"))
-    return sums.withColumn("usecs", F.least(F.greatest(F.col("usecs"), F.lit(0)), F.lit(width_us)).cast("long"))
+    kinds = {f.name: f.dataType.simpleString() for f in spans.schema}
+    first = spans.groupBy(by, name).agg(F.min(F.struct(start, depth)).alias("_first"))
+    ranks = first.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy("_first", name))).select(by, name, "_rank")
+    at = [F.expr(f"{start} div {width_us}"), F.expr(f"greatest({start}, {end} - 1) div {width_us}")]
+    own = spans.filter(~F.col(name).eqNullSafe(F.col("parent")) & (F.col(end) > F.col(start)))
+    cut = own.select(by, name, "parent", start, end, depth, F.explode(F.sequence(*at)).alias("slice"))
+    used = F.least(F.col(end), (F.col("slice") + 1) * width_us) - F.greatest(F.col(start), F.col("slice") * width_us)
+    parents = ranks.select(by, F.col(name).alias("parent"), F.col("_rank").alias("_parent"))
+    cut = cut.join(ranks, [by, name]).join(parents, [by, "parent"], "left")
+    rows = cut.select(by, "slice", "_rank", "_parent", used.cast("long").alias("_used"), start, depth).repartition(by, "slice").sortWithinPartitions(by, "slice", start, depth, "_rank")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shares, total, out = None, {}, 0, []
+
+        def told() -> pa.RecordBatch:
+            who, slices, names, sums = zip(*out, strict=True) if out else ((), (), (), ())
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(who, kind), pa.array(slices, pa.int64()), pa.array(names, pa.int32()), pa.array(sums, pa.int64())], names=[by, "slice", "_rank", "usecs"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            for who, slice_, rank, parent, n, *_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (who, slice_):
+                    out += [(*key, r, v) for r, v in shares.items()] if key else []
+                    key, shares, total = (who, slice_), {}, 0
+                shares[rank] = shares.get(rank, 0) + n
+                total += n
+                if parent is not None and shares.get(parent, 0) >= n:
+                    shares[parent] -= n
+                    total -= n
+                shares[rank] = min(shares[rank], width_us)
+                if total > width_us:
+                    left = width_us - n
+                    for r in sorted(shares):
+                        if r != rank:
+                            shares[r] = min(shares[r], left)
+                            left -= shares[r]
+                    total = width_us - left
+            if len(out) > 20_000:
+                yield told()
+        if key:
+            out += [(*key, r, v) for r, v in shares.items()]
+            yield told()
+
+    folded = rows.mapInArrow(fold, f"`{by}` {kinds[by]}, slice long, _rank int, usecs long")
+    return folded.join(ranks, [by, "_rank"]).select(by, name, "slice", "usecs")

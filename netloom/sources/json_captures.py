@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions.text import priority_name, split_header, view_id, view_title
@@ -379,11 +379,38 @@ def trace_requests(events: DataFrame) -> DataFrame:
     return told.select(*columns).withColumns({"method": F.coalesce("method", F.lit("GET")), "priority": F.coalesce("priority", F.lit("Lowest"))})
 
 
+def script_url(name: Column, args: Column) -> Column:
+    """The web script that a trace event of this name works on, or null."""
+    web = lambda path: F.when(F.startswith(F.try_variant_get(args, path, "string"), F.lit("http")), F.try_variant_get(args, path, "string"))
+    own = F.when(name.isin("EvaluateScript", "v8.compile", "v8.parseOnBackground"), web("$.data.url"))
+    called = F.coalesce(web("$.data.scriptName"), F.substring_index(web("$.data.url"), "#", 1))
+    return F.coalesce(own, F.when(name == "FunctionCall", called))
+
+
 def trace_spans(events: DataFrame) -> DataFrame:
-    """thread, name, start, end: complete events and pairs of begin and end events."""
-    from netloom.operators.mainthread import pair_begin_end
+    """thread, depth, name, start, end, script, parent: complete events and pairs of begin and end events of one name (us).
+
+    An end of another name takes the open begin away and makes no span. parent: the name of the span that is open where one begins.
+    """
+    from netloom.operators.mainthread import pair_begin_end, with_parents
+
+    e = events.withColumn("thread", F.concat_ws("\t", "capture", "pid", "tid")).withColumn("script", script_url(F.col("name"), F.col("args")))
+    whole = F.when(F.col("ph") == "X", F.col("ts") + F.coalesce("dur", F.lit(0)))
+    rows = e.filter("ph in ('B', 'E', 'X')").select("thread", "ts", "ord", "ph", "name", "script", whole.alias("whole"))
+    spans = pair_begin_end(rows, "thread", ["ts", "ord"], F.col("ph") == "B", "ts", "name", same_name=True, whole_end=F.col("whole"), carried=("script",))
+    return with_parents(spans, "thread", "depth", "start", "name").select("thread", "depth", "name", "start", "end", "script", "parent")
+
+
+def trace_slices(spans: DataFrame, width_us: int, base_us: int = 0) -> DataFrame:
+    """thread, name, slice, usecs: what each name has of the slices of a trace's threads, counted from ``base_us`` on; earlier time is left out."""
+    from netloom.operators.mainthread import exclusive_slices
+
+    told = spans.withColumns({"start": F.greatest(F.col("start") - base_us, F.lit(0)), "end": F.col("end") - base_us}).filter("end > 0")
+    return exclusive_slices(told, "thread", "start", "end", "name", width_us)
+
+
+def script_times(spans: DataFrame) -> DataFrame:
+    """thread, script, name, start, end: the time of each script, by the name of what it did; what lies within the same of an outer span is left out."""
+    from netloom.operators.intervals import drop_contained
 
-    e = events.withColumn("thread", F.concat_ws("\t", "capture", "pid", "tid"))
-    whole = e.filter("ph = 'X'").select("thread", "name", F.col("ts").alias("start"), (F.col("ts") + F.coalesce("dur", F.lit(0))).alias("end"))
-    halves = pair_begin_end(e.filter("ph in ('B', 'E')"), "thread", ["ts", "ord"], F.col("ph") == "B", "ts", "name")
-    return whole.unionByName(halves.select("thread", "name", "start", "end"))
+    return drop_contained(spans.filter("script is not null"), ["thread", "script", "name"], "start", "end", "depth").select("thread", "script", "name", "start", "end")

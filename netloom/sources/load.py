@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions.text import sniff_capture
-from netloom.sources import archives, http1, json_captures, lines, lookups, packets, ranges
+from netloom.sources import archives, http1, http1_framing, json_captures, lines, lookups, packets, ranges
 
 #: Bytes of a file's beginning that tell its format.
 HEAD = 65_536
@@ -39,7 +39,8 @@ def _results(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def _trace(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     events = json_captures.trace_events(json_captures.documents(spark, path))
-    return {"events": events, "spans": json_captures.trace_spans(events), "requests": json_captures.trace_requests(events)}
+    spans = json_captures.trace_spans(events)
+    return {"events": events, "spans": spans, "scripts": json_captures.script_times(spans), "requests": json_captures.trace_requests(events)}
 
 
 def _packets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -47,7 +48,7 @@ def _packets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     flows = packets.flows(read)
     said = lookups.messages(read).unionByName(lookups.stream_messages(http1.new_segments(flows)))
     found = lookups.lookups(said)
-    return {"packets": flows, "flow_stats": packets.flow_stats(flows), "lookups": found, "requests": http1.with_lookups(http1.http1_requests(flows), found)}
+    return {"packets": flows, "flow_stats": packets.flow_stats(flows), "lookups": found, "requests": http1.with_lookups(http1_framing.framed_requests(flows), found)}
 
 
 def _archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:
