@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.text import is_noise
@@ -32,12 +32,39 @@ def base_time(candidates: DataFrame, by: str, sources: list[str]) -> DataFrame:
 def timeline_only(timeline: DataFrame, logged: DataFrame) -> DataFrame:
     """Timeline requests that stand for themselves: real, sent, with a url that the network log lacks, over the network, and answered.
 
-    timeline: url, has_id, was_sent, requested, from_cache, from_worker, status, timed; logged: url.
+    timeline: url, has_id, was_sent, requested, from_cache, from_worker, status, timed; logged: url; both with capture, if logged has it.
     """
     answered = F.col("timed") | (F.coalesce("status", F.lit(0)) > 0)
     real = F.col("has_id") & F.col("was_sent") & F.col("requested").isNotNull() & anchors_page(F.col("url"))
     kept = timeline.filter(real & ~F.col("from_cache") & ~F.col("from_worker") & answered)
-    return kept.join(logged.select("url").distinct(), "url", "left_anti")
+    key = [c for c in ("capture", "url") if c in logged.columns]
+    return kept.join(logged.select(*key).distinct(), key, "left_anti")
+
+
+def pointer_epochs(df: DataFrame, by: list[str], order: str, begins: Column, out: str) -> DataFrame:
+    """df with ``out``: the first ``order`` of the object that a pointer stands for; a pointer is used again for another object from each row that begins one. Null before the first."""
+    w = Window.partitionBy(*by).orderBy(order)
+    return df.withColumn(out, F.last(F.when(begins, F.col(order)), ignorenulls=True).over(w))
+
+
+def last_known(df: DataFrame, by: list[str], order: str, value: Column, out: str) -> DataFrame:
+    """df with ``out``: the row's own value, or the last one that was told for its ``by`` before."""
+    return df.withColumn("_v", value).withColumn(out, F.last("_v", ignorenulls=True).over(Window.partitionBy(*by).orderBy(order))).drop("_v")
+
+
+def enriched(requests: DataFrame, timeline: DataFrame, fill: dict[str, str], over: tuple[str, ...]) -> DataFrame:
+    """requests (capture, url) with what the last timeline request of their url tells.
+
+    fill: columns of requests that have nothing yet (null, or a number that is not above 0) and where their value comes from; over:
+    columns of the timeline that requests take as they are.
+    """
+    names = sorted({*fill.values(), *over})
+    last = timeline.filter("url <> ''").groupBy("capture", "url").agg(F.max(F.struct("ord", *names)).alias("_t"))
+    both = requests.join(last, ["capture", "url"], "left")
+    kinds = dict(requests.dtypes)
+    own = lambda c: F.when(F.col(c) > 0, F.col(c)) if kinds[c] in ("int", "bigint", "double") else F.nullif(F.col(c), F.lit("")) if kinds[c] == "string" else F.col(c)
+    told = {c: F.coalesce(own(c), F.col(f"_t.{t}"), F.col(c)) if c in requests.columns else F.col(f"_t.{t}") for c, t in fill.items()}
+    return both.withColumns({**told, **{c: F.col(f"_t.{c}") for c in over}}).drop("_t")
 
 
 def in_category(cat: Column, name: str) -> Column:

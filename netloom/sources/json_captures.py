@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.functions.text import priority_name, split_header, view_id, view_title
+from netloom.functions.text import bare_mime, header, is_noise, leading_int, priority_name, split_header, status_of, view_id, view_title
+from netloom.operators import netlog
 from netloom.operators.ownership import written
 from netloom.operators.pages import as_extensions, without
-from netloom.operators.traces import anchors_page, base_time, one_clock, timeline_only
-from netloom.sources import json_ranges, ranges
+from netloom.operators.traces import anchors_page, base_time, enriched, last_known, one_clock, pointer_epochs, reached_network, timeline_only
+from netloom.sources import json_ranges, lines, ranges
 
 #: Page timings that are lifted to the page under another name.
 RENAMED = {"_firstPaint": "_render", "_largestContentfulPaint": "_LargestContentfulPaint", "_domInteractiveTime": "_domInteractive", "_userTimings": "_user_timing"}
@@ -311,9 +312,41 @@ def protocol_requests(events: DataFrame) -> DataFrame:
 
 
 def trace_events(docs: DataFrame) -> DataFrame:
-    """capture, ord, ph, name, cat, pid, tid, ts, dur (us), args of a trace, wrapped or a bare array."""
+    """capture, ord, ph, name, cat, pid, tid, ts, dur (us), id, pointer, args of a trace, wrapped or a bare array.
+
+    id: what an event names; pointer: the address that it gives instead, which other objects may have later.
+    """
     e = _explode(docs, "coalesce(try_variant_get(s.doc, '$.traceEvents', 'variant'), s.doc)")
-    return e.select("capture", F.col("pos").alias("ord"), *[_get(f"$.{n}", k).alias(n) for n, k in (("ph", "string"), ("name", "string"), ("cat", "string"), ("pid", "bigint"), ("tid", "bigint"), ("ts", "bigint"), ("dur", "bigint"), ("args", "variant"))])
+    fields = (("ph", "string"), ("name", "string"), ("cat", "string"), ("pid", "bigint"), ("tid", "bigint"), ("ts", "bigint"), ("dur", "bigint"), ("id", "string"), ("args", "variant"))
+    pointer = F.coalesce(_get("$.id2.local", "string"), _get("$.id2.global", "string")).alias("pointer")
+    return e.select("capture", F.col("pos").alias("ord"), *[_get(f"$.{n}", k).alias(n) for n, k in fields], pointer)
+
+
+def trace_netlog(events: DataFrame) -> DataFrame:
+    """The network log within a trace, as lines.named_events() has it (ms): capture, time, tick_offset, event, source, phase, source_id, params, line.
+
+    An event that tells no kind of source has that of the last event of its name. A pointer stands for a new object from each event that
+    begins a request on; such an object is known by -1 less the place of that event. What was met before is known by the pointer itself.
+    """
+    number = lambda c: F.when(c.startswith("0x"), F.conv(F.substring(c, 3, 16), 16, 10).try_cast("bigint")).otherwise(leading_int(c))
+    own = events.filter(F.contains(F.col("cat"), F.lit("netlog")) & F.col("args").isNotNull() & F.col("name").isNotNull())
+    shared = F.col("id").isNull() & F.col("pointer").isNotNull()
+    own = own.withColumn("own_id", number(F.coalesce("id", "pointer"))).withColumn("shared", shared).filter("own_id is not null")
+    begins = F.col("shared") & F.col("name").isin("REQUEST_ALIVE", "URL_REQUEST_START_JOB") & (F.col("ph") == "b")
+    own = pointer_epochs(own, ["capture", "own_id", "shared"], "ord", begins, "epoch")
+    own = last_known(own, ["capture", "name"], "ord", F.try_variant_get("args", "$.source_type", "string"), "source").filter("source is not null")
+    phase = F.when(F.lower("ph") == "b", "BEGIN").when(F.lower("ph") == "e", "END").otherwise("NONE")
+    return own.select(
+        "capture",
+        (F.col("ts") / 1000.0).alias("time"),
+        F.lit(0.0).alias("tick_offset"),
+        F.col("name").alias("event"),
+        "source",
+        phase.alias("phase"),
+        F.coalesce(-1 - F.col("epoch"), F.col("own_id")).cast("bigint").alias("source_id"),
+        F.coalesce(F.try_variant_get("args", "$.params", "variant"), F.col("args")).alias("params"),
+        F.format_string("%020d", F.col("ord")).alias("line"),
+    )
 
 
 #: Phases of a resource's timing, offsets in ms from its requestTime, and what they are called here.
@@ -360,23 +393,36 @@ def trace_timeline(events: DataFrame) -> DataFrame:
 
 
 def trace_requests(events: DataFrame) -> DataFrame:
-    """Requests of a trace by its timeline, from the page's beginning on (ms): those that were sent over the network and answered.
+    """Requests of a trace, from the page's beginning on (ms): those of its network log that reached the network, with what the
+    timeline tells of their url, and those of the timeline that the log lacks, which were sent over the network and answered.
 
-    The page begins with the first navigation or the first request that is not the harness's, whichever is earlier.
+    The page begins with the first navigation, request of the log or request of the timeline that is not the harness's. A request of the log has no request_id.
     """
     rows = trace_timeline(events)
+    logged = lines.netlog_joined(trace_netlog(events))
+    began = logged.select("capture", F.array_min(F.array(*netlog.TIMES)).alias("at"))
     started = F.when(anchors_page(F.col("url")), F.least("requested", "timed_from"))
     moves = events.filter(F.col("name") == "navigationStart").select("capture", (F.col("ts") / 1000.0).alias("at"))
-    base = base_time(rows.select("capture", started.alias("at")).unionByName(moves), "capture", ["at"])
-    nothing = rows.select("url").limit(0)
-    kept = timeline_only(rows, nothing).join(base, "capture")
+    base = base_time(rows.select("capture", started.alias("at")).unionByName(moves).unionByName(began), "capture", ["at"])
+
+    logged = logged.filter(~is_noise(F.col("url")) & reached_network(F.col("start"), F.col("headers"), F.col("first_byte"), F.col("end"), F.col("bytes_in")))
+    status = status_of(F.get("headers", F.lit(0)))
+    logged = logged.withColumns({"status": F.coalesce("status", status), "mime": bare_mime(header(F.filter(F.transform("headers", split_header), lambda h: h.isNotNull()), "content-type"))})
+    logged = enriched(logged, rows, {"priority": "priority", "bytes_in": "bytes_in", "mime": "mime", "status": "status"}, ("render_blocking", "kind", "frame"))
+    from_base = {c: F.col(c) - F.col("base") for c in netlog.TIMES}
+    told = logged.join(base, "capture").withColumns(from_base).withColumn("ord", F.lit(None).cast("bigint"))
+
+    kept = timeline_only(rows, logged).join(base, "capture")
     from_zero = lambda c: F.col(c) - F.col("base")
     phase = {c: F.when(F.col(c) >= 0, from_zero("timed_from") + F.col(c)) for c in TIMING.values()}
     end = F.coalesce(from_zero("finished"), from_zero("requested"))
     first = F.when(F.col("headers_end") > 0, from_zero("timed_from") + F.col("headers_end"))
-    told = kept.withColumns({**phase, "start": F.coalesce(from_zero("timed_from"), from_zero("requested")), "first_byte": F.coalesce(first, end), "end": end})
+    kept = kept.withColumns({**phase, "start": F.coalesce(from_zero("timed_from"), from_zero("requested")), "first_byte": F.coalesce(first, end), "end": end})
     columns = ("capture", "request_id", "ord", "url", "method", "status", "mime", "protocol", "priority", "render_blocking", "kind", "frame", "bytes_in", "start", "first_byte", "end", *TIMING.values(), "base")
-    return told.select(*columns).withColumns({"method": F.coalesce("method", F.lit("GET")), "priority": F.coalesce("priority", F.lit("Lowest"))})
+    more = ("source_id", "hop", "socket", "session", "address", "headers", "addresses", "aliases")
+    told = told.withColumnRenamed("tls_next_proto", "protocol").withColumn("request_id", F.lit(None).cast("string")).select(*columns, *more)
+    both = kept.select(*columns).unionByName(told, allowMissingColumns=True)
+    return both.withColumns({"method": F.coalesce("method", F.lit("GET")), "priority": F.coalesce("priority", F.lit("Lowest"))})
 
 
 def script_url(name: Column, args: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions.text import lookup_host, url_host
 from netloom.operators import netlog
 from netloom.operators.intervals import claim_lookups
+from netloom.operators.ownership import written
 
 
 def keylog(spark: SparkSession, path: str) -> DataFrame:
@@ -161,6 +162,20 @@ def netlog_jobs(events: DataFrame) -> DataFrame:
     )
 
 
+def netlog_connect_jobs(events: DataFrame) -> DataFrame:
+    """capture, connect_job, group, connect_start, connect_end, socket, lookup of the jobs that make a connection; lookup: the last one that was begun for it."""
+    own = events.filter(F.col("source").isin("CONNECT_JOB", "SSL_CONNECT_JOB", "TRANSPORT_CONNECT_JOB"))
+    made, depends = _is("TRANSPORT_CONNECT_JOB_CONNECT"), _param(_DEPENDS, "bigint")
+    told = own.groupBy("capture", F.col("source_id").alias("connect_job")).agg(
+        _last(F.coalesce(_param("$.group_id", "string"), _param("$.group_name", "string"))).alias("group"),
+        _when(False, made, F.col("phase") == "BEGIN").alias("connect_start"),
+        _when(False, made, F.col("phase") == "END").alias("connect_end"),
+        _last(depends, _is("CONNECT_JOB_SET_SOCKET")).alias("socket"),
+    )
+    asked = events.filter(F.col("source").startswith("HOST_RESOLVER") & depends.isNotNull()).groupBy("capture", depends.alias("connect_job")).agg(_last(F.col("source_id")).alias("lookup"))
+    return told.join(asked, ["capture", "connect_job"], "left")
+
+
 def netlog_lookups(events: DataFrame) -> DataFrame:
     """capture, lookup, host, start, end: lookups that ended, from their first beginning to their last end."""
     own = events.filter(F.col("source").startswith("HOST_RESOLVER"))
@@ -195,17 +210,26 @@ def netlog_cached_urls(events: DataFrame) -> DataFrame:
 
 
 def netlog_stitched(events: DataFrame) -> DataFrame:
+    """netlog_joined() with times that count from the earliest one of the capture; equal starts are kept apart."""
+    r = netlog_joined(events)
+    return netlog.rebased(r.withColumn("req", F.coalesce("source_id", F.lit(0))), "capture").drop("req")
+
+
+def netlog_joined(events: DataFrame) -> DataFrame:
     """Requests of network logs with their socket and session, what their stream tells, the connection and lookup they pay for, and the addresses of their host.
 
-    Times count from the earliest one of the capture. A request is added for each cached url of a host that a job tried to reach in vain.
+    Times are the log's own. The events are written once, as each kind of object reads them. A request is added for each cached url of a host that a job tried to reach in vain.
     """
     inside = lambda c, name=None: F.when(F.col(c).isNotNull(), F.struct("capture", F.col(c).alias("id"))).alias(name or c)
     order = [F.coalesce("start", "created"), "source_id", "hop"]
+    events = written(events)
     jobs = netlog_jobs(events)
     bound = jobs.filter("url_request is not null").groupBy("capture", F.col("url_request").alias("source_id")).agg(F.max_by(F.struct("socket", "session", "group"), "ord").alias("j"))
     r = netlog_requests(events).withColumn("host", url_host(F.col("url"))).join(bound, ["capture", "source_id"], "left")
     r = r.withColumns({"socket": F.col("j.socket"), "session": F.col("j.session"), "group": F.col("j.group")}).drop("j")
-    tried = jobs.withColumn("host", F.regexp_extract("group", r"^.*/([^:]+):\d+$", 1)).filter("host <> ''")
+    pooled = netlog_sessions(events).select("capture", "session", F.col("socket").alias("_own"))  # a job that was given a session has its socket
+    tried = jobs.join(pooled, ["capture", "session"], "left").withColumn("socket", F.coalesce("socket", "_own")).drop("_own")
+    tried = tried.withColumn("host", F.regexp_extract("group", r"^.*/([^:]+):\d+$", 1)).filter("host <> ''")
     urls = netlog_cached_urls(events).withColumn("host", url_host(F.col("url")))
     in_vain = netlog.unreached(tried, r, urls)
 
@@ -224,7 +248,6 @@ def netlog_stitched(events: DataFrame) -> DataFrame:
     r = r.join(best, ["capture", "source_id", "hop"], "left").join(netlog_addresses(events).select(inside("host"), "addresses", "aliases"), "host", "left")
     lost = in_vain.withColumns({"created": F.col("start"), "connect_start": F.col("start"), "connect_end": F.col("end"), "host": F.struct("capture", url_host(F.col("url")).alias("id"))})
     r = r.unionByName(lost, allowMissingColumns=True)
-    done = netlog.rebased(r.withColumn("req", F.coalesce("source_id", F.lit(0))), "capture")
-    return done.withColumns({c: F.col(f"{c}.id") for c in ("host", "session", "socket")}).drop("req")
+    return r.withColumns({c: F.col(f"{c}.id") for c in ("host", "session", "socket")})
 
 

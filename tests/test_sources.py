@@ -272,3 +272,60 @@ def test_sniff_body(spark):
     }
     df = spark.createDataFrame([(bytearray(k),) for k in cases], "v binary")
     assert {bytes(r["v"]): r["f"] for r in df.select("v", X.sniff_body(F.col("v")).alias("f")).collect()} == cases
+
+
+def test_trace_with_a_network_log(spark, tmp_path):
+    """A pointer that two requests have, one after the other; a cache hit; a url that only the timeline tells; enrichment by url."""
+    n = lambda ph, name, ts, pointer, source=None, **params: {"ph": ph, "name": name, "ts": ts * 1000, "pid": 1, "tid": 2, "cat": "disabled,netlog", "id2": {"local": pointer}, "args": {"params": params, **({"source_type": source} if source else {})}}
+    e = lambda name, ts, **data: {"ph": "I", "name": name, "ts": ts * 1000, "pid": 1, "tid": 2, "cat": "devtools.timeline", "args": {"data": data}}
+    events = [
+        n("n", "URL_REQUEST_START_JOB", 90, "0xff", url="https://a/before"),  # no kind of source is known yet
+        n("b", "REQUEST_ALIVE", 100, "0xff", "URL_REQUEST", priority="MEDIUM"),
+        n("n", "URL_REQUEST_START_JOB", 101, "0xff", "URL_REQUEST", url="https://a/1#x", method="GET"),
+        n("n", "HTTP_TRANSACTION_SEND_REQUEST", 102, "0xff", "URL_REQUEST"),
+        n("n", "HTTP_TRANSACTION_READ_RESPONSE_HEADERS", 105, "0xff", "URL_REQUEST", headers=["HTTP/1.1 201 Made", "Content-Type: text/css; q"]),
+        n("n", "URL_REQUEST_JOB_BYTES_READ", 106, "0xff", "URL_REQUEST", byte_count=7),
+        n("b", "REQUEST_ALIVE", 110, "0xff"),
+        n("n", "URL_REQUEST_START_JOB", 111, "0xff", url="https://a/2", method="POST"),
+        n("n", "HTTP_TRANSACTION_SEND_REQUEST", 112, "0xff"),
+        n("e", "REQUEST_ALIVE", 119, "0xff"),
+        n("b", "REQUEST_ALIVE", 120, "0x10"),
+        n("n", "URL_REQUEST_START_JOB", 121, "0x10", url="https://a/cached"),
+        {**n("n", "TCP_CONNECT_ATTEMPT", 99, None, "SOCKET", address="1.1.1.1:443"), "id2": None, "id": "0x14"},
+        e("ResourceSendRequest", 95, requestId="n", url="chrome://tracing/json"),
+        e("ResourceSendRequest", 98, requestId="1", url="https://a/2", priority="VeryHigh", renderBlocking="blocking", frame="F"),
+        e("ResourceReceiveResponse", 113, requestId="1", statusCode=404, mimeType="text/html"), e("ResourceReceivedData", 114, requestId="1", encodedDataLength=70),
+        e("ResourceSendRequest", 130, requestId="2", url="https://a/3"), e("ResourceReceiveResponse", 131, requestId="2", statusCode=200), e("ResourceFinish", 132, requestId="2"),
+    ]
+    raw = J.trace_events(J.documents(spark, write(tmp_path, "t.json", {"traceEvents": events})))
+    told = {(r["event"], r["time"]): r for r in J.trace_netlog(raw).collect()}
+    assert {told["REQUEST_ALIVE", 100.0]["source_id"], told["URL_REQUEST_START_JOB", 101.0]["source_id"]} == {-2} and told["HTTP_TRANSACTION_SEND_REQUEST", 112.0]["source_id"] == -7
+    assert told["TCP_CONNECT_ATTEMPT", 99.0]["source_id"] == 20 and ("URL_REQUEST_START_JOB", 90.0) not in told and told["REQUEST_ALIVE", 119.0]["phase"] == "END"
+    got = {r["url"]: r for r in J.trace_requests(raw).collect()}
+    assert set(got) == {"https://a/1", "https://a/2", "https://a/3"}
+    one, two, three = (got[f"https://a/{i}"] for i in (1, 2, 3))
+    assert (one["base"], one["start"], one["first_byte"], one["status"], one["mime"], one["bytes_in"], one["priority"]) == (98.0, 4.0, 7.0, 201, "text/css", 7, "MEDIUM")
+    assert (two["method"], two["start"], two["status"], two["bytes_in"], two["priority"], two["render_blocking"], two["frame"], two["mime"]) == ("POST", 14.0, 404, 70, "Highest", "blocking", "F", "text/html")
+    assert (three["start"], three["end"], three["status"], three["source_id"]) == (32.0, 34.0, 200, None)
+
+
+def test_connect_jobs_and_pooled_sockets(spark):
+    rows = []
+
+    def event(t, source, number, kind, phase="NONE", **params):
+        rows.append(("c", float(t), 0.0, kind, source, phase, number, json.dumps(params), f"{t:05d}"))
+
+    at = lambda number: {"source_dependency": {"id": number}}
+    event(1, "TRANSPORT_CONNECT_JOB", 5, "TRANSPORT_CONNECT_JOB_CONNECT", "BEGIN", group_name="old")
+    event(2, "HOST_RESOLVER_IMPL_JOB", 6, "HOST_RESOLVER_DNS_TASK", "BEGIN", **at(5), host="https://p.example:443")
+    event(3, "CONNECT_JOB", 5, "CONNECT_JOB_SET_SOCKET", **at(20), group_id="ssl/p.example:443")
+    event(4, "TRANSPORT_CONNECT_JOB", 5, "TRANSPORT_CONNECT_JOB_CONNECT", "END")
+    event(5, "HTTP2_SESSION", 40, "HTTP2_SESSION_INITIALIZED", **at(20), host="p.example:443")
+    event(6, "HTTP_STREAM_JOB", 10, "TCP_CLIENT_SOCKET_POOL_REQUESTED_SOCKET", group_id="ssl/p.example:443")
+    event(7, "HTTP_STREAM_JOB", 10, "HTTP2_SESSION_POOL_FOUND_EXISTING_SESSION", **at(40))
+    event(8, "DISK_CACHE_ENTRY", 50, "X", key="1/0/_dk_https://p.example/z")
+    event(9, "URL_REQUEST", 1, "URL_REQUEST_START_JOB", url="https://q.example/", method="GET")
+    df = spark.createDataFrame(rows, "capture string, time double, tick_offset double, event string, source string, phase string, source_id long, params string, line string").withColumn("params", F.parse_json("params"))
+    job = lines.netlog_connect_jobs(df).first()
+    assert (job["connect_job"], job["group"], job["connect_start"], job["connect_end"], job["socket"], job["lookup"]) == (5, "ssl/p.example:443", 1.0, 4.0, 20, 6)
+    assert {r["url"] for r in lines.netlog_stitched(df).collect()} == {"https://q.example/"}  # a job with a session's socket is not in vain
