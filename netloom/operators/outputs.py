@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.text import is_web, url_host
+from netloom.operators.layout import numbered
 from netloom.operators.ownership import first_claim, request_timings
 
 #: Times of a request's phases that only the request that pays for them has.
@@ -113,20 +114,6 @@ def simple_requests(entries_: DataFrame, by: str, order: list[str]) -> DataFrame
     return entries_.select(by, index.alias("index"), *flat)
 
 
-def numbered(rows: DataFrame, by: str, at: str, key: str, out: str, block: int = 20_000) -> DataFrame:
-    """rows with ``out``: their number from 0 in their group, by ``at`` and ``key``, counted in ranges of ``at`` so that no task counts a whole group."""
-    light = rows.select(by, at, key)
-    spans = light.groupBy(by).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.ceil(F.count(F.lit(1)) / block).alias("_parts"))
-    place = F.floor((F.col(at) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * F.col("_parts"))
-    placed = light.join(spans, by).withColumn("_b", place).select(by, at, key, "_b")
-    counts = placed.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(by, "_b", F.coalesce(before, F.lit(0)).alias("_from"))
-    inner = F.row_number().over(Window.partitionBy(by, "_b").orderBy(at, key)) - 1
-    told = placed.withColumn("_in", inner).join(starts, [by, "_b"]).select(by, key, (F.col("_from") + F.col("_in")).alias(out))
-    return rows.join(told, [by, key])
-
-
 def iso_time(ms):
     return F.date_format(F.timestamp_millis(F.floor(ms).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from netloom.operators import mainthread
+from netloom.operators import layout, mainthread, traces
 from netloom.plans.adapters import REQUESTS, SPANS, requests, spans
 from netloom.sources import http1_framing
 
@@ -98,5 +98,105 @@ w AS (
 SELECT z.u, o.name, z.slice, CAST(v[rank] AS BIGINT) AS usecs FROM z JOIN o USING (u) WHERE list_contains(seen, rank)
 """
 
-QUERIES = {"http1_framing": http1_framing_, "overflowing_slices": overflowing_slices}
-SQL = {"http1_framing": _FRAMING, "overflowing_slices": _OVERFLOW}
+def _drawn(spark, d):
+    """Requests of which half tell offsets, some of them few, and half phases that follow one another; some came before their connection was up."""
+    k = F.col("req")
+    gone = lambda c, m: F.when(k % m != 0, c)
+    told = {"_load_start": gone(k % 50, 4), "_start": gone(k % 45, 3), "_created": gone(k % 40, 5), "_dns_start": F.when(k % 7 == 0, -1).otherwise(gone(k % 30, 2)), "_dns_end": gone(k % 30 + 3, 6), "_connect_start": gone(k % 60, 4), "_connect_end": gone(k % 90, 3), "_ssl_start": gone(k % 70, 8), "_ssl_end": gone(k % 80, 9), "_ttfb_start": gone(k % 55, 10), "_ttfb_end": gone(k % 100, 11), "_download_end": gone(k % 400, 6), "_end": gone(k % 300, 13)}
+    phases = {n: (k * a % m - o).cast("double") for n, a, m, o in (("blocked", 3, 20, 2), ("dns", 5, 30, 10), ("connect", 7, 50, 15), ("ssl", 9, 40, 20), ("send", 1, 5, 1), ("wait", 11, 200, 5), ("receive", 13, 300, 5))}
+    r = requests(spark, d).withColumns({n: F.when(F.expr("req div 2 % 2 = 0"), c.cast("double")) for n, c in told.items()} | phases)
+    return r.withColumn("start", F.col("start").cast("double")).withColumn("first_data", F.when(k % 9 == 0, F.col("start") + 77.0))
+
+
+_DRAWN = f"""
+WITH {REQUESTS}, d AS (SELECT page, req, conn, CAST(start AS DOUBLE) AS start, req // 2 % 2 = 0 AS tells,
+    CASE WHEN req // 2 % 2 = 0 THEN {{'load': CASE WHEN req % 4 <> 0 THEN req % 50 END, 'begin': CASE WHEN req % 3 <> 0 THEN req % 45 END, 'made': CASE WHEN req % 5 <> 0 THEN req % 40 END, 'dns': CASE WHEN req % 7 = 0 THEN -1 WHEN req % 2 <> 0 THEN req % 30 END, 'dns_end': CASE WHEN req % 6 <> 0 THEN req % 30 + 3 END,
+        'con': CASE WHEN req % 4 <> 0 THEN req % 60 END, 'con_end': CASE WHEN req % 3 <> 0 THEN req % 90 END, 'ssl': CASE WHEN req % 8 <> 0 THEN req % 70 END, 'ssl_end': CASE WHEN req % 9 <> 0 THEN req % 80 END, 'wait': CASE WHEN req % 10 <> 0 THEN req % 55 END, 'first': CASE WHEN req % 11 <> 0 THEN req % 100 END,
+        'done': coalesce(CASE WHEN req % 6 <> 0 THEN req % 400 END, CASE WHEN req % 13 <> 0 THEN req % 300 END)}} END AS o,
+    greatest(0, req * 3 % 20 - 2) AS blocked, greatest(0, req * 5 % 30 - 10) AS dns, greatest(0, req * 7 % 50 - 15) AS con, greatest(0, req * 9 % 40 - 20) AS ssl, greatest(0, req % 5 - 1) AS send, greatest(0, req * 11 % 200 - 5) AS wait, greatest(0, req * 13 % 300 - 5) AS receive, CASE WHEN req % 9 = 0 THEN start + 77 END AS seen FROM r),
+a AS (SELECT *, coalesce(o.load, o.begin, o.dns, o.wait) IS NOT NULL AS absolute, coalesce(o.load, o.begin) AS origin FROM d),
+b AS (SELECT *, coalesce(origin, o.wait, 0) AS q FROM a),
+c AS (SELECT *, CASE WHEN o.dns >= 0 THEN o.dns ELSE q END AS ds FROM b), e AS (SELECT *, coalesce(o.dns_end, ds) AS de FROM c), f AS (SELECT *, coalesce(o.con, de) AS cs FROM e), g AS (SELECT *, coalesce(o.con_end, cs) AS ce FROM f),
+h AS (SELECT *, coalesce(o.ssl, ce) AS ss FROM g), i AS (SELECT *, coalesce(o.ssl_end, ss) AS se FROM h), j AS (SELECT *, coalesce(origin, o.wait, se) AS s0 FROM i), k AS (SELECT *, coalesce(o.first, o.wait, origin, s0) AS f0 FROM j),
+l AS (SELECT page, req, conn, start AS began, CASE WHEN absolute THEN greatest(s0, ce) ELSE start + blocked + dns + con + send END AS ordered,
+    CASE WHEN absolute THEN {{'zero': start - coalesce(o.made, CASE WHEN origin >= 0 THEN origin END, 0)}} END AS z,
+    CASE WHEN absolute THEN [coalesce(o.made, q), q, ds, de, cs, ce, ss, se, greatest(s0, ce), CASE WHEN s0 < ce THEN greatest(f0, ce) ELSE f0 END, coalesce(o.done, o.first, f0)] END AS t, absolute, o, blocked, dns, con, ssl, send, wait, receive, seen FROM k),
+m AS (SELECT page, req, conn, began, ordered, CASE WHEN absolute AND o.dns >= 0 THEN least(began, z.zero + o.dns) ELSE began END AS st,
+    CASE WHEN absolute THEN list_transform(t, lambda x: x + z.zero) ELSE [began, began + blocked, began + blocked, began + blocked + dns, began + blocked + dns, began + blocked + dns + con, began + blocked + dns + con, began + blocked + dns + con + ssl,
+        began + blocked + dns + con + ssl + send, coalesce(seen, began + blocked + dns + con + ssl + send + wait), began + blocked + dns + con + send + wait + receive] END AS t FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY ordered, req) AS "index", count(*) OVER (PARTITION BY page) AS n FROM m)
+"""
+
+
+def waterfall_rows(spark, d):
+    """The first and last twenty rows of each page."""
+    rows = layout.waterfall_rows(_drawn(spark, d), "page", "req", most=40)
+    return rows.select("page", "req", "index", "row", "y1", "y2", *layout.TIMES, "max_ms", (F.round("x", 6) + 0.0).alias("x"), (F.round("pixels", 6) + 0.0).alias("pixels"))  # no zero below zero
+
+
+def waterfall_connections(spark, d):
+    """Pages with one row for each connection, those of the requests from the third on that have one."""
+    r = _drawn(spark, d).withColumn("conn", F.when(F.col("req") % 6 != 0, F.col("conn")))
+    return layout.waterfall_rows(r, "page", "req", filter_text="3-100000", conn="conn", row_height=4).select("page", "req", "index", "row", "y1", "y2")
+
+
+_TIMES_SQL = ", ".join(f"t[{i}] - base AS {n}" for i, n in enumerate(("queue_start", "queue_end", "dns_start", "dns_end", "connect_start", "connect_end", "ssl_start", "ssl_end", "sent", "first_byte", '"end"'), 1))
+_ROWS_SQL = _DRAWN + f""", p AS (SELECT *, CASE WHEN n > 40 AND "index" > 20 THEN "index" - 1 - (n - 40) + 4 ELSE "index" - 1 END AS row FROM n WHERE "index" <= 20 OR "index" > n - 20),
+w AS (SELECT *, min(began) OVER (PARTITION BY page) AS base, max(t[11]) OVER (PARTITION BY page) AS last FROM p), x AS (SELECT *, greatest(0, last - base) AS max_ms FROM w)
+SELECT page, req, "index", row, row * 18 + 18 AS y1, row * 18 + 35 AS y2, st - base AS start, {_TIMES_SQL}, max_ms, round(250 + (st - base) * (757 / max_ms), 6) + 0.0 AS x, round((t[11] - st) * (757 / max_ms), 6) + 0.0 AS pixels FROM x
+"""
+_CONNECTIONS_SQL = _DRAWN + """, p AS (SELECT *, CASE WHEN req % 6 <> 0 THEN 'c' || conn ELSE 'r' || req END AS shared FROM n WHERE "index" >= 3),
+q AS (SELECT *, min("index") OVER (PARTITION BY page, shared) AS first_at FROM p), s AS (SELECT *, dense_rank() OVER (PARTITION BY page ORDER BY first_at) - 1 AS row FROM q)
+SELECT page, req, "index", row, row * 4 + 4 AS y1, row * 4 + 7 AS y2 FROM s
+"""
+
+
+def sent_order(spark, d):
+    """The place of each request in an export, which leaves one offset out, and as it is drawn."""
+    r = layout.with_offsets_known(_drawn(spark, d)).withColumn("earliest", F.lit(1_600_000_000_000.0))
+    delays = [F.col(c) for c in ("blocked", "dns", "connect", "send")]
+    exported = layout.sent_order(layout.ORIGIN, F.col("start"), delays, F.col("earliest"))
+    drawn = layout.sent_order(layout.DRAWN_ORIGIN, F.col("start"), delays)
+    return layout.numbered(layout.numbered(r.select("page", "req", exported.alias("e"), drawn.alias("w")), "page", "e", "req", "exported"), "page", "w", "req", "drawn").select("page", "req", "exported", "drawn")
+
+
+_SENT_SQL = _DRAWN.replace("n AS (SELECT *, row_number()", "nn AS (SELECT *, row_number()").rstrip() + """, x AS (SELECT page, req, start, blocked, dns, con, send, coalesce(o.load, o.dns, o.wait) IS NOT NULL AS absolute, o, coalesce(o.load, o.wait, 0) AS q FROM d),
+y AS (SELECT *, coalesce(o.dns_end, CASE WHEN o.dns >= 0 THEN o.dns ELSE q END) AS de FROM x), v AS (SELECT *, coalesce(o.con_end, o.con, de) AS ce, coalesce(o.ssl_end, o.ssl, o.con_end, o.con, de) AS se FROM y),
+u AS (SELECT page, req, CASE WHEN absolute THEN 1600000000000 + greatest(coalesce(o.load, o.wait, se), ce) ELSE start + blocked + dns + con + send END AS e FROM v)
+SELECT u.page, u.req, row_number() OVER (PARTITION BY u.page ORDER BY e, u.req) - 1 AS exported, "index" - 1 AS drawn FROM u JOIN nn USING (page, req)
+"""
+
+
+def pointer_objects(spark, d):
+    """Objects behind pointers that are used again, and kinds that later events leave out."""
+    s = spans(spark, d).withColumn("pointer", F.col("u") % 10)
+    told = traces.pointer_epochs(s, ["pointer"], "i", F.col("kind") == "signup", "object")
+    told = traces.last_known(told, ["kind"], "i", F.when(F.col("i") % 9 == 0, F.col("u")), "source")
+    return told.select("i", "pointer", "object", "source")
+
+
+_POINTERS = f"""
+WITH {SPANS} SELECT i, u % 10 AS pointer, max(CASE WHEN kind = 'signup' THEN i END) OVER (PARTITION BY u % 10 ORDER BY i) AS object,
+    last_value(CASE WHEN i % 9 = 0 THEN u END IGNORE NULLS) OVER (PARTITION BY kind ORDER BY i ROWS UNBOUNDED PRECEDING) AS source FROM v
+"""
+
+
+def log_with_timeline(spark, d):
+    """Requests of a network log with what the last timeline request of their url tells, and those that only the timeline has."""
+    r = requests(spark, d).withColumn("url", F.concat(F.lit("https://h/"), (F.col("req") % 3000).cast("string"))).withColumn("capture", F.col("page").cast("string"))
+    logged = r.filter("req % 3 <> 0").select("capture", "req", "url", F.when(F.col("req") % 2 == 0, F.col("status")).alias("status"), F.when(F.col("req") % 5 == 0, F.col("priority")).otherwise("").alias("priority"))
+    timeline = r.filter("req % 4 <> 0").select("capture", F.col("req").alias("ord"), "url", F.col("conn").cast("string").alias("kind"), F.col("status").alias("code"), F.concat(F.lit("p"), F.col("priority")).alias("importance"))
+    both = traces.enriched(logged, timeline, {"status": "code", "priority": "importance"}, ("kind",))
+    lone = timeline.join(logged.select("capture", "url").distinct(), ["capture", "url"], "left_anti")
+    return both.unionByName(lone.select("capture", F.col("ord").alias("req"), "url", F.col("code").alias("status"), F.col("importance").alias("priority"), "kind")).select("capture", "req", "url", "status", "priority", "kind")
+
+
+_LOGGED = f"""
+WITH {REQUESTS}, x AS (SELECT CAST(page AS VARCHAR) AS capture, req, 'https://h/' || req % 3000 AS url, status, priority, CAST(conn AS VARCHAR) AS kind FROM r),
+t AS (SELECT * FROM x WHERE req % 4 <> 0), m AS (SELECT capture, url, max(req) AS req FROM t GROUP BY ALL), last AS (SELECT t.* FROM t JOIN m USING (capture, url, req)), l AS (SELECT * FROM x WHERE req % 3 <> 0)
+SELECT l.capture, l.req, l.url, coalesce(CASE WHEN l.req % 2 = 0 THEN l.status END, last.status) AS status, coalesce(CASE WHEN l.req % 5 = 0 THEN l.priority END, 'p' || last.priority, '') AS priority, last.kind FROM l LEFT JOIN last USING (capture, url)
+UNION ALL SELECT capture, req, url, status, 'p' || priority, kind FROM t WHERE (capture, url) NOT IN (SELECT (capture, url) FROM l)
+"""
+
+QUERIES = {"http1_framing": http1_framing_, "overflowing_slices": overflowing_slices} | {f.__name__: f for f in (waterfall_rows, waterfall_connections, sent_order, pointer_objects, log_with_timeline)}
+SQL = {"http1_framing": _FRAMING, "overflowing_slices": _OVERFLOW, "waterfall_rows": _ROWS_SQL, "waterfall_connections": _CONNECTIONS_SQL, "sent_order": _SENT_SQL, "pointer_objects": _POINTERS, "log_with_timeline": _LOGGED}
