@@ -128,7 +128,12 @@ def full_har(requests: DataFrame, pages: DataFrame, block: int = 1000) -> DataFr
 
     requests: as with_offsets() makes them, with method, url, status, http_version, headers, response_headers, mime, bytes_in, conn and the
     phases dns, connect, ssl, wait, receive; pages: page, title, ext (a map). Names of ``ext`` that begin with an underscore become fields of the page.
+    Where they are there: page_ref, what pages are called (else by their number), server_ip and body of requests, started_ms, on_content_load and on_load of pages.
     """
+    has = lambda df, n: n in df.columns
+    ref = (lambda df: F.col("page_ref")) if has(requests, "page_ref") else (lambda df: F.concat(F.lit("page_"), F.col("page").cast("string")))
+    address = [F.coalesce("server_ip", F.lit("")).alias("serverIPAddress")] if has(requests, "server_ip") else []
+    text = [F.col("body").alias("text")] if has(requests, "body") else []
     pos = lambda c: F.greatest(F.lit(0), F.col(c))
     rows = requests.withColumn("_sent", F.col("earliest") + F.greatest(F.col("_load_start"), F.coalesce("_connect_end", F.lit(0))))
     rows = numbered(rows, "page", "_sent", "req", "_n").withColumn("part", F.expr(f"_n div {block}"))
@@ -138,16 +143,19 @@ def full_har(requests: DataFrame, pages: DataFrame, block: int = 1000) -> DataFr
         F.col("_n"),
         iso_time(F.col("start")).alias("startedDateTime"),
         (pos("dns") + pos("connect") + F.col("wait") + F.col("receive")).alias("time"),
-        F.concat(F.lit("page_"), F.col("page").cast("string")).alias("pageref"),
+        ref(rows).alias("pageref"),
         F.struct("method", "url", F.col("http_version").alias("httpVersion"), nothing.alias("cookies"), "headers", nothing.alias("queryString"), F.lit(-1).alias("headersSize"), F.lit(-1).alias("bodySize")).alias("request"),
-        F.struct("status", F.lit("").alias("statusText"), F.col("http_version").alias("httpVersion"), nothing.alias("cookies"), F.col("response_headers").alias("headers"), F.struct(F.col("bytes_in").alias("size"), F.col("mime").alias("mimeType"), F.lit(0).alias("compression")).alias("content"), F.lit("").alias("redirectURL"), F.lit(-1).alias("headersSize"), F.col("bytes_in").alias("bodySize")).alias("response"),
+        F.struct("status", F.lit("").alias("statusText"), F.col("http_version").alias("httpVersion"), nothing.alias("cookies"), F.col("response_headers").alias("headers"), F.struct(F.col("bytes_in").alias("size"), F.col("mime").alias("mimeType"), F.lit(0).alias("compression"), *text).alias("content"), F.lit("").alias("redirectURL"), F.lit(-1).alias("headersSize"), F.col("bytes_in").alias("bodySize")).alias("response"),
         F.struct("dns", "connect", "ssl", F.lit(0).alias("send"), "wait", "receive").alias("timings"),
         F.col("conn").cast("string").alias("connection"),
+        *address,
         *offsets,
     )
     parts = rows.groupBy("page", "part").agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.min("earliest").alias("earliest"))
     told = parts.join(pages, "page", "left")
-    page = F.struct(F.concat(F.lit("page_"), F.col("page").cast("string")).alias("id"), "title", iso_time(F.col("earliest")).alias("startedDateTime"), F.map_filter("ext", lambda k, _: F.startswith(k, F.lit("_"))).alias("ext"))
+    timings = [F.struct(*[F.coalesce(c, F.lit(-1.0)).alias(n) for n, c in (("onContentLoad", "on_content_load"), ("onLoad", "on_load"))]).alias("pageTimings")] if has(pages, "on_load") else []
+    began = F.coalesce("started_ms", "earliest") if has(pages, "started_ms") else F.col("earliest")
+    page = F.struct(ref(told).alias("id"), "title", iso_time(began).alias("startedDateTime"), *timings, F.map_filter("ext", lambda k, _: F.startswith(k, F.lit("_"))).alias("ext"))
     return told.select("page", "part", _log(pages=F.array(page), entries=F.col("entries")).alias("har"))
 
 

@@ -11,11 +11,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netloom.functions.text import bare_mime, header, is_noise, leading_int, priority_name, split_header, status_of, view_id, view_title
-from netloom.operators import netlog
+from netloom.functions.text import bare_mime, header, is_noise, leading_int, priority_name, split_header, status_of, url_host, view_id, view_title
+from netloom.operators import netlog, protocol
 from netloom.operators.ownership import written
 from netloom.operators.pages import as_extensions, without
 from netloom.operators.traces import anchors_page, base_time, enriched, last_known, one_clock, pointer_epochs, reached_network, timeline_only
@@ -24,6 +24,9 @@ from netloom.sources import json_ranges, lines, ranges
 #: Page timings that are lifted to the page under another name.
 RENAMED = {"_firstPaint": "_render", "_largestContentfulPaint": "_LargestContentfulPaint", "_domInteractiveTime": "_domInteractive", "_userTimings": "_user_timing"}
 
+#: Phases of a resource's timing, offsets in ms from its requestTime, and what they are called here.
+TIMING = {"dnsStart": "dns_start", "dnsEnd": "dns_end", "connectStart": "connect_start", "connectEnd": "connect_end", "sslStart": "ssl_start", "sslEnd": "ssl_end"}
+
 #: Characters of a document or of a slice of one: far enough below the 128 MiB that a VARIANT holds, which may be several times its text.
 PIECE = 16 << 20
 _VIEWS = {"firstView": {"requests": True}, "repeatView": {"requests": True}}
@@ -199,6 +202,9 @@ def har_requests(docs: DataFrame) -> DataFrame:
         F.coalesce(_get("$._contentType", "string"), _get("$.response.content.mimeType", "string")).alias("mime"),
         F.coalesce(_get("$._bytesIn", "bigint"), _get("$.response.content.size", "bigint"), F.lit(0)).alias("bytes_in"),
         conn.alias("connection_id"),
+        F.coalesce(_get("$.request.httpVersion", "string"), _get("$.response.httpVersion", "string")).alias("http_version"),
+        *[_get(f"$.{s}.headers", "array<struct<name: string, value: string>>").alias(n) for s, n in (("request", "headers"), ("response", "response_headers"))],
+        _get("$.serverIPAddress", "string").alias("server_ip"),
         start.alias("start"),
         first.alias("first_data"),
         F.coalesce(_get("$._lastDataTimeMs", "double"), first + pos("receive")).alias("end"),
@@ -283,11 +289,18 @@ def protocol_events(docs: DataFrame) -> DataFrame:
     return kept.select("capture", F.col("pos").alias("ord"), "method", _get("$.params.requestId", "string").alias("request_id"), (_get("$.params.timestamp", "double") * 1000).alias("ts_ms"), _get("$.params", "variant").alias("params"))
 
 
+def _header_list(headers: Column) -> Column:
+    """name and value of a VARIANT object of headers."""
+    return F.transform(F.map_entries(headers.try_cast("map<string,string>")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
+
+
 def protocol_requests(events: DataFrame) -> DataFrame:
     """Requests of a protocol log: a request sent again under its id is a redirect and begins another one.
 
     first_byte: the first data or response; bytes_in: the total that the end states, else the sum of its parts; error
-    12999 where nothing came back.
+    12999 where nothing came back. The answer to a request that was redirected stands with the one that follows it. Times of
+    connections stay with the first request of a socket, those of lookups with the first of a host. initiator: what
+    made the request, by its own url or the first script of its stack that is known.
     """
     from netloom.operators.sequences import segments
 
@@ -296,19 +309,55 @@ def protocol_requests(events: DataFrame) -> DataFrame:
     is_ = lambda m: F.col("method") == f"Network.{m}"
     p = lambda path, kind: F.try_variant_get("params", path, kind)
     of = lambda m, c: F.min_by(c, F.when(is_(m), F.col("ord")))
+    answer = of("responseReceived", p("$.response", "variant"))
+    moved = of("requestWillBeSent", p("$.redirectResponse", "variant"))
     folded = net.groupBy("capture", "request_id", "hop").agg(
         F.min("ord").alias("ord"),
         of("requestWillBeSent", p("$.request.url", "string")).alias("url"),
         of("requestWillBeSent", p("$.request.method", "string")).alias("http_method"),
+        _header_list(of("requestWillBeSent", p("$.request.headers", "variant"))).alias("headers"),
+        of("requestWillBeSent", p("$.initiator.url", "string")).alias("initiator_url"),
+        of("requestWillBeSent", p("$.initiator.stack.callFrames", "array<variant>")).alias("stack"),
         F.min(F.when(is_("requestWillBeSent"), F.col("ts_ms"))).alias("start"),
         F.min(F.when(is_("responseReceived") | is_("dataReceived"), F.col("ts_ms"))).alias("first_byte"),
         F.max(F.when(is_("loadingFinished") | is_("loadingFailed") | is_("dataReceived"), F.col("ts_ms"))).alias("end"),
-        of("responseReceived", p("$.response.status", "int")).alias("status"),
-        of("responseReceived", p("$.response.mimeType", "string")).alias("mime"),
+        answer.alias("answer"),
+        moved.alias("moved"),
         F.coalesce(F.max(F.when(is_("loadingFinished"), p("$.encodedDataLength", "bigint"))), F.sum(F.when(is_("dataReceived"), p("$.encodedDataLength", "bigint")))).alias("bytes_in"),
         F.max(is_("requestServedFromCache")).alias("from_cache"),
     )
-    return folded.filter(F.col("url").rlike("^https?://")).withColumn("error", F.when(F.col("first_byte").isNull() & ~F.col("from_cache"), 12999))
+    # the next hop tells how this one was answered, and when
+    chain = Window.partitionBy("capture", "request_id").orderBy("hop")
+    folded = folded.withColumns({"_moved": F.lead("moved").over(chain), "_then": F.lead("start").over(chain)})
+    folded = folded.withColumn("answer", F.coalesce("answer", "_moved"))
+    folded = folded.withColumns({"first_byte": F.when(F.col("_moved").isNotNull(), F.coalesce("first_byte", "_then")).otherwise(F.col("first_byte")), "end": F.when(F.col("_moved").isNotNull(), F.coalesce("end", "_then")).otherwise(F.col("end"))})
+    a = lambda path, kind: F.try_variant_get("answer", path, kind)
+    timed = a("$.timing.requestTime", "double") * 1000
+    phase = {c: F.when(a(f"$.timing.{n}", "double") >= 0, timed + a(f"$.timing.{n}", "double")).otherwise(F.lit(-1.0)) for n, c in TIMING.items()}
+    told = folded.filter(F.col("url").rlike("^https?://")).withColumns(
+        {
+            "status": a("$.status", "int"),
+            "mime": a("$.mimeType", "string"),
+            "socket": F.nullif(a("$.connectionId", "string"), F.lit("0")),
+            "http_version": a("$.protocol", "string"),
+            "server_ip": a("$.remoteIPAddress", "string"),
+            "response_headers": _header_list(a("$.headers", "variant")),
+            "host": url_host(F.col("url")),
+            "error": F.when(F.col("first_byte").isNull() & ~F.col("from_cache"), 12999),
+            "frames": F.transform(F.coalesce("stack", F.array().cast("array<variant>")), lambda f: F.struct(F.try_variant_get(f, "$.scriptId", "string").alias("script"), F.try_variant_get(f, "$.url", "string").alias("url"))),
+            **phase,
+        }
+    )
+    told = protocol.claim_phases(told, "capture", "socket", "host", ["start", "ord"]).withColumn("req", F.col("ord"))
+    return protocol.initiators(told, protocol.script_urls(protocol_scripts(events))).drop("req", "stack", "frames", "initiator_url", "answer", "moved", "_moved", "_then")
+
+
+def protocol_scripts(events: DataFrame) -> DataFrame:
+    """capture, ord, script, url, frames (script, url) of the scripts that a protocol log tells of."""
+    p = lambda path, kind: F.try_variant_get("params", path, kind)
+    frame = lambda f: F.struct(F.try_variant_get(f, "$.scriptId", "string").alias("script"), F.try_variant_get(f, "$.url", "string").alias("url"))
+    frames = F.transform(F.coalesce(p("$.stackTrace.callFrames", "array<variant>"), F.array().cast("array<variant>")), frame)
+    return events.filter("method = 'Debugger.scriptParsed'").select("capture", "ord", p("$.scriptId", "string").alias("script"), p("$.url", "string").alias("url"), frames.alias("frames"))
 
 
 def trace_events(docs: DataFrame) -> DataFrame:
@@ -349,10 +398,6 @@ def trace_netlog(events: DataFrame) -> DataFrame:
     )
 
 
-#: Phases of a resource's timing, offsets in ms from its requestTime, and what they are called here.
-TIMING = {"dnsStart": "dns_start", "dnsEnd": "dns_end", "connectStart": "connect_start", "connectEnd": "connect_end", "sslStart": "ssl_start", "sslEnd": "ssl_end"}
-
-
 def trace_timeline(events: DataFrame) -> DataFrame:
     """What the timeline of a trace tells of each resource: capture, request_id, url, times (ms) and more, one clock for each capture.
 

@@ -68,12 +68,17 @@ READERS = {
 }
 
 
+def told_format(spark: SparkSession, path: str) -> str:
+    """The format of the captures at path, by their content. Raises ValueError where there are several, or one that no reader knows."""
+    found = sorted(r["format"] for r in formats(spark, path).select("format").distinct().collect())
+    if len(found) != 1 or found[0] not in READERS:
+        raise ValueError(f"{path} must hold captures of one known format, not: {', '.join(found) or 'nothing'}")
+    return found[0]
+
+
 def load(spark: SparkSession, path: str, kind: str | None = None) -> dict[str, DataFrame]:
     """The tables of the captures at path, which have one format; it is told by their content unless given.
 
     Raises ValueError where files are of several formats, or of one that no reader knows.
     """
-    found = [kind] if kind else sorted(r["format"] for r in formats(spark, path).select("format").distinct().collect())
-    if len(found) != 1 or found[0] not in READERS:
-        raise ValueError(f"{path} must hold captures of one known format, not: {', '.join(found) or 'nothing'}")
-    return READERS[found[0]](spark, path)
+    return READERS[kind or told_format(spark, path)](spark, path)
