@@ -23,6 +23,8 @@ from netloom.sources.http1 import HEAD, METHODS
 
 #: Bytes that wait for a missing segment at most, for each direction; then the gap is taken as lost.
 WAITING = 4 << 20
+#: Content types of which the bodies are kept, as rows then carry them, and bytes of such a body at most (what a lookup's length holds).
+KEPT, MOST_BODY = re.compile(rb"(?im)^content-type[ \t]*:[ \t]*application/dns-message"), 65_535
 #: Bytes that show whether a direction asks or answers.
 SHOWN = 16
 FIN, SYN, RST = 1, 2, 4
@@ -84,7 +86,7 @@ class Messages:
                 if data[i : i + 2] == b"\r\n" or data[i : i + 1] == b"\n":  # empty lines between messages
                     i += 1 + (data[i] == 13)
                     continue
-                self.m = {"begin": at, "end": at, "bytes": 0, "head": bytearray(), "body": 0, "line": bytearray(), "whole": False}
+                self.m = {"begin": at, "end": at, "bytes": 0, "head": bytearray(), "body": 0, "line": bytearray(), "whole": False, "kept": None}
                 self.state = "head"
             m, start = self.m, i
             if self.state == "head":
@@ -105,6 +107,8 @@ class Messages:
                     self.framed(connection)
             elif self.state in ("body", "chunk"):
                 n = min(self.left, len(data) - i)
+                if m["kept"] is not None and len(m["kept"]) <= MOST_BODY:
+                    m["kept"] += data[i : i + n]
                 self.left, i = self.left - n, i + n
                 m["body"] += n
                 if not self.left:
@@ -126,6 +130,7 @@ class Messages:
         """The head is whole: what follows it?"""
         head, m = bytes(self.m["head"]), self.m
         length, chunked = _LENGTH.search(head), _CHUNKED.search(head)
+        m["kept"] = bytearray() if KEPT.search(head) else None
         m["status"] = None if self.asks else int(head[9:12])
         if self.asks:
             connection.asked(m)
@@ -240,7 +245,7 @@ class Connection:
         self.open.clear()
 
 
-ROWS = "capture string, flow string, generation long, n long, from_ip string, server_ip string, server_port int, asked string, told string, start long, first_byte long, answer_end long, asked_end long, bytes_out long, bytes_in long, body_out long, body_in long, interim long, whole boolean"
+ROWS = "capture string, flow string, generation long, n long, from_ip string, server_ip string, server_port int, asked string, told string, start long, first_byte long, answer_end long, asked_end long, bytes_out long, bytes_in long, body_out long, body_in long, interim long, whole boolean, from_port int, asked_body binary, told_body binary"
 
 
 def exchanges(flows: DataFrame) -> DataFrame:
@@ -248,9 +253,9 @@ def exchanges(flows: DataFrame) -> DataFrame:
 
     flows: as packets.flows() makes them. interim: answers before the final one; whole: whether both messages ended where
     they must. Requests without an answer have nulls. A connection in which neither a request nor a status line begins a
-    segment has no rows. Rows of one connection pass through one task, sorted, a segment at a time.
+    segment has no rows. asked_body and told_body are kept for the content types that KEPT names only. Rows of one connection pass through one task, sorted, a segment at a time.
     """
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
     fields = [(n, kinds[k]) for n, k in (c.split() for c in ROWS.split(", "))]
 
     def row(c: Connection, x: dict) -> tuple:
@@ -258,8 +263,9 @@ def exchanges(flows: DataFrame) -> DataFrame:
         client, (server, port) = q["begin"][2], q["begin"][3]
         text = lambda m: m["head"][:-4].decode("latin-1") if m else None
         time = lambda m, k: m[k][0] if m else None
+        body = lambda m: bytes(m["kept"]) if m and m["kept"] is not None and len(m["kept"]) <= MOST_BODY else None
         whole = bool(q["whole"] and a.get("whole"))
-        return (*c.key, x["n"], client[0], server, port, text(q), text(a), time(q, "begin"), time(a, "begin"), time(a, "end"), time(q, "end"), q["bytes"], a.get("bytes"), q["body"], a.get("body"), x["interim"], whole)
+        return (*c.key, x["n"], client[0], server, port, text(q), text(a), time(q, "begin"), time(a, "begin"), time(a, "end"), time(q, "end"), q["bytes"], a.get("bytes"), q["body"], a.get("body"), x["interim"], whole, client[1], body(q), body(a))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, out = None, []
@@ -295,6 +301,11 @@ def exchanges(flows: DataFrame) -> DataFrame:
 
 
 def framed_requests(flows: DataFrame) -> DataFrame:
+    """Requests of connections (flows), as requests_of() has them."""
+    return requests_of(exchanges(flows))
+
+
+def requests_of(exchanged: DataFrame) -> DataFrame:
     """Requests over plain connections, framed by bytes, with their final answers; columns as those of http1_requests() and more.
 
     capture, flow, generation, n, method, url, host, status, mime, headers, response_headers, server_ip, server_port, start, first_byte,
@@ -302,7 +313,7 @@ def framed_requests(flows: DataFrame) -> DataFrame:
     """
     lines = lambda c: F.split(c, "\r\n")
     headers = lambda c: F.filter(F.transform(F.slice(lines(c), F.lit(2), F.greatest(F.size(lines(c)) - 1, F.lit(0))), split_header), lambda h: h.isNotNull())
-    told = exchanges(flows).withColumns({"line": lines("asked")[0], "headers": headers("asked"), "response_headers": F.when(F.col("told").isNotNull(), headers("told"))})
+    told = exchanged.withColumns({"line": lines("asked")[0], "headers": headers("asked"), "response_headers": F.when(F.col("told").isNotNull(), headers("told"))})
     target = F.regexp_extract("line", r"^\S+ (\S+)", 1)
     host = F.coalesce(header(F.col("headers"), "host"), F.col("server_ip"))
     return told.select(

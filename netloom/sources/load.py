@@ -47,8 +47,9 @@ def _packets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     read = packets.packets(spark, path)
     flows = packets.flows(read)
     said = lookups.messages(read).unionByName(lookups.stream_messages(http1.new_segments(flows)))
-    found = lookups.lookups(said)
-    return {"packets": flows, "flow_stats": packets.flow_stats(flows), "lookups": found, "requests": http1.with_lookups(http1_framing.framed_requests(flows), found)}
+    plain = http1_framing.exchanges(flows)
+    found = lookups.lookups(said).unionByName(lookups.http_lookups(plain))
+    return {"packets": flows, "flow_stats": packets.flow_stats(flows), "lookups": found, "requests": http1.with_lookups(http1_framing.requests_of(plain), found)}
 
 
 def _archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -6,12 +6,16 @@ import ipaddress
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.functions.text import base64url
+
 PORT, JUMPS = 53, 20
 #: Record types whose data is an address or a name.
 A, CNAME, AAAA = 1, 5, 28
+HTTP_LOOKUPS = "capture string, client string, name string, start long, end long, code int, addresses array<string>, aliases array<string>"
 MESSAGES = "capture string, ord long, time_us long, client string, id int, response boolean, code int, name string, addresses array<string>, aliases array<string>"
 
 
@@ -109,3 +113,28 @@ def lookups(messages_: DataFrame) -> DataFrame:
     w = Window.partitionBy("capture", "client", "id", "name").orderBy("time_us", "ord")
     asked = messages_.withColumn("start", F.lag(F.when(~F.col("response"), F.col("time_us"))).over(w))
     return asked.filter("response and start is not null").select("capture", "client", "name", "start", F.col("time_us").alias("end"), "code", "addresses", "aliases")
+
+
+def http_lookups(exchanges: DataFrame) -> DataFrame:
+    """Lookups over HTTP, as lookups() has them: the question in the url (``dns``, base64url) or in the body of a POST, the answer in the body of the response.
+
+    exchanges: http1_framing.exchanges(). An exchange counts where the answer is a message that answers, to a name that was asked for where the question can be read.
+    """
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    fields = [(n, kinds[k]) for n, k in (c.split() for c in HTTP_LOOKUPS.split(", "))]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for capture, client, start, end, asked, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                question, answer = message(asked) if asked else None, message(told)
+                if answer and answer[1] and (question is None or question[3] == answer[3]):
+                    out.append((capture, client, answer[3], start, end, *answer[2:3], *answer[4:]))
+            columns = list(zip(*out, strict=True)) if out else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+    line = F.split_part("asked", F.lit("\r\n"), F.lit(1))
+    encoded = F.nullif(F.regexp_extract(line, r"^GET \S*[?&]dns=([A-Za-z0-9_-]+)[&= ]", 1), F.lit(""))
+    asked = F.coalesce(base64url(encoded), F.when(line.startswith("POST "), F.col("asked_body")))
+    rows = exchanges.filter("told_body is not null").select("capture", F.concat_ws(" ", "from_ip", F.col("from_port").cast("string")).alias("client"), F.col("start"), F.col("answer_end").alias("end"), asked.alias("asked"), "told_body")
+    return rows.mapInArrow(read, HTTP_LOOKUPS)

@@ -1,5 +1,6 @@
 """Messages are framed by their bytes, however segments cut them."""
 
+import base64
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from netloom.sources import http1_framing as H
+from netloom.sources import lookups
 
 FLOWS = "capture string, flow string, generation long, forward boolean, time_us long, ord long, proto string, seq long, src_ip string, src_port int, dst_ip string, dst_port int, payload binary"
 
@@ -117,3 +119,24 @@ def test_rows(spark, monkeypatch, waiting):
     ]
     assert all(r["bytes_out"] + 0 and r["start"] < r["first_byte"] <= r["end"] for r in got)
     assert H.framed_requests(spark.createDataFrame([], FLOWS)).count() == 0
+
+
+def dns(name, number=7, answer=None):
+    q = b"".join(bytes([len(p)]) + p for p in name.encode().split(b".")) + b"\0\0\1\0\1"
+    head = number.to_bytes(2, "big") + (b"\x81\x80\0\1\0\1\0\0\0\0" if answer else b"\1\0\0\1\0\0\0\0\0\0")
+    return head + q + (b"\xc0\x0c\0\1\0\1\0\0\0\0\0\4" + bytes(answer) if answer else b"")
+
+
+def test_lookups_over_requests(spark):
+    encoded = base64.urlsafe_b64encode(dns("g.example")).rstrip(b"=")
+    kind = b"Content-Type: application/dns-message\r\n"
+    client = b"GET /dns-query?x=1&dns=" + encoded + b" HTTP/1.1\r\nHost: r\r\n\r\n" + request(b"/dns-query", dns("p.example"), b"POST").replace(b"Host: h\r\n", b"Host: h\r\n" + kind)
+    client += request(b"/other") + b"GET /dns-query?dns=" + encoded + b" HTTP/1.1\r\n\r\n" + b"GET /dns-query?dns=" + encoded + b" HTTP/1.1\r\n\r\n"
+    server = answer(200, dns("g.example", 0, (1, 2, 3, 4)), kind, chunked=True) + answer(200, dns("p.example", 0, (5, 6, 7, 8)), kind) + answer(200, b"page") + answer(200, dns("q.example", 0, (9, 9, 9, 9)), kind) + answer(200, b"broken", kind)
+    rows = []
+    for i, (forward, seq, data) in enumerate(segments(client, server, 23)):
+        ends = ("10.0.0.1", 5000, "10.0.0.2", 80) if forward else ("10.0.0.2", 80, "10.0.0.1", 5000)
+        rows.append(("c", "f", 0, forward, i, i, "tcp", seq, *ends, bytearray(data)))
+    got = lookups.http_lookups(H.exchanges(spark.createDataFrame(rows, FLOWS))).orderBy("start").collect()
+    assert [(r["name"], r["addresses"], r["client"], r["code"]) for r in got] == [("g.example", ["1.2.3.4"], "10.0.0.1 5000", 0), ("p.example", ["5.6.7.8"], "10.0.0.1 5000", 0)]
+    assert all(r["start"] < r["end"] for r in got)
