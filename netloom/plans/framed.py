@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from netloom.operators import layout, mainthread, traces
+from netloom.operators import history, layout, mainthread, traces
 from netloom.plans.adapters import REQUESTS, SPANS, requests, spans
-from netloom.sources import http1_framing
+from netloom.sources import http1_framing, lookups
 
 #: Bytes of a segment.
 _CUT = 37
@@ -198,5 +198,45 @@ SELECT l.capture, l.req, l.url, coalesce(CASE WHEN l.req % 2 = 0 THEN l.status E
 UNION ALL SELECT capture, req, url, status, 'p' || priority, kind FROM t WHERE (capture, url) NOT IN (SELECT (capture, url) FROM l)
 """
 
-QUERIES = {"http1_framing": http1_framing_, "overflowing_slices": overflowing_slices} | {f.__name__: f for f in (waterfall_rows, waterfall_connections, sent_order, pointer_objects, log_with_timeline)}
-SQL = {"http1_framing": _FRAMING, "overflowing_slices": _OVERFLOW, "waterfall_rows": _ROWS_SQL, "waterfall_connections": _CONNECTIONS_SQL, "sent_order": _SENT_SQL, "pointer_objects": _POINTERS, "log_with_timeline": _LOGGED}
+def history_fold(spark, d):
+    """What holds of each user's entry after its events: some put it, some change a value of it, some delete it."""
+    op = F.when(F.col("kind").isin("view", "signup"), history.PUT).when(F.col("kind") == "error", history.DELETE).otherwise(history.UPDATE)
+    told = spans(spark, d).select("u", "i", op.alias("op"), F.when(F.col("kind") != "purchase", F.col("i") % 100).alias("size"), F.when(F.col("kind") != "click", F.concat(F.lit("t"), _str("i"))).alias("title"))
+    return history.fold(told, "u", "i", "op", ["size", "title"])
+
+
+_HISTORY = f"""
+WITH {SPANS}, b AS (SELECT u, arg_max(kind, i) AS last_kind, max(i) AS since FROM v WHERE kind IN ('view', 'signup', 'error') GROUP BY u), x AS (SELECT v.*, since FROM v JOIN b USING (u) WHERE last_kind <> 'error' AND i >= since)
+SELECT u, arg_max(i % 100, i) FILTER (kind <> 'purchase') AS size, arg_max('t' || i, i) FILTER (kind <> 'click') AS title FROM x GROUP BY u
+"""
+
+
+def lookups_over_http(spark, d):
+    """Lookups of connections made of users: questions in urls and in bodies, answers in bodies, of which some answer another name; cut into segments without regard to messages."""
+    number = lambda c, n: F.lpad(F.hex(c), n, "0")
+    label = lambda c: F.concat(number(F.length(c), 2), F.hex(c), F.lit("076578616D706C650000010001"))
+    e = spans(spark, d).filter("kind in ('view', 'click')")
+    name, other = F.concat(F.lit("h"), _str("u")), F.concat(F.lit("x"), _str("u"))
+    question = F.unhex(F.concat(F.lit("000001000001000000000000"), label(name)))
+    answer = F.unhex(F.concat(F.lit("000081800001000100000000"), label(F.when(F.col("i") % 5 == 0, other).otherwise(name)), F.lit("C00C000100010000000000040A00"), number(F.col("i") % 65536, 4)))
+    raw = lambda c: F.encode(c, "UTF-8")
+    kind = F.lit("Content-Type: application/dns-message\r\nContent-Length: ")
+    get = raw(F.concat(F.lit("GET /q?dns="), F.translate(F.regexp_replace(F.base64(question), "=", ""), "+/", "-_"), F.lit(" HTTP/1.1\r\nHost: r\r\n\r\n")))
+    post = F.concat(raw(F.concat(F.lit("POST /q HTTP/1.1\r\n"), kind, F.length(question).cast("string"), F.lit("\r\n\r\n"))), question)
+    told = F.concat(raw(F.concat(F.lit("HTTP/1.1 200 OK\r\n"), kind, F.length(answer).cast("string"), F.lit("\r\n\r\n"))), answer)
+    texts = e.select("u", "i", F.explode(F.create_map(F.lit(True), F.when(F.col("kind") == "view", get).otherwise(post), F.lit(False), told)).alias("forward", "data"))
+    streams = texts.groupBy("u", "forward").agg(F.sort_array(F.collect_list(F.struct("i", "data"))).alias("parts"))
+    streams = streams.select("u", "forward", F.aggregate("parts", F.lit("").cast("binary"), lambda a, p: F.concat(a, p["data"])).alias("stream"))
+    cut = streams.select("u", "forward", "stream", F.explode(F.sequence(F.lit(0), F.length("stream") - 1, F.lit(_CUT))).alias("seq"))
+    at = F.expr(f"seq div {_CUT}")
+    flows = cut.select(
+        F.lit("c").alias("capture"), F.concat(F.lit("f"), _str("u")).alias("flow"), F.lit(0).alias("generation"), "forward", (at + F.when(F.col("forward"), 0).otherwise(10_000_000)).cast("long").alias("time_us"), at.cast("long").alias("ord"), F.lit("tcp").alias("proto"),
+        F.col("seq").cast("long").alias("seq"), F.lit("10.0.0.1").alias("src_ip"), F.lit(5000).alias("src_port"), F.lit("10.0.0.2").alias("dst_ip"), F.lit(80).alias("dst_port"), F.expr(f"substring(stream, seq + 1, {_CUT})").alias("payload"),
+    )
+    return lookups.http_lookups(http1_framing.exchanges(flows)).select("name", F.array_join("addresses", ",").alias("addresses"), "code")
+
+
+_OVER_HTTP = f"WITH {SPANS} SELECT 'h' || u || '.example' AS name, '10.0.' || i % 65536 // 256 || '.' || i % 256 AS addresses, CAST(0 AS INTEGER) AS code FROM v WHERE kind IN ('view', 'click') AND i % 5 <> 0"
+
+QUERIES = {"http1_framing": http1_framing_, "overflowing_slices": overflowing_slices} | {f.__name__: f for f in (waterfall_rows, waterfall_connections, sent_order, pointer_objects, log_with_timeline, history_fold, lookups_over_http)}
+SQL = {"http1_framing": _FRAMING, "overflowing_slices": _OVERFLOW, "waterfall_rows": _ROWS_SQL, "waterfall_connections": _CONNECTIONS_SQL, "sent_order": _SENT_SQL, "pointer_objects": _POINTERS, "log_with_timeline": _LOGGED, "history_fold": _HISTORY, "lookups_over_http": _OVER_HTTP}
