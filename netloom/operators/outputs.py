@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions.text import is_web, url_host
 from netloom.operators.layout import numbered
-from netloom.operators.ownership import first_claim, request_timings
+from netloom.operators.ownership import paid_requests
 
 #: Times of a request's phases that only the request that pays for them has.
 PAID = {"dns_start": "d_start", "dns_end": "d_end", "connect_start": "c_start", "connect_end": "c_end", "ssl_start": "tls_start"}
@@ -37,12 +37,9 @@ def page_requests(requests: DataFrame, connections: DataFrame, lookups: DataFram
 
     requests: page, req, conn, dns_id, start, first_data, end, url and more; connections and lookups as request_timings() has them.
     """
-    web = requests.filter(is_web(F.col("url")))
-    phases = request_timings(web, connections, lookups)
-    owned = first_claim(first_claim(web, ["page", "conn"], ["start", "req"], "_pays_c"), ["page", "dns_id"], ["start", "req"], "_pays_d")
-    both = owned.join(connections, "conn", "left").join(lookups, "dns_id", "left").join(phases, ["page", "req"])
-    paid = {n: F.when(F.col("_pays_d" if c.startswith("d_") else "_pays_c"), F.col(c)) for n, c in PAID.items()}
-    return both.withColumns(paid).drop(*PAID.values(), "_pays_c", "_pays_d")
+    both = paid_requests(requests.filter(is_web(F.col("url"))), connections, lookups)
+    paid = {n: F.when(F.col("pays_dns" if c.startswith("d_") else "pays_connect"), F.col(c)) for n, c in PAID.items()}
+    return both.withColumns(paid).drop(*PAID.values(), "pays_connect", "pays_dns")
 
 
 def strip(df: DataFrame, *columns: str) -> DataFrame:

@@ -43,11 +43,11 @@ def span_ms(start: Column, end: Column) -> Column:
     return F.when(end >= start, end - start).otherwise(F.lit(-1))
 
 
-def request_timings(requests: DataFrame, connections: DataFrame, lookups: DataFrame) -> DataFrame:
-    """Phases of each request: dns, connect and ssl are paid by the first request of a lookup or connection only.
+def paid_requests(requests: DataFrame, connections: DataFrame, lookups: DataFrame) -> DataFrame:
+    """requests with the columns of their connection and lookup, pays_connect and pays_dns, and dns, connect, ssl, wait, receive, total_ms.
 
-    requests: page, req, conn, dns_id, start, first_data, end; connections: conn, c_start, c_end, tls_start; lookups:
-    dns_id, d_start, d_end. All times in ms; wait and receive are never negative.
+    dns, connect and ssl are paid by the first request of a lookup or connection only. requests: page, req, conn, dns_id, start, first_data, end;
+    connections: conn, c_start, c_end, tls_start; lookups: dns_id, d_start, d_end. All times in ms; wait and receive are never negative.
     """
     owned = first_claim(first_claim(requests, ["page", "conn"], ["start", "req"], "pays_connect"), ["page", "dns_id"], ["start", "req"], "pays_dns")
     all_ = owned.join(connections, "conn", "left").join(lookups, "dns_id", "left")
@@ -57,7 +57,12 @@ def request_timings(requests: DataFrame, connections: DataFrame, lookups: DataFr
     dns = F.when(F.col("pays_dns"), span_ms(F.col("d_start"), F.col("d_end"))).otherwise(-1)
     wait, receive = F.greatest(F.lit(0), first - F.col("start")), F.greatest(F.lit(0), F.col("end") - first)
     total = F.greatest(F.lit(0), dns) + F.greatest(F.lit(0), connect) + wait + receive
-    return all_.select("page", "req", *[c.cast("long").alias(n) for n, c in (("dns", dns), ("connect", connect), ("ssl", ssl), ("wait", wait), ("receive", receive), ("total_ms", total))])
+    return all_.withColumns({n: c.cast("long") for n, c in (("dns", dns), ("connect", connect), ("ssl", ssl), ("wait", wait), ("receive", receive), ("total_ms", total))})
+
+
+def request_timings(requests: DataFrame, connections: DataFrame, lookups: DataFrame) -> DataFrame:
+    """page, req and the phases of each request, as paid_requests() has them."""
+    return paid_requests(requests, connections, lookups).select("page", "req", "dns", "connect", "ssl", "wait", "receive", "total_ms")
 
 
 def enrich_last_wins(rows: DataFrame, other: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
