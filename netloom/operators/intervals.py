@@ -22,6 +22,22 @@ def long_tasks(df: DataFrame, by: str, start: str, end: str, tie: str, least_us:
     return coalesce_intervals(ms, by, "s", "e", tie, touch=False).select(by, F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "n")
 
 
+def merged_long_tasks(tasks: DataFrame, toplevel: DataFrame, by: str, start: str, end: str, least_us: int = 50_000) -> DataFrame:
+    """by, start_ms, end_ms, n: tasks that took longer than ``least_us`` and toplevel ones that took as long or longer, widened to whole ms and coalesced.
+
+    Tasks that only meet stay apart, unless their ``by`` has toplevel ones.
+    """
+    ms = lambda df, top: df.select(by, F.expr(f"{start} div 1000").alias("s"), F.expr(f"({end} + 999) div 1000").alias("e"), F.lit(top).alias("_top"))
+    took = F.col(end) - F.col(start)
+    both = ms(tasks.filter(took > least_us), False).unionByName(ms(toplevel.filter(took >= least_us), True))
+    both = both.join(both.groupBy(by).agg(F.max("_top").alias("_any")), by)
+    order = Window.partitionBy(by).orderBy("s", "e", "_top")
+    upto = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = upto.isNull() | (F.col("s") > upto) | (~F.col("_any") & (F.col("s") == upto))
+    marked = both.withColumn("_new", F.when(apart, 1).otherwise(0)).withColumn("_k", F.sum("_new").over(order))
+    return marked.groupBy(by, "_k").agg(F.min("s").alias("start_ms"), F.max("e").alias("end_ms"), F.count(F.lit(1)).alias("n")).drop("_k")
+
+
 def gaps(tasks: DataFrame, by: str, start: str, end: str) -> DataFrame:
     """by, gap_start, gap_end: what disjoint intervals leave between them."""
     last = F.lag(end).over(Window.partitionBy(by).orderBy(start))

@@ -103,24 +103,24 @@ def with_parents(spans: DataFrame, by: str, depth: str, start: str, name: str) -
     return both.withColumn("parent", F.last("_name", ignorenulls=True).over(w)).filter("_up = 1").drop("_k", "_up", "_name")
 
 
-def exclusive_slices(spans: DataFrame, by: str, start: str, end: str, name: str, width_us: int, depth: str = "depth") -> DataFrame:
+def exclusive_slices(spans: DataFrame, by: str, start: str, end: str, name: str, width_us: int | str, depth: str = "depth") -> DataFrame:
     """by, name, slice, usecs: time in each slice that is an event's own, folded over the slice's spans in the order of their start and depth.
 
     spans: with ``depth`` and ``parent`` (a name, or null). A span adds its time to its name, at most the whole slice. Its parent loses
     as much if it has that much there. Where the names together exceed the slice, the others share what the span leaves,
     in the order in which their names came first for ``by``. A span of its parent's name adds nothing. Spans of a slice pass
-    through the fold one by one; only the names of one slice are held.
+    through the fold one by one; only the names of one slice are held. width_us: a number, or a column that is the same for all of a ``by``.
     """
     kinds = {f.name: f.dataType.simpleString() for f in spans.schema}
     first = spans.groupBy(by, name).agg(F.min(F.struct(start, depth)).alias("_first"))
     ranks = first.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy("_first", name))).select(by, name, "_rank")
     at = [F.expr(f"{start} div {width_us}"), F.expr(f"greatest({start}, {end} - 1) div {width_us}")]
     own = spans.filter(~F.col(name).eqNullSafe(F.col("parent")) & (F.col(end) > F.col(start)))
-    cut = own.select(by, name, "parent", start, end, depth, F.explode(F.sequence(*at)).alias("slice"))
-    used = F.least(F.col(end), (F.col("slice") + 1) * width_us) - F.greatest(F.col(start), F.col("slice") * width_us)
+    cut = own.select(by, name, "parent", start, end, depth, F.expr(f"cast({width_us} as bigint)").alias("_width"), F.explode(F.sequence(*at)).alias("slice"))
+    used = F.least(F.col(end), (F.col("slice") + 1) * F.col("_width")) - F.greatest(F.col(start), F.col("slice") * F.col("_width"))
     parents = ranks.select(by, F.col(name).alias("parent"), F.col("_rank").alias("_parent"))
     cut = cut.join(ranks, [by, name]).join(parents, [by, "parent"], "left")
-    rows = cut.select(by, "slice", "_rank", "_parent", used.cast("long").alias("_used"), start, depth).repartition(by, "slice").sortWithinPartitions(by, "slice", start, depth, "_rank")
+    rows = cut.select(by, "slice", "_rank", "_parent", used.cast("long").alias("_used"), "_width", start, depth).repartition(by, "slice").sortWithinPartitions(by, "slice", start, depth, "_rank")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, shares, total, out = None, {}, 0, []
@@ -133,7 +133,7 @@ def exclusive_slices(spans: DataFrame, by: str, start: str, end: str, name: str,
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            for who, slice_, rank, parent, n, *_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for who, slice_, rank, parent, n, width, *_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != (who, slice_):
                     out += [(*key, r, v) for r, v in shares.items()] if key else []
                     key, shares, total = (who, slice_), {}, 0
@@ -142,14 +142,14 @@ def exclusive_slices(spans: DataFrame, by: str, start: str, end: str, name: str,
                 if parent is not None and shares.get(parent, 0) >= n:
                     shares[parent] -= n
                     total -= n
-                shares[rank] = min(shares[rank], width_us)
-                if total > width_us:
-                    left = width_us - n
+                shares[rank] = min(shares[rank], width)
+                if total > width:
+                    left = width - n
                     for r in sorted(shares):
                         if r != rank:
                             shares[r] = min(shares[r], left)
                             left -= shares[r]
-                    total = width_us - left
+                    total = width - left
             if len(out) > 20_000:
                 yield told()
         if key:

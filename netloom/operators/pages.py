@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.operators.sequences import carry_back
+
 #: Endings of the members that hold a page's resource, in the order they are tried, and their types.
 RESOURCES = {
     "screenshot": (("_screen.jpg", "image/jpeg"), ("_screen.png", "image/png")),
@@ -120,3 +122,34 @@ def scores(requests: DataFrame, by: str) -> DataFrame:
         kept("image").alias("score_compress"),
         F.when(F.sum("jpeg_size") > 0, F.rint(scans * 100 / F.sum("jpeg_size")).cast("long")).alias("score_progressive"),
     )
+
+
+def utilization(df: DataFrame, by: list[str], raw: str, bw_down: str) -> DataFrame:
+    """by, series, ts, pct, most, plain: samples of each series of a VARIANT object, as percent of the most that it can be.
+
+    A series is an array of its samples (an object of times) and their most, or an object with ``data`` and ``max``; any other is
+    handed on as it is, in plain. Where a bandwidth (kbps) is told, what ``bw`` exceeds it moves to the samples before, and into new
+    ones before the first.
+    """
+    known = df.withColumn("_r", F.coalesce(F.col(raw).try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    each = known.select(*by, F.col(bw_down).alias("_bw"), F.explode("_r").alias("series", "_v"))
+    get = lambda path, kind: F.try_variant_get("_v", path, kind)
+    is_object = lambda c: F.coalesce(F.startswith(F.schema_of_variant(c), F.lit("OBJECT")), F.lit(False))
+    listed = is_object(get("$[0]", "variant")) & (F.size(F.col("_v").try_cast("array<variant>")) >= 2)
+    named = is_object(F.col("_v")) & is_object(get("$.data", "variant"))
+    samples = F.when(listed, get("$[0]", "map<string,string>")).when(named, get("$.data", "map<string,string>"))
+    number = lambda c: F.regexp_extract(c, r"^\s*([+-]?[0-9.]+(?:[eE][+-]?\d+)?)", 1).try_cast("double")
+    most = F.greatest(F.lit(1.0), F.coalesce(number(F.when(listed, get("$[1]", "string")).otherwise(get("$.max", "string"))), F.lit(1.0)))
+    points = F.array_sort(F.transform(F.map_entries(samples), lambda e: F.struct(number(e["key"]).alias("ts"), number(e["value"]).alias("value"))))
+    # a row of its own for what is used often: else it is made anew for each use
+    told = each.select(*by, "series", "_v", F.explode(F.array(points)).alias("_p"), most.alias("_most"), F.when((F.col("series") == "bw") & (F.col("_bw") > 0), F.col("_bw") * 1000.0).alias("_limit"))
+    values = F.transform("_p", lambda p: p["value"])
+    moved = F.when(F.col("_limit").isNotNull(), carry_back(values, F.col("_limit"), "double")).otherwise(values)
+    told = told.select("*", F.explode(F.array(moved)).alias("_values"))
+    step = F.get("_p", F.lit(1))["ts"] - F.get("_p", F.lit(0))["ts"]
+    told = told.withColumns({"_step": F.when(step > 0, step).otherwise(100.0), "_new": F.size("_values") - F.size("_p"), "most": F.coalesce("_limit", "_most")})
+    at = lambda i: F.when(i >= F.col("_new"), F.get("_p", i - F.col("_new"))["ts"]).otherwise(F.get("_p", F.lit(0))["ts"] - (F.col("_new") - i) * F.col("_step"))
+    made = told.withColumn("_s", F.transform("_values", lambda v, i: F.struct(at(i).alias("ts"), (v / F.col("most") * 100.0).alias("pct"))))
+    shaped = made.filter("_p is not null").select(*by, "series", F.explode("_s").alias("s"), "most").select(*by, "series", "s.ts", "s.pct", "most", F.lit(None).cast("variant").alias("plain"))
+    nothing = F.lit(None).cast("double")
+    return shaped.unionByName(made.filter("_p is null").select(*by, "series", nothing.alias("ts"), nothing.alias("pct"), nothing.alias("most"), F.col("_v").alias("plain")))

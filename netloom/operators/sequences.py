@@ -79,12 +79,12 @@ def reassembly(df: DataFrame, flow: str, order: list[str], seq: str, size: str)
     )
 
 
-def carry_back(values: Column, limit: Column) -> Column:
+def carry_back(values: Column, limit: Column, kind: str = "bigint") -> Column:
     """An array walked from its end: what exceeds the limit moves to the sample before; what is left at the head becomes
     new samples before it."""
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("carry"))
-    step = lambda s, v: F.struct(F.concat(F.array(F.least(v + s["carry"], limit)), s["out"]).alias("out"), F.greatest(F.lit(0), v + s["carry"] - limit).cast("bigint").alias("carry"))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("out"), F.lit(0).cast(kind).alias("carry"))
+    step = lambda s, v: F.struct(F.concat(F.array(F.least(v + s["carry"], limit)), s["out"]).alias("out"), F.greatest(F.lit(0), v + s["carry"] - limit).cast(kind).alias("carry"))
     walked = F.aggregate(F.reverse(values), start, step)
-    whole, rest = F.floor(walked["carry"] / limit).cast("int"), (walked["carry"] % limit).cast("bigint")
-    head = F.concat(F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")), F.array_repeat(limit.cast("bigint"), whole))
+    whole, rest = F.floor(walked["carry"] / limit).cast("int"), (walked["carry"] % limit).cast(kind)
+    head = F.concat(F.when(rest > 0, F.array(rest)).otherwise(F.array().cast(f"array<{kind}>")), F.array_repeat(limit.cast(kind), whole))
     return F.concat(head, walked["out"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from netloom.operators import history, layout, mainthread, traces
+from netloom.operators import history, intervals, layout, mainthread, pages, traces
 from netloom.plans.adapters import REQUESTS, SPANS, requests, spans
 from netloom.sources import http1_framing, lookups
 
@@ -238,5 +238,44 @@ def lookups_over_http(spark, d):
 
 _OVER_HTTP = f"WITH {SPANS} SELECT 'h' || u || '.example' AS name, '10.0.' || i % 65536 // 256 || '.' || i % 256 AS addresses, CAST(0 AS INTEGER) AS code FROM v WHERE kind IN ('view', 'click') AND i % 5 <> 0"
 
-QUERIES = {"http1_framing": http1_framing_, "overflowing_slices": overflowing_slices} | {f.__name__: f for f in (waterfall_rows, waterfall_connections, sent_order, pointer_objects, log_with_timeline, history_fold, lookups_over_http)}
-SQL = {"http1_framing": _FRAMING, "overflowing_slices": _OVERFLOW, "waterfall_rows": _ROWS_SQL, "waterfall_connections": _CONNECTIONS_SQL, "sent_order": _SENT_SQL, "pointer_objects": _POINTERS, "log_with_timeline": _LOGGED, "history_fold": _HISTORY, "lookups_over_http": _OVER_HTTP}
+def utilization_shapes(spark, d):
+    """Series of users in all shapes: a list of samples and their most, an object of them, with a bandwidth that some exceed, and none of these."""
+    s = spans(spark, d).groupBy("u").agg(F.sort_array(F.collect_list("i")).alias("i"))
+    point = lambda value: F.map_from_entries(F.transform("i", lambda x: F.struct((x * 10).cast("string").alias("k"), value(x).alias("v"))))
+    bw = F.to_json(point(lambda x: x % 3000 * 1000))
+    cpu = F.to_json(point(lambda x: (x % 90).cast("string")))
+    text = F.concat(F.lit('{"bw":['), bw, F.lit(',"2500000",7],"cpu":{"data":'), cpu, F.lit(',"max":'), (F.col("u") % 300).cast("string"), F.lit(',"count":1},"note":[1,2],"mem":{"max":3}}'))
+    raw = s.select("u", F.parse_json(text).alias("raw"), F.when(F.col("u") % 2 == 0, 2000.0).alias("bw_down"))
+    told = pages.utilization(raw, ["u"], "raw", "bw_down")
+    return told.select("u", "series", "ts", F.round("pct", 6).alias("pct"), "most", F.to_json("plain").alias("plain"))
+
+
+_UTILIZATION = f"""
+WITH RECURSIVE {SPANS}, e AS (SELECT u, i, row_number() OVER (PARTITION BY u ORDER BY i DESC) AS k, count(*) OVER (PARTITION BY u) AS n, i % 3000 * 1000.0 AS x FROM v WHERE u % 2 = 0),
+c AS (SELECT u, k, n, i * 10.0 AS ts, least(x, 2000000.0) AS y, greatest(0, x - 2000000.0) AS carry FROM e WHERE k = 1
+    UNION ALL SELECT c.u, c.k + 1, c.n, coalesce(e.i * 10.0, c.ts - (SELECT CASE WHEN count(*) > 1 THEN (max(i) FILTER (k = c.n - 1) - min(i)) * 10.0 ELSE 100.0 END FROM e z WHERE z.u = c.u)), least(coalesce(e.x, 0) + c.carry, 2000000.0), greatest(0, coalesce(e.x, 0) + c.carry - 2000000.0)
+    FROM c LEFT JOIN e ON e.u = c.u AND e.k = c.k + 1 WHERE c.k < c.n OR c.carry > 0)
+SELECT u, 'bw' AS series, ts, round(y / 2000000.0 * 100, 6) AS pct, 2000000.0::DOUBLE AS most, NULL AS plain FROM c
+UNION ALL SELECT u, 'bw', i * 10.0, round(i % 3000 * 1000.0 / 2500000.0 * 100, 6), 2500000.0, NULL FROM v WHERE u % 2 <> 0
+UNION ALL SELECT u, 'cpu', i * 10.0, round((i % 90) / greatest(1, u % 300)::DOUBLE * 100, 6), greatest(1, u % 300)::DOUBLE, NULL FROM v
+UNION ALL SELECT DISTINCT u, 'note', NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, '[1,2]' FROM v UNION ALL SELECT DISTINCT u, 'mem', NULL, NULL, NULL, '{{"max":3}}' FROM v
+"""
+
+
+def long_tasks_merged(spark, d):
+    """Tasks of users, some of them toplevel, which join those that they meet."""
+    s = spans(spark, d).select("u", "kind", (F.col("i") * 70_000).alias("a"), (F.col("i") * 70_000 + F.col("du") % 140_001).alias("b"), "i").withColumn("u", F.col("u") % 20)
+    s = s.withColumn("b", F.when(F.col("i") % 4 == 0, F.col("a") + 70_000).otherwise(F.col("b")))
+    return intervals.merged_long_tasks(s.filter("kind <> 'view' or u % 2 = 0"), s.filter("kind = 'view' and u % 2 = 1"), "u", "a", "b")
+
+
+_TASKS = f"""
+WITH {SPANS}, s AS (SELECT u % 20 AS u, kind, i * 70000 AS a, CASE WHEN i % 4 = 0 THEN i * 70000 + 70000 ELSE i * 70000 + du % 140001 END AS b FROM v),
+t AS (SELECT u, a // 1000 AS s, (b + 999) // 1000 AS e, kind = 'view' AND u % 2 = 1 AS top FROM s WHERE CASE WHEN kind = 'view' AND u % 2 = 1 THEN b - a >= 50000 ELSE b - a > 50000 END), h AS (SELECT *, bool_or(top) OVER (PARTITION BY u) AS merges FROM t),
+m AS (SELECT *, max(e) OVER (PARTITION BY u ORDER BY s, e, top ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM h),
+g AS (SELECT *, sum(CASE WHEN upto IS NULL OR s > upto OR (s = upto AND NOT merges) THEN 1 ELSE 0 END) OVER (PARTITION BY u ORDER BY s, e, top ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT u, min(s) AS start_ms, max(e) AS end_ms, count(*) AS n FROM g GROUP BY u, k
+"""
+
+QUERIES = {"http1_framing": http1_framing_, "overflowing_slices": overflowing_slices} | {f.__name__: f for f in (waterfall_rows, waterfall_connections, sent_order, pointer_objects, log_with_timeline, history_fold, lookups_over_http, utilization_shapes, long_tasks_merged)}
+SQL = {"http1_framing": _FRAMING, "overflowing_slices": _OVERFLOW, "waterfall_rows": _ROWS_SQL, "waterfall_connections": _CONNECTIONS_SQL, "sent_order": _SENT_SQL, "pointer_objects": _POINTERS, "log_with_timeline": _LOGGED, "history_fold": _HISTORY, "lookups_over_http": _OVER_HTTP, "utilization_shapes": _UTILIZATION, "long_tasks_merged": _TASKS}

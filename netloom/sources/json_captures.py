@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from netloom.functions.text import bare_mime, header, is_noise, leading_int, priority_name, split_header, status_of, url_host, view_id, view_title
 from netloom.operators import netlog, protocol
 from netloom.operators.ownership import written
-from netloom.operators.pages import as_extensions, without
-from netloom.operators.traces import anchors_page, base_time, enriched, last_known, one_clock, pointer_epochs, reached_network, timeline_only
+from netloom.operators.pages import as_extensions, utilization, without
+from netloom.operators.traces import anchors_page, base_time, enriched, last_known, one_clock, pointer_epochs, reached_network, timeline_only, toplevel_tasks
 from netloom.sources import json_ranges, lines, ranges
 
 #: Page timings that are lifted to the page under another name.
@@ -271,9 +271,14 @@ def view_requests(views: DataFrame) -> DataFrame:
     )
 
 
+def result_views(docs: DataFrame) -> DataFrame:
+    """capture, first, run, cached, view of result files, each view once."""
+    return _views(docs).filter("first = 0")
+
+
 def wpt_pages(docs: DataFrame) -> DataFrame:
     """The views of result files as pages."""
-    return view_pages(_views(docs).filter("first = 0"))
+    return view_pages(result_views(docs))
 
 
 def wpt_requests(docs: DataFrame) -> DataFrame:
@@ -470,6 +475,11 @@ def trace_requests(events: DataFrame) -> DataFrame:
     return both.withColumns({"method": F.coalesce("method", F.lit("GET")), "priority": F.coalesce("priority", F.lit("Lowest"))})
 
 
+def trace_base(requests: DataFrame) -> DataFrame:
+    """capture, base (ms): where the page of a trace begins, by its requests."""
+    return requests.groupBy("capture").agg(F.min("base").alias("base"))
+
+
 def script_url(name: Column, args: Column) -> Column:
     """The web script that a trace event of this name works on, or null."""
     web = lambda path: F.when(F.startswith(F.try_variant_get(args, path, "string"), F.lit("http")), F.try_variant_get(args, path, "string"))
@@ -492,12 +502,44 @@ def trace_spans(events: DataFrame) -> DataFrame:
     return with_parents(spans, "thread", "depth", "start", "name").select("thread", "depth", "name", "start", "end", "script", "parent")
 
 
-def trace_slices(spans: DataFrame, width_us: int, base_us: int = 0) -> DataFrame:
-    """thread, name, slice, usecs: what each name has of the slices of a trace's threads, counted from ``base_us`` on; earlier time is left out."""
-    from netloom.operators.mainthread import exclusive_slices
+def trace_slices(spans: DataFrame, base: DataFrame) -> DataFrame:
+    """thread, name, slice, usecs, slice_usecs: what each name has of the slices of a trace's threads, counted from its page's beginning on; earlier time is left out.
+
+    base: capture, base (ms). Slices of a capture are as wide as slice_width() has it for the time that its spans take.
+    """
+    from netloom.operators.mainthread import exclusive_slices, slice_width
+
+    told = spans.withColumn("capture", F.split_part("thread", F.lit("\t"), F.lit(1))).join(base.select("capture", F.floor(F.col("base") * 1000).alias("_base")), "capture")
+    told = told.withColumns({"start": F.greatest(F.col("start") - F.col("_base"), F.lit(0)), "end": F.col("end") - F.col("_base")}).filter("end > 0")
+    widths = told.groupBy("capture").agg(slice_width(F.max("end")).alias("slice_usecs"))
+    told = told.join(widths, "capture")
+    slices = exclusive_slices(told, "thread", "start", "end", "name", "slice_usecs")
+    return slices.withColumn("capture", F.split_part("thread", F.lit("\t"), F.lit(1))).join(widths, "capture").drop("capture")
+
+
+def trace_long_tasks(spans: DataFrame, events: DataFrame, base: DataFrame) -> DataFrame:
+    """thread, start_ms, end_ms, n: the long tasks of a trace's threads from its page's beginning on: outermost spans, and tasks of the category toplevel."""
+    from netloom.operators.intervals import merged_long_tasks
+
+    zero = base.select("capture", F.floor(F.col("base") * 1000).alias("_base"))
+    capture = F.split_part("thread", F.lit("\t"), F.lit(1))
+    from_base = lambda df: df.join(zero, "capture").withColumns({"start": F.col("start") - F.col("_base"), "end": F.col("end") - F.col("_base")})
+    own = from_base(spans.filter("depth = 1").withColumn("capture", capture)).select("thread", "start", "end")
+    top = toplevel_tasks(events).withColumns({"thread": F.concat_ws("\t", "capture", "pid", "tid"), "start": F.col("ts"), "end": F.col("ts") + F.col("dur")})
+    return merged_long_tasks(own, from_base(top).filter("end > 0").withColumn("start", F.greatest(F.col("start"), F.lit(0))).select("thread", "start", "end"), "thread", "start", "end")
+
+
+def har_shell(docs: DataFrame) -> DataFrame:
+    """capture, har: each document's log with pages and entries, which are empty where it has none, or none that are arrays. docs: whole documents."""
+    part = lambda n: F.coalesce(_get(f"$.log.{n}", "array<variant>", "doc"), F.array().cast("array<variant>")).alias(n)
+    creator = F.struct(F.lit("netloom").alias("name"), F.lit("1").alias("version")).alias("creator")
+    return docs.select("capture", F.to_json(F.struct(F.struct(F.lit("1.2").alias("version"), creator, part("pages"), part("entries")).alias("log"))).alias("har"))
+
 
-    told = spans.withColumns({"start": F.greatest(F.col("start") - base_us, F.lit(0)), "end": F.col("end") - base_us}).filter("end > 0")
-    return exclusive_slices(told, "thread", "start", "end", "name", width_us)
+def view_utilization(views: DataFrame, bw_down: Column) -> DataFrame:
+    """capture, run, cached and what pages.utilization() tells of each view's ``utilization``."""
+    told = views.select("capture", "run", "cached", _get("$.utilization", "variant", "view").alias("utilization"), bw_down.cast("double").alias("bw_down"))
+    return utilization(told, ["capture", "run", "cached"], "utilization", "bw_down")
 
 
 def script_times(spans: DataFrame) -> DataFrame:

@@ -34,13 +34,16 @@ def _har(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def _results(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     docs = json_captures.documents(spark, path)
-    return {"pages": json_captures.wpt_pages(docs), "requests": json_captures.wpt_requests(docs)}
+    views = json_captures.result_views(docs)
+    return {"pages": json_captures.view_pages(views), "requests": json_captures.wpt_requests(docs), "utilization": json_captures.view_utilization(views, F.try_variant_get("view", "$.bwDown", "double"))}
 
 
 def _trace(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     events = json_captures.trace_events(json_captures.documents(spark, path))
     spans = json_captures.trace_spans(events)
-    return {"events": events, "spans": spans, "scripts": json_captures.script_times(spans), "requests": json_captures.trace_requests(events)}
+    requests = json_captures.trace_requests(events)
+    base = json_captures.trace_base(requests)
+    return {"events": events, "spans": spans, "scripts": json_captures.script_times(spans), "slices": json_captures.trace_slices(spans, base), "long_tasks": json_captures.trace_long_tasks(spans, events, base), "requests": requests}
 
 
 def _packets(spark: SparkSession, path: str) -> dict[str, DataFrame]:

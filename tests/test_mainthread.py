@@ -79,5 +79,34 @@ def test_trace_spans_of_one_name_with_scripts(spark, tmp_path):
         (300, 305, 1, "FunctionCall", None, None),
     ]
     assert sorted((r["script"], r["start"], r["end"]) for r in J.script_times(spans).collect()) == [("https://a/f.js", 130, 135), ("https://a/s.js", 110, 160)]
-    slices = {(r["name"], r["slice"]): r["usecs"] for r in J.trace_slices(spans, 100, 100).collect()}
-    assert slices == {("Run", 0): 35, ("EvaluateScript", 0): 60, ("FunctionCall", 0): 5, ("FunctionCall", 2): 5}
+    base = spark.createDataFrame([(spans.first()["thread"].split("\t")[0], 0.1)], "capture string, base double")
+    slices = {(r["name"], r["slice"], r["slice_usecs"]): r["usecs"] for r in J.trace_slices(spans, base).collect()}
+    told = {}
+    for (name, at, width), n in slices.items():
+        assert width == 1 and n in (0, 1)
+        told[name] = told.get(name, 0) + n
+    # at this width a slice is one event's: the call takes it from the script, whose parent it shares
+    assert told == {"Run": 50, "EvaluateScript": 45, "FunctionCall": 10}
+
+
+def test_widths_of_slices(spark):
+    spans_us = {1: 1, 2000: 1, 2001: 1, 20_000: 1, 20_001: 10, 200_000: 10, 200_001: 100, 5_000_000: 1000}
+    df = spark.createDataFrame([(k,) for k in spans_us], "s long")
+    assert {r["s"]: r["w"] for r in df.select("s", mainthread.slice_width(F.col("s")).alias("w")).collect()} == spans_us
+
+
+def test_long_tasks_of_a_trace(spark, tmp_path):
+    event = lambda name, ts, dur, cat="x": {"ph": "X", "name": name, "pid": 1, "tid": 2, "ts": ts, "dur": dur, "cat": cat, "args": {}}
+    events = [event("a", 1_000_000, 60_000), event("b", 1_060_000, 50_000), event("t", 1_060_000, 50_000, "toplevel"), event("c", 2_000_000, 50_001)]
+    (tmp_path / "t.json").write_text(json.dumps(events))
+    raw = J.trace_events(J.documents(spark, str(tmp_path)))
+    base = raw.select("capture", F.lit(1000.0).alias("base")).distinct()
+    got = sorted((r["start_ms"], r["end_ms"], r["n"]) for r in J.trace_long_tasks(J.trace_spans(raw), raw, base).collect())
+    assert got == [(0, 110, 2), (1000, 1051, 1)]
+
+
+def test_shells(spark, tmp_path):
+    for name, doc in {"a": {}, "b": {"log": {"pages": 3, "entries": [{"x": 1}]}}, "c": {"log": {"pages": [1]}}}.items():
+        (tmp_path / name).write_text(json.dumps(doc))
+    got = {r["capture"][-1]: json.loads(r["har"])["log"] for r in J.har_shell(J.documents(spark, str(tmp_path))).collect()}
+    assert {k: (v["pages"], v["entries"]) for k, v in got.items()} == {"a": ([], []), "b": ([], [{"x": 1}]), "c": ([1], [])} and got["a"]["version"] == "1.2"
