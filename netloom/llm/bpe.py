@@ -143,7 +143,11 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and decoded (binary): the bytes of the ids one after another; not every cut is valid UTF-8."""
+    """doc_id, ids and decoded (binary): the bytes of the ids one after another; not every cut is valid UTF-8.
+
+    No ids decode to no bytes. Rows that repeat, and null ids of documents, are decoded each for itself; an empty table gives
+    an empty result; other columns are not read. Ids that the file lacks raise an error.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = encoding(path).decode_bytes

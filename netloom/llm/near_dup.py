@@ -382,14 +382,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     What is linked are texts: rows that repeat an id with other texts are documents of their own, and a component has
     the smallest id of its texts. Rows of equal text and id share one verdict. A null id is linked with nothing and kept, with a null
     component; so are texts that are null, empty or without words, each its own component. An empty table gives an
-    empty result; other columns are not read.
+    empty result; other columns are not read. Sizes count 64-bit hashes of shingles, and sets are told apart by 128 bits of
+    hashes of them: two that meet would be taken for one, with a chance of less than 1e-9 for a document of a million words.
     """
     told = _told(docs, id_col, text_col, percent, k, width, loss)
     return told.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, with the columns of docs: rows go by id and text, so no text is lost with another's."""
+    """The rows of docs that near_duplicates() keeps, with the columns of docs: rows go by id and text, so no text is lost with another's.
+
+    Null and empty texts, texts without words and null ids all stay. An empty table gives an empty result. Only rows that go are shuffled with their texts.
+    """
     key, mark = unused(docs, "_gone"), unused(docs, "_mark")
     gone = _told(docs, id_col, text_col, PERCENT, K, SHINGLE, LOSS).filter("not kept").select(F.col("doc_id").alias(key), F.col("mark").alias(mark)).distinct()
     may_go, stays = parted(docs, F.xxhash64(text_col), gone, F.col(mark))

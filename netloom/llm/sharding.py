@@ -122,7 +122,8 @@ def shard_documents(docs: DataFrame, shards: int | None = 8, target_bytes: int |
     """doc_id, size, text_crc32, shard, slot. Leaves have near equal bytes; their number is ``shards`` or follows ``target_bytes``.
 
     A null text has no bytes, but each row counts one more. Metadata columns that docs lacks are left out; other columns are not read;
-    strings are ordered by a hash. Rows that repeat another fully stay together. An empty table gives an empty result.
+    strings are ordered by a hash. Null ids are rows like others and come first among equal places; a text of any length is one row, however
+    much of a shard it fills; ties are ordered by hashes of text and row. Rows that repeat another fully stay together. An empty table gives an empty result.
     """
     spark, has = docs.sparkSession, {f.name: f.dataType.simpleString() for f in docs.schema}
     text = text_or_empty(text_col)

@@ -75,7 +75,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def context_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """limit, docs_truncated, truncated_tokens for limits that need not occur as lengths, from suffix_sums() alone."""
+    """limit, docs_truncated, truncated_tokens for limits that need not occur as lengths, from suffix_sums() alone; zeros where there are no documents."""
     n, rows = F.col("n_tokens"), []
     for limit in limits:
         longer = F.min_by(F.when(n > limit, F.struct("docs_at_least", "tokens_at_least")), F.when(n > limit, n))
@@ -86,6 +86,6 @@ def context_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def length_quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
-    """share, n_tokens: the smallest length that at least this share of the documents do not exceed."""
+    """share, n_tokens: the smallest length that at least this share of the documents do not exceed; null where there are no documents."""
     row = [F.struct(F.lit(s).alias("share"), F.min(F.when(F.col("share_up_to") >= s - 1e-12, F.col("n_tokens"))).alias("n_tokens")) for s in shares]
     return sums.agg(F.array(*row).alias("r")).select(F.explode("r").alias("r")).select("r.*")

@@ -228,7 +228,11 @@ def members(stream, block: int = 1 << 20) -> Iterator[bytes]:
 
 
 def read_warc(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of the files that a manifest lists: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
+    """The records of the files that a manifest lists: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
+
+    An empty manifest gives no records. A file that is damaged or ends within a record raises an error. Other columns of
+    the manifest are not read; a file that it lists twice is read twice.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _fs(folder)
