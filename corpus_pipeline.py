@@ -49,6 +49,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     An empty table passes through all stages; columns beside doc_id and text are carried as they are to the last one.
     """
     work, docs = Work(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = work.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = work.table(stage(spark, docs, sf_dir), table := name.replace(" ", "-"))
+        if before:
+            work.drop(before)  # its successor is written
+        before = table
     return STAGES[-1][1](spark, docs, sf_dir)
