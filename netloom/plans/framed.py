@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from netloom.operators import history, intervals, layout, mainthread, pages, traces
-from netloom.plans.adapters import REQUESTS, SPANS, requests, spans
+from netloom.operators import history, intervals, layout, mainthread, outputs, pages, traces
+from netloom.plans.adapters import REQUESTS, SPANS, requests, spans, table
 from netloom.sources import http1_framing, lookups
 
 #: Bytes of a segment.
@@ -277,5 +277,31 @@ g AS (SELECT *, sum(CASE WHEN upto IS NULL OR s > upto OR (s = upto AND NOT merg
 SELECT u, min(s) AS start_ms, max(e) AS end_ms, count(*) AS n FROM g GROUP BY u, k
 """
 
-QUERIES = {"http1_framing": http1_framing_, "overflowing_slices": overflowing_slices} | {f.__name__: f for f in (waterfall_rows, waterfall_connections, sent_order, pointer_objects, log_with_timeline, history_fold, lookups_over_http, utilization_shapes, long_tasks_merged)}
-SQL = {"http1_framing": _FRAMING, "overflowing_slices": _OVERFLOW, "waterfall_rows": _ROWS_SQL, "waterfall_connections": _CONNECTIONS_SQL, "sent_order": _SENT_SQL, "pointer_objects": _POINTERS, "log_with_timeline": _LOGGED, "history_fold": _HISTORY, "lookups_over_http": _OVER_HTTP, "utilization_shapes": _UTILIZATION, "long_tasks_merged": _TASKS}
+#: Times of a page that a query makes of a number: name, factor, modulus, offset.
+_MARKS = (("render", 3, 50, 5), ("dom_start", 5, 40, 9), ("dom_end", 7, 60, 20), ("on_dom", 11, 70, 30), ("load_start", 13, 80, 20), ("load_end", 17, 90, 15), ("on_load", 19, 30, 10), ("fcp", 23, 44, 11), ("lcp", 29, 33, 12), ("interactive", 31, 55, 13))
+
+
+def page_marks(spark, d):
+    """All times that are marked on a page, of which some were not measured."""
+    k = F.col("c_custkey")
+    told = layout.page_events(*[(k * a % m - o).cast("long") for _, a, m, o in _MARKS])
+    return table(spark, d, "customer").select("c_custkey", *[c.alias(n) for n, c in told.items()])
+
+
+_MARKS_SQL = "WITH m AS (SELECT c_custkey, " + ", ".join(f"c_custkey * {a} % {m} - {o} AS {n}" for n, a, m, o in _MARKS) + """)
+SELECT c_custkey, CASE WHEN render > 0 THEN render END AS render, CASE WHEN dom_start > 0 AND dom_end > 0 THEN dom_start WHEN on_dom > 0 THEN on_dom WHEN dom_end > 0 THEN dom_end END AS nav_dom_start,
+    CASE WHEN dom_start > 0 AND dom_end > 0 THEN dom_end WHEN on_dom > 0 THEN on_dom WHEN dom_end > 0 THEN dom_end END AS nav_dom_end, CASE WHEN load_end > 0 THEN CASE WHEN load_start > 0 THEN load_start ELSE load_end END END AS nav_load_start,
+    CASE WHEN load_end > 0 THEN load_end END AS nav_load_end, CASE WHEN on_load > 0 THEN on_load END AS load, CASE WHEN fcp > 0 THEN fcp END AS fcp, CASE WHEN lcp > 0 THEN lcp END AS lcp, CASE WHEN interactive > 0 THEN interactive END AS nav_dom_interactive FROM m
+"""
+
+
+def requests_by_name(spark, d):
+    """Requests of one page as they are handed out by page and number, without their bodies."""
+    r = requests(spark, d).withColumn("body", F.lit("bulk"))
+    return outputs.request(r, F.lit(7), F.when(F.col("req") % 100 == 5, F.col("req"))).select("page", "req", "status")
+
+
+_NAMED = f"WITH {REQUESTS} SELECT page, req, status FROM r WHERE page = 7 AND req % 100 = 5"
+
+QUERIES = {"http1_framing": http1_framing_, "overflowing_slices": overflowing_slices} | {f.__name__: f for f in (waterfall_rows, waterfall_connections, sent_order, pointer_objects, log_with_timeline, history_fold, lookups_over_http, utilization_shapes, long_tasks_merged, page_marks, requests_by_name)}
+SQL = {"http1_framing": _FRAMING, "overflowing_slices": _OVERFLOW, "waterfall_rows": _ROWS_SQL, "waterfall_connections": _CONNECTIONS_SQL, "sent_order": _SENT_SQL, "pointer_objects": _POINTERS, "log_with_timeline": _LOGGED, "history_fold": _HISTORY, "lookups_over_http": _OVER_HTTP, "utilization_shapes": _UTILIZATION, "long_tasks_merged": _TASKS, "page_marks": _MARKS_SQL, "requests_by_name": _NAMED}

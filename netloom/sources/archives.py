@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.text import leading_int
+from netloom.operators import mainthread
+from netloom.operators.ownership import first_claim
 from netloom.sources import json_captures
 
 _MEMBERS = "capture string, member string, inner string, content binary"
@@ -139,3 +141,47 @@ def pages(rows: DataFrame) -> DataFrame:
 def requests(rows: DataFrame) -> DataFrame:
     """The requests of the views of archives."""
     return json_captures.view_requests(_flat_views(rows))
+
+
+def pages_with_side_data(rows: DataFrame) -> DataFrame:
+    """pages() with what the other members of an archive tell of each view among ext: its connection (_bwDown, _bwUp, _latency, _plr),
+    _utilization (series of times and percents, with the most of each) and _mainThreadSlices (width, and an array for each category).
+
+    What a page tells itself stays. A view without a member has nothing of it.
+    """
+    view = ["capture", "run", "cached"]
+    told = connectivity(rows)
+    names = {"_bwDown": "bw_down", "_bwUp": "bw_up", "_latency": "latency", "_plr": "plr"}
+    told = told.select("capture", F.create_map(*[x for k, c in names.items() for x in (F.lit(k), F.col(c).cast("variant"))]).alias("_wire"))
+
+    samples = progress(rows).filter("most > 0").groupBy(*view, "series").agg(F.sort_array(F.collect_list(F.struct("ts", (F.col("value") / F.col("most") * 100).alias("pct")))).alias("points"), F.max("most").alias("most"))
+    points = F.transform("points", lambda p: F.array(p["ts"].cast("double"), p["pct"]))
+    series = F.map_from_entries(F.collect_list(F.struct("series", points.alias("points"))))
+    most = F.map_from_entries(F.collect_list(F.struct(F.concat("series", F.lit("Max")), "most")))
+    used = samples.groupBy(*view).agg(F.to_variant_object(F.struct(series.alias("series"), most.alias("most"))).alias("_used"))
+
+    slices = cpu_slices(rows)
+    folded = mainthread.folded_slices(slices.withColumn("category", mainthread.category(F.col("event"))), [*view, "slice_usecs"], "category", "slice", "usecs")
+    busy = folded.groupBy(*view).agg(F.to_variant_object(F.struct(F.first("slice_usecs").alias("slice_usecs"), F.map_from_entries(F.collect_list(F.struct("category", "values"))).alias("slices"))).alias("_busy"))
+
+    both = pages(rows).withColumn("_run", F.col("run").cast("string")).join(told, "capture", "left")
+    for part, name in ((used, "_used"), (busy, "_busy")):
+        keyed = part.select(F.col("capture").alias("_c"), F.col("run").cast("string").alias("_r"), F.col("cached").cast("int").alias("_h"), name)
+        both = both.join(keyed, (F.col("capture") == F.col("_c")) & (F.col("_run") == F.col("_r")) & (F.col("cached").cast("int") == F.col("_h")), "left").drop("_c", "_r", "_h")
+    nothing = F.create_map().cast("map<string,variant>")
+    side = F.map_concat(F.coalesce("_wire", nothing), F.create_map(F.lit("_utilization"), F.col("_used"), F.lit("_mainThreadSlices"), F.col("_busy")))
+    absent = F.map_filter(side, lambda k, v: v.isNotNull() & ~F.map_contains_key("ext", k))
+    return both.withColumn("ext", F.map_concat(F.coalesce("ext", nothing), absent)).drop("_run", "_wire", "_used", "_busy")
+
+
+def requests_with_scripts(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """requests() with js_timing (start, end): when the scripts of their url ran on the main thread, for the first request of each url of a view.
+
+    names: the events that count, in their order; all of EvaluateScript's category unless given.
+    """
+    view = ["capture", "run", "cached"]
+    ran = script_ranges(rows, names or list(mainthread.CATEGORIES["EvaluateScript"])).groupBy(*view, "url").agg(F.sort_array(F.collect_list(F.struct("n", "start", "end"))).alias("_ran"))
+    ran = ran.select(F.col("capture").alias("_c"), F.col("run").cast("string").alias("_r"), F.col("cached").cast("int").alias("_h"), F.col("url").alias("_u"), F.transform("_ran", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("js_timing"))
+    own = first_claim(requests(rows), [*view, "url"], ["req"], "_first")
+    same = F.col("_first") & (F.col("capture") == F.col("_c")) & (F.col("run").cast("string") == F.col("_r")) & (F.col("cached").cast("int") == F.col("_h")) & (F.col("url") == F.col("_u"))
+    return own.join(ran, same, "left").drop("_first", "_c", "_r", "_h", "_u")

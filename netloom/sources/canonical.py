@@ -111,7 +111,8 @@ def _netlog(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
 def _packets(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     ms = {c: F.col(c) / 1000.0 for c in ("start", "end", "dns_start", "dns_end")} | {"first_data": F.col("first_byte") / 1000.0}
     r = t["requests"].withColumns(ms).withColumns({"conn": F.concat_ws(" ", "flow", F.col("generation").cast("string")), "http_version": F.lit("HTTP/1.1")})
-    return _single(_spans(_numbered(r, "flow", "generation", "n")))
+    r = _numbered(r, "flow", "generation").withColumn("req", F.shiftleft(F.shiftright("req", 20), 20) + F.col("n") % (1 << 20))  # those of one time keep their order
+    return _single(_spans(r))
 
 
 RELATIONS = {"har": _har, "wpt": _views, "wptagent": _views, "cdp": _protocol, "chrome-trace": _trace, "netlog": _netlog, "tcpdump": _packets}

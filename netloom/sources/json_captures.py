@@ -141,8 +141,9 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
 def _explode(df: DataFrame, source: str) -> DataFrame:
     """df with ``pos`` and ``item``, the elements of a VARIANT array; pos counts from the document's first element."""
-    df.createOrReplaceTempView("_netloom_source")
-    return df.sparkSession.sql(f"SELECT s.*, e.pos + s.first AS pos, e.value AS item FROM _netloom_source s, LATERAL variant_explode_outer({source}) AS e").filter("pos is not null")
+    elements = df.sparkSession.tvf.variant_explode_outer(F.col("s._source").outer()).select(F.col("pos").alias("_pos"), F.col("value").alias("item"))
+    found = df.withColumn("_source", F.expr(source.replace("s.", ""))).alias("s").lateralJoin(elements)
+    return found.withColumn("pos", F.col("_pos") + F.col("first")).drop("_source", "_pos").filter("pos is not null")
 
 
 def _get(path: str, kind: str, source: str = "item"):

@@ -57,7 +57,7 @@ def _packets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def _archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     rows = archives.members(spark, path)
-    return {"members": rows, "pages": archives.pages(rows), "requests": archives.requests(rows), "connectivity": archives.connectivity(rows), "progress": archives.progress(rows), "cpu_slices": archives.cpu_slices(rows)}
+    return {"members": rows, "pages": archives.pages_with_side_data(rows), "requests": archives.requests_with_scripts(rows), "connectivity": archives.connectivity(rows), "progress": archives.progress(rows), "cpu_slices": archives.cpu_slices(rows)}
 
 
 READERS = {

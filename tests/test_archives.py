@@ -56,3 +56,24 @@ def test_private_hosts_at_the_edges(spark):
     told = {"172.15.255.255": False, "172.16.0.0": True, "172.32.0.0": False, "100.63.1.1": False, "100.64.0.1": True, "223.255.255.255": False, "224.0.0.1": True, "300.1.1.1": True, "[fe7f::1]": False, "[FEBF::1]": True, "[]": True, "[64:ff9b::1]": True, "[::]": True, "[::1]": True, "[::2]": False, "[FD12:3456::1]": True, "[fe00::1]": False, "[100::]": True, "[0100:0:0:0:1::1]": True, "[100:0:0:1::1]": False, "[::ffff:10.1.2.3]": True, "[::ffff:8.8.8.8]": False, "[2001:db8:0:0:1:2:3:4]": False, "[1:2]": True, "[1::2::3]": True, "[2001:4860::8888]": False, "example.localhost": True, "localhost.example": False}
     df = spark.createDataFrame([(h,) for h in told] + [(None,)], "h string")
     assert {r["h"]: r["p"] for r in df.select("h", N.is_private_host(F.col("h")).alias("p")).collect()} == told | {None: True}
+
+
+def test_side_data_of_pages(spark, tmp_path):
+    asked = [{"full_url": u, "responseCode": 200} for u in ("https://a/x.js", "https://a/x.js", "https://a/y.js")]
+    page = {"date": 1, "URL": "https://a/", "latency": 7}
+    script = {"main_thread": "1:2", "1:2": {"https://a/x.js": {"EvaluateScript": [[5, 6]], "FunctionCall": [[1, 2]]}}}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("testinfo.json", json.dumps({"bwIn": 5000, "latency": 28}))
+        for view in ("1", "1_Cached"):
+            z.writestr(f"{view}_devtools_requests.json", json.dumps({"requests": asked, "pageData": page}))
+        z.writestr("1_progress.csv", CSV)
+        z.writestr("1_timeline_cpu.json", json.dumps(CPU))
+        z.writestr("1_Cached_script_timing.json", json.dumps(script))
+    rows = A.members(spark, str(tmp_path / "a.zip"))
+    told = A.pages_with_side_data(rows).select("cached", F.to_json(F.to_variant_object("ext")).alias("ext")).collect()
+    first, again = (json.loads(next(r["ext"] for r in told if int(r["cached"]) == c)) for c in (0, 1))
+    assert first["_bwDown"] == 5000 and first["_latency"] == 7 and "_plr" not in first and "_utilization" not in again and again["_bwDown"] == 5000
+    assert first["_utilization"] == {"series": {"bw": [[0, 50], [100, 100]], "cpu": [[0, 1.5], [100, 20.25]], "mem": [[100, 100]]}, "most": {"bwMax": 200, "cpuMax": 100, "memMax": 77}}
+    assert first["_mainThreadSlices"] == {"slice_usecs": 1000, "slices": {"Layout": [0, 5, 7], "Paint": [1, 0, 0]}}
+    ran = {(int(r["cached"]), r["req"]): r["js_timing"] for r in A.requests_with_scripts(rows, ["FunctionCall", "EvaluateScript"]).collect()}
+    assert [tuple(x) for x in ran[1, 0]] == [(1, 2), (5, 6)] and sum(v is not None for v in ran.values()) == 1
