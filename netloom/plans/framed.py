@@ -288,7 +288,7 @@ def page_marks(spark, d):
     return table(spark, d, "customer").select("c_custkey", *[c.alias(n) for n, c in told.items()])
 
 
-_MARKS_SQL = "WITH m AS (SELECT c_custkey, " + ", ".join(f"c_custkey * {a} % {m} - {o} AS {n}" for n, a, m, o in _MARKS) + """)
+_MARKS_SQL = "WITH m AS (SELECT c_custkey, " + ", ".join(f"c_custkey * {a} % {m} - {o} AS {n}" for n, a, m, o in _MARKS) + """ FROM customer)
 SELECT c_custkey, CASE WHEN render > 0 THEN render END AS render, CASE WHEN dom_start > 0 AND dom_end > 0 THEN dom_start WHEN on_dom > 0 THEN on_dom WHEN dom_end > 0 THEN dom_end END AS nav_dom_start,
     CASE WHEN dom_start > 0 AND dom_end > 0 THEN dom_end WHEN on_dom > 0 THEN on_dom WHEN dom_end > 0 THEN dom_end END AS nav_dom_end, CASE WHEN load_end > 0 THEN CASE WHEN load_start > 0 THEN load_start ELSE load_end END END AS nav_load_start,
     CASE WHEN load_end > 0 THEN load_end END AS nav_load_end, CASE WHEN on_load > 0 THEN on_load END AS load, CASE WHEN fcp > 0 THEN fcp END AS fcp, CASE WHEN lcp > 0 THEN lcp END AS lcp, CASE WHEN interactive > 0 THEN interactive END AS nav_dom_interactive FROM m
