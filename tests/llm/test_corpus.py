@@ -574,8 +574,8 @@ def test_any_ids_are_packed_and_archived(spark, tmp_path_factory, ids):
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.lit("x" * 1500).alias("html"))
     read = warc.read_warc(warc.write_warc(pages, folder, span=4000), folder).collect()
     assert sorted((r["page_id"] for r in read), key=key) == sorted(ids, key=key)
-    known = [i for i in ids if i is not None]
-    assert all((r["refers_to"] == max(known)) == (r["page_id"] is not None and r["page_id"] < max(known)) for r in read)
+    top = max((i for i in ids if i is not None), default=None)
+    assert all(r["refers_to"] == (top if r["page_id"] is not None and r["page_id"] < top else None) for r in read)
 
 
 def test_packed_ids_next_to_null_ones(spark):
