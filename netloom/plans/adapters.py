@@ -46,12 +46,22 @@ REQUESTS = """r AS (SELECT o_orderkey AS req, o_custkey % 100 AS page, o_custkey
 _ORDER = ("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """req, seq, ts (us), bytes, inflated, line: chunks of response bodies, from lineitem."""
-    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER))
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("req"),
-        seq.cast("long").alias("seq"),
+#: Chunks in a task that puts them in order, about.
+_ROWS = 100_000
+
+
+def chunks(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    """req, seq, ts (us), bytes, inflated, line: chunks of response bodies, from lineitem; without seq unless they are numbered.
+
+    Numbered chunks are dealt by req once, into tasks of about _ROWS rows however many there are; what follows by req stays there.
+    """
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "req")
+    if numbered:  # the count comes from the footers of the files
+        rows = rows.repartition(1 + rows.count() // _ROWS, "req")
+    seq = [F.row_number().over(Window.partitionBy("req").orderBy(*_ORDER)).cast("long").alias("seq")] if numbered else []
+    return rows.select(
+        "req",
+        *seq,
         epoch_us("l_shipdate").alias("ts"),
         (F.col("l_quantity") * 100).cast("long").alias("bytes"),
         F.floor("l_extendedprice").cast("long").alias("inflated"),

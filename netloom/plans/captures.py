@@ -97,7 +97,7 @@ SELECT page, req, CAST(start - zero AS DOUBLE) + (req % 10000) / CAST(1000000 AS
 
 
 def network_hits(spark, d):
-    c = chunks(spark, d).groupBy("req").agg(F.sum("bytes").cast("long").alias("bytes_in"), F.expr("max(ts) div 1000").alias("end"))
+    c = chunks(spark, d, numbered=False).groupBy("req").agg(F.sum("bytes").cast("long").alias("bytes_in"), F.expr("max(ts) div 1000").alias("end"))
     r = requests(spark, d).join(c, "req", "left").withColumn("sent", F.when(F.col("req") % 11 != 0, F.col("start")))
     headers = F.when(F.col("status") == 404, F.array(F.lit("a: b"))).otherwise(F.array().cast("array<string>"))
     keep = traces.reached_network(F.col("sent"), headers, F.when(F.col("req") % 13 == 0, F.col("start")), F.when(F.col("req") % 3 == 0, F.col("end")), F.when(F.col("req") % 5 == 0, F.col("bytes_in")))

@@ -15,7 +15,7 @@ def conn_owner(spark, d):
 
 def _timed(spark, d):
     """Requests with chunk times; connections and lookups derived from the customers."""
-    c = chunks(spark, d).groupBy("req").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    c = chunks(spark, d, numbered=False).groupBy("req").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     r = requests(spark, d).join(c, "req", "left")
     r = r.withColumn("first_data", F.coalesce(F.expr("t0 div 1000"), F.lit(0))).withColumn("end", F.coalesce(F.expr("t1 div 1000"), F.col("start")))
     r = r.withColumn("dns_id", F.col("conn") % 40)
@@ -66,7 +66,7 @@ def enrich_last_wins(spark, d):
 
 def timeline_synthesis(spark, d):
     r = requests(spark, d).filter("status = 200").select("req", F.lit("log").alias("origin"))
-    o = chunks(spark, d).select("req").distinct().withColumn("origin", F.lit("timeline"))
+    o = chunks(spark, d, numbered=False).select("req").distinct().withColumn("origin", F.lit("timeline"))
     return ownership.union_unmatched(r, o, "req")
 
 

@@ -36,7 +36,7 @@ def first_last_fold(spark, d):
 
 
 def chunk_rollup(spark, d):
-    c = chunks(spark, d)
+    c = chunks(spark, d, numbered=False)
     return c.groupBy("req").agg(F.sum("bytes").cast("long").alias("bytes"), F.sum("inflated").cast("long").alias("inflated"), F.count(F.lit(1)).alias("chunks"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 

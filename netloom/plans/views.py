@@ -142,7 +142,7 @@ _FLAG_NAMES = f"WITH {REQUESTS} SELECT req, concat_ws(',', " + ", ".join(f"CASE
 
 
 def page_stats(spark, d):
-    c = chunks(spark, d).groupBy("req").agg(F.sum("bytes").cast("long").alias("bytes"))
+    c = chunks(spark, d, numbered=False).groupBy("req").agg(F.sum("bytes").cast("long").alias("bytes"))
     r = requests(spark, d).join(c, "req", "left")
     n = lambda c: F.count(F.when(c, 1))
     return r.groupBy("page").agg(F.count(F.lit(1)).alias("requests"), n(F.col("status") == 200).alias("ok"), n(F.col("status") == 404).alias("not_found"), n(~F.col("status").isin(200, 404)).alias("other"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes_in"), F.max("start").alias("fully_loaded"))
