@@ -14,7 +14,7 @@ def exchanges(df, capsys):
     return capsys.readouterr().out.count("Exchange hashpartitioning")
 
 
-@pytest.mark.parametrize("name", ["inflated_attach"])
+@pytest.mark.parametrize("name", ["inflated_attach", "chunk_deltas"])
 def test_tasks_do_not_grow_with_the_chunks(spark, monkeypatch, capsys, name):
     whole = sorted(map(tuple, plans.QUERIES[name](spark, DATA).collect()), key=repr)
     monkeypatch.setattr(adapters, "_ROWS", 300, raising=False)
