@@ -37,15 +37,17 @@ def http1_segments(spark, d):
     chunked = F.concat(F.lit("Transfer-Encoding: chunked\r\n\r\n13\r\nHTTP/1.1 999 no\r\n\r\n\r\n"), F.lower(F.hex(F.length(_str("req")))), F.lit(";a=b\r\n"), _str("req"), F.lit("\r\n0\r\nT: GET / HTTP/1.1\r\n\r\n"))
     answer = F.concat(line, F.when(F.col("status") == 304, "\r\n").when(F.col("req") % 2 == 0, chunked).otherwise(_sized(told)))
     answer = F.concat(F.when(F.col("req") % 4 == 0, "HTTP/1.1 100 Continue\r\n\r\n").otherwise(""), answer)
-    texts = r.select("conn", "n", F.explode(F.create_map(F.lit(True), F.when(F.col("req") % 3 == 0, post).otherwise(get), F.lit(False), answer)).alias("forward", "text"))
-    streams = texts.groupBy("conn", "forward").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "").alias("stream"))
+    texts = r.select("conn", F.struct("n", F.when(F.col("req") % 3 == 0, post).otherwise(get).alias("asked"), answer.alias("told")).alias("text"))
+    both = texts.groupBy("conn").agg(F.sort_array(F.collect_list("text")).alias("texts"))
+    joined = lambda side: F.array_join(F.col("texts")[side], "").cast("binary")
+    streams = both.select("conn", F.explode(F.create_map(F.lit(True), joined("asked"), F.lit(False), joined("told"))).alias("forward", "stream"))
     cut = streams.select("conn", "forward", "stream", F.explode(F.sequence(F.lit(0), F.length("stream") - 1, F.lit(_CUT))).alias("seq"))
     cut = cut.withColumn("k", F.expr(f"seq div {_CUT}")).withColumn("copy", F.explode(F.when(F.col("k") % 5 == 4, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     late = F.when((F.col("k") % 7 == 3), 15).otherwise(0) + F.col("copy") * 40
     return cut.select(
         F.lit("c").alias("capture"), F.concat(F.lit("f"), _str("conn")).alias("flow"), F.lit(0).alias("generation"), "forward", (F.col("k") * 10 + late + F.when(F.col("forward"), 0).otherwise(10_000_000)).alias("time_us"),
         (F.col("k") * 2 + F.col("copy")).alias("ord"), F.lit("tcp").alias("proto"), (F.col("seq") + 7).cast("long").alias("seq"), F.lit("10.0.0.1").alias("src_ip"), F.lit(5000).alias("src_port"), F.lit("10.0.0.2").alias("dst_ip"), F.lit(80).alias("dst_port"),
-        F.encode(F.expr(f"substring(stream, seq + 1, {_CUT})"), "UTF-8").alias("payload"),
+        F.expr(f"substring(stream, seq + 1, {_CUT})").alias("payload"),
     )
 
 

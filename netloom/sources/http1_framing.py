@@ -11,14 +11,14 @@ from __future__ import annotations
 import heapq
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.text import bare_mime, header, leading_int, split_header, status_of
-from netloom.operators.sequences import unwrapped
 from netloom.sources.http1 import HEAD, METHODS
 
 #: Bytes that wait for a missing segment at most, for each direction; then the gap is taken as lost.
@@ -34,18 +34,34 @@ _LENGTH = re.compile(rb"(?im)^content-length[ \t]*:[ \t]*(\d{1,18})[ \t]*\r?$")
 _CHUNKED = re.compile(rb"(?im)^transfer-encoding[ \t]*:.*\bchunked[ \t]*\r?$")
 _BEGINNINGS = (*(m.encode() + b" " for m in METHODS), b"HTTP/1.")
 _ENDLESS = 1 << 62
+_HALF = 1 << 31
 
 
 class Ordered:
     """One direction's bytes in the order of their sequence numbers: what was seen is cut off, what comes early waits."""
 
     def __init__(self):
-        self.due, self.early, self.held = None, [], 0
+        self.due, self.last, self.early, self.held = None, None, [], 0
 
-    def push(self, seq: int, data: bytes, at: tuple) -> Iterator[tuple[bytes, tuple, bool]]:
+    def unwrapped(self, seq: int) -> int:
+        """A number of 32 bits as one that goes on beyond a wrap: the nearest to the one before."""
+        if self.last is None:
+            self.last = seq
+        else:
+            self.last += (seq - self.last + _HALF & 2 * _HALF - 1) - _HALF
+        return self.last
+
+    def push(self, seq: int, data: bytes, at: tuple) -> Iterable[tuple[bytes, tuple, bool]]:
         """(bytes, at, whether bytes before them are lost) of what is in order now."""
         if self.due is None:
             self.due = seq
+        if seq <= self.due and not self.early:  # as most are: nothing waits
+            fresh = data[self.due - seq :]
+            self.due += len(fresh)
+            return ((fresh, at, False),) if fresh else ()
+        return self._waited(seq, data, at)
+
+    def _waited(self, seq: int, data: bytes, at: tuple) -> Iterator[tuple[bytes, tuple, bool]]:
         heapq.heappush(self.early, (seq, at, data))
         self.held += len(data)
         while self.early and (self.early[0][0] <= self.due or self.held > WAITING):
@@ -80,33 +96,34 @@ class Messages:
             if not self.begins.match(data):
                 return
             self.state = "idle"
-        i = 0
-        while i < len(data):
+        i, size = 0, len(data)
+        while i < size:
             if self.state == "idle":
-                if data[i : i + 2] == b"\r\n" or data[i : i + 1] == b"\n":  # empty lines between messages
+                if data[i] == 10 or data[i] == 13 and data[i + 1 : i + 2] == b"\n":  # empty lines between messages
                     i += 1 + (data[i] == 13)
                     continue
                 self.m = {"begin": at, "end": at, "bytes": 0, "head": bytearray(), "body": 0, "line": bytearray(), "whole": False, "kept": None}
                 self.state = "head"
             m, start = self.m, i
             if self.state == "head":
-                had = len(m["head"])
-                m["head"] += data[i : i + HEAD - had + 4]
-                stop = m["head"].find(b"\r\n\r\n", max(0, had - 3))
+                head = m["head"]
+                had = len(head)
+                head += data[i : i + HEAD - had + 4]
+                stop = head.find(b"\r\n\r\n", had - 3 if had > 3 else 0)
                 if stop < 0:
-                    i = len(data)
-                    if len(m["head"]) >= HEAD or (len(m["head"]) >= SHOWN and not self.begins.match(m["head"])):
+                    i = size
+                    if len(head) >= HEAD or (had < SHOWN <= len(head) and not self.begins.match(head)):  # told once, when so much is there
                         self.lose(at, i - start, connection)
                         return
                 else:
-                    del m["head"][stop + 4 :]
+                    del head[stop + 4 :]
                     i += stop + 4 - had
-                    if not self.begins.match(m["head"]):
+                    if not self.begins.match(head):
                         self.lose(at, i - start, connection)
                         return
                     self.framed(connection)
             elif self.state in ("body", "chunk"):
-                n = min(self.left, len(data) - i)
+                n = min(self.left, size - i)
                 if m["kept"] is not None and len(m["kept"]) <= MOST_BODY:
                     m["kept"] += data[i : i + n]
                 self.left, i = self.left - n, i + n
@@ -115,11 +132,12 @@ class Messages:
                     self.state = "done" if self.state == "body" else "after-chunk"
             else:  # a line: the size of a chunk, what ends it, or a trailer
                 stop = data.find(b"\n", i)
-                m["line"] += data[i : (stop if stop >= 0 else len(data))][:1024]
-                i = len(data) if stop < 0 else stop + 1
+                line = m["line"]
+                line += data[i : (stop if stop >= 0 else size)][:1024]
+                i = size if stop < 0 else stop + 1
                 if stop >= 0:
-                    self.line(bytes(m["line"]).strip())
-                    m["line"].clear()
+                    self.line(bytes(line).strip())
+                    line.clear()
             if m is self.m and m is not None:
                 m["bytes"] += i - start
                 m["end"] = at
@@ -188,7 +206,8 @@ class Connection:
         self.done: list[dict] = []
 
     def push(self, forward: bool, seq: int, data: bytes, at: tuple) -> None:
-        for some, when, gap in self.streams[forward].push(seq, data, at):
+        stream = self.streams[forward]
+        for some, when, gap in stream.push(stream.unwrapped(seq), data, at):
             self.take(forward, some, when, gap)
 
     def take(self, forward: bool, data: bytes, at: tuple, gap: bool) -> None:
@@ -245,6 +264,20 @@ class Connection:
         self.open.clear()
 
 
+def _listed(column: pa.Array) -> list:
+    """The values of a column; equal texts are one object."""
+    if column.null_count:
+        return column.to_pylist()
+    if pa.types.is_string(column.type):
+        coded = column.dictionary_encode()
+        texts = coded.dictionary.to_pylist()
+        return [texts[i] for i in coded.indices.to_numpy().tolist()]
+    if pa.types.is_binary(column.type):
+        ends, data = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist(), memoryview(column.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 ROWS = "capture string, flow string, generation long, n long, from_ip string, server_ip string, server_port int, asked string, told string, start long, first_byte long, answer_end long, asked_end long, bytes_out long, bytes_in long, body_out long, body_in long, interim long, whole boolean, from_port int, asked_body binary, told_body binary"
 
 
@@ -276,13 +309,13 @@ def exchanges(flows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
         for batch in batches:
-            for capture, flow, generation, forward, time, ord_, seq, data, *ends in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for capture, flow, generation, forward, time, ord_, seq, data, src, src_port, dst, dst_port in zip(*map(_listed, batch.columns), strict=True):
                 if c is None or c.key != (capture, flow, generation):
                     if c is not None:
                         c.finish()
                         out += [row(c, x) for x in c.done]
                     c = Connection((capture, flow, generation))
-                c.push(forward, seq, data, (time, ord_, tuple(ends[:2]), tuple(ends[2:])))
+                c.push(forward, seq, data, (time, ord_, (src, src_port), (dst, dst_port)))
                 if c.done:
                     out += [row(c, x) for x in c.done]
                     c.done.clear()
@@ -293,10 +326,9 @@ def exchanges(flows: DataFrame) -> DataFrame:
             out += [row(c, x) for x in c.done]
         yield told()
 
-    data = flows.filter("proto = 'tcp' and length(payload) > 0").withColumn("_side", F.concat_ws(" ", "flow", F.col("generation").cast("string"), F.col("forward").cast("string")))
-    whole = unwrapped(data, "_side", ["time_us", "ord"], "seq")
+    data = flows.filter("proto = 'tcp' and length(payload) > 0")
     columns = ["capture", "flow", F.col("generation").cast("long").alias("generation"), "forward", "time_us", "ord", "seq", "payload", "src_ip", "src_port", "dst_ip", "dst_port"]
-    dealt = whole.select(*columns).repartition("capture", "flow", "generation").sortWithinPartitions("capture", "flow", "generation", "time_us", "ord")
+    dealt = data.select(*columns).repartition("capture", "flow", "generation").sortWithinPartitions("capture", "flow", "generation", "time_us", "ord")
     return dealt.mapInArrow(fold, ROWS)
 
 
@@ -311,11 +343,11 @@ def requests_of(exchanged: DataFrame) -> DataFrame:
     capture, flow, generation, n, method, url, host, status, mime, headers, response_headers, server_ip, server_port, start, first_byte,
     end (us), bytes_out, bytes_in, length, body_out, body_in, interim, whole.
     """
-    lines = lambda c: F.split(c, "\r\n")
-    headers = lambda c: F.filter(F.transform(F.slice(lines(c), F.lit(2), F.greatest(F.size(lines(c)) - 1, F.lit(0))), split_header), lambda h: h.isNotNull())
-    told = exchanged.withColumns({"line": lines("asked")[0], "headers": headers("asked"), "response_headers": F.when(F.col("told").isNotNull(), headers("told"))})
-    target = F.regexp_extract("line", r"^\S+ (\S+)", 1)
-    host = F.coalesce(header(F.col("headers"), "host"), F.col("server_ip"))
+    headers = lambda c: F.filter(F.transform(F.slice(c, 2, 1 << 30), split_header), lambda h: h.isNotNull())
+    told = exchanged.withColumns({"asked": F.split("asked", "\r\n"), "told": F.split("told", "\r\n")})
+    told = told.withColumns({"line": F.col("asked")[0], "headers": headers("asked"), "response_headers": F.when(F.col("told").isNotNull(), headers("told"))})
+    told = told.withColumns({"_target": F.regexp_extract("line", r"^\S+ (\S+)", 1), "_host": F.coalesce(header(F.col("headers"), "host"), F.col("server_ip"))})
+    target, host = F.col("_target"), F.col("_host")
     return told.select(
         "capture",
         "flow",
@@ -324,7 +356,7 @@ def requests_of(exchanged: DataFrame) -> DataFrame:
         F.regexp_extract("line", r"^(\S+)", 1).alias("method"),
         F.when(target.rlike("^https?://"), target).otherwise(F.concat(F.lit("http://"), host, target)).alias("url"),
         F.regexp_replace(host, r":\d+$", "").alias("host"),
-        status_of(lines("told")[0]).alias("status"),
+        status_of(F.col("told")[0]).alias("status"),
         bare_mime(header(F.col("response_headers"), "content-type")).alias("mime"),
         "headers",
         "response_headers",

@@ -140,3 +140,16 @@ def test_lookups_over_requests(spark):
     got = lookups.http_lookups(H.exchanges(spark.createDataFrame(rows, FLOWS))).orderBy("start").collect()
     assert [(r["name"], r["addresses"], r["client"], r["code"]) for r in got] == [("g.example", ["1.2.3.4"], "10.0.0.1 5000", 0), ("p.example", ["5.6.7.8"], "10.0.0.1 5000", 0)]
     assert all(r["start"] < r["end"] for r in got)
+
+
+def test_segments_are_shuffled_once_and_captures_are_apart(spark, capsys):
+    """Sequence numbers are unwrapped for each capture, where the segments of a connection are folded."""
+    rows = []
+    for capture, first in (("a", 0), ("b", 1_500_000_000), ("c", 3_000_000_000)):
+        for i, (forward, seq, data) in enumerate(segments(request(b"/" + capture.encode()), answer(200, b"zz"), 9)):
+            ends = ("10.0.0.1", 5000, "10.0.0.2", 80) if forward else ("10.0.0.2", 80, "10.0.0.1", None)
+            rows.append((capture, "f", 0, forward, i, i, "tcp", seq + first, *ends, bytearray(data)))
+    got = H.framed_requests(spark.createDataFrame(rows, FLOWS))
+    got.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+    assert [(r["capture"], r["url"], r["status"], r["body_in"], r["whole"]) for r in got.orderBy("capture").collect()] == [(c, f"http://h/{c}", 200, 2, True) for c in "abc"]
