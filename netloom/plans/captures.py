@@ -174,29 +174,33 @@ a AS (SELECT page, req, status, conn, wait, receive, dns, connect, earliest, sta
 """
 
 
+#: What is read of an entry, as typed members: no VARIANT is made for each entry.
+_ENTRY = "_n: bigint, request: struct<url: string>, response: struct<status: bigint, headers: array<struct<value: string>>, content: struct<size: bigint>>, time: double, _load_start: bigint, _ttfb_end: bigint, _all_end: bigint, connection: string"
+
+
 def har_entries_back(spark, d):
     """The extended HAR of all pages, read again: every entry with its fields, in the order it was written in."""
     f = outputs.with_offsets(_fetched(spark, d))
     header = lambda n, v: F.array(F.struct(F.lit(n).alias("name"), v.alias("value")))
     f = f.withColumns({"method": F.lit("GET"), "http_version": F.lit("h2"), "headers": header("Host", _str("conn")), "response_headers": header("X-Req", _str("req")), "mime": F.lit("text/html"), "bytes_in": F.col("req") % 1000})
     named = f.select("page").distinct().select("page", F.concat(F.lit("Page "), _str("page")).alias("title"), F.create_map(F.lit("_run"), F.lit("1"), F.lit("other"), F.lit("2")).alias("ext"))
-    har = outputs.full_har(f, named, 200).withColumn("doc", F.try_parse_json("har"))
-    get = lambda p, k: F.try_variant_get("e", p, k)
-    back = har.select("page", F.try_variant_get("doc", "$.log.pages[0].title", "string").alias("title"), F.try_variant_get("doc", "$.log.pages[0].ext", "map<string,string>").alias("ext"), F.explode(F.try_variant_get("doc", "$.log.entries", "array<variant>")).alias("e"))
+    doc = F.from_json("har", f"log struct<pages: array<struct<title: string, ext: map<string,string>>>, entries: array<struct<{_ENTRY}>>>")["log"]
+    har = outputs.full_har(f, named, 200).withColumn("doc", doc)
+    back = har.select("page", F.col("doc.pages")[0].alias("p"), F.explode("doc.entries").alias("e"))
     return back.select(
         "page",
-        "title",
-        F.array_join(F.map_keys("ext"), ",").alias("fields"),
-        get("$._n", "bigint").alias("n"),
-        get("$.request.url", "string").alias("url"),
-        get("$.response.status", "bigint").alias("status"),
-        get("$.response.headers[0].value", "string").alias("header"),
-        get("$.response.content.size", "bigint").alias("size"),
-        F.floor(get("$.time", "double")).cast("long").alias("time"),
-        get("$._load_start", "bigint").alias("load_start"),
-        get("$._ttfb_end", "bigint").alias("ttfb_end"),
-        get("$._all_end", "bigint").alias("all_end"),
-        get("$.connection", "string").alias("connection"),
+        F.col("p.title").alias("title"),
+        F.array_join(F.map_keys("p.ext"), ",").alias("fields"),
+        F.col("e._n").alias("n"),
+        F.col("e.request.url").alias("url"),
+        F.col("e.response.status").alias("status"),
+        F.col("e.response.headers")[0]["value"].alias("header"),
+        F.col("e.response.content.size").alias("size"),
+        F.floor("e.time").cast("long").alias("time"),
+        F.col("e._load_start").alias("load_start"),
+        F.col("e._ttfb_end").alias("ttfb_end"),
+        F.col("e._all_end").alias("all_end"),
+        F.col("e.connection").alias("connection"),
     )
 
 
